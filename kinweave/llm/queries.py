@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinweave.llm import shard_tree, weak_rules
+from kinweave.llm import decontam, repair_codec, shard_tree, warc_zst, weak_rules
 
 _SQL: dict[str, str] = {}
 
@@ -15,6 +16,51 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = repair_codec.write(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return repair_codec.read(spark, shards, ids=False)
+
+
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc_zst.write(_table(spark, sf_dir, "pages"))
+    records = warc_zst.read(spark, archives, payloads=False)
+    return records.select(F.col("page").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+_SQL["op2_warc_archives"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, max(page_id) AS first_id FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN p.payload_bytes >= 1000 AND f.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.payload_bytes >= 1000 AND f.first_id <> p.page_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
+
+
+def op3_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), cleaned=False)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+
+
+_SQL["op3_suffix_automaton_decontamination"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS k FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+x AS (SELECT DISTINCT doc_id, g.n, i, item_id FROM d, (SELECT DISTINCT n FROM g) AS s, unnest(range(1, len(w) - s.n + 2)) AS t(i), g WHERE g.n = s.n AND g.k = array_to_string(w[i : i + s.n - 1], ' ')),
+h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, n, i FROM x) AS y, unnest(range(i, i + n)) AS t(j) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM x) AS y GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+
 def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.assign(_table(spark, sf_dir, "documents"), n_shards=16)
 

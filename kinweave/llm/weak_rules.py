@@ -21,6 +21,8 @@ from kinweave.llm.common import kept
 #: White space between words: U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+#: Printable ASCII other than letters, digits and the blank.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 5
 
@@ -43,6 +45,7 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         _without(t, SYMBOLS).alias("_plain"),
         _without(t, CAPITALS).alias("_small"),
         _without(t, "!").alias("_calm"),
+        _without(t, MARKS).alias("_bare"),
     )
     w = F.col("_w")
     hashes = F.when(
@@ -58,6 +61,7 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         F.size("_lines").cast("long").alias("n_lines"),
         (F.col("_chars") - F.col("_small")).cast("long").alias("n_capitals"),
         (F.col("_chars") - F.col("_calm")).cast("long").alias("n_shouts"),
+        (F.col("_chars") - F.col("_bare")).cast("long").alias("n_marks"),
         hashes.alias("_h"),
     )
     h = F.col("_h")
@@ -86,9 +90,10 @@ def votes() -> dict[str, Column]:
         "length": _vote(n < 10, n >= 40),
         "symbols": _vote(per_word("n_symbols") > 0.1, (n > 0) & (per_word("n_symbols") < 0.03)),
         "repeats": _vote(per_word("n_repeat_words") > 0.2, (n >= 20) & (per_word("n_repeat_words") < 0.05)),
-        "lines": _vote(F.col("n_dup_lines") / lines > 0.3, (F.col("n_lines") > 1) & (F.col("n_dup_lines") / lines < 0.1)),
+        "lines": _vote(F.col("n_dup_lines") / lines > 0.5, (F.col("n_lines") > 1) & (F.col("n_dup_lines") / lines < 0.1)),
         "word_length": _vote((n > 0) & ((per_word("word_chars") < 2.5) | (per_word("word_chars") > 12)), (per_word("word_chars") >= 3) & (per_word("word_chars") <= 10)),
         "capitals": _vote(per_char("n_capitals") > 0.4, (n > 0) & (per_char("n_capitals") < 0.15)),
+        "marks": _vote(per_word("n_marks") > 0.6, (n > 0) & (per_word("n_marks") < 0.35)),
         "shouts": _vote(per_word("n_shouts") > 0.3, (n > 0) & (per_word("n_shouts") < 0.1)),
     }
 
@@ -97,14 +102,18 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def estimate(counts: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 200, prior: float = 0.85, accuracy: float = 0.8) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Expectation-maximisation over distinct vote vectors and their counts. Returns P(good) and, by rule and vote, (P(vote | bad), P(vote | good)). It starts from rules that are right with the given accuracy, which fixes what good means; one pseudo-count per vote keeps rates off 0."""
-    p = prior
-    rate = [{v: ((1 - accuracy) / 2 + (accuracy - 0.5) * (v == -1), (1 - accuracy) / 2 + (accuracy - 0.5) * (v == 1)) for v in (-1, 0, 1)} for _ in range(rules)]
+#: What rules are taken to do before the votes are seen: P(vote) on bad and on good documents. Good documents get few bad votes; bad ones fail some rules and meet others.
+BELIEF = {-1: (0.25, 0.005), 0: (0.1, 0.095), 1: (0.65, 0.9)}
+
+
+def estimate(counts: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 200, prior: float = 0.85, belief: float = 0.2) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+    """Expectation-maximisation over distinct vote vectors and their counts. Returns P(good) and, by rule and vote, (P(vote | bad), P(vote | good)). BELIEF fixes what good means: it is the start, and it weighs in each step as ``belief`` times the number of documents (one vote at least)."""
+    p, rate = prior, [dict(BELIEF) for _ in range(rules)]
+    weight = max(1.0, belief * sum(n for _, n in counts))
     last = -math.inf
     for _ in range(rounds):
         good_all = bad_all = likelihood = 0.0
-        seen = [{v: [1.0, 1.0] for v in (-1, 0, 1)} for _ in range(rules)]
+        seen = [{v: [weight * x, weight * y] for v, (x, y) in BELIEF.items()} for _ in range(rules)]
         for vote, n in counts:
             bad = math.log(1 - p) + sum(math.log(rate[r][v][0]) for r, v in enumerate(vote))
             good = math.log(p) + sum(math.log(rate[r][v][1]) for r, v in enumerate(vote))
@@ -118,7 +127,7 @@ def estimate(counts: list[tuple[tuple[int, ...], int]], rules: int, rounds: int
                 seen[r][v][1] += n * q
         p = (good_all + 1) / (good_all + bad_all + 2)
         rate = [{v: (x[0] / sum(y[0] for y in s.values()), x[1] / sum(y[1] for y in s.values())) for v, x in s.items()} for s in seen]
-        if likelihood - last < 1e-9 * max(1.0, abs(likelihood)):
+        if abs(likelihood - last) < 1e-9 * max(1.0, abs(likelihood)):
             break
         last = likelihood
     return p, rate
@@ -140,7 +149,7 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: flo
     estimation and the result read them there."""
     names = [f"vote_{k}" for k in votes()]
     rows = kept(features(df, key, text).withColumns({f"vote_{k}": v for k, v in votes().items()}).withColumn("base_failed", base_failed()), "votes")
-    counts = [(tuple(r[:-1]), r[-1]) for r in rows.groupBy(*names).agg(F.count("*").alias("n")).collect()]  # at most 3 ** 7 rows
+    counts = [(tuple(r[:-1]), r[-1]) for r in rows.groupBy(*names).agg(F.count("*").alias("n")).collect()]  # at most 3 ** 8 rows
     p, rate = estimate(sorted(counts), len(names))
     rows = rows.withColumn("quality", posterior(p, rate, names))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
