@@ -35,7 +35,7 @@ MAGIC = b"KWRP0001"
 #: Ids of a shard; some 150 MB of working arrays.
 SHARD_IDS = 2_000_000
 #: Rounds, new symbols in a round, least count of a pair, and the least share of symbols that a round must save.
-ROUNDS, RULES, LEAST, GAIN = 6, 8192, 8, 0.01
+ROUNDS, RULES, LEAST, GAIN = 6, 2560, 8, 0.01
 #: Symbols between two stored sums of lengths.
 STRIDE = 1024
 
@@ -108,7 +108,8 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: i
     base = int(ids.max()) + 1 if len(ids) else 1
     sequence, pairs, starts, top = ids.astype(np.uint32), [], [], base
     for _ in range(rounds):
-        if len(sequence) < 2 * least:
+        room = rules if base > 60_000 else min(rules, (1 << 16) - top)  # symbols of two bytes where they suffice
+        if len(sequence) < 2 * least or room <= 0:
             break
         keys = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
         with np.errstate(over="ignore"):
@@ -118,7 +119,7 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: i
         if not len(at):
             break
         chosen, place, count = np.unique(keys[at], return_inverse=True, return_counts=True)
-        best = np.argsort(-count, kind="stable")[:rules]
+        best = np.argsort(-count, kind="stable")[:room]
         best = best[count[best] >= least]
         if not len(best):
             break
