@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import decontam, repair_codec, shard_tree, warc_zst, weak_rules
+from kinweave.llm import decontam, mil_quality, repair_codec, shard_tree, toxic_kernel, warc_zst, weak_rules
 
 _SQL: dict[str, str] = {}
 
@@ -61,10 +61,18 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 """
 
 
+def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.assign(_table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_kernel.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(_table(spark, sf_dir, "documents"))
 
