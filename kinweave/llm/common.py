@@ -118,3 +118,60 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
                 have = mixed(have[: len(have) - length] * np.uint64(0xD6E8FEB86659FD93) + have[length:])
                 length *= 2
     return at
+
+
+#: Bytes of text that a task takes at a time.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches, n_columns: int = 2):
+    """Runs of rows of one block with a bounded number of text bytes: (block, columns before the text as lists, texts as bytes; null is empty). The batches' last column is the block, the one before it the text."""
+    import pyarrow as pa
+
+    for batch in batches:
+        *others, texts, blocks = batch.columns
+        texts, blocks = texts.cast(pa.binary()), blocks.to_pylist()
+        start = 0
+        while start < len(blocks):
+            end, size = start, 0
+            held = []
+            while end < len(blocks) and blocks[end] == blocks[start] and size < SLICE_BYTES:
+                held.append(texts[end].as_py() or b"")
+                size += len(held[-1])
+                end += 1
+            yield blocks[start], [c.slice(start, end - start) for c in others], held
+            start = end
+
+
+def sliding(op, x: np.ndarray, k: int) -> np.ndarray:
+    """The least or greatest of each k neighbours, in about log2(k) passes."""
+    length = 1
+    while 2 * length <= k:
+        x = op(x[:-length], x[length:])
+        length *= 2
+    return op(x[: len(x) - (k - length)], x[k - length :]) if k > length else x
+
+
+def contained(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of the values stand in the ordered array."""
+    if not len(ordered) or not len(values):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """What Spark takes the frame's size to be: for a scan, its files' bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bucket_count(df: DataFrame, per_bucket: int) -> int:
+    """Buckets for numbers that are dealt by value: enough that one holds at most about ``per_bucket`` bytes of the input, and twice the shuffle partitions at least."""
+    return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-min(plan_bytes(df), 1 << 50) // per_bucket))
+
+
+def dealt(hashes: np.ndarray, buckets: int):
+    """(bucket, slice) of ascending 64-bit hashes that are dealt by ranges of value; empty slices are left out."""
+    edges = [(k << 64) // buckets for k in range(1, buckets)]
+    at = np.concatenate(([0], np.searchsorted(hashes, np.array(edges, np.uint64)), [len(hashes)]))
+    for k in np.flatnonzero(np.diff(at)).tolist():
+        yield k, hashes[at[k] : at[k + 1]]

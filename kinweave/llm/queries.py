@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import decontam, mil_quality, repair_codec, shard_tree, toxic_kernel, warc_zst, weak_rules
+from kinweave.llm import decontam, level_dedup, mil_quality, repair_codec, shard_tree, toxic_kernel, warc_zst, weak_rules
 
 _SQL: dict[str, str] = {}
 
@@ -73,6 +73,23 @@ def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_kernel.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_level_wise_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_dedup.dedup(_table(spark, sf_dir, "documents"), cleaned=False)
+
+
+_SQL["op9_level_wise_substring_dedup"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 34], ' ')) AS k FROM d, unnest(range(1, len(w) - 33)) AS t(i)),
+r AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, j FROM p JOIN r ON p.k = r.k, unnest(range(i, i + 35)) AS t(j)),
+h AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM g GROUP BY doc_id),
+u AS (SELECT d.doc_id, j, w[j] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(j)),
+s AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.j) AS kept FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.j = g.j WHERE g.j IS NULL GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+
+
 def op10_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(_table(spark, sf_dir, "documents"))
 
