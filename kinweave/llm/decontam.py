@@ -20,22 +20,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: ASCII letters and digits, and everything beyond ASCII.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
+#: Bytes of words stay (ASCII letters in lower case, digits, and all bytes of what is beyond ASCII); every other byte becomes a blank.
+_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+_WORD = re.compile(rb"[^ ]+")
 WINDOW = 10
 #: Words of items in one automaton: some 300 MB in a Python worker at most.
 BLOCK_WORDS = 500_000
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(_LOWER)) if text and not text.isascii() else WORD.findall(text.lower()) if text else []
+def words(data: bytes) -> list[bytes]:
+    """Words of a text in UTF-8: runs of ASCII letters, digits and anything beyond ASCII, A to Z lower-cased."""
+    return data.translate(_TABLE).split()
 
 
 class Automaton:
     """Suffix automaton of several word sequences. ``numbers`` maps words to transition labels."""
 
-    def __init__(self, items: list[tuple[str, list[str]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window, self.numbers = window, {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -99,7 +100,7 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, label)
         return new
 
-    def hits(self, sequence: list[str]) -> tuple[np.ndarray | None, set[str]]:
+    def hits(self, sequence: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
         """(a flag for each word, names of the items of which a window occurs). Words outside the benchmark reset the match, so that only runs of known words are walked."""
         if not self.numbers or len(sequence) < self.shortest:
             return None, set()
@@ -137,7 +138,7 @@ class Automaton:
 _BUILT: dict[str, list[Automaton]] = {}
 
 
-def _automata(key: str, blocks: list[list[tuple[str, list[str]]]], window: int) -> list[Automaton]:
+def _automata(key: str, blocks: list[list[tuple[str, list[bytes]]]], window: int) -> list[Automaton]:
     """Built once in a worker."""
     if key not in _BUILT:
         _BUILT.clear()
@@ -145,11 +146,11 @@ def _automata(key: str, blocks: list[list[tuple[str, list[str]]]], window: int)
     return _BUILT[key]
 
 
-def read_items(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> list[list[tuple[str, list[str]]]]:
+def read_items(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> list[list[tuple[str, list[bytes]]]]:
     """Items in blocks of a bounded number of words, streamed to the driver partition by partition."""
     blocks, size = [[]], 0
     for name, value in benchmark.select(item, text).toLocalIterator():
-        if sequence := words(value):
+        if sequence := words((value or "").encode()):
             if size and size + len(sequence) > block_words:
                 blocks.append([])
                 size = 0
@@ -163,15 +164,15 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def cut(text: str, flags: np.ndarray, least: int) -> str:
+def cut(data: bytes, flags: np.ndarray, least: int) -> bytes:
     """The text without the hit spans of at least so many words, from a span's first word to its last."""
-    at = [m.span() for m in WORD.finditer(text)]
+    at = [m.span() for m in _WORD.finditer(data.translate(_TABLE))]
     out, last = [], 0
     for a, b in _spans(flags):
         if b - a >= least:
-            out.append(text[last : at[a][0]])
+            out.append(data[last : at[a][0]])
             last = at[b - 1][1]
-    return "".join([*out, text[last:]])
+    return b"".join([*out, data[last:]])
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5, cleaned: bool = True) -> DataFrame:
@@ -186,8 +187,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         automata = _automata(tag, sent.value, window)
         for batch in batches:
             out = {name: [] for name, _ in fields}
-            for value in batch.column(1):
-                value = value.as_py()
+            for value in batch.column(1).cast(pa.binary()):
+                value = value.as_py() or b""
                 sequence = words(value)
                 flags, found = None, set()
                 for automaton in automata:
@@ -196,8 +197,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                     flags = more if flags is None else flags if more is None else flags | more
                 n_hit = 0 if flags is None else int(flags.sum())
                 coverage = n_hit / len(sequence) if sequence else 0.0
-                row = (len(sequence), n_hit, len(found), ",".join(sorted(found)), n_hit > 0, "" if flags is None else " ".join(f"{a}-{b}" for a, b in _spans(flags)), coverage, coverage > max_coverage, value if flags is None else cut(value, flags, min_span))
-                for (name, _), x in zip(fields, row, strict=False):
+                row = (len(sequence), n_hit, len(found), ",".join(sorted(found)), n_hit > 0, "" if flags is None else " ".join(f"{a}-{b}" for a, b in _spans(flags)), coverage, coverage > max_coverage)
+                if cleaned:
+                    row += ((value if flags is None else cut(value, flags, min_span)).decode(),)
+                for (name, _), x in zip(fields, row, strict=True):
                     out[name].append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], t) for n, t in fields)], names=[key, *out])
 
