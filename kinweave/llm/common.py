@@ -42,16 +42,14 @@ def file_system(address: str):
     return fs.FileSystem.from_uri(address)
 
 
-def with_blocks(df: DataFrame, columns: list, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``_block``: a number for each run of ``rows`` rows of a file. It depends on the stored rows alone, not on how a scan is split, so that every scan (and every retry after a lost executor) sees the same blocks. A frame that isn't a plain scan is first written to the shared folder."""
+def with_blocks(df: DataFrame, columns: list, rows: int = BLOCK_ROWS, row_id: str | None = None) -> DataFrame:
+    """Adds ``_block``: a number for each run of ``rows`` rows of a file, and, where named, a number for each row. They depend on the stored rows alone, not on how a scan is split, so that every scan (and every retry after a lost executor) sees the same ones. A frame that isn't a plain scan is first written to the shared folder."""
+    path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    numbers = [F.xxhash64(path, F.floor(index / rows)).alias("_block"), *([F.xxhash64(path, index).alias(row_id)] if row_id else [])]
     try:
-        return df.select(*columns, _block_number(rows))
+        return df.select(*columns, *numbers)
     except AnalysisException:
-        return kept(df.select(*columns), "rows").select("*", _block_number(rows))
-
-
-def _block_number(rows: int):
-    return F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows)).alias("_block")
+        return kept(df.select(*columns), "rows").select("*", *numbers)
 
 
 class Replies:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import decontam, level_dedup, mil_quality, repair_codec, shard_tree, toxic_kernel, warc_zst, weak_rules
+from kinweave.llm import decontam, jaccard_tiles, level_dedup, mil_quality, repair_codec, shard_tree, toxic_kernel, warc_zst, weak_rules
 
 _SQL: dict[str, str] = {}
 
@@ -69,6 +69,22 @@ def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.assign(_table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op7_jaccard_tile_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tiles.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+_SQL["op7_jaccard_tile_join"] = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS k FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM o JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE 100 * o >= 75 * (p.n + q.n - o)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) AS c ON c.x = d.doc_id
+"""
+
+
 def op8_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_kernel.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
