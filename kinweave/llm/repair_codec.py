@@ -43,10 +43,32 @@ STRIDE = 1024
 # --- ids -------------------------------------------------------------------------------------------------------
 
 
+class Pieces(dict):
+    """Ids of pieces, as bytes, with ``lead`` in front; found by the library once and remembered up to a bound. Marks after a letter or digit are tokens of their own, so that the piece before them is looked up alone."""
+
+    BOUND = 800_000
+    #: No apostrophe: some letters after it belong to it.
+    MARKS = ".,;:!?)]}\"#*$%&|<>/-"
+
+    def __init__(self, library, kind: np.dtype, lead: str):
+        super().__init__()
+        self.library, self.kind, self.lead = library, kind, lead
+
+    def __missing__(self, piece: str) -> bytes:
+        core = piece.rstrip(self.MARKS)
+        if core != piece and core and (core[-1].isalpha() or "0" <= core[-1] <= "9"):
+            ids = self[core] + self.marks[piece[len(core) :]]
+        else:
+            ids = np.array(self.library.encode(self.lead + piece, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(self) >= self.BOUND:
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of texts by a byte-level BPE of the tokenizers library. Its pre-tokenizer never joins what a single blank or line end parts from what stands before it, so that texts are cut there and the pieces' ids, found by the library once, are remembered up to a bound."""
+    """Ids of texts by a byte-level BPE of the tokenizers library. Its pre-tokenizer never joins what a single blank or line end parts from what stands before it, so that texts are cut there and the pieces' ids put together."""
 
-    BOUND = 500_000
     _near = re.compile(r"\A\s|\s\s|\s\Z")
     _cut = re.compile(r"(?<=\S)([ \n])(?=\S)")
 
@@ -54,50 +76,30 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.led: dict[str, bytes] = {}  # pieces with a blank in front
-        self.bare: dict[str, bytes] = {}
-        self.line = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        if len(known) + len(pieces) > self.BOUND:
-            known.clear()
-        fresh = [p for p in pieces if p not in known]
-        for i in range(0, len(fresh), 5000):
-            some = fresh[i : i + 5000]
-            known.update(zip(some, self._ids([lead + p for p in some]), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut, led, bare = [], set(), set()
-        for text in texts:
-            lines = []
-            if not text:
-                pass
-            elif self._near.search(text):
-                parts = self._cut.split(text)
-                line = [parts[0]]
-                for by, piece in zip(parts[1::2], parts[2::2], strict=True):
-                    if by == "\n":
-                        lines.append(line)
-                        line = [piece]
-                    else:
-                        line.append(piece)
-                lines.append(line)
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = True
+        self.kind = np.dtype("<u2" if library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.led, self.bare = Pieces(library, self.kind, " "), Pieces(library, self.kind, "")
+        self.led.marks = self.bare.marks = self.bare
+        self.line = self.bare["\n"]
+
+    def _lines(self, text: str) -> list[list[str]]:
+        if not self._near.search(text):
+            return [x.split(" ") for x in text.split("\n")]
+        parts = self._cut.split(text)
+        lines = [[parts[0]]]
+        for by, piece in zip(parts[1::2], parts[2::2], strict=True):
+            if by == "\n":
+                lines.append([piece])
             else:
-                lines = [x.split(" ") for x in text.split("\n")]
-            for line in lines:
-                bare.add(line[0])
-                led.update(line[1:])
-            cut.append(lines)
-        self._learn(self.led, led, " ")
-        self._learn(self.bare, bare, "")
-        get, first, line_end = self.led.__getitem__, self.bare, self.line
-        return [line_end.join([first[x[0]] + b"".join(map(get, x[1:])) for x in lines]) for lines in cut]
+                lines[-1].append(piece)
+        return lines
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        led, bare = self.led.__getitem__, self.bare
+        return self.line.join([bare[x[0]] + b"".join(map(led, x[1:])) for x in self._lines(text)])
 
 
 # --- grammar ---------------------------------------------------------------------------------------------------
@@ -118,15 +120,20 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: i
         at = np.flatnonzero(often[bucket])
         if not len(at):
             break
-        chosen, place, count = np.unique(keys[at], return_inverse=True, return_counts=True)
+        some = keys[at]
+        ordered = np.sort(some)
+        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        count = np.diff(np.append(heads, len(ordered)))
         best = np.argsort(-count, kind="stable")[:room]
         best = best[count[best] >= least]
         if not len(best):
             break
-        rank = np.full(len(chosen), rules, np.int32)
-        rank[best] = np.arange(len(best), dtype=np.int32)
+        chosen = ordered[heads[best]]  # from the most frequent pair to the least
+        by_value = np.argsort(chosen)
+        place = np.minimum(np.searchsorted(chosen[by_value], some), len(chosen) - 1)
+        found = chosen[by_value[place]] == some
         ranks = np.full(len(keys) + 2, rules, np.int32)
-        ranks[at + 1] = rank[place]
+        ranks[at[found] + 1] = by_value[place[found]]
         here = ranks[1:-1]
         take = np.flatnonzero((here < rules) & (here < ranks[:-2]) & (here <= ranks[2:]))
         used = np.bincount(here[take], minlength=len(best))
@@ -137,7 +144,7 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: i
         take, symbol = take[symbol >= 0], symbol[symbol >= 0]
         if len(take) < gain * len(sequence):
             break
-        pair = chosen[best[good]]
+        pair = chosen[good]
         pairs.append(np.stack([(pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
         starts.append(top)
         top += len(good)
@@ -264,14 +271,12 @@ def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
             keys, size = [], 0
 
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 500):
-                for k, x in zip(batch.column(0).slice(at, 500).to_pylist(), encoder(texts[at : at + 500]), strict=True):
-                    keys.append(k)
-                    ids.append(x + end)
-                    size += len(ids[-1]) // encoder.kind.itemsize
-                    if size >= shard_ids:
-                        flush()
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys.append(k)
+                ids.append(encoder(x.as_py()) + end)
+                size += len(ids[-1]) // encoder.kind.itemsize
+                if size >= shard_ids:
+                    flush()
         if keys:
             flush()
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
