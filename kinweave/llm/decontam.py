@@ -175,8 +175,8 @@ def cut(data: bytes, flags: np.ndarray, least: int) -> bytes:
     return b"".join([*out, data[last:]])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5, cleaned: bool = True) -> DataFrame:
-    """One row per row: key, n_words, n_hit, n_items, items (names as text, sorted, comma-joined), contaminated, spans (of words: "start-end", space-joined), coverage, dropped (coverage over the limit) and, where ``cleaned``, clean_text: the text without hit spans of min_span words or more."""
+def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5, cleaned: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row: key, n_words, n_hit, n_items, items (names as text, sorted, comma-joined), contaminated, spans (of words: "start-end", space-joined), coverage, dropped (coverage over the limit) and, where ``cleaned``, clean_text (the text without hit spans of min_span words or more), and the columns in ``carry``."""
     blocks = read_items(benchmark, text=text)
     tag = hashlib.sha1(repr((window, blocks)).encode()).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(blocks)
@@ -202,8 +202,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                     row += ((value if flags is None else cut(value, flags, min_span)).decode(),)
                 for (name, _), x in zip(fields, row, strict=True):
                     out[name].append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], t) for n, t in fields)], names=[key, *out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], t) for n, t in fields), *batch.columns[2:]], names=[key, *out, *carry])
 
     kinds = {pa.int64(): "bigint", pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double"}
-    schema = ", ".join([f"`{key}` {docs.schema[key].dataType.simpleString()}", *(f"{n} {kinds[t]}" for n, t in fields)])
-    return docs.select(key, text).mapInArrow(run, schema)
+    kind = lambda c: f"`{c}` {docs.schema[c].dataType.simpleString()}"
+    schema = ", ".join([kind(key), *(f"{n} {kinds[t]}" for n, t in fields), *map(kind, carry)])
+    return docs.select(key, text, *carry).mapInArrow(run, schema)

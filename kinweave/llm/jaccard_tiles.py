@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -371,8 +372,8 @@ def _verified(rows: DataFrame, pairs: DataFrame, blocks: DataFrame, n: int, tag:
     return kept(carried.groupBy("a", "chunk").applyInPandas(meet, "a bigint, b bigint"), f"{tag}-links")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
-    """One row per row: key, n_shingles, component_id (the least key of its class; the class's own key for empty sets), and n_copies (rows with an equal set)."""
+def _placed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """rid, key, n, copies and component (a row's number) of each row."""
     rows = with_blocks(docs, [F.col(key).alias("key"), F.col(text).alias("_t")], row_id="rid").select("rid", "key", "_t", "_block")
     buckets = bucket_count(docs, BUCKET_BYTES)
     signatures = _signatures(rows, "key", n)
@@ -392,7 +393,26 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = W
     open_ = tiles.join(parts.withColumnRenamed("node", "rid"), "rid", "left").groupBy("tile").agg(F.min(F.coalesce("component", "rid")).alias("x"), F.max(F.coalesce("component", "rid")).alias("y")).where("x <> y").select("tile")
     rest = _verified(rows, _pairs(rows, tiles.join(open_, "tile", "left_semi"), blocks, n, parts, "rest"), blocks, n, "rest")
     parts = components(links.unionByName(rest), folder=folder)
-    placed = members.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return members.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
+    """One row per row: key, n_shingles, component_id (the least key of its component, its own for an empty set) and n_copies (rows with an equal set)."""
+    placed = _placed(docs, key, text, n)
     least = placed.groupBy("component").agg(F.min("key").alias("component_id"))
     found = placed.join(least, "component")
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("n_copies"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
+    """The rows without those that a row of their component with a lesser key (of equal keys, a lesser number) makes needless. Rows with empty sets stay."""
+    number = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("_rid")
+    try:
+        rows = docs.select("*", number)
+    except AnalysisException:
+        docs = kept(docs, "rows")
+        rows = docs.select("*", number)
+    placed = kept(_placed(docs, key, text, n).where("n > 0").select("rid", "key", "component"), "placed")
+    several = placed.groupBy("component").agg(F.min(F.struct("key", "rid")).alias("first"), F.count("*").alias("k")).where("k > 1")
+    needless = placed.join(several, "component").where(F.col("rid") != F.col("first.rid")).select(F.col("rid").alias("_rid"))
+    return rows.join(needless, "_rid", "left_anti").select(*docs.columns)

@@ -161,9 +161,9 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, first: int = FIRST, cleaned: bool = True) -> DataFrame:
-    """One row per row: key, n_words, n_removed, kept_sha256 (of the kept words joined by single blanks) and, where ``cleaned``, clean_text: the text as it was but for the words removed."""
-    rows = with_blocks(docs, [F.col(key), F.col(text).alias("_t")])
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, first: int = FIRST, cleaned: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row: key, n_words, n_removed, kept_sha256 (of the kept words joined by single blanks), where ``cleaned`` clean_text (the text as it was but for the words removed), and the columns in ``carry``."""
+    rows = with_blocks(docs, [F.col(key), *carry, F.col(text).alias("_t")])
     lengths, answers = levels(window, first), []
     buckets = bucket_count(docs, BUCKET_BYTES)
     for _ in lengths:
@@ -171,7 +171,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer, hashes = _answers(answers, lengths), WordHashes()
-        for block, (keys,), texts in slices(batches):
+        for block, (keys, *others), texts in slices(batches):
             passages = Passages(texts, hashes, window)
             for length, repeated in answer(block):
                 passages.keep(length, repeated)
@@ -182,7 +182,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 if cleaned:
                     clean.append((cut(t, g) if drop else t).decode())
             columns = [keys, pa.array(passages.sizes), pa.array(np.array([int(g.sum()) for g in gone], np.int64)), pa.array(sums)]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(clean, pa.string())] * cleaned, names=[key, "n_words", "n_removed", "kept_sha256", "clean_text"][: 4 + cleaned])
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(clean, pa.string())] * cleaned, *others], names=[key, "n_words", "n_removed", "kept_sha256", *["clean_text"] * cleaned, *carry])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", clean_text string" * cleaned)
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *carry)]
+    return rows.mapInArrow(run, ", ".join([kinds[0], "n_words bigint, n_removed bigint, kept_sha256 string", *["clean_text string"] * cleaned, *kinds[1:]]))

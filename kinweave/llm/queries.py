@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import decontam, jaccard_tiles, level_dedup, mil_quality, repair_codec, shard_tree, toxic_kernel, warc_zst, weak_rules
+from kinweave.llm import decontam, jaccard_tiles, level_dedup, mil_quality, repair_codec, shard_tree, sp_lattice, toxic_kernel, warc_zst, weak_rules
 
 _SQL: dict[str, str] = {}
 
@@ -61,6 +61,10 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 """
 
 
+def op4_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_lattice.encode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), ids=False)
+
+
 def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
