@@ -22,13 +22,21 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    """The query module registers its functions as it is imported; it imports this one."""
+    from kinweave.plans import queries as _  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """The flagship query: collective matching of the test split and its measures."""
+    return queries()["collective_metrics"](spark, sf_dir)

@@ -1,0 +1 @@
+"""No stage of collective matching is a stream: clusters of a split need all of its pairs. This package stays empty until an operator asks for it."""
