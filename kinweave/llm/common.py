@@ -173,3 +173,41 @@ def dealt(hashes: np.ndarray, buckets: int):
     at = np.concatenate(([0], np.searchsorted(hashes, np.array(edges, np.uint64)), [len(hashes)]))
     for k in np.flatnonzero(np.diff(at)).tolist():
         yield k, hashes[at[k] : at[k + 1]]
+
+
+def runs(batches, keys: list[str]):
+    """Rows with equal keys that stand one after the other, as a dict of lists: groups of a partition that is ordered by its keys, without the cost of a frame for each."""
+    carry: dict[str, list] | None = None
+    for batch in batches:
+        now = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+        if carry is not None:
+            now = {n: carry[n] + x for n, x in now.items()}
+        marks = list(zip(*(now[k] for k in keys), strict=True))
+        if not marks:
+            continue
+        start = 0
+        for at in range(1, len(marks)):
+            if marks[at] != marks[start]:
+                yield {n: x[start:at] for n, x in now.items()}
+                start = at
+        carry = {n: x[start:] for n, x in now.items()}
+    if carry is not None and carry[keys[0]]:
+        yield carry
+
+
+def gathered(rows, names: list[str], kinds: list, most: int = 10_000):
+    """Record batches of tuples."""
+    import pyarrow as pa
+
+    held: list[tuple] = []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names=names)
+
+    for row in rows:
+        held.append(row)
+        if len(held) >= most:
+            yield batch()
+            held = []
+    if held:
+        yield batch()

@@ -30,7 +30,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Replies, WordHashes, bucket_count, contained, dealt, kept, shared_folder, slices, windows, with_blocks
+from kinweave.llm.common import Replies, WordHashes, bucket_count, contained, dealt, gathered, kept, runs, shared_folder, slices, windows, with_blocks
 from kinweave.operators.components import components
 
 WORDS, SIMILARITY = 5, (3, 4)
@@ -269,7 +269,10 @@ def _tiles(groups: DataFrame) -> DataFrame:
         F.transform(until(zero, F.coalesce("below", zero) - 1), lambda q: here(1, b - 1, q, b, p)),
     )
     spread = members.select("lead", "rid", F.explode(places).alias("x"))
-    return spread.select(F.xxhash64("lead", "x.b1", "x.p1", "x.b2", "x.p2").alias("tile"), F.col("x.side").alias("side"), "rid", (F.col("x.b1").eqNullSafe(F.col("x.b2")) & F.col("x.p1").eqNullSafe(F.col("x.p2"))).alias("own"))
+    placed = spread.select(F.xxhash64("lead", "x.b1", "x.p1", "x.b2", "x.p2").alias("tile"), F.col("x.side").alias("side"), "rid", (F.col("x.b1").eqNullSafe(F.col("x.b2")) & F.col("x.p1").eqNullSafe(F.col("x.p2"))).alias("own"))
+    # A member alone in a tile, or a tile without its other side, has nobody to meet.
+    met = placed.groupBy("tile").agg(F.count("*").alias("k"), F.min("side").alias("x"), F.max("side").alias("y"), F.max("own").alias("o")).where("k > 1 AND (o OR x <> y)").select("tile")
+    return placed.join(met, "tile", "left_semi")
 
 
 def _pairs(rows: DataFrame, tiles: DataFrame, blocks: DataFrame, n: int, parts: DataFrame | None, tag: str) -> DataFrame:
@@ -289,40 +292,40 @@ def _pairs(rows: DataFrame, tiles: DataFrame, blocks: DataFrame, n: int, parts:
 
     all_pairs = parts is not None
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rid")
-        own = bool(part["own"].iloc[0])
-        left = part[part["side"] == 0]
-        right = left if own else part[part["side"] == 1]
-        a, b, chunk = [], [], []
-        if len(left) and len(right) and len(part) > 1:
-            flags = possible(left["bits"].tolist(), left["n"].to_numpy(), right["bits"].tolist(), right["n"].to_numpy())
-            if own:
-                np.fill_diagonal(flags, False)
-            if all_pairs:
-                flags &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-                found = np.argwhere(np.triu(flags) if own else flags).tolist()
-                names = left["rid"].tolist(), right["rid"].tolist()
-            elif own:
-                found, names = _stars(flags), (left["rid"].tolist(),) * 2
-            else:
-                both = np.zeros((len(left) + len(right),) * 2, bool)
-                both[: len(left), len(left) :] = flags
-                both[len(left) :, : len(left)] = flags.T
-                found, ids = _stars(both), [*left["rid"].tolist(), *right["rid"].tolist()]
-                names = ids, ids
-            seen: dict[int, int] = {}
-            for i, j in found:
-                x, y = names[0][i], names[1][j]
-                k = seen[x] = seen.get(x, -1) + 1
-                a.append(x)
-                b.append(y)
-                chunk.append(k // CHUNK)
-        tile = int(part["tile"].iloc[0])
-        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64"), "tile": pd.Series([tile] * len(a), dtype="int64"), "chunk": pd.Series(chunk, dtype="int32")})
+    def tile_pairs(part: dict) -> Iterator[tuple]:
+        own = part["own"][0]
+        left = [i for i, x in enumerate(part["side"]) if x == 0]
+        right = left if own else [i for i, x in enumerate(part["side"]) if x == 1]
+        if not left or not right or len(part["rid"]) < 2:
+            return
+        n, component, rid = (np.array(part[c], np.int64) for c in ("n", "component", "rid"))
+        flags = possible([part["bits"][i] for i in left], n[left], [part["bits"][i] for i in right], n[right])
+        if own:
+            np.fill_diagonal(flags, False)
+        if all_pairs:
+            flags &= component[left][:, None] != component[right][None, :]
+            found = np.argwhere(np.triu(flags) if own else flags).tolist()
+            names = rid[left].tolist(), rid[right].tolist()
+        elif own:
+            found, names = _stars(flags), (rid[left].tolist(),) * 2
+        else:
+            both = np.zeros((len(left) + len(right),) * 2, bool)
+            both[: len(left), len(left) :] = flags
+            both[len(left) :, : len(left)] = flags.T
+            found, ids = _stars(both), rid[left].tolist() + rid[right].tolist()
+            names = ids, ids
+        seen: dict[int, int] = {}
+        for i, j in found:
+            a = names[0][i]
+            k = seen[a] = seen.get(a, -1) + 1
+            yield a, names[1][j], part["tile"][0], k // CHUNK
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (row for part in runs(batches, ["tile"]) for row in tile_pairs(part))
+        yield from gathered(found, ["a", "b", "tile", "chunk"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()])
 
     members = rows.select("rid", "_t", "_block").mapInArrow(carry, "tile bigint, side int, own boolean, rid bigint, component bigint, n bigint, bits binary")
-    found = members.groupBy("tile").applyInPandas(compare, "a bigint, b bigint, tile bigint, chunk int")
+    found = members.repartition(F.col("tile")).sortWithinPartitions("tile", "rid").mapInArrow(compare, "a bigint, b bigint, tile bigint, chunk int")
     # A pair that stands in several tiles is compared once; it stays with the tile that comes first, under its hub.
     once = found.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("tile", "chunk", "a", "b")).alias("s"))
     return kept(once.select("s.a", "s.b", F.xxhash64("s.tile", "s.chunk").alias("chunk")), f"{tag}-pairs")
@@ -358,18 +361,20 @@ def _verified(rows: DataFrame, pairs: DataFrame, blocks: DataFrame, n: int, tag:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["a", "chunk", "side", "rid", "values"])
 
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        hub = np.frombuffer(part.loc[part["side"] == 0, "values"].iloc[0], np.uint64)
-        a, others = int(part["a"].iloc[0]), part[part["side"] == 1]
-        found = []
-        for b, values in zip(others["rid"].tolist(), others["values"], strict=True):
+    def links(part: dict) -> Iterator[tuple]:
+        if part["side"][0] != 0:
+            raise ValueError("a chunk without its hub")
+        hub, a = np.frombuffer(part["values"][0], np.uint64), part["a"][0]
+        for side, b, values in zip(part["side"], part["rid"], part["values"], strict=True):
             other = np.frombuffer(values, np.uint64)
-            if linked(len(np.intersect1d(hub, other, assume_unique=True)), len(hub), len(other)):
-                found.append(b)
-        return pd.DataFrame({"a": pd.Series([a] * len(found), dtype="int64"), "b": pd.Series(found, dtype="int64")})
+            if side and linked(len(np.intersect1d(hub, other, assume_unique=True)), len(hub), len(other)):
+                yield a, b
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered((row for part in runs(batches, ["a", "chunk"]) for row in links(part)), ["a", "b"], [pa.int64(), pa.int64()])
 
     carried = rows.select("rid", "_t", "_block").mapInArrow(carry, "a bigint, chunk bigint, side int, rid bigint, values binary")
-    return kept(carried.groupBy("a", "chunk").applyInPandas(meet, "a bigint, b bigint"), f"{tag}-links")
+    return kept(carried.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(meet, "a bigint, b bigint"), f"{tag}-links")
 
 
 def _placed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
