@@ -124,7 +124,9 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: i
         ordered = np.sort(some)
         heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         count = np.diff(np.append(heads, len(ordered)))
-        best = np.argsort(-count, kind="stable")[:room]
+        with np.errstate(over="ignore"):
+            tie = ordered[heads] * np.uint64(0xD6E8FEB86659FD93)
+        best = np.lexsort((tie, -count))[:room]  # equal counts in no order, so that chains of neighbours don't form
         best = best[count[best] >= least]
         if not len(best):
             break
@@ -134,13 +136,24 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: i
         found = chosen[by_value[place]] == some
         ranks = np.full(len(keys) + 2, rules, np.int32)
         ranks[at[found] + 1] = by_value[place[found]]
-        here = ranks[1:-1]
-        take = np.flatnonzero((here < rules) & (here < ranks[:-2]) & (here <= ranks[2:]))
-        used = np.bincount(here[take], minlength=len(best))
+        here, at, takes = ranks[1:-1], np.arange(len(keys)), []
+        for _ in range(3):  # places that the first choice left free are chosen among again
+            # In a run of one symbol every second place is taken.
+            second = (at - np.maximum.accumulate(np.where(here == ranks[:-2], 0, at))) & 1 == 0
+            some = np.flatnonzero((here < rules) & ((here < ranks[:-2]) | ((here == ranks[:-2]) & second)) & (here <= ranks[2:]))
+            if not len(some):
+                break
+            takes.append((some, here[some]))
+            for k in (0, 1, 2):
+                ranks[some + k] = rules
+        take, here = (np.concatenate(x) for x in zip(*takes, strict=True))
+        order = np.argsort(take)
+        take, here = take[order], here[order]
+        used = np.bincount(here, minlength=len(best))
         number = np.full(len(best), -1, np.int64)
         good = np.flatnonzero(used >= 3)
         number[good] = top + np.arange(len(good))
-        symbol = number[here[take]]
+        symbol = number[here]
         take, symbol = take[symbol >= 0], symbol[symbol >= 0]
         if len(take) < gain * len(sequence):
             break
@@ -173,7 +186,7 @@ def expand(sequence: np.ndarray, pairs: np.ndarray, starts: list[int], base: int
 def lengths(pairs: np.ndarray, starts: list[int], base: int) -> np.ndarray:
     """How many ids each rule stands for."""
     out = np.ones(len(pairs), np.int64)
-    for start, end in zip(starts, [*starts[1:], base + len(pairs)], strict=True):
+    for start, end in zip(starts, [*starts[1:], base + len(pairs)][: len(starts)], strict=True):
         both = pairs[start - base : end - base].astype(np.int64)
         out[start - base : end - base] = np.where(both >= base, out[np.maximum(both - base, 0)], 1).sum(1)
     return out
