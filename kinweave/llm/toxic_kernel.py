@@ -102,7 +102,10 @@ class Kernel:
         return out
 
     def features(self, words: list[str]) -> np.ndarray:
-        return np.array([self.likeness(w) for w in words]).reshape(len(words), len(self.landmarks)) @ self.whiten
+        out = np.empty((len(words), self.whiten.shape[1]), np.float32)
+        for i in range(0, len(words), 1000):
+            out[i : i + 1000] = np.array([self.likeness(w) for w in words[i : i + 1000]]) @ self.whiten
+        return out
 
     def folded(self, weights: np.ndarray) -> dict[str, float]:
         """One weight per subsequence, for a linear machine over the features."""
@@ -168,8 +171,10 @@ def _variants(word: str, rng: random.Random) -> list[str]:
     return [word[:i] + c + word[i:], word[:j] + c + word[j + 1 :]]
 
 
-def _sentences(text: str) -> list[set[str]]:
-    return [t for t in ({w for w in map(bare, tokens(s)) if w} for s in _SENTENCE.split(text)) if t]
+def _sentences(text: str, names: dict[str, str]) -> list[tuple[str, ...]]:
+    """Distinct words of each sentence; equal words are one object by ``names``."""
+    found = ({w for w in map(bare, tokens(s)) if w} for s in _SENTENCE.split(text))
+    return [tuple(names.setdefault(w, w) for w in t) for t in found if t]
 
 
 def train(rows: list[tuple[str, int]]) -> dict | None:
@@ -179,39 +184,42 @@ def train(rows: list[tuple[str, int]]) -> dict | None:
     if not any(y for _, y in fit) or all(y for _, y in fit):
         return None
     # Which subsequences stand in more toxic documents than in clean ones gives the first guess.
-    bags = [(_sentences(t), y) for t, y in fit]
+    names: dict[str, str] = {}
+    bags = [(_sentences(t, names), y) for t, y in fit]
+    del fit
     n_docs, seen = Counter(y for _, y in bags), {0: Counter(), 1: Counter()}
-    known: dict[str, dict[str, float]] = {}
     for sentences, y in bags:
-        everywhere = set()
-        for w in set().union(*sentences) if sentences else ():
-            if w not in known:
-                known[w] = subsequences(w)
-            everywhere.update(known[w])
+        everywhere: set[str] = set()
+        for w in {w for t in sentences for w in t}:
+            for _, us in _by_shape(w):
+                everywhere.update(us)
         seen[y].update(everywhere)
     total = {y: n_docs[y] + 1.0 for y in (0, 1)}
     guess = {u: math.log((n + 0.5) / total[1]) - math.log((seen[0][u] + 0.5) / total[0]) for u, n in seen[1].items()}
-    first = {w: sum(x * guess.get(u, -1.0) for u, x in f.items()) / (sum(f.values()) or 1.0) for w, f in known.items()}
+    del seen
+    first: dict[str, float] = {}
+    for w in names:
+        up = down = 0.0
+        for weight, us in _by_shape(w):
+            up += weight * sum(guess.get(u, -1.0) for u in us)
+            down += weight * len(us)
+        first[w] = up / (down or 1.0)
     # From here on a document is its best candidates: (word, sentence).
     docs = []
     for sentences, y in bags:
         best = sorted({(first[w], w, i) for i, s in enumerate(sentences) for w in s}, reverse=True)[:CANDIDATES]
         if best:
             docs.append(([(w, i) for _, w, i in best], y))
-    del known, seen
+    del bags, guess
     marked = Counter(c[0][0] for c, y in docs if y)
     plain = Counter(w for c, y in docs if not y for w, _ in c)
     landmarks = [w for w, _ in sorted(marked.items(), key=lambda x: (-x[1], x[0]))[: LANDMARKS * 2 // 3]]
     landmarks += [w for w, _ in sorted(plain.items(), key=lambda x: (-x[1], x[0])) if w not in marked][: LANDMARKS - len(landmarks)]
     kernel = Kernel(landmarks)
-    vectors: dict[str, np.ndarray] = {}
-
-    def features(words: list[str]) -> np.ndarray:
-        fresh = [w for w in dict.fromkeys(words) if w not in vectors]
-        vectors.update(zip(fresh, kernel.features(fresh), strict=True))
-        return np.array([vectors[w] for w in words])
-
-    score = dict(first)
+    every = list(dict.fromkeys(w for c, _ in docs for w, _ in c))
+    row, matrix = {w: i for i, w in enumerate(every)}, kernel.features(every)
+    score = {w: first[w] for w in every}
+    del first
     floor = math.inf
     weights, bias = None, 0.0
     for _ in range(ROUNDS):
@@ -228,12 +236,11 @@ def train(rows: list[tuple[str, int]]) -> dict | None:
         # Disguised forms of what is taken for toxic, at a lower cost.
         rng = random.Random(1)
         altered = [v for w in sorted(set(positive)) if w not in plain for v in _variants(w, rng)]
-        words = positive + altered + negative
+        x = np.concatenate((matrix[[row[w] for w in positive]], kernel.features(altered), matrix[[row[w] for w in negative]]))
         y = np.array([1.0] * (len(positive) + len(altered)) + [-1.0] * len(negative))
         cost = np.concatenate((np.full(len(positive), 2.0), np.full(len(altered), 0.5), np.full(len(negative), 2.0 * min(1.0, len(positive) / max(1, len(negative))))))
-        weights, bias = svm(features(words), y, cost)
-        every = list(dict.fromkeys(w for c, _ in docs for w, _ in c))
-        score = dict(zip(every, (features(every) @ weights + bias).tolist(), strict=True))
+        weights, bias = svm(x.astype(np.float64), y, cost)
+        score = dict(zip(every, (matrix @ weights + bias).tolist(), strict=True))
         floor = 0.0
     model = {"weights": kernel.folded(weights), "bias": bias, "slope": 4.0, "shift": 0.0}
     scores = Scores(model["weights"], bias)
