@@ -21,8 +21,10 @@ def _rest(docs: DataFrame) -> tuple[str, ...]:
 
 def _cleaned(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of the documents, with the cleaned text and its length."""
-    n_chars = {"n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return rows.withColumns(n_chars).withColumn("text", F.col("clean_text")).select(*docs.columns)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("clean_text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[(made[c] if c in made else F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of words stay (ASCII letters in lower case, digits, and all bytes of what is beyond ASCII); every other byte becomes a blank.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -176,8 +177,11 @@ def cut(data: bytes, flags: np.ndarray, least: int) -> bytes:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5, cleaned: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row: key, n_words, n_hit, n_items, items (names as text, sorted, comma-joined), contaminated, spans (of words: "start-end", space-joined), coverage, dropped (coverage over the limit) and, where ``cleaned``, clean_text (the text without hit spans of min_span words or more), and the columns in ``carry``."""
-    blocks = read_items(benchmark, text=text)
+    """One row per row: key, n_words, n_hit, n_items, items (names as text, sorted, comma-joined), contaminated, spans (of words: "start-end", space-joined), coverage, dropped (coverage over the limit) and, where ``cleaned``, clean_text (the text without hit spans of min_span words or more), and, where columns are to be carried, the struct ``carried`` of them."""
+    blocks = read_items(benchmark)
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    rows = docs.select(F.col(key), F.col(text).alias("_t"), *carried)
+    more = ["carried"] * len(carried)
     tag = hashlib.sha1(repr((window, blocks)).encode()).hexdigest()
     sent = docs.sparkSession.sparkContext.broadcast(blocks)
     fields = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.string()), ("coverage", pa.float64()), ("dropped", pa.bool_()), ("clean_text", pa.string())]
@@ -192,9 +196,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                 sequence = words(value)
                 flags, found = None, set()
                 for automaton in automata:
-                    more, names = automaton.hits(sequence)
+                    hit, names = automaton.hits(sequence)
                     found |= names
-                    flags = more if flags is None else flags if more is None else flags | more
+                    flags = hit if flags is None else flags if hit is None else flags | hit
                 n_hit = 0 if flags is None else int(flags.sum())
                 coverage = n_hit / len(sequence) if sequence else 0.0
                 row = (len(sequence), n_hit, len(found), ",".join(sorted(found)), n_hit > 0, "" if flags is None else " ".join(f"{a}-{b}" for a, b in _spans(flags)), coverage, coverage > max_coverage)
@@ -202,9 +206,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                     row += ((value if flags is None else cut(value, flags, min_span)).decode(),)
                 for (name, _), x in zip(fields, row, strict=True):
                     out[name].append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], t) for n, t in fields), *batch.columns[2:]], names=[key, *out, *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], t) for n, t in fields), *batch.columns[2:]], names=[key, *out, *more])
 
     kinds = {pa.int64(): "bigint", pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double"}
-    kind = lambda c: f"`{c}` {docs.schema[c].dataType.simpleString()}"
-    schema = ", ".join([kind(key), *(f"{n} {kinds[t]}" for n, t in fields), *map(kind, carry)])
-    return docs.select(key, text, *carry).mapInArrow(run, schema)
+    kind = lambda c: f"`{c}` {rows.schema[c].dataType.simpleString()}"
+    schema = ", ".join([kind(key), *(f"{n} {kinds[t]}" for n, t in fields), *map(kind, more)])
+    return rows.mapInArrow(run, schema)

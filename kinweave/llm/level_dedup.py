@@ -162,8 +162,10 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, first: int = FIRST, cleaned: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row: key, n_words, n_removed, kept_sha256 (of the kept words joined by single blanks), where ``cleaned`` clean_text (the text as it was but for the words removed), and the columns in ``carry``."""
-    rows = with_blocks(docs, [F.col(key), *carry, F.col(text).alias("_t")])
+    """One row per row: key, n_words, n_removed, kept_sha256 (of the kept words joined by single blanks), where ``cleaned`` clean_text (the text as it was but for the words removed), and, where columns are to be carried, the struct ``carried`` of them."""
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    more = ["carried"] * len(carried)
+    rows = with_blocks(docs, [F.col(key), *carried, F.col(text).alias("_t")])
     lengths, answers = levels(window, first), []
     buckets = bucket_count(docs, BUCKET_BYTES)
     for _ in lengths:
@@ -182,7 +184,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 if cleaned:
                     clean.append((cut(t, g) if drop else t).decode())
             columns = [keys, pa.array(passages.sizes), pa.array(np.array([int(g.sum()) for g in gone], np.int64)), pa.array(sums)]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(clean, pa.string())] * cleaned, *others], names=[key, "n_words", "n_removed", "kept_sha256", *["clean_text"] * cleaned, *carry])
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(clean, pa.string())] * cleaned, *others], names=[key, "n_words", "n_removed", "kept_sha256", *["clean_text"] * cleaned, *more])
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *carry)]
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *more)]
     return rows.mapInArrow(run, ", ".join([kinds[0], "n_words bigint, n_removed bigint, kept_sha256 string", *["clean_text string"] * cleaned, *kinds[1:]]))

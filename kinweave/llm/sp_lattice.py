@@ -142,7 +142,7 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary, fold: str = "merges")
     found = spans.select("bucket", "unit", "n", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece")).join(table, "piece", "left")
     # A unit without any edge keeps a row, by its first character's span.
     found = found.where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("e") == 1)))
-    edge = F.struct((-F.col("score")).alias("rank"), "s", "e", "id", "score", F.expr("shiftleft(1L, s) | shiftleft(1L, e)").alias("ends"), F.expr("shiftleft(1L, e) - shiftleft(1L, s + 1)").alias("inside"))
+    edge = F.struct((-F.col("score")).alias("rank"), "s", "e", "id", "score", F.expr(f"if(n <= {MASK}, shiftleft(1L, s) | shiftleft(1L, e), 0L)").alias("ends"), F.expr(f"if(n <= {MASK}, shiftleft(1L, e) - shiftleft(1L, s + 1), 0L)").alias("inside"))
     grouped = found.groupBy("bucket", "unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
     if fold == "viterbi":
         placed = grouped.withColumn("at", _boundaries_by_viterbi())
