@@ -79,7 +79,8 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int
     """One row per row: key, size, text_crc32, law, region, rack, shard, slot (gapless from 0 in each shard), and grown_shard, the shard under one more.
 
     Slots are numbered in two steps, so that no task orders a whole shard: rows are dealt to buckets of a shard,
-    numbered there, and moved up by the sizes of the shard's earlier buckets."""
+    numbered there, and moved up by the sizes of the shard's earlier buckets. Rows that are equal in all go to
+    several buckets too."""
     tree = tree or tree_of(n_shards)
     full = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key), (F.octet_length(full).cast("long") + 1).alias("size"), F.crc32(full.cast("binary")).alias("text_crc32"))
@@ -89,9 +90,12 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int
     n = sum(len(x) for r in tree for x in r)
     rows = kept(rows.withColumn("grown_shard", F.when(fresh < best, F.lit(n)).otherwise(F.col("shard")).cast("int")), "shards")
     buckets = max(16, math.ceil(rows.count() / n / SLOT_ROWS))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(key, "text_crc32", "size"), F.lit(buckets)))
+    # The place in the kept files parts equal rows; it is the same in every run over the same input.
+    place = (F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("_part"), F.col("_metadata.row_index").alias("_row"))
+    rows = rows.select("*", *place)
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(key, "text_crc32", "size", "_part", F.floor(F.col("_row") / SLOT_ROWS)), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n")).select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_bucket").orderBy(F.col(key), F.col("text_crc32"), F.col("size"))
+    within = Window.partitionBy("shard", "_bucket").orderBy(F.col(key), F.col("text_crc32"), F.col("size"), F.col("_part"), F.col("_row"))
     numbered = rows.withColumn("_at", F.row_number().over(within) - 1).join(starts, ["shard", "_bucket"])
     return numbered.select(key, "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard", (F.col("_start") + F.col("_at")).cast("long").alias("slot"), "grown_shard")
