@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import file_system, kept, shared_folder
+from kinweave.llm.common import file_system, kept, shared_folder, with_blocks
 
 MAGIC = b"KWRP0001"
 #: Ids of a shard; some 150 MB of working arrays.
@@ -295,8 +295,10 @@ def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(kinds)], names=["part", "number", "shard", "n_docs", "n_ids", "n_bytes"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("_k"), F.col(text).alias("_t"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_c"))
-    rows = rows.repartitionByRange("_k", "_c").sortWithinPartitions("_k", "_c").select("_k", "_t")
+    columns = [F.col(key).cast("bigint").alias("_k"), F.col(text).alias("_t"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_c")]
+    # Rows that are equal in all are parted by their place in the files, so that no range has to hold them together.
+    rows = with_blocks(docs, columns, row_id="_r").select("_k", "_t", "_c", "_r")
+    rows = rows.repartitionByRange("_k", "_c", "_r").sortWithinPartitions("_k", "_c", "_r").select("_k", "_t")
     shards = kept(rows.mapInArrow(run, "part int, number int, shard string, n_docs bigint, n_ids bigint, n_bytes bigint"), "shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("_n")).select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
