@@ -119,9 +119,11 @@ def _merge_long(n: pd.Series, merges: pd.Series) -> pd.Series:
 
 
 def _boundaries_by_merges() -> Column:
-    """In each step the best applicable merge: both ends are boundaries and one boundary lies between."""
-    return F.expr("""aggregate(sequence(1, greatest(n - 1, 1)), shiftleft(1L, n + 1) - 1L, (b, i) ->
-        coalesce(b & ~get(filter(merges, x -> (b & x.ends) = x.ends AND bit_count(b & x.inside) = 1), 0).inside, b))""")
+    """In each step the best applicable merge: both ends are boundaries and one boundary lies between. The merges travel in the accumulator: named from outside, the optimiser would put their expression into each step."""
+    return F.expr("""aggregate(sequence(1, greatest(n - 1, 1)),
+        named_struct('m', filter(edges, x -> x.e - x.s > 1), 'b', shiftleft(1L, n + 1) - 1L),
+        (a, i) -> named_struct('m', a.m, 'b', coalesce(a.b & ~get(filter(a.m, x -> (a.b & x.ends) = x.ends AND bit_count(a.b & x.inside) = 1), 0).inside, a.b)),
+        a -> filter(sequence(0, n), i -> (a.b & shiftleft(1L, i)) <> 0))""")
 
 
 def _boundaries_by_viterbi() -> Column:
@@ -143,13 +145,14 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary, fold: str = "merges")
     # A unit without any edge keeps a row, by its first character's span.
     found = found.where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("e") == 1)))
     edge = F.struct((-F.col("score")).alias("rank"), "s", "e", "id", "score", F.expr(f"if(n <= {MASK}, shiftleft(1L, s) | shiftleft(1L, e), 0L)").alias("ends"), F.expr(f"if(n <= {MASK}, shiftleft(1L, e) - shiftleft(1L, s + 1), 0L)").alias("inside"))
-    grouped = found.groupBy("bucket", "unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
+    # The length is a key so that a condition on it reaches the units themselves.
+    grouped = found.groupBy("bucket", "unit", "n").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
     if fold == "viterbi":
         placed = grouped.withColumn("at", _boundaries_by_viterbi())
     else:
-        grouped = grouped.withColumn("merges", F.expr("filter(edges, x -> x.e - x.s > 1)"))
-        short = grouped.where(F.col("n") <= MASK).withColumn("mask", _boundaries_by_merges()).withColumn("at", F.expr("filter(sequence(0, n), i -> (mask & shiftleft(1L, i)) <> 0)")).drop("mask")
-        long = grouped.where(F.col("n") > MASK).withColumn("at", F.pandas_udf(_merge_long, "array<int>")("n", F.expr("transform(merges, x -> named_struct('rank', x.rank, 's', x.s, 'e', x.e))")))
+        short = grouped.where(F.col("n") <= MASK).withColumn("at", _boundaries_by_merges())
+        merges = F.expr("transform(filter(edges, x -> x.e - x.s > 1), x -> named_struct('rank', x.rank, 's', x.s, 'e', x.e))")
+        long = grouped.where(F.col("n") > MASK).withColumn("at", F.pandas_udf(_merge_long, "array<int>")("n", merges))
         placed = short.unionByName(long)
     zero = vocabulary.bytes[0]
     if [vocabulary.bytes[b] for b in range(256)] != list(range(zero, zero + 256)):
