@@ -146,7 +146,8 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary, fold: str = "merges")
     found = found.where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("e") == 1)))
     edge = F.struct((-F.col("score")).alias("rank"), "s", "e", "id", "score", F.expr(f"if(n <= {MASK}, shiftleft(1L, s) | shiftleft(1L, e), 0L)").alias("ends"), F.expr(f"if(n <= {MASK}, shiftleft(1L, e) - shiftleft(1L, s + 1), 0L)").alias("inside"))
     # The length is a key so that a condition on it reaches the units themselves.
-    grouped = found.groupBy("bucket", "unit", "n").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
+    # The unit comes first: a sort of the groups compares its first bytes, not the bucket, which all rows of a task share.
+    grouped = found.groupBy("unit", "bucket", "n").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
     if fold == "viterbi":
         placed = grouped.withColumn("at", _boundaries_by_viterbi())
     else:
