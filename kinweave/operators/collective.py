@@ -3,23 +3,30 @@
 Similarity depends on the members of two clusters only and candidate links never leave a component, so that merging
 each component by itself gives what one global queue gives. Scores are found in bulk by joins before; the ordered
 merge is one grouped function. Ties go to the lesser ids, a cluster is named after its least member.
+
+In a large component pairs of members are scored only when their clusters are compared: the grouped function merges as
+far as it has scores, goes on by those it has to find what it will ask for, and comes back to the last sure state when
+the answers are there. It sees no pair of members, only the best probability of two clusters.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.scores import fused, relational
-from kinweave.operators.components import components
+from kinweave.operators.components import _held, components
 from kinweave.operators.graph import candidate_edges, contexts_of
 
-#: Members of a component from which ``clusters`` refuses to score all pairs; the caller may raise it.
+#: Members of a component above which ``clusters`` scores pairs only when they are compared, not all in advance.
 MAX_COMPONENT = 5_000
+#: Pairs of clusters of one component after which a round asks for scores instead of looking further ahead.
+ASKED = 200_000
 
 
 def initial_queue(pairs: DataFrame, probability: Column, alpha: float, similarity: str = "jaccard_coefficient") -> DataFrame:
@@ -75,10 +82,38 @@ class _Clusters:
         return a
 
 
-def merged(ids: list[str], contexts: dict, candidates: list[tuple[str, str]], probabilities: list[tuple[str, str, float]], threshold: float, score: Callable) -> dict[str, str]:
-    """id -> cluster of one component. The best pair of similar clusters is merged while its similarity is the threshold or more; entries of clusters that have changed since are passed over."""
-    state = _Clusters(ids, contexts, candidates, probabilities, score)
-    version = dict.fromkeys(ids, 0)
+class _Asking(_Clusters):
+    """Clusters made of those a round starts with. ``asked`` collects pairs of the latter whose probability was needed and isn't known."""
+
+    def __init__(self, ids, contexts, candidates, probabilities, score: Callable):
+        super().__init__(ids, contexts, candidates, probabilities, score)
+        self.given = {(a, b) for a, b, _ in probabilities} | {(b, a) for a, b, _ in probabilities}
+        self.have: dict[str, dict[str, int]] = {i: dict.fromkeys(self.best[i], 1) for i in ids}
+        self.asked: set[tuple[str, str]] = set()
+
+    def whole(self, a: str, b: str) -> bool:
+        """Whether nothing unknown can change the best probability; 1 is the highest there is."""
+        return self.have[a].get(b, 0) == len(self.members[a]) * len(self.members[b]) or self.best[a].get(b, 0.0) >= 1.0
+
+    def similarity(self, a: str, b: str) -> float:
+        if not self.whole(a, b):
+            pairs = ((min(m, n), max(m, n)) for m in self.members[a] for n in self.members[b])
+            self.asked.update(p for p in pairs if p not in self.given)
+            self.have[a][b] = self.have[b][a] = len(self.members[a]) * len(self.members[b])
+        return super().similarity(a, b)
+
+    def merge(self, a: str, b: str) -> str:
+        a, b = sorted((a, b))
+        for other, n in self.have.pop(b).items():
+            self.have[other].pop(b, None)
+            if other != a:
+                self.have[a][other] = self.have[other][a] = n + self.have[a].get(other, 0)
+        return super().merge(a, b)
+
+
+def _merges(state: _Clusters, threshold: float, enough: Callable[[], bool] = lambda: False) -> Iterator[tuple[str, str]]:
+    """Merges the best pair of similar clusters while its similarity is the threshold or more, and tells each merge; entries of clusters that have changed since are passed over."""
+    version = dict.fromkeys(state.members, 0)
     queue = []
 
     def push(a: str, b: str) -> None:
@@ -87,11 +122,11 @@ def merged(ids: list[str], contexts: dict, candidates: list[tuple[str, str]], pr
         if s >= threshold:
             heapq.heappush(queue, (-s, a, b, version[a], version[b]))
 
-    for a in ids:
+    for a in list(state.members):
         for b in state.similar[a]:
             if a < b:
                 push(a, b)
-    while queue:
+    while queue and not enough():
         _, a, b, va, vb = heapq.heappop(queue)
         if version.get(a) != va or version.get(b) != vb:
             continue
@@ -100,9 +135,38 @@ def merged(ids: list[str], contexts: dict, candidates: list[tuple[str, str]], pr
         version[b if root == a else a] = -1
         for other in sorted(state.similar[root]):
             push(root, other)
+        yield a, b
+
+
+def _places(state: _Clusters) -> dict[str, str]:
     return {m: root for root, members in state.members.items() for m in members}
 
 
+def merged(ids: list[str], contexts: dict, candidates: list[tuple[str, str]], probabilities: list[tuple[str, str, float]], threshold: float, score: Callable) -> dict[str, str]:
+    """id -> cluster of one component."""
+    state = _Clusters(ids, contexts, candidates, probabilities, score)
+    for _ in _merges(state, threshold):
+        pass
+    return _places(state)
+
+
+def progress(ids: list[str], contexts: dict, candidates: list[tuple[str, str]], probabilities: list[tuple[str, str, float]], threshold: float, score: Callable, most: int = ASKED) -> tuple[dict[str, str], list[tuple[str, str]], list[tuple[str, str, float]], list[tuple[str, str]]]:
+    """A round of the merge of clusters ``ids`` with what is known of their best probabilities: id -> cluster after all merges that are sure; of those clusters, the links, the known probabilities and the pairs whose probability is asked for. Nothing asked: the merge is over."""
+    state, done, sure = _Asking(ids, contexts, candidates, probabilities, score), [], 0
+    for pair in _merges(state, threshold, lambda: len(state.asked) >= most):
+        done.append(pair)
+        if not state.asked:
+            sure = len(done)
+    asked = state.asked
+    state = _Asking(ids, contexts, candidates, probabilities, score)
+    for a, b in done[:sure]:
+        state.merge(a, b)
+    place = _places(state)
+    links = [(a, b) for a in state.similar for b in state.similar[a] if a < b]
+    known = [(a, b, p) for a in state.best for b, p in state.best[a].items() if a < b and state.whole(a, b)]
+    return place, links, known, sorted({(min(x, y), max(x, y)) for x, y in ((place[a], place[b]) for a, b in asked)})
+
+
 def late_fusion(alpha: float) -> Callable:
     """(1 - alpha) * best match probability over member pairs + alpha * Jaccard of contexts."""
 
@@ -133,24 +197,71 @@ def token_match(left: str, right: str) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
+def _in_rounds(parts: DataFrame, records: DataFrame, linked: DataFrame, nodes: DataFrame, probability: Column, alpha: float, threshold: float, folder: str | None) -> DataFrame:
+    """(id, cluster_id) of components whose pairs are scored when they are compared. The state has a row for each member (a: id, b: cluster), link (a, b) and known probability (a, b, p) of clusters; each round ends in the shared folder."""
+    columns = "component string, kind string, a string, b string, p double"
+
+    def step(state: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if state.empty:  # a component that is over
+            return state
+        rows = {kind: part for kind, part in state.groupby("kind")}
+        some = lambda kind, names: list(zip(*(rows[kind][c] for c in names), strict=True)) if kind in rows else []
+        place, around = dict(some("member", "ab")), {}
+        for i, c in zip(members["id"], members["ctxs"], strict=True):
+            around.setdefault(place[i], set()).update(c)
+        root, links, known, asked = progress(sorted(set(place.values())), around, some("link", "ab"), some("known", "abp"), threshold, late_fusion(alpha))
+        found = [("member", i, root[c], None) for i, c in place.items()] + [("link", a, b, None) for a, b in links] + [("known", a, b, p) for a, b, p in known] + [("asked", a, b, None) for a, b in asked]
+        out = pd.DataFrame(found, columns=["kind", "a", "b", "p"]).astype({"p": "float64"})
+        out.insert(0, "component", state["component"].iloc[0])
+        return out
+
+    def answered(asked: DataFrame, members: DataFrame) -> DataFrame:
+        """The best probability of each asked pair of clusters, 0 where no pair of members has records. Of a pair of members the lesser id stands left."""
+        one, two = members.select("component", F.col("b").alias("a"), F.col("a").alias("_m")), members.select("component", "b", F.col("a").alias("_n"))
+        met = asked.select("component", "a", "b").join(one, ["component", "a"]).join(two, ["component", "b"])
+        met = met.select("component", "a", "b", F.least("_m", "_n").alias("l_id"), F.greatest("_m", "_n").alias("r_id"))
+        for p in ("l_", "r_"):
+            met = met.join(records.select(*[F.col(c).alias(f"{p}{c}") for c in records.columns]), f"{p}id")
+        best = met.select("component", "a", "b", probability.cast("double").alias("p")).groupBy("component", "a", "b").agg(F.max("p").alias("p"))
+        return asked.select("component", "a", "b").join(best, ["component", "a", "b"], "left").select("component", F.lit("known").alias("kind"), "a", "b", F.coalesce("p", F.lit(0.0)).alias("p"))
+
+    none = F.lit(None).cast("double")
+    members = parts.select("component", F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("id").alias("b"), none.alias("p"))
+    links = linked.select("component", F.lit("link").alias("kind"), "a", "b", none.alias("p"))
+    state, over, round_ = _held(members.unionByName(links).unionByName(answered(linked, members)), folder, "asked"), [], 0
+    while True:
+        now = _held(state.groupBy("component").cogroup(nodes.groupBy("part")).applyInPandas(step, columns), folder, f"merge{round_}")
+        asked, members = now.where("kind = 'asked'"), now.where("kind = 'member'")
+        open_ = asked.select("component").distinct()
+        over.append(members.join(open_, "component", "left_anti"))
+        if asked.isEmpty():
+            break
+        going = now.where("kind <> 'asked'").join(open_, "component", "left_semi")
+        state, round_ = _held(going.unionByName(answered(asked, members)), folder, f"asked{round_}"), round_ + 1
+    return reduce(DataFrame.unionByName, over).select(F.col("a").alias("id"), F.col("b").alias("cluster_id"))
+
+
 def clusters(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability: Column | None, alpha: float, threshold: float, strategy: str = "LATE_FUSION", text: str = "text", match: Callable[[str, str], float] = token_match, folder: str | None = None, max_component: int = MAX_COMPONENT) -> DataFrame:
-    """(id, cluster_id) of every id of a pair. ``records``: id and what ``probability`` needs as l_* and r_* columns; ``edges``: (id, ctx). A component of more than ``max_component`` members raises, since all its pairs are scored."""
+    """(id, cluster_id) of every id of a pair. ``records``: id and what ``probability`` needs as l_* and r_* columns; ``edges``: (id, ctx). With LATE_FUSION, pairs inside a component of up to ``max_component`` members are all scored in advance and those of a larger one when they are compared; a probability is 1 at most. INLINE_ENCODE scores when it compares."""
     candidates = candidate_edges(pairs)
     ids = pairs.select(F.col("ltable_id").alias("id")).unionByName(pairs.select(F.col("rtable_id").alias("id"))).distinct()
     parts = components(candidates, "a", "b", folder).withColumnRenamed("node", "id")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("_n"))
-    told = F.concat(F.lit("a component is too large to score all its pairs: "), F.col("_n").cast("string"))
-    parts = parts.join(sizes, "component").withColumn("id", F.when(F.col("_n") > max_component, F.raise_error(told).cast("string")).otherwise(F.col("id"))).drop("_n")
     place = parts.select(F.col("id").alias("a"), "component")
     linked = candidates.join(place, "a").select("component", "a", "b", F.lit(None).cast("double").alias("p"))
+    large = None
     if strategy == "LATE_FUSION":
-        scored = component_pairs(parts, records).select("component", F.col("l_id").alias("a"), F.col("r_id").alias("b"), probability.cast("double").alias("p"))
-        linked = linked.unionByName(scored)
+        sizes = parts.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > max_component).select("component")
+        large = None if sizes.isEmpty() else sizes
+        small = parts if large is None else parts.join(large, "component", "left_anti")
+        scored = component_pairs(small, records).select("component", F.col("l_id").alias("a"), F.col("r_id").alias("b"), probability.cast("double").alias("p"))
+        every, linked = linked, (linked if large is None else linked.join(large, "component", "left_anti")).unionByName(scored)
     elif strategy != "INLINE_ENCODE":
         raise ValueError(f"unknown strategy: {strategy}")
     known = records.select("id", F.col(text).alias("text")) if strategy == "INLINE_ENCODE" else records.select("id", F.lit("").alias("text"))
     nodes = parts.join(contexts_of(edges), "id", "left").join(known, "id", "left").select(F.col("component").alias("part"), "id", F.coalesce("ctxs", F.array().cast("array<string>")).alias("ctxs"), F.coalesce("text", F.lit("")).alias("text"))
 
+    whole = nodes if large is None else nodes.join(large.withColumnRenamed("component", "part"), "part", "left_anti")
+
     def merge(links: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         texts = dict(zip(members["id"], members["text"], strict=True))
         score = late_fusion(alpha) if strategy == "LATE_FUSION" else inline_encode(texts, match)
@@ -159,5 +270,8 @@ def clusters(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability
         found = merged(sorted(texts), contexts, list(zip(links.loc[is_candidate, "a"], links.loc[is_candidate, "b"], strict=True)), list(zip(*(links.loc[~is_candidate, c] for c in "abp"), strict=True)), threshold, score)
         return pd.DataFrame({"id": list(found), "cluster_id": list(found.values())})
 
-    grouped = linked.groupBy("component").cogroup(nodes.groupBy("part")).applyInPandas(merge, "id string, cluster_id string")
+    grouped = linked.groupBy("component").cogroup(whole.groupBy("part")).applyInPandas(merge, "id string, cluster_id string")
+    if large is not None:
+        of = lambda df, c: df.join(large.withColumnRenamed("component", c), c, "left_semi")
+        grouped = grouped.unionByName(_in_rounds(of(parts, "component"), records, of(every, "component"), of(nodes, "part"), probability, alpha, threshold, folder))
     return ids.join(grouped, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))

@@ -182,6 +182,46 @@ def test_bridge_of_a_pair_that_is_no_candidate():
     assert set(found.values()) == {"r1"}
 
 
+@pytest.mark.parametrize("seed", range(60))
+@pytest.mark.parametrize("most", [1, 10**9])
+def test_merge_in_rounds_against_a_global_loop(seed, most):
+    rng = random.Random(seed)
+    ids = [f"r{i}" for i in range(rng.randint(1, 9))]
+    every = list(itertools.combinations(ids, 2))
+    candidates = [p for p in every if rng.random() < 0.4]
+    digits = rng.choice((1, 6))
+    probability = {frozenset(p): round(rng.random(), digits) for p in every}
+    contexts = {i: {rng.choice("abcde") for _ in range(rng.randint(0, 3))} for i in ids}
+    alpha, threshold = rng.choice((0.0, 0.3)), rng.choice((0.4, 0.6, 0.8))
+    place, links, known, used = {i: i for i in ids}, candidates, [], set()
+    while True:
+        around = {r: set().union(*(contexts[i] for i in ids if place[i] == r)) for r in set(place.values())}
+        root, links, known, asked = collective.progress(sorted(around), around, links, known, threshold, collective.late_fusion(alpha), most)
+        place = {i: root[place[i]] for i in ids}
+        if not asked:
+            break
+        for a, b in asked:
+            assert not any({a, b} == {x, y} for x, y, _ in known)
+            met = [frozenset((x, y)) for x in ids for y in ids if place[x] == a and place[y] == b]
+            used.update(met)
+            known.append((a, b, max(probability[p] for p in met)))
+    assert place == _plain_merge(ids, contexts, candidates, probability, threshold, alpha)
+    assert used <= set(probability)
+
+
+def test_large_components_are_clustered_like_small_ones(spark):
+    rng = random.Random(4)
+    ids = [f"r{i:02}" for i in range(40)]
+    records = spark.createDataFrame([(i, " ".join(rng.choice("abcdef") for _ in range(4))) for i in ids[1:]], "id string, text string")  # one has no record
+    edges = spark.createDataFrame([(i, rng.choice("uvwxyz")) for i in ids for _ in range(2)], "id string, ctx string")
+    chain = [(a, b) for a, b in zip(ids[:25], ids[1:25], strict=False)] + [tuple(rng.sample(ids[:25], 2)) for _ in range(20)]
+    found = spark.createDataFrame(chain + [(ids[30], ids[31]), (ids[35], ids[35])], "ltable_id string, rtable_id string")
+    for strategy in ("LATE_FUSION", "INLINE_ENCODE"):
+        of = lambda n: {r.id: r.cluster_id for r in collective.clusters(found, records, edges, scorers.TokenJaccard(["text"]).probability(), 0.2, 0.45, strategy, max_component=n).collect()}  # noqa: E731, B023
+        told = of(1000)
+        assert of(3) == told and of(1) == told and 1 < len(set(told.values())) < len(told)
+
+
 def test_clusters_measures_and_order_of_rows(spark):
     rows = [("a1", "b1", 1), ("a1", "b2", 0), ("a2", "b2", 1)]
     found = spark.createDataFrame(rows, "ltable_id string, rtable_id string, label int")
