@@ -9,8 +9,8 @@ Files go into the shared folder, each under a name of its own; a table of the sh
 are valid. Ids are numbered over all shards by sums of the shards' totals, never by moving ids.
 
 Defined results: a null text is encoded like an empty one, to the end id alone; repeated keys keep a row each, in
-the order of their texts' checksums; an empty table gives no shard and an empty result. Keys are integers and not
-null (a null key raises); other columns are not looked at.
+the order of their texts' checksums; an empty table gives no shard and an empty result. Keys are integers; rows
+without a key come first and keep a null key. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -195,13 +195,14 @@ def lengths(pairs: np.ndarray, starts: list[int], base: int) -> np.ndarray:
 class Shard:
     """A file's content. ``ids(start, n)`` decodes a stretch of ids and touches no symbol outside of it but those of its first interval."""
 
-    def __init__(self, keys, ends, sequence, pairs, rule_lengths, sums, starts, base):
+    def __init__(self, keys, ends, sequence, pairs, rule_lengths, sums, starts, base, valid=None):
+        self.valid = np.ones(len(keys), bool) if valid is None else valid  # whether a document has a key
         self.keys, self.ends, self.sequence, self.pairs, self.rule_lengths, self.sums, self.starts, self.base = keys, ends, sequence, pairs, rule_lengths, sums, starts, base
 
     @classmethod
-    def of(cls, keys: np.ndarray, ends: np.ndarray, ids: np.ndarray, **options) -> Shard:
+    def of(cls, keys: np.ndarray, ends: np.ndarray, ids: np.ndarray, valid: np.ndarray | None = None, **options) -> Shard:
         sequence, pairs, starts, base = compress(ids, **options)
-        shard = cls(keys, ends, sequence, pairs, lengths(pairs, starts, base), None, starts, base)
+        shard = cls(keys, ends, sequence, pairs, lengths(pairs, starts, base), None, starts, base, valid)
         shard.sums = np.concatenate(([0], np.cumsum(shard._symbol_lengths(sequence))))[::STRIDE].astype(np.int64)
         return shard
 
@@ -229,7 +230,7 @@ class Shard:
 
     def to_bytes(self) -> bytes:
         narrow = "<u2" if self.base + len(self.pairs) <= 1 << 16 else "<u4"
-        parts = [("keys", self.keys, "<i8"), ("ends", self.ends, "<i8"), ("pairs", self.pairs, narrow), ("rule_lengths", self.rule_lengths, "<u4"), ("sums", self.sums, "<i8"), ("sequence", self.sequence, narrow)]
+        parts = [("keys", self.keys, "<i8"), ("valid", np.packbits(self.valid), "u1"), ("ends", self.ends, "<i8"), ("pairs", self.pairs, narrow), ("rule_lengths", self.rule_lengths, "<u4"), ("sums", self.sums, "<i8"), ("sequence", self.sequence, narrow)]
         blobs = [np.ascontiguousarray(x, kind).tobytes() for _, x, kind in parts]
         head = json.dumps({"base": self.base, "starts": self.starts, "parts": [[name, kind, len(b)] for (name, _, kind), b in zip(parts, blobs, strict=True)]}).encode()
         body = struct.pack("<I", len(head)) + head + b"".join(blobs)
@@ -245,7 +246,7 @@ class Shard:
             found[name] = np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at)
             at += n
         wide = lambda x: x.astype(np.uint32)
-        return cls(found["keys"], found["ends"], wide(found["sequence"]), wide(found["pairs"]).reshape(-1, 2), found["rule_lengths"].astype(np.int64), found["sums"], head["starts"], head["base"])
+        return cls(found["keys"], found["ends"], wide(found["sequence"]), wide(found["pairs"]).reshape(-1, 2), found["rule_lengths"].astype(np.int64), found["sums"], head["starts"], head["base"], np.unpackbits(found["valid"], count=len(found["keys"])).astype(bool))
 
 
 # --- tables ----------------------------------------------------------------------------------------------------
@@ -273,7 +274,7 @@ def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
         def flush():
             nonlocal keys, ids, size
             counts = np.array([len(x) for x in ids], np.int64) // encoder.kind.itemsize
-            shard = Shard.of(np.array(keys, np.int64), np.cumsum(counts), np.frombuffer(b"".join(ids), encoder.kind))
+            shard = Shard.of(np.array([k or 0 for k in keys], np.int64), np.cumsum(counts), np.frombuffer(b"".join(ids), encoder.kind), np.array([k is not None for k in keys]))
             ids, data = [], shard.to_bytes()
             address = f"{folder}/{uuid.uuid4().hex}.ids"
             path = f"{root}/{address.rsplit('/', 1)[1]}"
@@ -323,7 +324,7 @@ def read(spark: SparkSession, shards: DataFrame, key: str = "doc_id", ids: bool
                 starts = np.concatenate(([0], shard.ends[:-1]))
                 data = memoryview(every.tobytes())
                 sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), shard.ends.tolist(), strict=True)]
-                columns = [pa.array(shard.keys), pa.array(starts + start), pa.array(shard.ends - starts), pa.array(sums, pa.int64())]
+                columns = [pa.array(shard.keys, mask=~shard.valid), pa.array(starts + start), pa.array(shard.ends - starts), pa.array(sums, pa.int64())]
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate((starts[:1], shard.ends)).astype(np.int32)), pa.array(every.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in fields])

@@ -61,6 +61,16 @@ def test_token_files(spark, docs):
     assert repair_codec.read(spark, repair_codec.write(docs[1], path)).count() == 0
 
 
+def test_token_files_of_rows_without_a_key(spark, docs):
+    path = tokenizer_file("byte_bpe_50k.json")
+    rows = [(None, "b"), (0, "a"), (None, None), (-5, "c"), (None, "b")]
+    shards = repair_codec.write(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    found = sorted((r.start, r.doc_id, r.n_tokens) for r in repair_codec.read(spark, shards).collect())
+    assert [(k, n) for _, k, n in found] == [(None, 1), (None, 2), (None, 2), (-5, 2), (0, 2)]
+    every = repair_codec.read(spark, repair_codec.write(docs[0], path, shard_ids=500)).collect()
+    assert sorted(map(str, (r.doc_id for r in every))) == sorted(str(k) for k, _ in _rows())
+
+
 def test_archives(spark):
     big = "<html>" + "grüße " * 300
     rows = [(1, "u", big), (2, None, big), (3, "v\r\nX: 1", big), (4, "w", "small"), (5, "w", "small"), (6, "w", None), (7, "w", ""), (8, "w", big + "!")]
