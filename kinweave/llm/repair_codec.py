@@ -67,7 +67,7 @@ class Pieces(dict):
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE of the tokenizers library. Its pre-tokenizer never joins what a single blank or line end parts from what stands before it, so that texts are cut there and the pieces' ids put together."""
+    """Ids of texts by a byte-level BPE of the tokenizers library. Its pre-tokenizer never joins what a single blank or line end parts from what stands before it, so that texts are cut there and the pieces' ids put together. The library takes added tokens out of a text first, whatever is beside them; a text that holds one goes to it whole."""
 
     _near = re.compile(r"\A\s|\s\s|\s\Z")
     _cut = re.compile(r"(?<=\S)([ \n])(?=\S)")
@@ -77,7 +77,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
+        added = [t.content for t in library.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.library = library
         self.kind = np.dtype("<u2" if library.get_vocab_size() <= 1 << 16 else "<u4")
         self.led, self.bare = Pieces(library, self.kind, " "), Pieces(library, self.kind, "")
         self.led.marks = self.bare.marks = self.bare
@@ -98,6 +100,8 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self._added.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         led, bare = self.led.__getitem__, self.bare
         return self.line.join([bare[x[0]] + b"".join(map(led, x[1:])) for x in self._lines(text)])
 

@@ -54,6 +54,16 @@ def test_encoder_gives_the_library_s_ids():
         assert np.frombuffer(encoder(text), encoder.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_are_those_of_the_untouched_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    encoder, library = repair_codec.Encoder(path), Tokenizer.from_file(path)
+    assert np.frombuffer(encoder("a <|endoftext|> b"), encoder.kind).tolist() == [64, 220, 50256, 275]
+    for text in [*TEXTS, "<|endoftext|>", "x<|endoftext|>y z", "a\n<|endoftext|>\n b, <|endoftext|", "<|endoftext|><|endoftext|> \n"]:
+        assert np.frombuffer(encoder(text), encoder.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("alphabet", [1, 2, 50, 50_257])
 def test_grammar_round_trip_and_random_access(alphabet):
     rng = np.random.default_rng(alphabet)
