@@ -32,7 +32,6 @@ MIN_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
 #: Payload bytes from which an archive's dictionary is made, and its size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 64 << 10
-MAX_HEADER = 64 << 10
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -65,7 +64,7 @@ def record_bytes(kind: str, page: str, uri: str, payload: bytes, digest: str, re
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     """(headers, block) of a decoded record; checks its version, headers, length and end."""
-    end = record.find(b"\r\n\r\n", 0, MAX_HEADER)
+    end = record.find(b"\r\n\r\n")
     if end < 0:
         raise ArchiveError("a record's headers don't end")
     lines = record[:end].split(b"\r\n")

@@ -117,6 +117,15 @@ def test_archive_round_trip_and_plain_reader():
     assert one.startswith(b"WARC/1.1\r\n") and "grün".encode() in one
 
 
+def test_a_url_of_any_length_is_read_again():
+    import hashlib
+
+    url = "http://x/" + "päth/" * 40_000
+    record = warc_zst.record_bytes("response", "1", url, b"body", hashlib.sha1(b"body").hexdigest(), None, "1970-01-01T00:00:00Z")
+    ((_, _, headers, body),) = warc_zst.ArchiveReader(io.BytesIO(_archive([record])))
+    assert headers["warc-target-uri"] == url and body == b"body"
+
+
 @pytest.mark.parametrize("spoil", [lambda d: b"\0" + d[1:], lambda d: d[:-3], lambda d: d + b"junk!", lambda d: d[:-30] + bytes([d[-30] ^ 255]) + d[-29:], lambda d: d[:6]])
 def test_archive_faults_are_told(spoil):
     data = _archive([_record("1", b"body " * 100), _record("2", b"more " * 100)])
