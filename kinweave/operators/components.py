@@ -9,6 +9,7 @@ join, which adaptive execution splits.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -30,14 +31,16 @@ def _held(df: DataFrame, folder: str | None, round_: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", folder: str | None = None, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of an edge but nulls; the component is its least node. Loops and repeated edges do no harm."""
+def components(edges: DataFrame, a: str = "a", b: str = "b", folder: str | None = None, max_rounds: int | None = None) -> DataFrame:
+    """(node, component) of every node of an edge but nulls; the component is its least node. Loops and repeated edges do no harm. Rounds go on until nothing changes; where ``max_rounds`` is given and isn't enough, it raises."""
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     loops = pairs.where("u = v").select("u", "v")
     now = _held(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), folder, "edges")
     alone = loops.select(F.col("u").alias("node")).distinct()
     before = None
-    for round_ in range(max_rounds):
+    for round_ in itertools.count():
+        if round_ == max_rounds:
+            raise RuntimeError(f"components have not settled in {max_rounds} rounds")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

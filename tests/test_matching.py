@@ -143,6 +143,13 @@ def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_that_have_not_settled_are_not_told(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settled"):
+        components(chain, max_rounds=2)
+    assert {r.component for r in components(chain).collect()} == {0}
+
+
 def _plain_merge(ids, contexts, candidates, probability, threshold, alpha):
     """A global loop that scores all similar cluster pairs anew in each step."""
     groups = {i: {i} for i in ids}
