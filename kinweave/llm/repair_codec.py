@@ -2,7 +2,8 @@
 
 Texts are dealt by ranges of their key, ordered within a range and encoded; each task cuts its ids into shards of
 a bounded number of ids. In a shard the most frequent pairs of neighbouring symbols are replaced by new symbols,
-round after round, until a round gains too little. A file holds the rules, the number of ids each rule stands for,
+round after round (2,560 new symbols each), until a round saves less than a hundredth of the sequence or no pair stands
+in 8 places. A file holds the rules, the number of ids each rule stands for,
 the remaining sequence and sums of its lengths at intervals, so that any stretch of ids is decoded without the rest.
 
 Files go into the shared folder, each under a name of its own; a table of the shards of tasks that count says which
@@ -34,8 +35,8 @@ from kinweave.llm.common import file_system, kept, shared_folder, with_blocks
 MAGIC = b"KWRP0001"
 #: Ids of a shard; some 150 MB of working arrays.
 SHARD_IDS = 2_000_000
-#: Rounds, new symbols in a round, least count of a pair, and the least share of symbols that a round must save.
-ROUNDS, RULES, LEAST, GAIN = 6, 2560, 8, 0.01
+#: New symbols in a round, least count of a pair, and the least share of symbols that a round must save. There is no bound on rounds, on rules in all or on a rule's length.
+RULES, LEAST, GAIN = 2560, 8, 0.01
 #: Symbols between two stored sums of lengths.
 STRIDE = 1024
 
@@ -109,14 +110,11 @@ class Encoder:
 # --- grammar ---------------------------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, list[int], int]:
+def compress(ids: np.ndarray, rules: int = RULES, least: int = LEAST, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, list[int], int]:
     """(sequence, pairs, first symbol of each round, first new symbol). Within a round a place where several chosen pairs overlap goes to the more frequent, and of equal ones to the first."""
     base = int(ids.max()) + 1 if len(ids) else 1
     sequence, pairs, starts, top = ids.astype(np.uint32), [], [], base
-    for _ in range(rounds):
-        room = rules if base > 60_000 else min(rules, (1 << 16) - top)  # symbols of two bytes where they suffice
-        if len(sequence) < 2 * least or room <= 0:
-            break
+    while len(sequence) >= 2 * least:
         keys = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
         with np.errstate(over="ignore"):
             bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
@@ -130,7 +128,7 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: i
         count = np.diff(np.append(heads, len(ordered)))
         with np.errstate(over="ignore"):
             tie = ordered[heads] * np.uint64(0xD6E8FEB86659FD93)
-        best = np.lexsort((tie, -count))[:room]  # equal counts in no order, so that chains of neighbours don't form
+        best = np.lexsort((tie, -count))[:rules]  # equal counts in no order, so that chains of neighbours don't form
         best = best[count[best] >= least]
         if not len(best):
             break
@@ -196,6 +194,21 @@ def lengths(pairs: np.ndarray, starts: list[int], base: int) -> np.ndarray:
     return out
 
 
+def _split(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower two bytes of symbols, and each bit above them that some symbol needs as a plane of bits."""
+    flat = symbols.reshape(-1).astype(np.uint32)
+    high = flat >> 16
+    planes = [np.packbits((high >> k) & 1 == 1) for k in range(int(high.max(initial=0)).bit_length())]
+    return (flat & 0xFFFF).astype("<u2"), np.concatenate(planes) if planes else np.empty(0, np.uint8)
+
+
+def _joined(low: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    out = low.astype(np.uint32)
+    for k, plane in enumerate(planes.reshape(-1, -(-len(low) // 8)) if len(planes) else ()):
+        out |= np.unpackbits(plane, count=len(low)).astype(np.uint32) << np.uint32(16 + k)
+    return out
+
+
 class Shard:
     """A file's content. ``ids(start, n)`` decodes a stretch of ids and touches no symbol outside of it but those of its first interval."""
 
@@ -233,8 +246,8 @@ class Shard:
         return self.ids(start, int(self.ends[i]) - start)
 
     def to_bytes(self) -> bytes:
-        narrow = "<u2" if self.base + len(self.pairs) <= 1 << 16 else "<u4"
-        parts = [("keys", self.keys, "<i8"), ("valid", np.packbits(self.valid), "u1"), ("ends", self.ends, "<i8"), ("pairs", self.pairs, narrow), ("rule_lengths", self.rule_lengths, "<u4"), ("sums", self.sums, "<i8"), ("sequence", self.sequence, narrow)]
+        (pairs, pairs_high), (sequence, sequence_high) = _split(self.pairs), _split(self.sequence)
+        parts = [("keys", self.keys, "<i8"), ("valid", np.packbits(self.valid), "u1"), ("ends", self.ends, "<i8"), ("pairs", pairs, "<u2"), ("pairs_high", pairs_high, "u1"), ("rule_lengths", self.rule_lengths, np.min_scalar_type(int(self.rule_lengths.max(initial=0))).str), ("sums", self.sums, "<i8"), ("sequence", sequence, "<u2"), ("sequence_high", sequence_high, "u1")]
         blobs = [np.ascontiguousarray(x, kind).tobytes() for _, x, kind in parts]
         head = json.dumps({"base": self.base, "starts": self.starts, "parts": [[name, kind, len(b)] for (name, _, kind), b in zip(parts, blobs, strict=True)]}).encode()
         body = struct.pack("<I", len(head)) + head + b"".join(blobs)
@@ -249,8 +262,7 @@ class Shard:
         for name, kind, n in head["parts"]:
             found[name] = np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at)
             at += n
-        wide = lambda x: x.astype(np.uint32)
-        return cls(found["keys"], found["ends"], wide(found["sequence"]), wide(found["pairs"]).reshape(-1, 2), found["rule_lengths"].astype(np.int64), found["sums"], head["starts"], head["base"], np.unpackbits(found["valid"], count=len(found["keys"])).astype(bool))
+        return cls(found["keys"], found["ends"], _joined(found["sequence"], found["sequence_high"]), _joined(found["pairs"], found["pairs_high"]).reshape(-1, 2), found["rule_lengths"].astype(np.int64), found["sums"], head["starts"], head["base"], np.unpackbits(found["valid"], count=len(found["keys"])).astype(bool))
 
 
 # --- tables ----------------------------------------------------------------------------------------------------

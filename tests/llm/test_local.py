@@ -78,6 +78,18 @@ def test_grammar_round_trip_and_random_access(alphabet):
     assert all(n == len(repair_codec.expand(np.array([shard.base + i], np.uint32), shard.pairs, shard.starts, shard.base)) for i, n in enumerate(shard.rule_lengths[:50].tolist()))
 
 
+def test_grammar_has_no_bound_on_rounds_and_symbols():
+    rng = np.random.default_rng(5)
+    ids = np.tile(rng.permutation(1024).astype("<u2"), 300)
+    shard = repair_codec.Shard.from_bytes(repair_codec.Shard.of(np.array([1]), np.array([len(ids)]), ids).to_bytes())
+    assert shard.rule_lengths.max() >= 1024 and len(shard.sequence) <= 300 and np.array_equal(shard.all_ids(), ids)
+    pairs = rng.integers(0, 50_257, (20_000, 2)).astype("<u2")
+    ids = pairs[rng.permutation(np.repeat(np.arange(20_000), 10))].ravel()
+    shard = repair_codec.Shard.from_bytes(repair_codec.Shard.of(np.array([1]), np.array([len(ids)]), ids).to_bytes())
+    assert shard.base + len(shard.pairs) > 1 << 16 and np.array_equal(shard.all_ids(), ids)
+    assert np.array_equal(shard.ids(123_457, 1000), ids[123_457:124_457])
+
+
 def test_grammar_compresses_and_a_damaged_file_is_refused():
     ids = np.tile(np.arange(50, dtype="<u2"), 2000)
     data = repair_codec.Shard.of(np.array([1]), np.array([len(ids)]), ids).to_bytes()
