@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -299,3 +300,72 @@ def test_pipeline(spark, docs, tmp_path):
     passage = text[9].split()[60:110]
     assert " ".join(passage[:35]) not in model[9] and " ".join(passage[:35]) not in model[10]
     assert " ".join(text[31].split()[3:23]) not in model.get(31, "") and model[14] == text[14]
+
+
+def _plain_pipeline(rows, items, toxic):
+    """The five stages on (doc_id, text) in plain Python; ``toxic`` judges a text. The ids are the library's."""
+    import sentencepiece
+
+    rows = [(k, t) for k, t in rows if not toxic(t)]
+    sets, root = [_shingles(t or "") for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    order, first = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0)), {}
+    for i in order:
+        first.setdefault(root[i], i)
+    rows = [(k, t or "") for i, (k, t) in enumerate(rows) if not sets[i] or first[root[i]] == i]
+    count, out = Counter(tuple(w[i : i + 35]) for w in (t.split() for _, t in rows) for i in range(len(w) - 34)), []
+    for k, t in rows:
+        w = t.split()
+        gone = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        if not gone:
+            out.append((k, t))
+        elif len(gone) < len(w):
+            clean, last = "", None
+            for i, m in enumerate(re.finditer(r"\S+", t)):
+                if i not in gone:
+                    clean += (t[: m.start()] if i == 0 else t[last[1] : m.start()] if last and last[0] == i - 1 else " " if clean else "") + m[0]
+                    last = i, m.end()
+            out.append((k, clean))
+    rows, out = out, []
+    plain = lambda t: [(m[0].translate({c: c + 32 for c in range(65, 91)}), *m.span()) for m in re.finditer(r"[A-Za-z0-9\u0080-\U0010ffff]+", t or "")]
+    windows = set()
+    for item in items:
+        w = [x for x, *_ in plain(item)]
+        windows |= {tuple(w[i : i + 10]) for i in range(len(w) - 9)} if len(w) >= 10 else {tuple(w)} - {()}
+    for k, t in rows:
+        w = plain(t)
+        hit = {j for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(x for x, *_ in w[i : i + n]) in windows for j in range(i, i + n)}
+        if 2 * len(hit) > len(w):
+            continue
+        clean, last = "", 0
+        for i in sorted(hit):
+            if i - 1 not in hit:
+                clean += t[last : w[i][1]]
+            last = w[i][2]
+        out.append((k, clean + t[last:]))
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    return [(k, tuple(model.encode(t))) for k, t in out]
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    rng = random.Random(8)
+    judged = [(1000 + i, _sentence(rng, 40) + (" you idiot " if i % 3 == 0 else " ") + _sentence(rng, 20)) for i in range(120)]
+    rows = [*_rows(), *judged]
+    text = dict(_plain(rows))
+    items = [" ".join(text[31].split()[3:23]), text[22].upper(), "nur vier", None, "..."]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels = spark.createDataFrame([(1000 + i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    model = toxic_kernel.learn(spark.read.parquet(str(tmp_path / "documents.parquet")), labels)
+    scores = toxic_kernel.Scores(model["weights"], model["bias"])
+    toxic = lambda t: 1 / (1 + np.exp(-np.clip(model["slope"] * scores.document(t) + model["shift"], -30, 30))) >= corpus_pipeline.TOXIC
+    gone = {k for k, t in rows if toxic(t)}
+    assert {1000 + i for i in range(0, 120, 3)} <= gone and len(gone) < 80
+    told = _plain_pipeline(rows, items, toxic)
+    assert 22 not in dict(told) and 5 not in dict(told) and 31 in dict(told)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(told)
