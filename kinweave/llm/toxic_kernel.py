@@ -3,14 +3,19 @@
 Two words are alike by the subsequences of three and four characters that they share, gaps allowed and weighed
 down, so that inserted or missing characters cost likeness and do not destroy it. A sentence is as toxic as its most
 toxic word, a document as its most toxic sentence. Sentences are learned from: those of clean documents are
-negative; of a toxic document's sentences at least one is positive, and which ones is found in rounds of training.
+negative; of a toxic document's sentences at least one is positive, and which ones is found in rounds of training,
+among the words that stand in toxic documents more often than chance explains. A toxic document without any such word
+teaches nothing.
+After each round all words of all sampled texts are scored, and those of clean documents that score highest join
+the negative examples; no word of a sampled text is left out of that.
 
 Landmarks stand for the kernel (Nyström): a word's features are its likenesses to them, whitened. The machine being
-linear in these, it is folded into one weight per subsequence of the landmarks, and a word is scored in time
-proportional to its length. Words are scored once and remembered up to a bound.
+linear in these, it is folded into one weight per subsequence of the landmarks, and words are scored by that, many at
+a time. Scores of words are remembered up to a bound.
 
 Defined results: a null or empty text, or one without letters, has the score of a document without any toxic word;
-repeated rows get equal scores; without labels of both kinds (or an empty table) every score is 0.
+texts of any length are scored whole; repeated rows get equal scores; a score on the threshold is predicted toxic;
+without labels of both kinds (or an empty table) every score is 0; other columns are kept and not looked at.
 """
 
 from __future__ import annotations
@@ -32,11 +37,16 @@ from kinweave.llm import labelled
 DECAY = 0.6
 #: Subsequence length and the longest stretch of a word that it may span.
 SPANS = ((3, 4), (4, 5))
-LANDMARKS = 240
-ROUNDS = 4
-#: Candidate words of a sampled document that stay in training.
-CANDIDATES = 24
+LANDMARKS = 320
+ROUNDS = 6
+#: Words of clean documents that join the negative examples in a round, those of the highest scores first.
+MINED = 1500
+#: Log-likelihood ratio from which a word is taken to be told by the labels (a chance of about 1 in 3,000).
+EVIDENCE = 13.0
+#: Words that are scored together, and documents whose words are looked up together.
+CHUNK, DOCUMENTS = 20_000, 128
 _SHAPES = [(c, DECAY ** (c[-1] + 1)) for length, span in SPANS for c in [(0, *x) for x in combinations(range(1, span), length - 1)]]
+_REACH = max(shape[-1] for shape, _ in _SHAPES)
 _SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){2,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 _INNER = re.compile(r"[\W_]+")
@@ -64,53 +74,93 @@ def _norm(n: int) -> float:
 _NORMS = [_norm(n) for n in range(64)]
 
 
-def _by_shape(word: str) -> list[tuple[float, list[str]]]:
-    """The subsequences of a word, a mark in front of it telling its beginning, by shape, with the shape's weight."""
-    word = "^" + word
-    scale = _NORMS[len(word)] if len(word) < 64 else _norm(len(word))
-    return [(weight / scale, list(map("".join, zip(*[word[k:] for k in shape], strict=False)))) for shape, weight in _SHAPES if shape[-1] < len(word)]
-
-
-def subsequences(word: str) -> dict[str, float]:
-    """The kernel's features of a word."""
-    found: dict[str, float] = {}
-    for weight, us in _by_shape(word):
-        for u in us:
-            found[u] = found.get(u, 0.0) + weight
-    return found
+def _scales(words: list[str]) -> np.ndarray:
+    return np.array([1 / (_NORMS[len(w) + 1] if len(w) < 63 else _norm(len(w) + 1)) for w in words])
+
+
+class Letters:
+    """Numbers for subsequences of words over an alphabet; a mark in front of a word tells its beginning. Characters outside the alphabet match nothing."""
+
+    def __init__(self, letters: str):
+        self.letters, self.base = letters, len(letters) + 2
+        self.digit = np.zeros(0x110000, np.int32)
+        self.digit[ord("^")] = 1
+        self.digit[[ord(c) for c in letters]] = np.arange(2, self.base)
+
+    def _laid(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(digits of all words, each with its mark in front and zeros behind, start of each)."""
+        text = "".join([f"^{w}" + "\0" * _REACH for w in words])
+        sizes = np.array([len(w) + 1 + _REACH for w in words], np.int64)
+        return self.digit[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64), np.cumsum(sizes) - sizes
+
+    def shapes(self, words: list[str]) -> tuple[np.ndarray, list[tuple[float, np.ndarray]]]:
+        """(start of each word, for each shape its weight and the number of the subsequence that begins at each place). A number with a zero digit is none."""
+        at, starts = self._laid(words)
+        out = []
+        for shape, weight in _SHAPES:
+            n = len(at) - shape[-1]
+            code = at[:n].copy()
+            for k in shape[1:]:
+                code *= self.base
+                code += at[k : k + n]
+            # Subsequences of different lengths have numbers of their own.
+            out.append((weight, code if len(shape) == SPANS[0][0] else code + self.base ** len(shape)))
+        return starts, out
+
+    def parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, number, normalised weight) of all subsequences."""
+        at, starts = self._laid(words)
+        owner = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(at))))
+        scale, found = _scales(words), []
+        for (shape, _), (weight, code) in zip(_SHAPES, self.shapes(words)[1], strict=True):
+            good = np.ones(len(code), bool)
+            for k in shape:
+                good &= at[k : k + len(code)] > 0
+            i = np.flatnonzero(good)
+            found.append((owner[i], code[i], weight * scale[owner[i]]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _chunks(words: list[str]) -> Iterator[tuple[int, list[str]]]:
+    for i in range(0, len(words), CHUNK):
+        yield i, words[i : i + CHUNK]
+
+
+def _place(codes: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each number among ordered ones, whether it is one of them)."""
+    at = np.minimum(np.searchsorted(ordered, codes), len(ordered) - 1)
+    return at, ordered[at] == codes
 
 
 class Kernel:
     """Likenesses of words to landmarks."""
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
-        self.index: dict[str, list[tuple[int, float]]] = {}
-        for j, z in enumerate(landmarks):
-            for u, x in subsequences(z).items():
-                self.index.setdefault(u, []).append((j, x))
-        raw = np.array([self.likeness(z) for z in landmarks])
+    def __init__(self, landmarks: list[str], letters: Letters | None = None):
+        self.landmarks, self.letters = landmarks, letters or Letters("".join(sorted({c for w in landmarks for c in w} - {"^"})))
+        word, code, weight = self.letters.parts(landmarks)
+        self.codes, at = np.unique(code, return_inverse=True)
+        self.matrix = np.zeros((len(self.codes), len(landmarks)), np.float32)
+        np.add.at(self.matrix, (at, word), weight)
+        raw = self.likeness(landmarks)
         values, vectors = np.linalg.eigh((raw + raw.T) / 2)
         good = values > 1e-4 * values.max()
         self.whiten = vectors[:, good] / np.sqrt(values[good])
 
-    def likeness(self, word: str) -> np.ndarray:
-        out = np.zeros(len(self.landmarks))
-        for u, x in subsequences(word).items():
-            for j, y in self.index.get(u, ()):
-                out[j] += x * y
+    def likeness(self, words: list[str]) -> np.ndarray:
+        """A row of likenesses for each word."""
+        out = np.zeros((len(words), len(self.landmarks)))
+        for i in range(0, len(words), 500):
+            word, code, weight = self.letters.parts(words[i : i + 500])
+            at, known = _place(code, self.codes)
+            np.add.at(out, word[known] + i, weight[known, None] * self.matrix[at[known]])
         return out
 
     def features(self, words: list[str]) -> np.ndarray:
-        out = np.empty((len(words), self.whiten.shape[1]), np.float32)
-        for i in range(0, len(words), 1000):
-            out[i : i + 1000] = np.array([self.likeness(w) for w in words[i : i + 1000]]) @ self.whiten
-        return out
+        return (self.likeness(words) @ self.whiten).astype(np.float32)
 
-    def folded(self, weights: np.ndarray) -> dict[str, float]:
-        """One weight per subsequence, for a linear machine over the features."""
-        beta = self.whiten @ weights
-        return {u: sum(beta[j] * x for j, x in z) for u, z in self.index.items()}
+    def folded(self, weights: np.ndarray) -> np.ndarray:
+        """One weight per subsequence (in the order of ``codes``), for a linear machine over the features."""
+        return self.matrix @ (self.whiten @ weights)
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -130,37 +180,47 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tup
 
 
 class Scores(dict):
-    """Scores of tokens by the folded machine; those of tokens and of bare words are remembered up to a bound."""
+    """Scores of tokens by the folded machine, remembered up to a bound."""
 
     BOUND = 300_000
+    _BITS = 20
 
-    def __init__(self, weights: dict[str, float], bias: float):
+    def __init__(self, model: dict):
         super().__init__()
-        self.weights, self.bias, self.words = weights, bias, {}
-
-    def word(self, word: str) -> float:
-        total = self.words.get(word)
-        if total is None:
-            get, total = self.weights.get, self.bias
-            for weight, us in _by_shape(word):
-                for w in map(get, us):
-                    if w is not None:
-                        total += weight * w
-            if len(self.words) >= self.BOUND:
-                self.words.clear()
-            self.words[word] = total
-        return total
-
-    def __missing__(self, token: str) -> float:
-        word = bare(token)
-        total = self.word(word) if word else self.bias
-        if len(self) >= self.BOUND:
-            self.clear()
-        self[token] = total
-        return total
-
-    def document(self, text: str | None) -> float:
-        return max(map(self.__getitem__, tokens(text)), default=self.bias) if text else self.bias
+        self.letters, self.codes, self.weights, self.bias = Letters(model["letters"]), model["codes"], model["weights"], model["bias"]
+        #: Most subsequences of a text aren't among the landmarks'; a bit for the hash of each that is keeps the others from being searched for.
+        self.seen = np.zeros(1 << self._BITS, bool)
+        self.seen[self._slot(self.codes)] = True
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._BITS)).view(np.int64)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        out = np.full(len(words), self.bias)
+        for first, some in _chunks(words):
+            starts, shapes = self.letters.shapes(some)
+            total = np.zeros(len(shapes[0][1]) + _REACH)
+            for weight, code in shapes:
+                i = np.flatnonzero(self.seen[self._slot(code)])
+                at, known = _place(code[i], self.codes)
+                total[i[known]] += weight * self.weights[at[known]]
+            out[first : first + len(some)] += np.add.reduceat(total, starts) * _scales(some)
+        return out
+
+    def documents(self, texts) -> list[float]:
+        """Scores of documents, some at a time: words that are not remembered are scored together."""
+        out = []
+        texts = list(texts)
+        for i in range(0, len(texts), DOCUMENTS):
+            sets = [tokens(t) if t else set() for t in texts[i : i + DOCUMENTS]]
+            every = set().union(*sets)
+            if len(self) + len(every) > self.BOUND:
+                self.clear()
+            fresh = [t for t in every if t not in self]
+            if fresh:
+                self.update(zip(fresh, self.words([bare(t) for t in fresh]).tolist(), strict=True))
+            out += [max(map(self.__getitem__, s), default=self.bias) for s in sets]
+        return out
 
 
 def _variants(word: str, rng: random.Random) -> list[str]:
@@ -171,95 +231,126 @@ def _variants(word: str, rng: random.Random) -> list[str]:
     return [word[:i] + c + word[i:], word[:j] + c + word[j + 1 :]]
 
 
-def _sentences(text: str, names: dict[str, str]) -> list[tuple[str, ...]]:
-    """Distinct words of each sentence; equal words are one object by ``names``."""
+def _sentences(text: str, names: dict[str, int]) -> list[np.ndarray]:
+    """Distinct words of each sentence, numbered by ``names``."""
     found = ({w for w in map(bare, tokens(s)) if w} for s in _SENTENCE.split(text))
-    return [tuple(names.setdefault(w, w) for w in t) for t in found if t]
+    return [np.array([names.setdefault(w, len(names)) for w in sorted(t)], np.int64) for t in found if t]
 
 
-def train(rows: list[tuple[str, int]]) -> dict | None:
-    """The model of labelled texts: weights of subsequences, bias, and the two numbers of the score's logistic curve. Every fourth text is kept for the curve. None where a label is missing."""
-    fit = [r for i, r in enumerate(rows) if i % 4]
-    curve = rows[::4]
+def _guess(letters: Letters, words: list[str], bags: list[tuple[list[np.ndarray], int]]) -> np.ndarray:
+    """A first score for each word: the mean of how much more often its subsequences stand in toxic documents than in clean ones (log ratio)."""
+    def of(sentences):
+        return np.unique(letters.parts([words[i] for i in np.unique(np.concatenate(sentences))])[1])
+
+    known, up = np.unique(np.concatenate([of(s) for s, y in bags if y and s]), return_counts=True)
+    down, total = np.zeros(len(known)), Counter(y for _, y in bags)
+    for sentences, y in bags:
+        if not y and sentences:
+            at, good = _place(of(sentences), known)
+            down[at[good]] += 1
+    ratio = np.log((up + 0.5) / (total[1] + 1)) - np.log((down + 0.5) / (total[0] + 1))
+    out = np.zeros(len(words))
+    for first, some in _chunks(words):
+        word, code, weight = letters.parts(some)
+        at, good = _place(code, known)
+        size = np.bincount(word, weight, len(some))
+        out[first : first + len(some)] = np.bincount(word, weight * np.where(good, ratio[at], -1.0), len(some)) / np.maximum(size, 1e-9)
+    return out
+
+
+def _evidence(toxic: list[np.ndarray], clean: list[np.ndarray], n: int) -> np.ndarray:
+    """For each word, how sure it is that toxic documents have it more often than clean ones (log-likelihood ratio)."""
+    a, b = (np.bincount(np.concatenate(x), minlength=n).astype(float) for x in (toxic, clean))
+    p, q, r = a / len(toxic), b / len(clean), (a + b) / (len(toxic) + len(clean))
+
+    def fit(k, m, share):
+        share = np.clip(share, 1e-12, 1 - 1e-12)
+        return k * np.log(share) + (m - k) * np.log(1 - share)
+
+    ratio = 2 * (fit(a, len(toxic), p) + fit(b, len(clean), q) - fit(a, len(toxic), r) - fit(b, len(clean), r))
+    return np.where(p > 2 * q, ratio, 0.0)
+
+
+def train(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> dict | None:
+    """The model of labelled texts: alphabet, weights of subsequences, bias, and the two numbers of the score's logistic curve. Every fourth text is kept for the curve, in which each label weighs as in ``totals`` (rows of each label of which the sample was taken). None where a label is missing."""
+    fit, curve = [r for i, r in enumerate(rows) if i % 4], rows[::4]
     if not any(y for _, y in fit) or all(y for _, y in fit):
         return None
-    # Which subsequences stand in more toxic documents than in clean ones gives the first guess.
-    names: dict[str, str] = {}
+    names: dict[str, int] = {}
     bags = [(_sentences(t, names), y) for t, y in fit]
-    del fit
-    n_docs, seen = Counter(y for _, y in bags), {0: Counter(), 1: Counter()}
-    for sentences, y in bags:
-        everywhere: set[str] = set()
-        for w in {w for t in sentences for w in t}:
-            for _, us in _by_shape(w):
-                everywhere.update(us)
-        seen[y].update(everywhere)
-    total = {y: n_docs[y] + 1.0 for y in (0, 1)}
-    guess = {u: math.log((n + 0.5) / total[1]) - math.log((seen[0][u] + 0.5) / total[0]) for u, n in seen[1].items()}
-    del seen
-    first: dict[str, float] = {}
-    for w in names:
-        up = down = 0.0
-        for weight, us in _by_shape(w):
-            up += weight * sum(guess.get(u, -1.0) for u in us)
-            down += weight * len(us)
-        first[w] = up / (down or 1.0)
-    # From here on a document is its best candidates: (word, sentence).
-    docs = []
-    for sentences, y in bags:
-        best = sorted({(first[w], w, i) for i, s in enumerate(sentences) for w in s}, reverse=True)[:CANDIDATES]
-        if best:
-            docs.append(([(w, i) for _, w, i in best], y))
-    del bags, guess
-    marked = Counter(c[0][0] for c, y in docs if y)
-    plain = Counter(w for c, y in docs if not y for w, _ in c)
-    landmarks = [w for w, _ in sorted(marked.items(), key=lambda x: (-x[1], x[0]))[: LANDMARKS * 2 // 3]]
-    landmarks += [w for w, _ in sorted(plain.items(), key=lambda x: (-x[1], x[0])) if w not in marked][: LANDMARKS - len(landmarks)]
-    kernel = Kernel(landmarks)
-    every = list(dict.fromkeys(w for c, _ in docs for w, _ in c))
-    row, matrix = {w: i for i, w in enumerate(every)}, kernel.features(every)
-    score = {w: first[w] for w in every}
-    del first
-    floor = math.inf
-    weights, bias = None, 0.0
+    bags = [(s, y) for s, y in bags if s]
+    if not any(y for _, y in bags) or all(y for _, y in bags):
+        return None
+    words = list(names)
+    letters = Letters("".join(sorted({c for w in words for c in w} - {"^"})))
+    score = _guess(letters, words, bags)
+    documents = [(np.unique(np.concatenate(s)), y) for s, y in bags]
+    evidence = _evidence([d for d, y in documents if y], [d for d, y in documents if not y], len(words))
+    told = evidence >= EVIDENCE
+
+    def best(of: np.ndarray) -> int:
+        return int(of[np.argmax(score[of])]) if len(of) else -1
+
+    # Of toxic documents, the words that the labels speak of; of clean ones, the others.
+    toxic = [[t for x in s if len(t := x[told[x]])] for s, y in bags if y]
+    clean = [t for d, y in documents if not y and len(t := d[~told[d]])]
+    if not any(toxic) or not clean:
+        return None
+    marked = Counter(best(np.concatenate(s)) for s in toxic if s)
+    plain = Counter(map(best, clean))
+    usual = np.bincount(np.concatenate(clean), minlength=len(words))
+    order = lambda c: [i for i, _ in sorted(c.items(), key=lambda x: (-x[1], words[x[0]]))]
+    landmarks = order(marked)[: LANDMARKS // 3]
+    landmarks += order(plain)[: LANDMARKS // 3]
+    landmarks += [i for i in np.argsort(-usual, kind="stable").tolist() if usual[i] and i not in set(landmarks)][: LANDMARKS - len(landmarks)]
+    kernel = Kernel([words[i] for i in landmarks], letters)
+    clean_words = np.flatnonzero(usual)
+    negative: dict[int, None] = {}
+    held: dict[int, np.ndarray] = {}
+    floor, weights, bias = math.inf, None, 0.0
     for _ in range(ROUNDS):
-        positive, negative = [], []
-        for candidates, y in docs:
-            by_sentence: dict[int, tuple[float, str]] = {}
-            for w, i in candidates:
-                by_sentence[i] = max(by_sentence.get(i, (-math.inf, "")), (score[w], w))
-            if y:
-                top = max(by_sentence.values())
-                positive += {w for s, w in by_sentence.values() if s > floor} | {top[1]}
-            else:
-                negative += [w for _, w in sorted(by_sentence.values(), reverse=True)[:8]]
-        # Disguised forms of what is taken for toxic, at a lower cost.
+        positive: Counter[int] = Counter()
+        for sentences in toxic:
+            tops = [best(x) for x in sentences]
+            if tops:
+                positive.update({i for i in tops if score[i] > floor} | {max(tops, key=lambda i: (score[i], -i))})
+        negative.update(dict.fromkeys(map(best, clean)))
+        negative.update(dict.fromkeys(clean_words[np.argsort(-score[clean_words], kind="stable")[:MINED]].tolist()))
+        chosen = list(positive)
         rng = random.Random(1)
-        altered = [v for w in sorted(set(positive)) if w not in plain for v in _variants(w, rng)]
-        x = np.concatenate((matrix[[row[w] for w in positive]], kernel.features(altered), matrix[[row[w] for w in negative]]))
-        y = np.array([1.0] * (len(positive) + len(altered)) + [-1.0] * len(negative))
-        cost = np.concatenate((np.full(len(positive), 2.0), np.full(len(altered), 0.5), np.full(len(negative), 2.0 * min(1.0, len(positive) / max(1, len(negative))))))
+        altered = [v for i in sorted(chosen, key=words.__getitem__) if not usual[i] for v in _variants(words[i], rng)]
+        fresh = [i for i in [*chosen, *negative] if i not in held]
+        if fresh:
+            held.update(zip(fresh, kernel.features([words[i] for i in fresh]), strict=True))
+        x = np.concatenate((np.array([held[i] for i in chosen]), kernel.features(altered), np.array([held[i] for i in negative])))
+        y = np.array([1.0] * (len(chosen) + len(altered)) + [-1.0] * len(negative))
+        # A word counts by the documents that show it and by what is known of it.
+        up = np.array([positive[i] ** 0.5 * min(1.0, evidence[i] / (4 * EVIDENCE)) for i in chosen])
+        cost = np.concatenate((4.0 * up, np.full(len(altered), 0.5), np.full(len(negative), 1.0)))
         weights, bias = svm(x.astype(np.float64), y, cost)
-        score = dict(zip(every, (matrix @ weights + bias).tolist(), strict=True))
-        floor = 0.0
-    model = {"weights": kernel.folded(weights), "bias": bias, "slope": 4.0, "shift": 0.0}
-    scores = Scores(model["weights"], bias)
-    model["slope"], model["shift"] = _curve(np.array([scores.document(t) for t, _ in curve]), np.array([float(y) for _, y in curve]))
+        model = {"letters": letters.letters, "codes": kernel.codes, "weights": kernel.folded(weights), "bias": bias, "slope": 4.0, "shift": 0.0}
+        score, floor = Scores(model).words(words), 0.0
+    margin, label = np.array(Scores(model).documents([t for t, _ in curve])), np.array([float(y) for _, y in curve])
+    weigh = np.ones(len(label))
+    if totals:
+        taken = Counter(y for _, y in rows)
+        weigh = np.array([totals[int(y)] / taken[int(y)] for y in label])
+    model["slope"], model["shift"] = _curve(margin, label, weigh / weigh.mean())
     return model
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _curve(x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve by Newton's method, with targets drawn in by a pseudo-count (Platt)."""
     if not len(y) or y.min() == y.max():
         return 4.0, 0.0
-    up, down = y.sum(), (1 - y).sum()
+    up, down = (weigh * y).sum(), (weigh * (1 - y)).sum()
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     a = np.array([4.0, 0.0])
     rows = np.stack((x, np.ones(len(x))), 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ a, -30, 30)))
-        h = (rows * (p * (1 - p) + 1e-9)[:, None]).T @ rows + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, rows.T @ (target - p) - 1e-3 * (a - [4.0, 0.0]))
+        h = (rows * (weigh * p * (1 - p) + 1e-9)[:, None]).T @ rows + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, rows.T @ (weigh * (target - p)) - 1e-3 * (a - [4.0, 0.0]))
         a = a + np.clip(step, -2, 2)
         if abs(step).max() < 1e-6:
             break
@@ -267,7 +358,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", target: str = "toxic", bound: dict[int, int] | None = None) -> dict | None:
-    return train(labelled.sample(docs, labels, target, key, text, bound))
+    totals = {int(r[0]): r[1] for r in labels.where(F.col(target).isin(0, 1) & F.col(key).isNotNull() & ~labelled.held_out(key)).groupBy(F.col(target).cast("int")).count().collect()}  # two rows
+    return train(labelled.sample(docs, labels, target, key, text, bound), totals if len(totals) == 2 else None)
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text", into: str = "score") -> DataFrame:
@@ -279,9 +371,9 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", into: str = "
     @F.pandas_udf("double")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
-        scores = Scores(m["weights"], m["bias"])
+        scores = Scores(m)
         for part in parts:
-            margin = np.array([scores.document(t) for t in part], float)
+            margin = np.array(scores.documents(part), float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(m["slope"] * margin + m["shift"], -30, 30))))
 
     return docs.withColumn(into, of(F.col(text)))

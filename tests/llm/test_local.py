@@ -266,32 +266,40 @@ def test_stars_reach_every_possible_partner():
 # --- SentencePiece ---------------------------------------------------------------------------------------------
 
 
-def test_merges_by_heap_give_the_library_s_ids():
+def test_units_by_heap_give_the_library_s_ids():
     import sentencepiece
 
     path = tokenizer_file("piece_bpe_32k.model")
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    v = sp_lattice.Vocabulary(path)
-    whole = {p: (i, -s) for p, i, s in v.pieces}
+    model, v = sentencepiece.SentencePieceProcessor(model_file=path), sp_lattice.Vocabulary(path)
+    assert v.irregular() == [sp_lattice.BLANK * 16]
     rng = random.Random(1)
-    for text in ["internationalisation", "antidisestablishmentarianism" * 9, "größte漢字😀", "".join(rng.choice("abcdeést") for _ in range(400)), "      x"]:
-        ids = []
-        for unit in [u for units, words in sp_lattice.cut(text) for u in [*units, *(sp_lattice.BLANK + w for w in words)]]:
-            n = len(unit)
-            edges = [(whole[unit[s:e]][1], s, e) for s in range(n) for e in range(s + 2, min(n, s + v.longest) + 1) if unit[s:e] in whole]
-            at = sp_lattice._merged(n, edges)
-            for s, e in zip(at, at[1:], strict=False):
-                ids += [whole[unit[s:e]][0]] if unit[s:e] in whole else [v.bytes[b] for b in unit[s:e].encode()]
+    for text in ["internationalisation", "antidisestablishmentarianism" * 9, "größte漢字😀, (1999) \n\n x", "".join(rng.choice("abcdeést") for _ in range(400)), "▁ ▁x", *(" " * k + "x" for k in range(40))]:
+        units = v.cut(text)
+        assert "".join(units) == sp_lattice.BLANK + text.replace(" ", sp_lattice.BLANK)
+        ids = [i for unit in units for i in v.ids_of(unit, "merges")]
         assert ids == model.encode(text), text
-        assert v.decode(ids) == text
+        assert v.decode(ids) == text.replace(sp_lattice.BLANK, " ")
+
+
+def test_no_piece_crosses_a_cut():
+    v = sp_lattice.Vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    for piece in random.Random(2).sample(sorted(v.known), 2000):
+        assert max(map(len, v.cut(f"x{piece}"))) >= len(piece)
+
+
+def test_pieces_that_one_pass_can_miss_are_told():
+    v = sp_lattice.Vocabulary.__new__(sp_lattice.Vocabulary)
+    v._of([("a", 0, 0.0), ("b", 1, 0.0), ("c", 2, 0.0), ("bc", 3, -3.0), ("abc", 4, -1.0)])
+    assert v.irregular() == ["abc"]
 
 
 # --- classifiers and rules -------------------------------------------------------------------------------------
 
 
 def test_kernel_tolerates_gaps_and_beats_chance_when_folded():
-    like = lambda a, b: sum(x * toxic_kernel.subsequences(b).get(u, 0) for u, x in toxic_kernel.subsequences(a).items())
-    assert like("idiot", "idxiot") > 2 * like("idiot", "garden") and like("idiot", "idi0t") > 2 * like("idiot", "garden")
+    like = toxic_kernel.Kernel(["idiot", "garden"], toxic_kernel.Letters("abcdefghijklmnopqrstuvwxyz0")).likeness
+    for word in ("idxiot", "idi0t", "idit"):
+        assert like([word])[0, 0] > 2 * like([word])[0, 1] and like([word])[0, 0] > 0.2
     assert toxic_kernel.bare("i.d-i_o*t") == "idiot" and "i d i o t" in toxic_kernel.tokens("you I D I O T there")
     rng = random.Random(4)
     sound = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
@@ -305,20 +313,42 @@ def test_kernel_tolerates_gaps_and_beats_chance_when_folded():
 
     rows = [(document(i % 2), i % 2) for i in range(240)]
     model = toxic_kernel.train(rows)
-    scores = toxic_kernel.Scores(model["weights"], model["bias"])
-    p = lambda t: 1 / (1 + np.exp(-(model["slope"] * scores.document(t) + model["shift"])))
+    scores = toxic_kernel.Scores(model)
+    p = lambda t: 1 / (1 + np.exp(-(model["slope"] * scores.documents([t])[0] + model["shift"])))
     held = [(document(i % 2), i % 2) for i in range(100)]
     assert sum((p(t) >= 0.5) == bool(y) for t, y in held) >= 97
     assert p("") < 0.5 and p(None) < 0.5 and p("such a w0rthless. thing") > p("such a garden thing")
     # The folded machine is the machine over the features.
     kernel = toxic_kernel.Kernel(["idiot", "garden", "worthless"])
     w = np.random.default_rng(0).normal(size=kernel.whiten.shape[1])
-    folded = toxic_kernel.Scores(kernel.folded(w), 0.5)
-    for word in ("idi0t", "gardens", "zzz"):
-        assert folded.word(word) == pytest.approx(float(kernel.features([word])[0] @ w) + 0.5)
+    folded = toxic_kernel.Scores({"letters": kernel.letters.letters, "codes": kernel.codes, "weights": kernel.folded(w), "bias": 0.5})
+    for word in ("idi0t", "gardens", "zzz", "", "x" * 5000):
+        assert folded.words([word])[0] == pytest.approx(float(kernel.features([word])[0] @ w) + 0.5, abs=1e-4)
     assert toxic_kernel.train([("a", 1)]) is None and toxic_kernel.train([]) is None
 
 
+def test_toxicity_on_held_out_documents():
+    """Held-out rows of a table whose labels follow its words; and no word of a sampled text is left out of training."""
+    import zlib
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    folder = Path("/root/testdata/check_s")
+    if not folder.exists():
+        pytest.skip("no such table here")
+    read = lambda name, columns: pq.read_table(folder / f"{name}.parquet", columns=columns).to_pydict()
+    labels = dict(zip(*read("labels", ["doc_id", "toxic"]).values(), strict=True))
+    rows = [(zlib.crc32(str(k).encode()) % 5 == 0, t or "", labels[k]) for k, t in zip(*read("documents", ["doc_id", "text"]).values(), strict=True) if labels.get(k) is not None]
+    fit = [(t, y) for held, t, y in rows if not held]
+    some = [r for r in fit if r[1]][:500] + [r for r in fit if not r[1]][:1000]
+    model = toxic_kernel.train(some, {y: sum(v == y for _, v in fit) for y in (0, 1)})
+    held = [(t, y) for h, t, y in rows if h][:2000]
+    margin = np.array(toxic_kernel.Scores(model).documents([t for t, _ in held]))
+    said, told = model["slope"] * margin + model["shift"] >= 0, np.array([y for _, y in held]) == 1
+    assert (said & told).sum() >= 0.9 * told.sum() and (said & told).sum() >= 0.9 * said.sum()
+
+
 def test_attention_gradient_and_learning():
     rng = np.random.default_rng(0)
     encoded = [rng.normal(size=(k, mil_quality.FEATURES)) for k in (1, 4, 2)]
