@@ -22,6 +22,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,33 +45,47 @@ STRIDE = 1024
 # --- ids -------------------------------------------------------------------------------------------------------
 
 
+#: Characters by which byte-level vocabularies write bytes: printable ones of Latin-1 stand for themselves, the others for the code points from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
+
 class Pieces(dict):
-    """Ids of pieces, as bytes, with ``lead`` in front; found by the library once and remembered up to a bound. Marks after a letter or digit are tokens of their own, so that the piece before them is looked up alone."""
+    """Ids of pieces, as bytes, with ``lead`` in front; found by the library once and remembered: when there are BOUND of them they become the older half, and those of it that are met again come back. Marks after a letter or digit are tokens of their own, so that the piece before them is looked up alone; a piece of letters alone is one word to the pre-tokenizer and goes to the library's model at once."""
 
-    BOUND = 800_000
+    BOUND = 700_000
     #: No apostrophe: some letters after it belong to it.
     MARKS = ".,;:!?)]}\"#*$%&|<>/-"
 
     def __init__(self, library, kind: np.dtype, lead: str):
         super().__init__()
-        self.library, self.kind, self.lead = library, kind, lead
+        self.library, self.model, self.lead, self.older = library, library.model, lead, {}
+        self.code = {2: "H", 4: "I"}[kind.itemsize]
 
     def __missing__(self, piece: str) -> bytes:
-        core = piece.rstrip(self.MARKS)
-        if core != piece and core and (core[-1].isalpha() or "0" <= core[-1] <= "9"):
-            ids = self[core] + self.marks[piece[len(core) :]]
-        else:
-            ids = np.array(self.library.encode(self.lead + piece, add_special_tokens=False).ids, self.kind).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            core = piece.rstrip(self.MARKS)
+            if core != piece and core and (core[-1].isalpha() or "0" <= core[-1] <= "9"):
+                ids = self[core] + self.marks[piece[len(core) :]]
+            elif piece.isalpha():
+                ids = array(self.code, [t.id for t in self.model.tokenize(_written(self.lead + piece))]).tobytes()
+            else:
+                ids = array(self.code, self.library.encode(self.lead + piece, add_special_tokens=False).ids).tobytes()
         if len(self) >= self.BOUND:
+            self.older = dict(self)
             self.clear()
         self[piece] = ids
         return ids
 
 
+def _written(text: str) -> str:
+    return text.replace(" ", _WRITTEN[32]) if text.isascii() else text.encode().decode("latin-1").translate(_WRITTEN)
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE of the tokenizers library. Its pre-tokenizer never joins what a single blank or line end parts from what stands before it, so that texts are cut there and the pieces' ids put together. The library takes added tokens out of a text first, whatever is beside them; a text that holds one goes to it whole."""
 
-    _near = re.compile(r"\A\s|\s\s|\s\Z")
     _cut = re.compile(r"(?<=\S)([ \n])(?=\S)")
 
     def __init__(self, path: str):
@@ -78,8 +93,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        added = [t.content for t in library.get_added_tokens_decoder().values()]
-        self._added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self._added = [t.content for t in library.get_added_tokens_decoder().values()]
         self.library = library
         self.kind = np.dtype("<u2" if library.get_vocab_size() <= 1 << 16 else "<u4")
         self.led, self.bare = Pieces(library, self.kind, " "), Pieces(library, self.kind, "")
@@ -87,7 +101,9 @@ class Encoder:
         self.line = self.bare["\n"]
 
     def _lines(self, text: str) -> list[list[str]]:
-        if not self._near.search(text):
+        # Words that blanks and line ends part one by one, with no other white space.
+        words, apart = text.split(), text.count(" ") + text.count("\n")
+        if len(words) == apart + 1 and sum(map(len, words)) + apart == len(text):
             return [x.split(" ") for x in text.split("\n")]
         parts = self._cut.split(text)
         lines = [[parts[0]]]
@@ -101,7 +117,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self._added.search(text):
+        if any(x in text for x in self._added):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         led, bare = self.led.__getitem__, self.bare
         return self.line.join([bare[x[0]] + b"".join(map(led, x[1:])) for x in self._lines(text)])
@@ -133,21 +149,32 @@ def compress(ids: np.ndarray, rules: int = RULES, least: int = LEAST, gain: floa
         if not len(best):
             break
         chosen = ordered[heads[best]]  # from the most frequent pair to the least
-        by_value = np.argsort(chosen)
-        place = np.minimum(np.searchsorted(chosen[by_value], some), len(chosen) - 1)
-        found = chosen[by_value[place]] == some
+        # Of chosen pairs that share a bucket, the most frequent is looked up; another one waits for the next round.
+        with np.errstate(over="ignore"):
+            slot = ((chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        rank_of = np.full(1 << 20, -1, np.int32)
+        rank_of[slot[::-1]] = np.arange(len(chosen) - 1, -1, -1)
+        rank = rank_of[bucket[at]]
+        found = (rank >= 0) & (chosen[rank] == some)
         ranks = np.full(len(keys) + 2, rules, np.int32)
-        ranks[at[found] + 1] = by_value[place[found]]
-        here, at, takes = ranks[1:-1], np.arange(len(keys)), []
+        at = at[found]
+        ranks[at + 1] = rank[found]
+        takes = []
         for _ in range(3):  # places that the first choice left free are chosen among again
-            # In a run of one symbol every second place is taken.
-            second = (at - np.maximum.accumulate(np.where(here == ranks[:-2], 0, at))) & 1 == 0
-            some = np.flatnonzero((here < rules) & ((here < ranks[:-2]) | ((here == ranks[:-2]) & second)) & (here <= ranks[2:]))
-            if not len(some):
+            here, left = ranks[at + 1], ranks[at]
+            good = (here <= left) & (here <= ranks[at + 2])
+            # In a run of one symbol every second place is taken: not those at an odd distance from the run's first.
+            again = np.flatnonzero(here == left)
+            if len(again):
+                first = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(at[again]) != 1)), np.arange(len(again)), 0))
+                good[again[(np.arange(len(again)) - first) & 1 == 0]] = False
+            if not good.any():
                 break
-            takes.append((some, here[some]))
+            some = at[good]
+            takes.append((some, here[good]))
             for k in (0, 1, 2):
                 ranks[some + k] = rules
+            at = at[ranks[at + 1] < rules]
         take, here = (np.concatenate(x) for x in zip(*takes, strict=True))
         order = np.argsort(take)
         take, here = take[order], here[order]
