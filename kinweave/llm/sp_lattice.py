@@ -1,25 +1,32 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
-Texts are cut into units that no piece of the vocabulary crosses: a run of blanks with the characters up to the next
-one, line ends apart. Each block of rows sends its distinct units once, dealt by hash. Over the distinct units of the
-corpus the lattice is a join: all substrings of up to the longest piece's length are exploded and equi-joined to the
-table of pieces; the edges found are grouped by unit and folded by a higher-order aggregate. Answers go back by
-block, and the texts, read again, are put together from them.
-
-Two folds are there. ``viterbi`` finds the path of the greatest sum of scores, as unigram vocabularies ask for;
-``merges`` repeats the best pair merge, as BPE vocabularies ask for (their scores are ranks, and a best path over
-ranks gives other ids than the library). Units of more than MASK characters, which don't fit a bit mask, are merged by
-a heap over the same grouped edges; nothing is cut short.
-
-Defined results: a null or empty text has no ids; characters without a piece become bytes; repeated rows get equal
-ids; an empty table gives an empty table; other columns are not looked at. Decoding gives the text back, but for
-U+2581, which is the library's sign for a blank.
+A text is cut into units between neighbouring characters that no piece of the vocabulary holds side by side, so that
+no piece crosses a cut and each unit is encoded by itself. Each block of rows sends its distinct units once. Over
+these the lattice is a join: all substrings of up to the longest piece's length are exploded and equi-joined to the
+table of pieces; the edges found are grouped by unit and folded by a higher-order aggregate. The folded path, a few
+numbers a unit, is kept under the block's number, and the texts, read again, are put together from the paths. Nothing of this depends on how often a
+unit stands in other blocks, so that no unit is a hot key.
+
+Two folds are there. ``viterbi`` finds the path of the greatest sum of scores, as unigram vocabularies ask for.
+``merges`` is for BPE vocabularies, whose scores are ranks (a best path over ranks gives other ids than the library):
+the edges are passed once from the best rank to the worst, of equal ones from left to right, and each joins two
+neighbouring segments where these make it up. One pass is enough where every piece in the unit is itself made by merges
+in that order, since then no merge makes an earlier one possible later.
+
+Two kinds of units aren't exploded: those of more than LONGEST characters, the boundaries of which don't fit a 64-bit
+mask and of which all substrings would be more than a row should grow to, and those that hold a piece made by merges in
+another order (of the 32,000 pieces of the supplied vocabulary, one: a run of sixteen blanks). They get their ids from
+the same vocabulary by a heap (or a plain best path), in the pass that puts the texts together. The ids are the
+library's in both ways, and nothing is cut short.
+
+Defined results: a null or empty text has no ids; characters without a piece become bytes; texts and units of any
+length are encoded whole; repeated rows get equal ids; an empty table gives an empty table; other columns are not
+looked at, whatever their names. Decoding gives the text back, but for U+2581, which is the library's sign for a blank.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,17 +36,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Replies, bucket_count, kept, shared_folder, with_blocks
+from kinweave.llm.common import Replies, bucket_count, shared_folder, with_blocks
 
 BLANK = "▁"
-#: Characters of a unit whose inner boundaries fit a 64-bit mask.
-MASK = 60
-BLOCK_ROWS, BUCKET_BYTES = 8192, 3 << 20
-_UNITS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+#: Characters of a unit whose boundaries fit a 64-bit mask.
+LONGEST = 60
+#: Rows of a block, bytes of input whose units meet in a task, and distinct units of a block that are dealt together.
+BLOCK_ROWS, BUCKET_BYTES, DEALT = 8192, 2 << 20, 16_384
+#: Groups that an aggregate over objects holds before it sorts them; a task has some tens of thousands.
+_GROUPS = ("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20))
 
 
 class Vocabulary:
-    """Pieces of a model file: (piece, id, score) that text can match, ids of bytes, and what each id decodes to."""
+    """Pieces of a model file: (piece, id, score) that text can match, ids of bytes, what each id decodes to, and which characters stand side by side in pieces."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -47,22 +56,101 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in ids]
-        self.pieces = [(model.id_to_piece(i), i, model.get_score(i)) for i in ids if not special[i] and not model.is_byte(i)]
+        self._of([(model.id_to_piece(i), i, model.get_score(i)) for i in ids if not special[i] and not model.is_byte(i)])
         self.bytes = {int(model.id_to_piece(i)[1:-1], 16): i for i in ids if model.is_byte(i)}
-        self.longest = max(len(p) for p, _, _ in self.pieces)
         self.text = [b"" if special[i] else bytes([int(model.id_to_piece(i)[1:-1], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(BLANK, " ").encode() for i in ids]
         if len(self.bytes) != 256:
             raise ValueError("a vocabulary without pieces for all bytes")
-        if any(BLANK in p.lstrip(BLANK) for p, _, _ in self.pieces):
-            raise ValueError("a piece with a blank after other characters")
-        if any("\n" in p and len(p) > 1 for p, _, _ in self.pieces):
-            raise ValueError("a piece that crosses line ends")
-        whole = {p: i for p, i, _ in self.pieces}
-        self.line = [whole["\n"]] if "\n" in whole else [self.bytes[10]]
+
+    def _of(self, pieces: list[tuple[str, int, float]]) -> None:
+        if len(pieces) >= 1 << 20:
+            raise ValueError("a vocabulary of more than a million pieces")
+        self.pieces = pieces
+        ranks = {s: r for r, s in enumerate(sorted({s for _, _, s in pieces}, reverse=True))}
+        #: piece: (rank of its score, id, score)
+        self.known = {p: (ranks[s], i, s) for p, i, s in pieces}
+        self.longest = max(map(len, self.known))
+        if self.longest >= 64:
+            raise ValueError("a piece of more than 63 characters")
+        #: The id of a character that is a piece, by its code point; else -1.
+        self.single = np.full(0x110000, -1, np.int32)
+        for p, (_, i, _) in self.known.items():
+            if len(p) == 1:
+                self.single[ord(p)] = i
+        chars = sorted({c for p in self.known if len(p) > 1 for c in p})
+        self._width = len(chars) + 1
+        self._class = np.zeros(0x110000, np.int32)
+        for at, c in enumerate(chars, 1):
+            self._class[ord(c)] = at
+        self._beside = np.zeros(self._width**2, bool)
+        for p in self.known:
+            at = self._class[[ord(c) for c in p]]
+            self._beside[at[:-1] * self._width + at[1:]] = True
+
+    def irregular(self) -> list[str]:
+        """Pieces made by merges of which a later one precedes an earlier one in the order of rank and start, so that one pass over edges can miss them."""
+        out = []
+        for piece in self.known:
+            made = [(rank, s, e) for rank, s, _, e in _merges(len(piece), self.edges(piece))]
+            if made != sorted(made):
+                out.append(piece)
+        return out
+
+    def edges(self, unit: str) -> list[tuple[int, int, int]]:
+        """(rank, start, end) of the pieces of two characters or more in a unit."""
+        n, known = len(unit), self.known
+        return [(known[p][0], s, e) for s in range(n) for e in range(s + 2, min(n, s + self.longest) + 1) if (p := unit[s:e]) in known]
+
+    def cut(self, text: str) -> list[str]:
+        """The units of a text that isn't empty, blanks written as U+2581 and one in front."""
+        text = BLANK + text.replace(" ", BLANK)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = self._class[codes]
+        apart = ~self._beside[at[:-1] * self._width + at[1:]]
+        # A blank, of which there is none left, goes between units, and the library's own split does the rest.
+        places = np.arange(len(codes))
+        places[1:] += np.cumsum(apart)
+        out = np.full(places[-1] + 1, 32, np.uint32)
+        out[places] = codes
+        return out.tobytes().decode("utf-32-le", "surrogatepass").split(" ")
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The piece table: as many rows as the vocabulary has pieces, whatever the corpus."""
-        return spark.createDataFrame(self.pieces, "piece string, id int, score double")
+        return spark.createDataFrame([(p, r, i, s) for p, (r, i, s) in self.known.items()], "piece string, rank long, id long, score double")
+
+    def ids_of(self, unit: str, fold: str) -> list[int]:
+        """Ids of a unit of any length, without the relational lattice."""
+        at = merged(len(unit), self.edges(unit)) if fold == "merges" else self._best(unit)
+        return [i for a, b in zip(at, at[1:], strict=False) for i in self._spelled(unit[a:b])]
+
+    def _spelled(self, segment: str) -> list[int]:
+        found = self.known.get(segment)
+        return [found[1]] if found else [self.bytes[x] for x in segment.encode("utf-8", "surrogatepass")]
+
+    def ids_along(self, unit: str, path: list[int]) -> list[int]:
+        """Ids of a unit along a path (starts, lengths and ids, see _EDGE); characters beside it stand for themselves."""
+        out, at = [], 0
+        for x in path:
+            s = x >> 26
+            for c in unit[at:s]:
+                out += self._spelled(c)
+            out.append(x & 0xFFFFF)
+            at = s + (x >> 20 & 63)
+        for c in unit[at:]:
+            out += self._spelled(c)
+        return out
+
+    def _best(self, unit: str) -> list[int]:
+        best, back = [0.0], [0]
+        for e in range(1, len(unit) + 1):
+            found = [(best[s] + self.known[p][2], s) for s in range(max(0, e - self.longest), e) if (p := unit[s:e]) in self.known]
+            score, s = max([*found, (best[e - 1] - 1e12, e - 1)])
+            best.append(score)
+            back.append(s)
+        at = [len(unit)]
+        while at[-1]:
+            at.append(back[at[-1]])
+        return at[::-1]
 
     def decode(self, ids) -> str:
         data = b"".join([self.text[i] for i in ids])
@@ -72,36 +160,21 @@ class Vocabulary:
 # --- units -----------------------------------------------------------------------------------------------------
 
 
-def cut(text: str) -> list[tuple[list[str], list[str]]]:
-    """Units of each line: (those that stand as they are, words that a single blank leads). In a line, the former come first."""
-    out, first = [], True
-    for line in text.split("\n"):
-        words = line.split(" ")
-        if BLANK in line or "" in words[1:] or (words[0] == "" and len(words) > 1):
-            units = _UNITS.findall((BLANK if first else "") + line.replace(" ", BLANK))
-            out.append((units, []))
-        elif first:
-            out.append(([], words))
-        else:
-            out.append((words[:1] if words[0] else [], words[1:]))
-        first = False
-    return out
-
-
-def _merged(n: int, edges: list[tuple[float, int, int]]) -> list[int]:
-    """Boundaries after all merges, by a heap: edges are (rank, start, end) of pieces of two characters or more."""
+def _merges(n: int, edges: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """The merges of a unit in their order, by a heap: (rank, start, middle, end). Edges are (rank, start, end) of pieces of two characters or more."""
     rank = {(s, e): r for r, s, e in edges}
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the segment that starts at i: its end, the start of the one before
     alive = [True] * n
     heap = [(rank[i, i + 2], i, i + 2) for i in range(n - 1) if (i, i + 2) in rank]
     heapq.heapify(heap)
     while heap:
-        _, s, e = heapq.heappop(heap)
+        r, s, e = heapq.heappop(heap)
         if not alive[s]:
             continue
         middle = after[s]
         if middle >= e or middle >= n or not alive[middle] or after[middle] != e:
             continue
+        yield r, s, middle, e
         alive[middle] = False
         after[s] = e
         if e < n:
@@ -111,131 +184,154 @@ def _merged(n: int, edges: list[tuple[float, int, int]]) -> list[int]:
         b = before[s]
         if b >= 0 and (b, e) in rank:
             heapq.heappush(heap, (rank[b, e], b, e))
-    return [i for i in range(n) if alive[i]] + [n]
 
 
-def _merge_long(n: pd.Series, merges: pd.Series) -> pd.Series:
-    return pd.Series([_merged(k, [(x["rank"], x["s"], x["e"]) for x in m]) for k, m in zip(n, merges, strict=True)])
+def merged(n: int, edges: list[tuple[int, int, int]]) -> list[int]:
+    """Boundaries after all merges."""
+    gone = {middle for _, _, middle, _ in _merges(n, edges)}
+    return [i for i in range(n) if i not in gone] + [n]
+
+
+# An edge is a number: rank, start, length and id, from the highest bits to the lowest, so that edges are ordered by rank, then by start. The lower half, without the rank, is a step of a path.
+_EDGE = "shiftleft(rank, 32) | shiftleft(CAST(s AS BIGINT), 26) | shiftleft(CAST(e - s AS BIGINT), 20) | id"
+_S, _L = "CAST(shiftright(x, 26) & 63 AS INT)", "CAST(shiftright(x, 20) & 63 AS INT)"
+#: Added to a step to make it a 32-bit integer with a sign.
+_SIGNED = -(1 << 31)
 
 
-def _boundaries_by_merges() -> Column:
-    """In each step the best applicable merge: both ends are boundaries and one boundary lies between. The merges travel in the accumulator: named from outside, the optimiser would put their expression into each step."""
-    return F.expr("""aggregate(sequence(1, greatest(n - 1, 1)),
-        named_struct('m', filter(edges, x -> x.e - x.s > 1), 'b', shiftleft(1L, n + 1) - 1L),
-        (a, i) -> named_struct('m', a.m, 'b', coalesce(a.b & ~get(filter(a.m, x -> (a.b & x.ends) = x.ends AND bit_count(a.b & x.inside) = 1), 0).inside, a.b)),
-        a -> filter(sequence(0, n), i -> (a.b & shiftleft(1L, i)) <> 0))""")
+#: The steps of the edges that are segments of the boundaries in the mask b. It stands in the folds' last functions, where b is a variable: as a column, the optimiser would put the whole fold into the filter's function.
+_PATH = f"""sort_array(array_distinct(transform(
+        filter(edges, x -> (shiftrightunsigned(b, {_S}) & 1L) = 1L AND (shiftrightunsigned(b, {_S}) & (shiftleft(2L, {_L}) - 1L)) = shiftleft(1L, {_L}) + 1L),
+        x -> CAST((x & 4294967295L) + {_SIGNED}L AS INT))))"""
 
 
-def _boundaries_by_viterbi() -> Column:
-    """The path of the greatest sum of scores; of equal ones the longer last piece. A character without a piece costs more than any path of pieces."""
-    return F.expr("""aggregate(sequence(1, n), array(named_struct('score', 0D, 's', -1)), (best, k) ->
+def _path_by_merges() -> Column:
+    """An edge joins two segments where its ends are boundaries and one boundary lies between."""
+    within = f"shiftrightunsigned(b, {_S}) & (shiftleft(2L, {_L}) - 1L)"
+    return F.expr(f"""aggregate(sort_array(edges), shiftleft(1L, n + 1) - 1L,
+        (b, x) -> if((shiftrightunsigned(b, {_S}) & 1L) = 1L AND bit_count({within}) = 3 AND (shiftrightunsigned(b, {_S} + {_L}) & 1L) = 1L,
+            b & ~shiftleft(shiftleft(1L, {_L}) - 2L, {_S}), b),
+        b -> {_PATH})""")
+
+
+def _path_by_viterbi() -> Column:
+    """The path of the greatest sum of scores; of equal ones the shorter last piece. A character without a piece costs more than any path of pieces."""
+    return F.expr(f"""aggregate(sequence(1, n), array(named_struct('score', 0D, 's', -1)), (best, k) ->
         concat(best, array(array_max(concat(
-            transform(filter(edges, x -> x.e = k), x -> named_struct('score', best[x.s].score + x.score, 's', x.s)),
+            transform(filter(scored, x -> x.e = k), x -> named_struct('score', best[x.s].score + x.score, 's', x.s)),
             array(named_struct('score', best[k - 1].score - 1e12D, 's', k - 1)))))),
-        best -> aggregate(sequence(1, n), array(n), (path, i) -> if(path[0] > 0, concat(array(best[path[0]].s), path), path)))""")
+        best -> aggregate(sequence(1, n), named_struct('at', n, 'b', shiftleft(1L, n)),
+            (a, i) -> if(a.at > 0, named_struct('at', best[a.at].s, 'b', a.b | shiftleft(1L, best[a.at].s)), a),
+            a -> aggregate(array(a.b), array(0), (none, b) -> {_PATH})))""")
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary, fold: str = "merges") -> DataFrame:
-    """bucket, unit and ids (array) of distinct (bucket, unit) rows that are dealt by bucket; all groupings keep that dealing, so that nothing moves."""
+    """block, unit and path of (block, sub, unit) rows that are dealt by (block, sub); the grouping keeps that dealing, so that nothing moves. A row that stands twice (two tasks may read parts of a block) gives the same path. A path is an array of steps (with a sign, see _SIGNED) by their starts; characters that no step covers stand for themselves. A unit without any edge has no row."""
     table = F.broadcast(vocabulary.table(units.sparkSession))  # fixed by the vocabulary
-    rows = units.withColumn("n", F.length("unit"))
-    starts = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    spans = starts.select("*", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("n"), F.col("s") + vocabulary.longest))).alias("e"))
-    found = spans.select("bucket", "unit", "n", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece")).join(table, "piece", "left")
-    # A unit without any edge keeps a row, by its first character's span.
-    found = found.where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("e") == 1)))
-    edge = F.struct((-F.col("score")).alias("rank"), "s", "e", "id", "score", F.expr(f"if(n <= {MASK}, shiftleft(1L, s) | shiftleft(1L, e), 0L)").alias("ends"), F.expr(f"if(n <= {MASK}, shiftleft(1L, e) - shiftleft(1L, s + 1), 0L)").alias("inside"))
-    # The length is a key so that a condition on it reaches the units themselves.
-    # The unit comes first: a sort of the groups compares its first bytes, not the bucket, which all rows of a task share.
-    grouped = found.groupBy("unit", "bucket", "n").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
+    rows = units.withColumn("n", F.length("unit")).where(F.col("n") <= LONGEST)
+    # Characters by themselves merge nothing; only the best path asks for their scores.
+    least = 1 if fold == "viterbi" else 2
+    starts = rows.where(F.col("n") >= least).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - least)).alias("s"))
+    spans = starts.select("*", F.explode(F.sequence(F.col("s") + least, F.least(F.col("n"), F.col("s") + vocabulary.longest))).alias("e"))
+    found = spans.select("block", "sub", "unit", "n", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece")).join(table, "piece")
+    lists = [F.collect_list(F.expr(_EDGE)).alias("edges")]
     if fold == "viterbi":
-        placed = grouped.withColumn("at", _boundaries_by_viterbi())
-    else:
-        short = grouped.where(F.col("n") <= MASK).withColumn("at", _boundaries_by_merges())
-        merges = F.expr("transform(filter(edges, x -> x.e - x.s > 1), x -> named_struct('rank', x.rank, 's', x.s, 'e', x.e))")
-        long = grouped.where(F.col("n") > MASK).withColumn("at", F.pandas_udf(_merge_long, "array<int>")("n", merges))
-        placed = short.unionByName(long)
-    zero = vocabulary.bytes[0]
-    if [vocabulary.bytes[b] for b in range(256)] != list(range(zero, zero + 256)):
-        raise ValueError("ids of bytes that don't follow one another")
-    ids = F.expr(f"""flatten(transform(sequence(1, size(at) - 1), k -> coalesce(
-        nullif(transform(slice(filter(edges, x -> x.s = at[k - 1] AND x.e = at[k]), 1, 1), x -> x.id), cast(array() as array<int>)),
-        transform(sequence(1, octet_length(substring(unit, at[k - 1] + 1, at[k] - at[k - 1]))),
-            j -> {zero} + cast(conv(substring(hex(encode(substring(unit, at[k - 1] + 1, at[k] - at[k - 1]), 'UTF-8')), 2 * j - 1, 2), 16, 10) as int)))))""")
-    return placed.select("bucket", "unit", ids.alias("ids"))
+        lists.append(F.collect_list(F.struct("s", "e", "score")).alias("scored"))
+    grouped = found.groupBy("unit", "block", "sub").agg(*lists).withColumn("n", F.length("unit"))
+    return grouped.select("block", "unit", (_path_by_viterbi() if fold == "viterbi" else _path_by_merges()).alias("path"))
 
 
 # --- texts -----------------------------------------------------------------------------------------------------
 
 
-def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Distinct units of each block, by bucket."""
-    led, bare, current = set(), set(), None
+def _send(batches: Iterator[pa.RecordBatch], cut, irregular: list[str]) -> Iterator[pa.RecordBatch]:
+    """Distinct units of each block, blanks between, dealt by hash to as many parts as there are DEALT of them; those that the lattice doesn't take stay behind."""
+    seen: set[str] = set()
+    current = None
 
     def flush():
-        dealt: dict[int, list[str]] = {}
-        for unit in bare.union([BLANK + w for w in led]):
-            dealt.setdefault(zlib.crc32(unit.encode()) % buckets, []).append(unit)
-        led.clear()
-        bare.clear()
-        rows = sorted(dealt.items())
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([current] * len(rows), pa.int64()), pa.array([" ".join(u) for _, u in rows], pa.string())], names=["bucket", "block", "units"])
+        short = [u for u in seen if len(u) <= LONGEST and not any(p in u for p in irregular)]
+        parts = -(-len(short) // DEALT)
+        dealt: list[list[str]] = [[] for _ in range(parts)]
+        for unit in short:
+            dealt[zlib.crc32(unit.encode("utf-8", "surrogatepass")) % parts].append(unit)
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array([current] * parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array([" ".join(u) for u in dealt], pa.string())], names=["block", "sub", "units"])
 
     for batch in batches:
         for text, block in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             if block != current:
-                if led or bare:
+                if seen:
                     yield flush()
                 current = block
             if text := text.as_py():
-                for units, words in cut(text):
-                    bare.update(units)
-                    led.update(words)
-    if led or bare:
+                seen.update(cut(text))
+    if seen:
         yield flush()
 
 
+def _answers(vocabulary: Vocabulary, units: pa.Array, paths: pa.Array) -> Iterator[tuple[str, bytes]]:
+    """Units with their ids as bytes, from the paths: a number for each character, of which those inside a step go."""
+    steps, ends = paths.flatten().to_numpy().astype(np.int64) - _SIGNED, paths.offsets.to_numpy().astype(np.int64)
+    names = units.to_pylist()
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in names])))
+    at, length = np.repeat(starts[:-1], np.diff(ends)) + (steps >> 26), (steps >> 20) & 63
+    inside = np.zeros(starts[-1] + 1, np.int32)
+    np.add.at(inside, at, 1)
+    np.add.at(inside, at + length, -1)
+    out = vocabulary.single[np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    covered = np.cumsum(inside[:-1]) > 0
+    spelled = np.concatenate(([0], np.cumsum(~covered & (out < 0))))[starts]
+    out[covered] = -1
+    out[at] = steps & 0xFFFFF
+    kept = np.concatenate(([0], np.cumsum(out >= 0)))[starts].tolist()
+    data = out[out >= 0].astype("<i4").tobytes()
+    for unit, a, b in zip(names, kept, kept[1:], strict=False):
+        yield unit, data[4 * a : 4 * b]
+    # Units with characters that have no piece, and become bytes.
+    for i in np.flatnonzero(np.diff(spelled)).tolist():
+        yield names[i], np.array(vocabulary.ids_along(names[i], steps[ends[i] - ends[0] : ends[i + 1] - ends[0]].tolist()), "<i4").tobytes()
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", fold: str = "merges", ids: bool = True) -> DataFrame:
     """One row per row: key, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_equal (whether decoding gives the text back) and, where asked for, ids."""
-    vocabulary = Vocabulary(path)
+    spark, vocabulary = docs.sparkSession, Vocabulary(path)
+    irregular = vocabulary.irregular() if fold == "merges" else []
     rows = with_blocks(docs, [F.col(key), F.col(text).alias("_t")], BLOCK_ROWS)
-    buckets = bucket_count(docs, BUCKET_BYTES)
-    sent = kept(rows.select("_t", "_block").mapInArrow(lambda b: _send(b, buckets), "bucket int, block bigint, units string").repartition(buckets, "bucket"), "units")
-    dealt = sent.repartition(buckets, "bucket")
-    distinct = dealt.select("bucket", F.explode(F.split("units", " ")).alias("unit")).distinct()
-    known = kept(encode_units(distinct, vocabulary, fold), "lattice")
-
-    def answer(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        ids = {u: np.asarray(x, "<i4").tobytes() for u, x in zip(found["unit"], found["ids"], strict=True)}
-        out = []
-        for block, units in zip(asked["block"], asked["units"], strict=True):
-            parts = [ids[u] for u in units.split(" ")]
-            out.append((block, units, np.array([len(x) // 4 for x in parts], "<i4").tobytes(), b"".join(parts)))
-        return pd.DataFrame(out, columns=["block", "units", "sizes", "ids"])
-
-    address = shared_folder(docs.sparkSession, "answers")
-    answers = dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(answer, "block bigint, units string, sizes binary, ids binary")
-    answers.repartition(F.col("block")).write.partitionBy("block").parquet(address)
-    line, texts = np.array(vocabulary.line, "<i4").tobytes(), vocabulary.text
+    sent = spark.sparkContext.broadcast(vocabulary)
+    units = rows.select("_t", "_block").mapInArrow(lambda b: _send(b, sent.value.cut, irregular), "block bigint, sub int, units string").repartition(bucket_count(docs, BUCKET_BYTES), "block", "sub")
+    units = units.select("block", "sub", F.explode(F.split("units", " ")).alias("unit"))
+    address = shared_folder(spark, "answers")
+    before = spark.conf.get(_GROUPS[0], None)
+    spark.conf.set(*_GROUPS)
+    try:
+        encode_units(units, vocabulary, fold).write.partitionBy("block").parquet(address)
+    finally:
+        spark.conf.unset(_GROUPS[0]) if before is None else spark.conf.set(_GROUPS[0], before)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, current, led, bare = Replies(address), None, {}, {}
+        reader, v, current, known = Replies(address), sent.value, None, {}
+        cut, texts = v.cut, v.text
+
+        class Found(dict):
+            """Ids of the block's units as bytes; of those that the lattice didn't take, or without an edge, when they are met."""
+
+            def __missing__(self, unit: str) -> bytes:
+                self[unit] = x = np.array(v.ids_of(unit, fold), "<i4").tobytes()
+                return x
+
         for batch in batches:
             out = []
             for value, block in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 if block != current:
-                    current, led, bare = block, {}, {}
-                    table = reader(block, ["units", "sizes", "ids"])
-                    for units, sizes, data in zip(*(table[c].to_pylist() for c in ("units", "sizes", "ids")), strict=True) if table is not None else ():
-                        ends = (4 * np.cumsum(np.frombuffer(sizes, "<i4"))).tolist()
-                        for unit, a, b in zip(units.split(" "), [0, *ends], ends, strict=False):
-                            bare[unit] = data[a:b]
-                            if unit[:1] == BLANK and BLANK not in unit[1:]:
-                                led[unit[1:]] = data[a:b]
-                value = value.as_py() or ""
-                data = line.join([b"".join(map(bare.__getitem__, u)) + b"".join(map(led.__getitem__, w)) for u, w in cut(value)]) if value else b""
+                    current, known = block, Found()
+                    table = reader(block, ["unit", "path"])
+                    for part in table.to_batches() if table is not None else ():
+                        known.update(_answers(v, *part.columns))
+                value = value.as_py()
+                data = b"".join(map(known.__getitem__, cut(value))) if value else b""
                 back = b"".join(map(texts.__getitem__, np.frombuffer(data, "<i4").tolist()))[1:]
-                out.append((len(data) // 4, zlib.crc32(data), back == value.replace(BLANK, " ").encode(), data))
+                out.append((len(data) // 4, zlib.crc32(data), back == (value or "").replace(BLANK, " ").encode("utf-8", "surrogatepass"), data))
             columns = [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())]
             names = [key, "n_pieces", "ids_crc32", "decoded_equal"]
             if ids:

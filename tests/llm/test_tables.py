@@ -119,19 +119,27 @@ def test_lattice_against_the_library(spark, docs):
     assert sp_lattice.encode(docs[1], path).count() == 0
 
 
-def test_viterbi_against_plain_search(spark):
-    class Small:
-        pieces = [("a", 0, -1.0), ("b", 1, -1.5), ("ab", 2, -1.2), ("ba", 3, -2.0), ("aba", 4, -2.6), ("bb", 5, -4.0)]
-        longest, bytes = 3, {b: 10 + b for b in range(256)}
+def test_lattice_on_runs_of_blanks_and_units_at_the_mask_s_limit(spark, tmp_path):
+    import sentencepiece
 
-        def table(self, spark):
-            return spark.createDataFrame(self.pieces, "piece string, id int, score double")
+    path = tokenizer_file("piece_bpe_32k.model")
+    model, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(4)
+    texts = [" " * k + "w" for k in range(1, 64)] + ["".join(rng.choice("aeionrst") for _ in range(n)) for n in range(50, 70) for _ in range(3)] + ["ab" * 40_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    for r in sp_lattice.encode(spark.read.parquet(str(tmp_path / "d")), path).collect():
+        assert r.ids == model.encode(texts[r.doc_id]), texts[r.doc_id]
 
+
+def test_viterbi_against_plain_search(spark):
+    small = sp_lattice.Vocabulary.__new__(sp_lattice.Vocabulary)
+    small._of([("a", 0, -1.0), ("b", 1, -1.5), ("ab", 2, -1.2), ("ba", 3, -2.0), ("aba", 4, -2.6), ("bb", 5, -4.0)])
+    small.bytes = {b: 10 + b for b in range(256)}
     rng = random.Random(2)
-    units = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(60)})
-    found = {r.unit: r.ids for r in sp_lattice.encode_units(spark.createDataFrame([(0, u) for u in units], "bucket int, unit string"), Small(), "viterbi").collect()}
-    score = {p: s for p, _, s in Small.pieces}
-    number = {p: i for p, i, _ in Small.pieces}
+    units = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(60)} - {"c" * n for n in range(8)})  # without an edge, no row
+    found = {r.unit: small.ids_along(r.unit, [x - sp_lattice._SIGNED for x in r.path]) for r in sp_lattice.encode_units(spark.createDataFrame([(0, 0, u) for u in units], "block long, sub int, unit string"), small, "viterbi").collect()}
+    assert all(small.ids_of(u, "viterbi") == found[u] for u in units)
+    score = {p: s for p, _, s in small.pieces}
+    number = {p: i for p, i, _ in small.pieces}
 
     def best(u):
         if not u:
