@@ -162,9 +162,13 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Buckets that a driver keeps track of without effort. Beyond as many times ``per_bucket`` bytes of input, buckets grow (to some hundred MB at 100 TB).
+MOST_BUCKETS = 100_000
+
+
 def bucket_count(df: DataFrame, per_bucket: int) -> int:
-    """Buckets for numbers that are dealt by value: enough that one holds at most about ``per_bucket`` bytes of the input, and twice the shuffle partitions at least."""
-    return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-min(plan_bytes(df), 1 << 50) // per_bucket))
+    """Buckets for numbers that are dealt by value: enough that one holds at most about ``per_bucket`` bytes of the input, up to MOST_BUCKETS, and twice the shuffle partitions at least."""
+    return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-min(plan_bytes(df), 1 << 50) // per_bucket)))
 
 
 def dealt(hashes: np.ndarray, buckets: int):

@@ -42,7 +42,7 @@ BLANK = "▁"
 #: Characters of a unit whose boundaries fit a 64-bit mask.
 LONGEST = 60
 #: Rows of a block, bytes of input whose units meet in a task, and distinct units of a block that are dealt together.
-BLOCK_ROWS, BUCKET_BYTES, DEALT = 8192, 2 << 20, 16_384
+BLOCK_ROWS, BUCKET_BYTES, DEALT = 8192, 1 << 20, 8192
 #: Groups that an aggregate over objects holds before it sorts them; a task has some tens of thousands.
 _GROUPS = ("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20))
 
@@ -82,10 +82,10 @@ class Vocabulary:
         self._class = np.zeros(0x110000, np.int32)
         for at, c in enumerate(chars, 1):
             self._class[ord(c)] = at
-        self._beside = np.zeros(self._width**2, bool)
+        self._apart = np.ones(self._width**2, bool)
         for p in self.known:
             at = self._class[[ord(c) for c in p]]
-            self._beside[at[:-1] * self._width + at[1:]] = True
+            self._apart[at[:-1] * self._width + at[1:]] = False
 
     def irregular(self) -> list[str]:
         """Pieces made by merges of which a later one precedes an earlier one in the order of rank and start, so that one pass over edges can miss them."""
@@ -104,15 +104,19 @@ class Vocabulary:
     def cut(self, text: str) -> list[str]:
         """The units of a text that isn't empty, blanks written as U+2581 and one in front."""
         text = BLANK + text.replace(" ", BLANK)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind, name = np.uint16, "utf-16-le"
+        codes = np.frombuffer(text.encode(name, "surrogatepass"), kind)
+        if len(codes) != len(text):  # characters of two units each
+            kind, name = np.uint32, "utf-32-le"
+            codes = np.frombuffer(text.encode(name, "surrogatepass"), kind)
         at = self._class[codes]
-        apart = ~self._beside[at[:-1] * self._width + at[1:]]
+        apart = self._apart[at[:-1] * self._width + at[1:]]
         # A blank, of which there is none left, goes between units, and the library's own split does the rest.
-        places = np.arange(len(codes))
-        places[1:] += np.cumsum(apart)
-        out = np.full(places[-1] + 1, 32, np.uint32)
+        places = np.arange(len(codes), dtype=np.int32)
+        places[1:] += np.cumsum(apart, dtype=np.int32)
+        out = np.full(places[-1] + 1, 32, kind)
         out[places] = codes
-        return out.tobytes().decode("utf-32-le", "surrogatepass").split(" ")
+        return out.tobytes().decode(name, "surrogatepass").split(" ")
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The piece table: as many rows as the vocabulary has pieces, whatever the corpus."""
@@ -250,7 +254,9 @@ def _send(batches: Iterator[pa.RecordBatch], cut, irregular: list[str]) -> Itera
     current = None
 
     def flush():
-        short = [u for u in seen if len(u) <= LONGEST and not any(p in u for p in irregular)]
+        short = [u for u in seen if len(u) <= LONGEST]
+        for p in irregular:
+            short = [u for u in short if p not in u]
         parts = -(-len(short) // DEALT)
         dealt: list[list[str]] = [[] for _ in range(parts)]
         for unit in short:
@@ -270,7 +276,7 @@ def _send(batches: Iterator[pa.RecordBatch], cut, irregular: list[str]) -> Itera
         yield flush()
 
 
-def _answers(vocabulary: Vocabulary, units: pa.Array, paths: pa.Array) -> Iterator[tuple[str, bytes]]:
+def _answers(vocabulary: Vocabulary, units: pa.Array, paths: pa.Array) -> dict[str, bytes]:
     """Units with their ids as bytes, from the paths: a number for each character, of which those inside a step go."""
     steps, ends = paths.flatten().to_numpy().astype(np.int64) - _SIGNED, paths.offsets.to_numpy().astype(np.int64)
     names = units.to_pylist()
@@ -284,13 +290,13 @@ def _answers(vocabulary: Vocabulary, units: pa.Array, paths: pa.Array) -> Iterat
     spelled = np.concatenate(([0], np.cumsum(~covered & (out < 0))))[starts]
     out[covered] = -1
     out[at] = steps & 0xFFFFF
-    kept = np.concatenate(([0], np.cumsum(out >= 0)))[starts].tolist()
+    kept = (4 * np.concatenate(([0], np.cumsum(out >= 0)))[starts]).tolist()
     data = out[out >= 0].astype("<i4").tobytes()
-    for unit, a, b in zip(names, kept, kept[1:], strict=False):
-        yield unit, data[4 * a : 4 * b]
+    found = dict(zip(names, [data[a:b] for a, b in zip(kept, kept[1:], strict=False)], strict=True))
     # Units with characters that have no piece, and become bytes.
     for i in np.flatnonzero(np.diff(spelled)).tolist():
-        yield names[i], np.array(vocabulary.ids_along(names[i], steps[ends[i] - ends[0] : ends[i + 1] - ends[0]].tolist()), "<i4").tobytes()
+        found[names[i]] = np.array(vocabulary.ids_along(names[i], steps[ends[i] - ends[0] : ends[i + 1] - ends[0]].tolist()), "<i4").tobytes()
+    return found
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", fold: str = "merges", ids: bool = True) -> DataFrame:
