@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Replies, WordHashes, bucket_count, contained, dealt, shared_folder, slices, sliding, windows, with_blocks
+from kinweave.llm.common import Replies, WordHashes, bucket_count, contained, dealt, mixed, shared_folder, slices, sliding, windows, with_blocks
 
 WINDOW, FIRST = 35, 9
 #: Hashes that a task holds before it sends them, and bytes of input whose hashes meet in a bucket.
@@ -65,22 +65,22 @@ class Passages:
             return
         if length == self.window:
             at = np.flatnonzero(self.alive)
-            self.alive[at] = contained(windows(self.hashes, length)[at], repeated)
+            self.alive[at] = contained(mixed(windows(self.hashes, length)[at]), repeated)
             return
         _, low = self.least(length)
         heads = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        self.alive &= np.repeat(contained(low[heads], repeated), np.diff(np.append(heads, len(low))))
+        self.alive &= np.repeat(contained(mixed(low[heads]), repeated), np.diff(np.append(heads, len(low))))
 
     def compared(self, length: int) -> np.ndarray:
-        """Hashes of the windows to compare, one for each place in a text."""
+        """Hashes of the windows to compare, one for each place in a text. They are the least of their passages; scrambled, they go to all buckets alike."""
         if not self.alive.any():
             return np.empty(0, np.uint64)
         if length == self.window:
-            return windows(self.hashes, length)[self.alive]
+            return mixed(windows(self.hashes, length)[self.alive])
         grams, low = self.least(length)
         span = self.window - length
         edge = np.zeros(span, np.uint64)
-        return grams[sliding(np.maximum, np.concatenate((edge, np.where(self.alive, low, np.uint64(0)), edge)), span + 1) == grams]
+        return mixed(grams[sliding(np.maximum, np.concatenate((edge, np.where(self.alive, low, np.uint64(0)), edge)), span + 1) == grams])
 
     def removed(self) -> list[np.ndarray]:
         """For each text, which of its words a passage alive covers."""
