@@ -15,10 +15,12 @@ BLOCK_ROWS = 16_384
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder's address under spark.checkpoint.dir. Only where that is unset (tests, a laptop) a local one is made."""
+    """A new folder's address under spark.checkpoint.dir. Only where that is unset and Spark is one local process (tests, a laptop) a local one is made; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="kinweave-")
         spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     if "://" not in root and not root.startswith("file:"):

@@ -6,8 +6,9 @@
    one order of all shingles. The order puts shingles that are frequent in some block of documents last. Only these
    first shingles move; documents that share one form a group, named after its least row, and groups with the same
    name are one. Nothing is capped: a group that shares a shingle is kept whole.
-3. A group is cut into tiles by bands of set size (only neighbouring bands can link) and, where a band is large, by
-   hash. A tile's members carry bitmaps of their hashed shingles. What one bitmap has and the other lacks bounds
+3. A group of up to TILE members is a tile; a larger one is cut into tiles by bands of set size (only neighbouring
+   bands can link) and, where a band is large, by hash. In a tile, too, only members of the same or the next band are
+   compared. A tile's members carry bitmaps of their hashed shingles. What one bitmap has and the other lacks bounds
    the overlap from above; pairs that the bound rules out are dropped.
 4. Pairs that remain are compared exactly, by the intersection of sorted arrays, in two rounds: first stars around
    the members with most possible partners, which is linear in a tile's members; then every possible pair whose
@@ -15,11 +16,14 @@
 
 Texts are read anew in each step and only what is asked for moves. Defined results: a null or empty text, or one
 without words, has an empty set and is a class of its own; one under five words has its whole sequence as its only
-shingle; repeated rows fall into one class; an empty table gives an empty table; other columns are not looked at.
+shingle; texts of any length are compared whole; repeated rows fall into one class; of rows with equal keys the one
+that stands first in its file's order of row numbers is kept; an empty table gives an empty table; other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Replies, WordHashes, bucket_count, contained, dealt, gathered, kept, runs, shared_folder, slices, windows, with_blocks
+from kinweave.llm.common import Replies, WordHashes, bucket_count, contained, dealt, gathered, kept, mixed, runs, shared_folder, slices, windows, with_blocks
 from kinweave.operators.components import components
 
 WORDS, SIMILARITY = 5, (3, 4)
@@ -39,8 +43,8 @@ COUNTED, FREQUENT = 2_000_000, 8
 #: Frequent shingles that are sent to all tasks, at most (16 bytes each); the rest are ordered like rare ones.
 KNOWN = 500_000
 HELD, BUCKET_BYTES = 1_000_000, 8 << 20
-#: Members of a band's part of a tile.
-TILE = 1500
+#: Members of a tile, or of a band's part of one.
+TILE = 4096
 CHUNK = 256
 
 
@@ -61,8 +65,8 @@ def sets_of(texts: list[bytes], hashes: WordHashes, n: int = WORDS) -> list[np.n
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """A bit for each shingle's hash; four bits or more a shingle, a power of two, so that wide ones fold into narrow ones."""
-    bits = max(512, 1 << int(4 * len(values) - 1).bit_length())
+    """A bit for each shingle's hash; two bits or more a shingle, a power of two, so that wide ones fold into narrow ones."""
+    bits = max(512, 1 << int(2 * len(values) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(values >> np.uint64(7)) & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -95,6 +99,22 @@ def linked(overlap, a, b):
     return (overlap > 0) & (down * overlap >= up * (a + b - overlap))
 
 
+def band(n: np.ndarray) -> np.ndarray:
+    """Sets that can link are in the same band of size or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(SIMILARITY[1] / SIMILARITY[0]) + 1e-9).astype(np.int64)
+
+
+def possible_within(bits: list[bytes], n: np.ndarray) -> np.ndarray:
+    """The possible pairs of one tile's members, a band with itself and with the next."""
+    flags, bands = np.zeros((len(bits), len(bits)), bool), band(n)
+    for b in np.unique(bands).tolist():
+        left, right = np.flatnonzero(bands == b), np.flatnonzero((bands == b) | (bands == b + 1))
+        flags[np.ix_(left, right)] = possible([bits[i] for i in left], n[left], [bits[i] for i in right], n[right])
+    flags |= flags.T
+    np.fill_diagonal(flags, False)
+    return flags
+
+
 def _stars(flags: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (hub, other): the member with most possible partners, then the next one that isn't reached, tied to one that is."""
     degree, reached, out = flags.sum(1), np.zeros(len(flags), bool), []
@@ -190,6 +210,7 @@ def _first_shingles(rows: DataFrame, copies: str, frequent: np.ndarray, n: int,
             held, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
+        # A set's first shingles are its least hashes; scrambled, they go to all buckets alike.
         for block, (rids,), texts in slices(batches):
             if block != current:
                 table = reader(block, ["rid"])
@@ -217,7 +238,7 @@ def _first_shingles(rows: DataFrame, copies: str, frequent: np.ndarray, n: int,
                     s, m = rare[:first], len(s)
                 else:
                     s, m = s[:first], len(s)
-                held.append((s, np.full(len(s), numbers[i], np.int64), np.full(len(s), m, "<i4")))
+                held.append((mixed(s), np.full(len(s), numbers[i], np.int64), np.full(len(s), m, "<i4")))
                 size += len(s)
             if size >= HELD:
                 yield flush()
@@ -251,7 +272,14 @@ def _groups(tokens: DataFrame) -> DataFrame:
 
 
 def _tiles(groups: DataFrame) -> DataFrame:
-    """(tile, side, rid): each member in the tiles of its band with itself and with the next. Side 0 of a tile is compared with side 1, or, where there is none, with itself."""
+    """(tile, side, rid, own): the members of each group in tiles. Side 0 of a tile is compared with side 1, or, in a tile of its own, with itself."""
+    hot = kept(groups.groupBy("lead").agg(F.count("*").alias("k")).where(F.col("k") > TILE).select("lead"), "hot")
+    whole = groups.join(hot, "lead", "left_anti").select(F.xxhash64("lead").alias("tile"), F.lit(0).alias("side"), "rid", F.lit(True).alias("own"))
+    return whole.unionByName(_cut_tiles(groups.join(hot, "lead", "left_semi")))
+
+
+def _cut_tiles(groups: DataFrame) -> DataFrame:
+    """Each member of large groups in the tiles of its band with itself and with the next."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIMILARITY[1] / SIMILARITY[0])) + 1e-9).cast("int")
     members = groups.withColumn("band", band)
     parts = members.groupBy("lead", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
@@ -299,9 +327,10 @@ def _pairs(rows: DataFrame, tiles: DataFrame, blocks: DataFrame, n: int, parts:
         if not left or not right or len(part["rid"]) < 2:
             return
         n, component, rid = (np.array(part[c], np.int64) for c in ("n", "component", "rid"))
-        flags = possible([part["bits"][i] for i in left], n[left], [part["bits"][i] for i in right], n[right])
         if own:
-            np.fill_diagonal(flags, False)
+            flags = possible_within(part["bits"], n)
+        else:
+            flags = possible([part["bits"][i] for i in left], n[left], [part["bits"][i] for i in right], n[right])
         if all_pairs:
             flags &= component[left][:, None] != component[right][None, :]
             found = np.argwhere(np.triu(flags) if own else flags).tolist()
@@ -377,14 +406,15 @@ def _verified(rows: DataFrame, pairs: DataFrame, blocks: DataFrame, n: int, tag:
     return kept(carried.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(meet, "a bigint, b bigint"), f"{tag}-links")
 
 
-def _placed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """rid, key, n, copies and component (a row's number) of each row."""
+def _placed(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """rid, key, n, class and copies of each row; of each class that is not a row by itself, its component's first (key, rid) and least key. Rows never meet by component: what is joined by it has a row for each class, and what is joined by class is a stored table, so that a large one can be split."""
     rows = with_blocks(docs, [F.col(key).alias("key"), F.col(text).alias("_t")], row_id="rid").select("rid", "key", "_t", "_block")
     buckets = bucket_count(docs, BUCKET_BYTES)
     signatures = _signatures(rows, "key", n)
     frequent = _frequent(signatures)
     signed = signatures.where("rid IS NOT NULL").select("rid", "key", "block", "n", "digest")
-    same = signed.where("n > 0").groupBy("digest").agg(F.min("rid").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # Stored, so that the join's side of rows with one digest can be split.
+    same = kept(signed.where("n > 0").groupBy("digest").agg(F.min("rid").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "same")
     members = signed.join(same, "digest", "left").select("rid", "key", "block", "n", F.coalesce("first", "rid").alias("class"), F.coalesce("copies", F.lit(1)).alias("copies"))
     members = kept(members, "members")
     copies = _asked(members.where("rid <> class").select("block", "rid"), "copies")
@@ -397,27 +427,33 @@ def _placed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     # Tiles whose members all lie in one component can't change anything.
     open_ = tiles.join(parts.withColumnRenamed("node", "rid"), "rid", "left").groupBy("tile").agg(F.min(F.coalesce("component", "rid")).alias("x"), F.max(F.coalesce("component", "rid")).alias("y")).where("x <> y").select("tile")
     rest = _verified(rows, _pairs(rows, tiles.join(open_, "tile", "left_semi"), blocks, n, parts, "rest"), blocks, n, "rest")
-    parts = components(links.unionByName(rest), folder=folder)
-    return members.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    parts = components(links.unionByName(rest), folder=folder).select(F.col("node").alias("class"), "component")
+    own = members.where("n > 0").groupBy("class").agg(F.min(F.struct("key", "rid")).alias("first"), F.min("key").alias("least"), F.count("*").alias("k"))
+    own = kept(own.join(parts, "class", "left").where("component IS NOT NULL OR k > 1"), "classes")
+    of = own.where("component IS NOT NULL")
+    least = kept(of.groupBy("component").agg(F.min("first").alias("first"), F.min("least").alias("least")), "least")
+    linked = of.select("class", "component").join(least, "component").select("class", "first", "least")
+    return members, kept(linked.unionByName(own.where("component IS NULL").select("class", "first", "least")), "labels")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
     """One row per row: key, n_shingles, component_id (the least key of its component, its own for an empty set) and n_copies (rows with an equal set)."""
-    placed = _placed(docs, key, text, n)
-    least = placed.groupBy("component").agg(F.min("key").alias("component_id"))
-    found = placed.join(least, "component")
-    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("n_copies"))
+    members, labels = _placed(docs, key, text, n)
+    found = members.join(labels, "class", "left")
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"), F.col("copies").alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
     """The rows without those that a row of their component with a lesser key (of equal keys, a lesser number) makes needless. Rows with empty sets stay."""
-    number = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("_rid")
+    name = "_rid"
+    while name in docs.columns:
+        name += "_"
+    number = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias(name)
     try:
         rows = docs.select("*", number)
     except AnalysisException:
         docs = kept(docs, "rows")
         rows = docs.select("*", number)
-    placed = kept(_placed(docs, key, text, n).where("n > 0").select("rid", "key", "component"), "placed")
-    several = placed.groupBy("component").agg(F.min(F.struct("key", "rid")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    needless = placed.join(several, "component").where(F.col("rid") != F.col("first.rid")).select(F.col("rid").alias("_rid"))
-    return rows.join(needless, "_rid", "left_anti").select(*docs.columns)
+    members, labels = _placed(docs, key, text, n)
+    needless = members.where("n > 0").join(labels, "class").where(F.col("rid") != F.col("first.rid")).select(F.col("rid").alias(name))
+    return rows.join(needless, name, "left_anti").select(*docs.columns)

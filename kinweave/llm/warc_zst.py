@@ -7,8 +7,10 @@ count are kept. An archive's dictionary is made of the first records it holds, a
 Reading: each archive is read by one task as a stream, a record at a time: the dictionary from the skippable
 frame, then frame by frame; headers, lengths and digests are checked, and a fault raises ArchiveError.
 
-Defined results: a null payload is written as an empty one; repeated rows give a record each; an empty table gives
-no archive and an empty result; other columns are not looked at.
+Defined results: a null payload is written as an empty one, a null URL as an empty one; a row without a key gets a
+record without one, which is read with a null key, and is never the page that others refer to; payloads of any length
+are one record; repeated rows give a record each; of copies, all rows with the largest key are responses; an empty
+table gives no archive and an empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -207,7 +209,7 @@ def marked(pages: DataFrame, key: str = "page_id", url: str = "url", payload: st
     large = rows.where(F.length("_body") >= min_revisit).select("_digest", key)
     copies = large.groupBy("_digest").agg(F.max(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_digest").alias("_d"), "_first")
     joined = rows.join(copies, (F.col("_digest") == F.col("_d")) & (F.length("_body") >= min_revisit), "left")
-    return joined.select(key, "_url", "_body", "_digest", F.when(F.col("_first") != F.col(key), F.col("_first")).alias("_refers"))
+    return joined.select(key, "_url", "_body", "_digest", F.when(~F.col("_first").eqNullSafe(F.col(key)), F.col("_first")).alias("_refers"))
 
 
 def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", folder: str | None = None, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -233,7 +235,7 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
 
         def put():
             for page, uri, body, digest, refers in held:
-                writer.add(record_bytes("response" if refers is None else "revisit", str(page), uri or "", body, digest, None if refers is None else str(refers), date))
+                writer.add(record_bytes("response" if refers is None else "revisit", "" if page is None else str(page), uri or "", body, digest, None if refers is None else str(refers), date))
             held.clear()
 
         def end():
@@ -271,7 +273,7 @@ def read(spark: SparkSession, archives: DataFrame, payloads: bool = True) -> Dat
     fields = fields if payloads else fields[:-1]
 
     def bare(record_id: str | None) -> str | None:
-        return record_id and record_id.removeprefix("<urn:page:").removesuffix(">")
+        return (record_id and record_id.removeprefix("<urn:page:").removesuffix(">")) or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows):

@@ -87,6 +87,13 @@ def test_archives(spark):
     assert warc_zst.read(spark, warc_zst.write(pages.where("false"))).count() == 0
 
 
+def test_archives_of_rows_without_a_key(spark):
+    big = "<p>" * 500
+    pages = spark.createDataFrame([(None, "u", big), (None, "u", big), (4, "u", big), (4, "v", big), (2, "w", big), (None, "x", "a" * 1200)], "page_id long, url string, html string")
+    found = Counter((r.page, r.record_type, r.refers_to) for r in warc_zst.read(spark, warc_zst.write(pages)).collect())
+    assert found == {(None, "revisit", "4"): 2, ("4", "response", None): 2, ("2", "revisit", "4"): 1, (None, "response", None): 1}
+
+
 def test_decontamination(spark, docs):
     text = dict(_plain(_rows()))
     item = " ".join(text[9].split()[5:25]).upper()
