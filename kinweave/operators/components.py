@@ -21,6 +21,8 @@ def _held(df: DataFrame, folder: str | None, round_: str) -> DataFrame:
         if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
             if root is None:
+                if df.sparkSession.sparkContext.master.partition("[")[0] != "local":
+                    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
                 import tempfile
 
                 root = tempfile.mkdtemp(prefix="kinweave-")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.functions.text import list_items
 from kinweave.operators.context import context_to_primary, entities, explode_context, hyperedges, mentions
 
 _CSV = {"header": "true", "escape": '"', "multiLine": "true"}
@@ -70,8 +69,3 @@ def write_normalised(tables: dict[str, DataFrame], path: str, mode: str = "error
     """Each table as Parquet in a folder of its name."""
     for name, df in tables.items():
         df.write.mode(mode).parquet(f"{path}/{name}")
-
-
-def item_count(df: DataFrame, field: str, separator: str = ",") -> DataFrame:
-    """The rows with the number of items in a list field."""
-    return df.withColumn("n_items", F.size(list_items(F.col(field), separator)))

@@ -315,3 +315,19 @@ def test_configuration_and_run_folders(tmp_path):
     assert config.next_run(str(tmp_path)) == 5
     assert config.run_log_name(0.3, 0.5).startswith("alpha_0_3_t_0_5_")
     assert config.run_logger("kinweave-test", str(tmp_path / "logs")).handlers
+
+
+def test_the_rest_works_without_the_corpus_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    told = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
+    for corpus in (True, False):
+        if not corpus:
+            (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+        subprocess.run([sys.executable, "-B", "-c", told], cwd=copy, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)})
