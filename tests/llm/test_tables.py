@@ -377,8 +377,8 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     labels = spark.createDataFrame([(1000 + i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     model = toxic_kernel.learn(spark.read.parquet(str(tmp_path / "documents.parquet")), labels)
-    scores = toxic_kernel.Scores(model["weights"], model["bias"])
-    toxic = lambda t: 1 / (1 + np.exp(-np.clip(model["slope"] * scores.document(t) + model["shift"], -30, 30))) >= corpus_pipeline.TOXIC
+    scores = toxic_kernel.Scores(model)
+    toxic = lambda t: 1 / (1 + np.exp(-np.clip(model["slope"] * scores.documents([t])[0] + model["shift"], -30, 30))) >= corpus_pipeline.TOXIC
     gone = {k for k, t in rows if toxic(t)}
     assert {1000 + i for i in range(0, 120, 3)} <= gone and len(gone) < 80
     told = _plain_pipeline(rows, items, toxic)
