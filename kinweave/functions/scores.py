@@ -36,6 +36,10 @@ def contained_right(a: Column, b: Column) -> Column:
 RELATIONAL: dict[str, Callable[[Column, Column], Column]] = {"jaccard_coefficient": jaccard}
 
 
+#: The same over sets of contexts, for the ordered merge.
+RELATIONAL_SETS: dict[str, Callable[[frozenset, frozenset], float]] = {"jaccard_coefficient": lambda a, b: len(a & b) / len(a | b) if a and b else 0.0}
+
+
 def relational(name: str) -> Callable[[Column, Column], Column]:
     if name not in RELATIONAL:
         raise ValueError(f"unknown relational similarity: {name}; known: {', '.join(RELATIONAL)}")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.scores import fused, relational
+from kinweave.functions.scores import RELATIONAL_SETS, fused, relational
 from kinweave.operators.components import _held, components
 from kinweave.operators.graph import candidate_edges, contexts_of
 
@@ -167,37 +167,36 @@ def progress(ids: list[str], contexts: dict, candidates: list[tuple[str, str]],
     return place, links, known, sorted({(min(x, y), max(x, y)) for x, y in ((place[a], place[b]) for a, b in asked)})
 
 
-def late_fusion(alpha: float) -> Callable:
-    """(1 - alpha) * best match probability over member pairs + alpha * Jaccard of contexts."""
+def late_fusion(alpha: float, similarity: str = "jaccard_coefficient") -> Callable:
+    """(1 - alpha) * best match probability over member pairs + alpha * relational similarity of contexts."""
+    relation = RELATIONAL_SETS[similarity]
 
     def score(state: _Clusters, a: str, b: str) -> float:
-        x, y = state.contexts[a], state.contexts[b]
-        jaccard = len(x & y) / len(x | y) if x and y else 0.0
-        return (1 - alpha) * state.best[a].get(b, 0.0) + alpha * jaccard
+        return (1 - alpha) * state.best[a].get(b, 0.0) + alpha * relation(state.contexts[a], state.contexts[b])
 
     return score
 
 
-def inline_encode(texts: dict[str, str], match: Callable[[str, str], float], k: int = 5) -> Callable:
-    """Best match over member pairs of texts that end in each cluster's first contexts and their likeness, to 3 places; the lesser cluster stands left."""
+def inline_encode(texts: dict[str, str], match: Callable[[str, str], float], k: int = 5, field: str = "context") -> Callable:
+    """Best match over member pairs of texts (``inference`` style) that end in two columns more, the cluster's first contexts (under ``field``) and both clusters' likeness, to 3 places; the lesser cluster stands left."""
 
     def score(state: _Clusters, a: str, b: str) -> float:
         x, y = state.contexts[a], state.contexts[b]
         j = len(x & y) / len(x | y) if x and y else 0.0
         level = "zero" if j == 0 else "low" if j < 0.3 else "medium" if j < 0.6 else "high"
-        tail = [f" COL context VAL {' | '.join(sorted(c)[:k])} jac={level}" for c in (x, y)]
+        tail = [f' , {field} : "{" | ".join(sorted(c)[:k])}" , pairwise_summary : "jac={level}"' for c in (x, y)]
         return round(max((match(texts[m] + tail[0], texts[n] + tail[1]) for m in state.members[a] for n in state.members[b] if m != n), default=0.0), 3)
 
     return score
 
 
 def token_match(left: str, right: str) -> float:
-    """Jaccard of lower-case tokens: the default scorer of texts."""
+    """Jaccard of lower-case tokens, names of columns among them: the default scorer of texts."""
     a, b = set(left.lower().split()), set(right.lower().split())
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
-def _in_rounds(parts: DataFrame, records: DataFrame, linked: DataFrame, nodes: DataFrame, probability: Column, alpha: float, threshold: float, folder: str | None) -> DataFrame:
+def _in_rounds(parts: DataFrame, records: DataFrame, linked: DataFrame, nodes: DataFrame, probability: Column, score: Callable, threshold: float, folder: str | None) -> DataFrame:
     """(id, cluster_id) of components whose pairs are scored when they are compared. The state has a row for each member (a: id, b: cluster), link (a, b) and known probability (a, b, p) of clusters; each round ends in the shared folder."""
     columns = "component string, kind string, a string, b string, p double"
 
@@ -209,7 +208,7 @@ def _in_rounds(parts: DataFrame, records: DataFrame, linked: DataFrame, nodes: D
         place, around = dict(some("member", "ab")), {}
         for i, c in zip(members["id"], members["ctxs"], strict=True):
             around.setdefault(place[i], set()).update(c)
-        root, links, known, asked = progress(sorted(set(place.values())), around, some("link", "ab"), some("known", "abp"), threshold, late_fusion(alpha))
+        root, links, known, asked = progress(sorted(set(place.values())), around, some("link", "ab"), some("known", "abp"), threshold, score)
         found = [("member", i, root[c], None) for i, c in place.items()] + [("link", a, b, None) for a, b in links] + [("known", a, b, p) for a, b, p in known] + [("asked", a, b, None) for a, b in asked]
         out = pd.DataFrame(found, columns=["kind", "a", "b", "p"]).astype({"p": "float64"})
         out.insert(0, "component", state["component"].iloc[0])
@@ -241,8 +240,9 @@ def _in_rounds(parts: DataFrame, records: DataFrame, linked: DataFrame, nodes: D
     return reduce(DataFrame.unionByName, over).select(F.col("a").alias("id"), F.col("b").alias("cluster_id"))
 
 
-def clusters(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability: Column | None, alpha: float, threshold: float, strategy: str = "LATE_FUSION", text: str = "text", match: Callable[[str, str], float] = token_match, folder: str | None = None, max_component: int = MAX_COMPONENT) -> DataFrame:
+def clusters(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability: Column | None, alpha: float, threshold: float, strategy: str = "LATE_FUSION", text: str = "text", match: Callable[[str, str], float] = token_match, folder: str | None = None, max_component: int = MAX_COMPONENT, similarity: str = "jaccard_coefficient", field: str = "context") -> DataFrame:
     """(id, cluster_id) of every id of a pair. ``records``: id and what ``probability`` needs as l_* and r_* columns; ``edges``: (id, ctx). With LATE_FUSION, pairs inside a component of up to ``max_component`` members are all scored in advance and those of a larger one when they are compared; a probability is 1 at most. INLINE_ENCODE scores when it compares."""
+    relational(similarity)  # an unknown one is told at once
     candidates = candidate_edges(pairs)
     ids = pairs.select(F.col("ltable_id").alias("id")).unionByName(pairs.select(F.col("rtable_id").alias("id"))).distinct()
     parts = components(candidates, "a", "b", folder).withColumnRenamed("node", "id")
@@ -264,7 +264,7 @@ def clusters(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability
 
     def merge(links: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         texts = dict(zip(members["id"], members["text"], strict=True))
-        score = late_fusion(alpha) if strategy == "LATE_FUSION" else inline_encode(texts, match)
+        score = late_fusion(alpha, similarity) if strategy == "LATE_FUSION" else inline_encode(texts, match, field=field)
         contexts = {i: set(c) for i, c in zip(members["id"], members["ctxs"], strict=True)}
         is_candidate = links["p"].isna()
         found = merged(sorted(texts), contexts, list(zip(links.loc[is_candidate, "a"], links.loc[is_candidate, "b"], strict=True)), list(zip(*(links.loc[~is_candidate, c] for c in "abp"), strict=True)), threshold, score)
@@ -273,5 +273,5 @@ def clusters(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability
     grouped = linked.groupBy("component").cogroup(whole.groupBy("part")).applyInPandas(merge, "id string, cluster_id string")
     if large is not None:
         of = lambda df, c: df.join(large.withColumnRenamed("component", c), c, "left_semi")
-        grouped = grouped.unionByName(_in_rounds(of(parts, "component"), records, of(every, "component"), of(nodes, "part"), probability, alpha, threshold, folder))
+        grouped = grouped.unionByName(_in_rounds(of(parts, "component"), records, of(every, "component"), of(nodes, "part"), probability, late_fusion(alpha, similarity), threshold, folder))
     return ids.join(grouped, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))

@@ -75,6 +75,13 @@ def gold_similarity(pairs: DataFrame, positives: DataFrame, left: str = "ltable_
     return candidate_edges(pairs, left, right).join(gold, ["a", "b"], "left").select("a", "b", F.coalesce("_g", F.lit(0.0)).alias("sim"))
 
 
+def gold_cluster_similarity(pairs: DataFrame, members: DataFrame, positives: DataFrame, left: str = "ltable_id", right: str = "rtable_id") -> DataFrame:
+    """a, b, sim of each unordered pair of clusters: 1 where a positive pair has a member in each, else 0. ``members``: (id, cluster_id). Positive pairs move, never pairs of members."""
+    place = lambda c: members.select(F.col("id").alias(c), F.col("cluster_id").alias(f"{c}_cluster"))
+    met = candidate_edges(positives, left, right).join(place("a"), "a").join(place("b"), "b")
+    return gold_similarity(pairs, met.select(F.col("a_cluster").alias(left), F.col("b_cluster").alias(right)), left, right)
+
+
 def gold_components(pairs: DataFrame, left: str = "ltable_id", right: str = "rtable_id", label: str = "label", folder: str | None = None) -> DataFrame:
     """(id, component): every id of a pair, joined by positive pairs; the component is its least id."""
     ids = pairs.select(F.col(left).alias("id")).unionByName(pairs.select(F.col(right).alias("id"))).distinct()

@@ -43,6 +43,32 @@ class EditDistance:
         return F.when(longest > 0, 1.0 - F.levenshtein(a, b) / longest).otherwise(F.lit(0.0))
 
 
+class Logistic:
+    """Likeness of tokens and of characters, weighed by a logistic regression that ``fit`` learns; a plain expression."""
+
+    def __init__(self, columns: list[str], weights: list[float], intercept: float):
+        self.columns, self.weights, self.intercept = columns, weights, intercept
+
+    @staticmethod
+    def features(columns: list[str]) -> list[Column]:
+        return [TokenJaccard(columns).probability(), EditDistance(columns).probability()]
+
+    @classmethod
+    def fit(cls, enriched: DataFrame, columns: list[str], label: str = "label") -> Logistic:
+        """Learns from labelled pairs (l_*, r_*); without any, there is nothing to learn and ValueError is raised."""
+        rows = enriched.select(F.col(label).cast("double").alias("y"), *[f.alias(f"f{i}") for i, f in enumerate(cls.features(columns))]).where("y IS NOT NULL")
+        if rows.isEmpty():
+            raise ValueError("no labelled pairs to learn from")
+        model = trained(rows, [c for c in rows.columns if c != "y"], "y").stages[-1]
+        return cls(columns, [float(w) for w in model.coefficients], float(model.intercept))
+
+    def probability(self) -> Column:
+        z = F.lit(self.intercept)
+        for w, f in zip(self.weights, self.features(self.columns), strict=True):
+            z = z + F.lit(w) * f
+        return 1.0 / (1.0 + F.exp(-z))
+
+
 class External:
     """A model outside: ``load()`` runs once in a task and returns a function from text lines to two logits a line."""
 
@@ -64,7 +90,7 @@ class External:
         return match_probability(both["l0"], both["l1"])
 
 
-STRATEGIES = {"TOKEN_JACCARD": TokenJaccard, "EDIT_DISTANCE": EditDistance, "EXTERNAL": External}
+STRATEGIES = {"TOKEN_JACCARD": TokenJaccard, "EDIT_DISTANCE": EditDistance, "LOGISTIC": Logistic, "EXTERNAL": External}
 
 
 def strategy(name: str, *args, **options) -> Strategy:

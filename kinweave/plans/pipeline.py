@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from kinweave.functions.scores import jaccard, pairwise_summary
 from kinweave.functions.text import pair_line, record_text
 from kinweave.operators import collective, context, graph, metrics, pairs, scorers
-from kinweave.sources.config import Config
-from kinweave.sources.files import read_pairs, read_records
+from kinweave.sources.config import Config, register_task
+from kinweave.sources.files import read_pairs, read_records, write_pair_text, write_records
 
 
 @dataclass
@@ -23,6 +24,8 @@ class Split:
     right: DataFrame
     edges: DataFrame
     enriched: DataFrame
+    reduced: tuple[DataFrame, DataFrame]
+    mentions: DataFrame
 
 
 def _sided(df: DataFrame, config: Config, columns: tuple[str, ...], side: str) -> DataFrame:
@@ -44,30 +47,69 @@ def preprocess(config: Config, found: DataFrame, a: DataFrame, b: DataFrame) ->
         df = pairs.first_by_key(df, "id", [F.struct(*[c for c in df.columns if c != "id"])])
         sides.append(pairs.reduce_source(df, found, "id", column))
     exploded = [context.explode_context(s, d.context_field, d.context_separator) for s in sides]
-    edges = context.hyperedges(context.entities(context.mentions(context.merged_sides(*exploded))))
+    placed = context.entities(context.mentions(context.merged_sides(*exploded)))
     left, right = (s.drop(d.context_field) for s in sides)
-    return Split(found, left, right, edges, pairs.enrich(found, left, right))
+    return Split(found, left, right, context.hyperedges(placed), pairs.enrich(found, left, right), tuple(sides), placed.select("mention_id", "ctx"))
 
 
 def read_split(spark: SparkSession, config: Config, split: str) -> Split:
     d = config.dataset
-    return preprocess(config, read_pairs(spark, config.pairs_path(split), d.left_id_col, d.right_id_col, d.label_col), read_records(spark, config.table_path("a")), read_records(spark, config.table_path("b")))
+    return preprocess(config, read_pairs(spark, config.pairs_path(split), d.left_id_col, d.right_id_col, d.label_col), *[read_records(spark, config.table_path(side)) for side, _ in config.sides()])
+
+
+def attributes_of(split: Split) -> list[str]:
+    return [c for c in split.left.columns if c != "id"]
+
+
+def write_split(config: Config, name: str, split: Split) -> None:
+    """The split's reduced tables and its pair text. With INLINE_ENCODE, the text of all splits but the last, which is matched, carries gold neighbourhoods. Each is a folder of part files."""
+    for (side, _), rows in zip(config.sides(), split.reduced, strict=True):
+        write_records(rows, config.reduced_path(name, side), "overwrite")
+    if config.algo.strategy == "INLINE_ENCODE" and name != config.dataset.split_names[-1]:
+        lines = inline_text(split.enriched, graph.gold_components(split.pairs), split.edges, attributes_of(split), field=config.dataset.context_field)
+    else:
+        lines = pairs.pair_text(split.enriched, attributes_of(split))
+    write_pair_text(lines, config.text_path(name), mode="overwrite")
+
+
+def experiment(spark: SparkSession, config: Config, log: logging.Logger, probability=None) -> dict[str, float]:
+    """All splits read and written, a scorer fitted on the first where that is asked for and none is given, the last split matched and measured. The task list names the written texts, for a scorer trained outside."""
+    names = config.dataset.split_names
+    splits = {name: read_split(spark, config, name) for name in names}
+    for name, split in splits.items():
+        write_split(config, name, split)
+        log.info("split %s written", name)
+    last = splits[names[-1]]
+    if config.finetune.enabled:
+        texts = {f"{name}set": config.text_path(name) for name in names}
+        register_task(config.run.tasks_file, {"name": config.finetune.task, "task_type": "classification", "vocab": ["0", "1"], **texts})
+        if probability is None and config.algo.strategy == "LATE_FUSION":
+            fitted = scorers.Logistic.fit(splits[names[0]].enriched, attributes_of(last))
+            log.info("fitted: weights %s, intercept %s", fitted.weights, fitted.intercept)
+            probability = fitted.probability()
+    counts = last.mentions.agg(F.count("*").alias("before"), F.countDistinct("ctx").alias("after")).first()
+    log.info("context entities before matching: %d, after: %d", counts.before, counts.after)
+    found = run(config, last, probability)[1].first().asDict()
+    log.info("threshold: %s, alpha: %s", config.algo.threshold, config.algo.alpha)
+    for measure in ("accuracy", "precision", "recall", "f1"):
+        log.info("%s: %.2f", measure, found[measure])
+    return found
 
 
 def run(config: Config, split: Split, probability=None) -> tuple[DataFrame, DataFrame]:
     """(clusters, measures) of a split."""
-    attributes = [c for c in split.left.columns if c != "id"]
-    records = context.merged_sides(split.right, split.left).withColumn("text", record_text(attributes))
+    attributes = attributes_of(split)
+    records = context.merged_sides(split.right, split.left).withColumn("text", record_text(attributes, style="inference"))
     score = probability if probability is not None else scorers.TokenJaccard(attributes).probability()
-    found = collective.clusters(split.pairs, records, split.edges, score, config.algo.alpha, config.algo.threshold, config.algo.strategy)
+    found = collective.clusters(split.pairs, records, split.edges, score, config.algo.alpha, config.algo.threshold, config.algo.strategy, similarity=config.algo.similarity, field=config.dataset.context_field)
     return found, metrics.measures(metrics.predictions(split.pairs, found))
 
 
-def inline_text(enriched: DataFrame, parts: DataFrame, edges: DataFrame, attributes: list[str], k: int = 5) -> DataFrame:
-    """Adds ``line``: pair text whose records end in the first contexts of their gold cluster and how alike both neighbourhoods are."""
+def inline_text(enriched: DataFrame, parts: DataFrame, edges: DataFrame, attributes: list[str], k: int = 5, field: str = "context") -> DataFrame:
+    """Adds ``line``: pair text whose records end in two columns more, the first contexts of their gold cluster (under ``field``) and how alike both neighbourhoods are."""
     around = parts.join(graph.component_neighborhood(parts, edges, k), "component", "left").select("id", "ctxs", "top")
     side = lambda p: around.select(F.col("id").alias(f"{p}table_id"), F.coalesce("ctxs", F.array().cast("array<string>")).alias(f"{p}_ctxs"), F.array_join(F.coalesce("top", F.array().cast("array<string>")), " | ").alias(f"{p}_top"))
     rows = enriched.join(side("l"), "ltable_id", "left").join(side("r"), "rtable_id", "left")
     summary = pairwise_summary(jaccard(F.col("l_ctxs"), F.col("r_ctxs")))
-    line = lambda p: F.concat(record_text(attributes, f"{p}_"), F.lit(" COL context VAL "), F.coalesce(f"{p}_top", F.lit("")), F.lit(" "), summary)
+    line = lambda p: F.concat(record_text(attributes, f"{p}_"), F.lit(f" COL {field} VAL "), F.coalesce(f"{p}_top", F.lit("")), F.lit(" COL pairwise_summary VAL "), summary)
     return rows.withColumn("line", pair_line(line("l"), line("r"), F.col("label")))

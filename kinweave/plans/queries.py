@@ -250,7 +250,7 @@ _TOP = """o AS (SELECT component, e.id, ctx, row_number() OVER (PARTITION BY com
 
 
 def _inline(p: str) -> str:
-    return f"{_training(p)} || ' COL context VAL ' || array_to_string({p}top, ' | ') || ' jac=' || {_BUCKET}"
+    return f"{_training(p)} || ' COL context VAL ' || array_to_string({p}top, ' | ') || ' COL pairwise_summary VAL jac=' || {_BUCKET}"
 
 
 @query("inline_training_text", with_fixtures(f"SELECT ltable_id, rtable_id, {_inline('l_')} || chr(9) || {_inline('r_')} || chr(9) || CAST(label AS VARCHAR) AS line FROM z", _E, _GOLD, _TOP))

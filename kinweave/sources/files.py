@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinweave.functions.text import strip
 from kinweave.operators.context import context_to_primary, entities, explode_context, hyperedges, mentions
 
 _CSV = {"header": "true", "escape": '"', "multiLine": "true"}
@@ -23,9 +24,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pairs(spark: SparkSession, path: str, left: str = "ltable_id", right: str = "rtable_id", label: str = "label") -> DataFrame:
-    """Labelled pairs: ids as text, the label as a number, further columns as text."""
+    """Labelled pairs: ids as text without white space at their ends, the label as a number, further columns as text."""
     rows = read_records(spark, path)
-    return rows.withColumn(left, F.col(left).cast("string")).withColumn(right, F.col(right).cast("string")).withColumn(label, F.col(label).cast("int"))
+    return rows.withColumn(left, strip(F.col(left))).withColumn(right, strip(F.col(right))).withColumn(label, F.col(label).cast("int"))
 
 
 def read_pair_ids(spark: SparkSession, path: str, column: str = "ltable_id") -> DataFrame:

@@ -317,6 +317,90 @@ def test_configuration_and_run_folders(tmp_path):
     assert config.run_logger("kinweave-test", str(tmp_path / "logs")).handlers
 
 
+EXPERIMENT = """
+dataset:
+  dataset_dir: {root}/toy
+  splits: [train, valid, test]
+  split_ext: csv
+  left_id_col: ltable_id
+  right_id_col: rtable_id
+  label_col: label
+  prim_id_col: id
+  context_field: authors
+  context_sep: ","
+  context_name_field: name
+  table_configs:
+    - [a, ltable_id]
+    - [b, rtable_id]
+run:
+  run_name: toy_run
+  output_root: {root}/out
+  reduced_root: {root}/reduced
+  logs_root: {root}/logs
+  checkpoints_root: {root}/models
+  ditto_configs_path: {root}/models/configs.json
+  splits_dirname: splits
+  model_filename: model.pt
+algo:
+  alpha: 0.3
+  threshold: 0.6
+  k: 2
+  strategy: {strategy}
+  rel_similarity: jaccard_coefficient
+  is_relations_triples: true
+  use_gpu: true
+  fp16: true
+finetune:
+  enabled: true
+  task: toy
+  batch_size: 32
+  lr: 3e-5
+  n_epochs: 1
+"""
+
+
+@pytest.mark.parametrize("strategy", ["LATE_FUSION", "INLINE_ENCODE"])
+def test_experiment_from_the_command_line(spark, tmp_path, strategy):
+    pytest.importorskip("yaml")
+    from kinweave.__main__ import main
+
+    root = tmp_path / "toy"
+    root.mkdir()
+    (root / "tableA.csv").write_text('id,title,authors\n1,red car,"E Rahm"\n2,blue boat,"H Do"\n5,unused,"X Yz"\n')
+    (root / "tableB.csv").write_text('id,title,authors\n3,red car,"Erhard Rahm, E Rahm"\n4,green house,"A Li"\n')
+    for split in ("train", "valid", "test"):
+        (root / f"{split}.csv").write_text("ltable_id,rtable_id,label\n 1 ,3,1\n2,4,0\n")
+    (tmp_path / "e.yaml").write_text(EXPERIMENT.format(root=tmp_path, strategy=strategy))
+    found = main(["--config", str(tmp_path / "e.yaml")])
+    assert (found["accuracy"], found["f1"]) == (1.0, 1.0)
+    assert {r.id for r in files.read_records(spark, str(tmp_path / "reduced/test_a.csv")).collect()} == {"1", "2"}
+    lines = lambda name: sorted(r.value for r in spark.read.text(str(tmp_path / f"out/splits/toy_run/{name}.txt")).collect())
+    assert lines("test") == ["COL title VAL blue boat\tCOL title VAL green house\t0", "COL title VAL red car\tCOL title VAL red car\t1"]
+    if strategy == "INLINE_ENCODE":
+        assert all(side.count(" COL authors VAL ") == 1 for line in lines("train") for side in line.split("\t")[:2])
+        assert [line.count(" COL pairwise_summary VAL jac=high") for line in lines("train")] == [0, 2]
+    else:
+        assert lines("train") == lines("test")
+    assert "f1: 1.00" in next((tmp_path / "logs").iterdir()).read_text()
+    assert "testset" in (tmp_path / "models/configs.json").read_text()
+
+
+def test_gold_similarity_of_clusters(spark):
+    members = spark.createDataFrame([("1", "c"), ("2", "c"), ("3", "d"), ("4", "e")], "id string, cluster_id string")
+    positives = spark.createDataFrame([("3", "2")], "ltable_id string, rtable_id string")
+    asked = spark.createDataFrame([("c", "d"), ("d", "e")], "ltable_id string, rtable_id string")
+    assert sorted(map(tuple, graph.gold_cluster_similarity(asked, members, positives).collect())) == [("c", "d", 1.0), ("d", "e", 0.0)]
+
+
+def test_unknown_similarity_and_keys_under_two_names():
+    with pytest.raises(ValueError, match="similarity"):
+        collective.clusters(None, None, None, None, 0.1, 0.5, similarity="cosine")
+    with pytest.raises(ValueError, match="two names"):
+        config.from_dict({"dataset": {"name": "x"}, "run": {}, "algo": {"similarity": "a", "rel_similarity": "b"}})
+    with pytest.raises(ValueError, match="tables"):
+        config.from_dict({"dataset": {"name": "x", "tables": [["a", "other"], ["b", "rtable_id"]]}, "run": {}, "algo": {}})
+
+
 def test_the_rest_works_without_the_corpus_operators(tmp_path):
     import shutil
     import subprocess
