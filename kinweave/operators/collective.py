@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,6 +241,41 @@ def _in_rounds(parts: DataFrame, records: DataFrame, linked: DataFrame, nodes: D
     return reduce(DataFrame.unionByName, over).select(F.col("a").alias("id"), F.col("b").alias("cluster_id"))
 
 
+def _merge_runs(alpha: float, threshold: float, strategy: str, match: Callable[[str, str], float], similarity: str, field: str) -> Callable:
+    """Merges components that stand one after the other in a partition, without the cost of a frame for each. A row is a member (a: id, b null), a link (a, b) or a scored pair (a, b, p); those of a component come in any order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, contexts, texts, links, scored = None, {}, {}, [], []
+        names: dict[str, str] = {}  # each id is held once
+
+        def over() -> dict[str, str]:
+            score = late_fusion(alpha, similarity) if strategy == "LATE_FUSION" else inline_encode(texts, match, field=field)
+            return merged(sorted(texts), contexts, links, scored, threshold, score)
+
+        def told(found: dict[str, str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string())], names=["id", "cluster_id"])
+
+        for batch in batches:
+            found: dict[str, str] = {}
+            for component, a, b, p, ctxs, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if component != current:
+                    if current is not None:
+                        found.update(over())
+                    current, contexts, texts, links, scored, names = component, {}, {}, [], [], {}
+                a = names.setdefault(a, a)
+                if b is None:
+                    contexts[a], texts[a] = set(ctxs), text
+                elif p is None:
+                    links.append((a, names.setdefault(b, b)))
+                else:
+                    scored.append((a, names.setdefault(b, b), p))
+            yield told(found)
+        if current is not None:
+            yield told(over())
+
+    return run
+
+
 def clusters(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability: Column | None, alpha: float, threshold: float, strategy: str = "LATE_FUSION", text: str = "text", match: Callable[[str, str], float] = token_match, folder: str | None = None, max_component: int = MAX_COMPONENT, similarity: str = "jaccard_coefficient", field: str = "context") -> DataFrame:
     """(id, cluster_id) of every id of a pair. ``records``: id and what ``probability`` needs as l_* and r_* columns; ``edges``: (id, ctx). With LATE_FUSION, pairs inside a component of up to ``max_component`` members are all scored in advance and those of a larger one when they are compared; a probability is 1 at most. INLINE_ENCODE scores when it compares."""
     relational(similarity)  # an unknown one is told at once
@@ -262,15 +298,11 @@ def clusters(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability
 
     whole = nodes if large is None else nodes.join(large.withColumnRenamed("component", "part"), "part", "left_anti")
 
-    def merge(links: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        texts = dict(zip(members["id"], members["text"], strict=True))
-        score = late_fusion(alpha, similarity) if strategy == "LATE_FUSION" else inline_encode(texts, match, field=field)
-        contexts = {i: set(c) for i, c in zip(members["id"], members["ctxs"], strict=True)}
-        is_candidate = links["p"].isna()
-        found = merged(sorted(texts), contexts, list(zip(links.loc[is_candidate, "a"], links.loc[is_candidate, "b"], strict=True)), list(zip(*(links.loc[~is_candidate, c] for c in "abp"), strict=True)), threshold, score)
-        return pd.DataFrame({"id": list(found), "cluster_id": list(found.values())})
-
-    grouped = linked.groupBy("component").cogroup(whole.groupBy("part")).applyInPandas(merge, "id string, cluster_id string")
+    none = lambda kind: F.lit(None).cast(kind)
+    links = linked.select("component", "a", "b", "p", none("array<string>").alias("ctxs"), none("string").alias("text"))
+    members = whole.select(F.col("part").alias("component"), F.col("id").alias("a"), none("string").alias("b"), none("double").alias("p"), "ctxs", "text")
+    placed = _merge_runs(alpha, threshold, strategy, match, similarity, field)
+    grouped = links.unionByName(members).repartition("component").sortWithinPartitions("component").mapInArrow(placed, "id string, cluster_id string")
     if large is not None:
         of = lambda df, c: df.join(large.withColumnRenamed("component", c), c, "left_semi")
         grouped = grouped.unionByName(_in_rounds(of(parts, "component"), records, of(every, "component"), of(nodes, "part"), probability, late_fusion(alpha, similarity), threshold, folder))
