@@ -1,11 +1,13 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
 A text is cut into units between neighbouring characters that no piece of the vocabulary holds side by side, so that
-no piece crosses a cut and each unit is encoded by itself. Each block of rows sends its distinct units once. Over
+no piece crosses a cut and each unit is encoded by itself. Each block of rows sends its distinct units once, and a
+cohort of some COHORT blocks brings equal ones together, so that a unit has one row a cohort. Over
 these the lattice is a join: all substrings of up to the longest piece's length are exploded and equi-joined to the
 table of pieces; the edges found are grouped by unit and folded by a higher-order aggregate. The folded path, a few
-numbers a unit, is kept under the block's number, and the texts, read again, are put together from the paths. Nothing of this depends on how often a
-unit stands in other blocks, so that no unit is a hot key.
+numbers a unit, is kept under the number of each block that holds it, and the texts, read again, are put together from
+the paths. A unit meets itself at most once a block of its cohort, however often it stands anywhere, so that no unit is
+a hot key.
 
 Two folds are there. ``viterbi`` finds the path of the greatest sum of scores, as unigram vocabularies ask for.
 ``merges`` is for BPE vocabularies, whose scores are ranks (a best path over ranks gives other ids than the library):
@@ -43,6 +45,8 @@ BLANK = "▁"
 LONGEST = 60
 #: Rows of a block, bytes of input whose units meet in a task, and distinct units of a block that are dealt together.
 BLOCK_ROWS, BUCKET_BYTES, DEALT = 8192, 1 << 20, 8192
+#: Blocks, on average, whose equal units are encoded once.
+COHORT = 16
 #: Groups that an aggregate over objects holds before it sorts them; a task has some tens of thousands.
 _GROUPS = ("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20))
 
@@ -230,26 +234,27 @@ def _path_by_viterbi() -> Column:
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary, fold: str = "merges") -> DataFrame:
-    """block, unit and path of (block, sub, unit) rows that are dealt by (block, sub); the grouping keeps that dealing, so that nothing moves. A row that stands twice (two tasks may read parts of a block) gives the same path. A path is an array of steps (with a sign, see _SIGNED) by their starts; characters that no step covers stand for themselves. A unit without any edge has no row."""
+    """block, unit and path of (block, sub, unit) rows that are dealt by sub; the groupings keep that dealing, so that nothing moves. A row that stands twice (two tasks may read parts of a block) counts once. A path is an array of steps (with a sign, see _SIGNED) by their starts; characters that no step covers stand for themselves. A unit without any edge has no row."""
     table = F.broadcast(vocabulary.table(units.sparkSession))  # fixed by the vocabulary
-    rows = units.withColumn("n", F.length("unit")).where(F.col("n") <= LONGEST)
+    rows = units.where(F.length("unit") <= LONGEST).groupBy("unit", "sub").agg(F.collect_set("block").alias("blocks")).withColumn("n", F.length("unit"))
     # Characters by themselves merge nothing; only the best path asks for their scores.
     least = 1 if fold == "viterbi" else 2
     starts = rows.where(F.col("n") >= least).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - least)).alias("s"))
     spans = starts.select("*", F.explode(F.sequence(F.col("s") + least, F.least(F.col("n"), F.col("s") + vocabulary.longest))).alias("e"))
-    found = spans.select("block", "sub", "unit", "n", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece")).join(table, "piece")
-    lists = [F.collect_list(F.expr(_EDGE)).alias("edges")]
+    found = spans.select("blocks", "sub", "unit", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece")).join(table, "piece")
+    lists = [F.first("blocks").alias("blocks"), F.collect_list(F.expr(_EDGE)).alias("edges")]
     if fold == "viterbi":
         lists.append(F.collect_list(F.struct("s", "e", "score")).alias("scored"))
-    grouped = found.groupBy("unit", "block", "sub").agg(*lists).withColumn("n", F.length("unit"))
-    return grouped.select("block", "unit", (_path_by_viterbi() if fold == "viterbi" else _path_by_merges()).alias("path"))
+    grouped = found.groupBy("unit", "sub").agg(*lists).withColumn("n", F.length("unit"))
+    folded = grouped.select("blocks", "unit", (_path_by_viterbi() if fold == "viterbi" else _path_by_merges()).alias("path"))
+    return folded.select(F.explode("blocks").alias("block"), "unit", "path")
 
 
 # --- texts -----------------------------------------------------------------------------------------------------
 
 
 def _send(batches: Iterator[pa.RecordBatch], cut, irregular: list[str]) -> Iterator[pa.RecordBatch]:
-    """Distinct units of each block, blanks between, dealt by hash to as many parts as there are DEALT of them; those that the lattice doesn't take stay behind."""
+    """Distinct units of each block, blanks between, dealt by hash to as many parts as there are DEALT of them (the next power of two, so that blocks of like size have as many); those that the lattice doesn't take stay behind."""
     seen: set[str] = set()
     current = None
 
@@ -257,12 +262,12 @@ def _send(batches: Iterator[pa.RecordBatch], cut, irregular: list[str]) -> Itera
         short = [u for u in seen if len(u) <= LONGEST]
         for p in irregular:
             short = [u for u in short if p not in u]
-        parts = -(-len(short) // DEALT)
+        parts = 1 << max(0, -(-len(short) // DEALT) - 1).bit_length()
         dealt: list[list[str]] = [[] for _ in range(parts)]
         for unit in short:
             dealt[zlib.crc32(unit.encode("utf-8", "surrogatepass")) % parts].append(unit)
         seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array([current] * parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array([" ".join(u) for u in dealt], pa.string())], names=["block", "sub", "units"])
+        return pa.RecordBatch.from_arrays([pa.array([current] * parts, pa.int64()), pa.array([parts] * parts, pa.int32()), pa.array(range(parts), pa.int32()), pa.array([" ".join(u) for u in dealt], pa.string())], names=["block", "parts", "part", "units"])
 
     for batch in batches:
         for text, block in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -305,7 +310,9 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     irregular = vocabulary.irregular() if fold == "merges" else []
     rows = with_blocks(docs, [F.col(key), F.col(text).alias("_t")], BLOCK_ROWS)
     sent = spark.sparkContext.broadcast(vocabulary)
-    units = rows.select("_t", "_block").mapInArrow(lambda b: _send(b, sent.value.cut, irregular), "block bigint, sub int, units string").repartition(bucket_count(docs, BUCKET_BYTES), "block", "sub")
+    cohorts = max(1, -(-rows.select("_block").distinct().count() // COHORT))  # a scan of no columns
+    units = rows.select("_t", "_block").mapInArrow(lambda b: _send(b, sent.value.cut, irregular), "block bigint, parts int, part int, units string")
+    units = units.select("block", F.xxhash64(F.pmod("block", F.lit(cohorts)), "parts", "part").alias("sub"), "units").repartition(bucket_count(docs, BUCKET_BYTES), "sub")
     units = units.select("block", "sub", F.explode(F.split("units", " ")).alias("unit"))
     address = shared_folder(spark, "answers")
     before = spark.conf.get(_GROUPS[0], None)
