@@ -14,8 +14,8 @@
    the members with most possible partners, which is linear in a tile's members; then every possible pair whose
    members are still in different components. Pairs inside a component can't change the classes.
 
-Texts are read once: their sets are stored with the classes' digests, 8 bytes a shingle, each step scans the stored sets,
-and only what is asked for moves. Defined results: a null or empty text, or one
+Bitmaps are stored when texts are first read; texts are read anew where shingles themselves are needed (for the first
+ones, and for exact intersections), and only what is asked for moves. Defined results: a null or empty text, or one
 without words, has an empty set and is a class of its own; one under five words has its whole sequence as its only
 shingle; texts of any length are compared whole; repeated rows fall into one class; of rows with equal keys the one
 that stands first in its file's order of row numbers is kept; an empty table gives an empty table; other columns are
@@ -134,7 +134,7 @@ def _stars(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _signatures(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """For each row rid, key, block, size, digest and hashes of its set; in rows without rid, frequent shingles and counts."""
+    """For each row rid, key, block, size, digest and bitmap of its set; in rows without rid, frequent shingles and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
@@ -145,16 +145,16 @@ def _signatures(rows: DataFrame, key: str, n: int) -> DataFrame:
             often = counts >= FREQUENT
             return values[often].tobytes(), counts[often].astype("<i8").tobytes()
 
-        def batch_of(rids, keys, blocks, sizes, digests, stored, values, counts):
-            return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), keys, pa.array(blocks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(stored, pa.binary()), pa.array(values, pa.binary()), pa.array(counts, pa.binary())], names=["rid", "key", "block", "n", "digest", "hashes", "frequent", "counts"])
+        def batch_of(rids, keys, blocks, sizes, digests, bits, values, counts):
+            return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), keys, pa.array(blocks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(values, pa.binary()), pa.array(counts, pa.binary())], names=["rid", "key", "block", "n", "digest", "bits", "frequent", "counts"])
 
         for block, (rids, keys), texts in slices(batches):
             sets = sets_of(texts, hashes, n)
             key_type = keys.type
             held.append(np.concatenate(sets))
             size += len(held[-1])
-            count, stored = len(sets), [s.tobytes() for s in sets]
-            yield batch_of(rids, keys, [block] * count, [len(s) for s in sets], [xxhash.xxh3_128_digest(x) for x in stored], stored, [None] * count, [None] * count)
+            count = len(sets)
+            yield batch_of(rids, keys, [block] * count, [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [bitmap(s) for s in sets], [None] * count, [None] * count)
             if size >= COUNTED:
                 values, counts = frequent()
                 yield batch_of([None], pa.nulls(1, key_type), [None], [None], [None], [None], [values], [counts])
@@ -163,7 +163,7 @@ def _signatures(rows: DataFrame, key: str, n: int) -> DataFrame:
             values, counts = frequent()
             yield batch_of([None], pa.nulls(1, key_type), [None], [None], [None], [None], [values], [counts])
 
-    return kept(rows.mapInArrow(run, f"rid bigint, key {dict(rows.dtypes)['key']}, block bigint, n bigint, digest binary, hashes binary, frequent binary, counts binary"), "sets")
+    return kept(rows.mapInArrow(run, f"rid bigint, key {dict(rows.dtypes)['key']}, block bigint, n bigint, digest binary, bits binary, frequent binary, counts binary"), "sets")
 
 
 def _frequent(signatures: DataFrame) -> np.ndarray:
@@ -187,14 +187,14 @@ def _asked(requests: DataFrame, tag: str) -> str:
     return address
 
 
-def _first_shingles(sets: DataFrame, copies: str, frequent: np.ndarray, buckets: int) -> DataFrame:
+def _first_shingles(rows: DataFrame, copies: str, frequent: np.ndarray, n: int, buckets: int) -> DataFrame:
     """(bucket, blob): the first shingles of each set that stands for its class, with rid and size."""
-    spark = sets.sparkSession
+    spark = rows.sparkSession
     order = np.argsort(frequent)
     sent = spark.sparkContext.broadcast((frequent[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, current, skip = Replies(copies), None, set()
+        hashes, reader, current, skip = WordHashes(), Replies(copies), None, set()
         known, place = sent.value
         held, size = [], 0
 
@@ -212,13 +212,13 @@ def _first_shingles(sets: DataFrame, copies: str, frequent: np.ndarray, buckets:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
         # A set's first shingles are its least hashes; scrambled, they go to all buckets alike.
-        for block, (rids,), stored in slices(batches):
+        for block, (rids,), texts in slices(batches):
             if block != current:
                 table = reader(block, ["rid"])
                 current, skip = block, set(table["rid"].to_pylist()) if table is not None else set()
             numbers = rids.to_numpy()
             wanted = [i for i, r in enumerate(numbers.tolist()) if r not in skip]
-            sets = [np.frombuffer(stored[i], np.uint64) for i in wanted]
+            sets = sets_of([texts[i] for i in wanted], hashes, n)
             if not sets:
                 continue
             sizes = np.array([len(s) for s in sets])
@@ -226,6 +226,8 @@ def _first_shingles(sets: DataFrame, copies: str, frequent: np.ndarray, buckets:
             often = contained(every, known)
             ends = np.cumsum(sizes)
             for i, s, e in zip(wanted, sets, ends.tolist(), strict=True):
+                if not len(s):
+                    continue
                 first = len(s) - (SIMILARITY[0] * len(s) + SIMILARITY[1] - 1) // SIMILARITY[1] + 1
                 f = often[e - len(s) : e]
                 if f.any():
@@ -244,7 +246,7 @@ def _first_shingles(sets: DataFrame, copies: str, frequent: np.ndarray, buckets:
         if held:
             yield flush()
 
-    return sets.mapInArrow(run, "bucket int, blob binary")
+    return rows.select("rid", "_t", "_block").mapInArrow(run, "bucket int, blob binary")
 
 
 def _groups(tokens: DataFrame) -> DataFrame:
@@ -302,18 +304,24 @@ def _cut_tiles(groups: DataFrame) -> DataFrame:
     return placed.join(met, "tile", "left_semi")
 
 
-def _pairs(sets: DataFrame, tiles: DataFrame, blocks: DataFrame, parts: DataFrame | None, tag: str) -> DataFrame:
+def _pairs(maps: DataFrame, tiles: DataFrame, blocks: DataFrame, parts: DataFrame | None, tag: str) -> DataFrame:
     """Possible pairs (a, b, chunk) of the tiles: stars, or where components are given, all that lie in two of them."""
     asked = tiles.join(blocks, "rid")
     if parts is not None:
         asked = asked.join(parts.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     else:
         asked = asked.withColumn("component", F.col("rid"))
-    address = _asked(asked.select("block", "rid", "tile", "side", "own", "component"), tag)
+    columns = ["rid", "tile", "side", "own", "component"]
+    address = _asked(asked.select("block", *columns), tag)
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, wanted in _wanted(batches, address, ["rid", "tile", "side", "own", "component"]):
-            rows = [(t, s, o, r, c, len(v), bitmap(v)) for r, v in found for t, s, o, c in wanted[r]]
+        reader, current, wanted = Replies(address), None, {}
+        for block, (rids, sizes), maps in slices(batches):
+            if block != current:
+                current, wanted = block, _requests(reader(block, columns), columns)
+            rows = [(t, s, o, r, c, m, x) for r, m, x in zip(rids.to_pylist(), sizes.to_pylist(), maps, strict=True) for t, s, o, c in wanted.get(r, ())]
+            if not rows:
+                continue
             kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["tile", "side", "own", "rid", "component", "n", "bits"])
 
@@ -352,39 +360,45 @@ def _pairs(sets: DataFrame, tiles: DataFrame, blocks: DataFrame, parts: DataFram
         found = (row for part in runs(batches, ["tile"]) for row in tile_pairs(part))
         yield from gathered(found, ["a", "b", "tile", "chunk"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()])
 
-    members = sets.mapInArrow(carry, "tile bigint, side int, own boolean, rid bigint, component bigint, n bigint, bits binary")
+    members = maps.mapInArrow(carry, "tile bigint, side int, own boolean, rid bigint, component bigint, n bigint, bits binary")
     found = members.repartition(F.col("tile")).sortWithinPartitions("tile", "rid").mapInArrow(compare, "a bigint, b bigint, tile bigint, chunk int")
     # A pair that stands in several tiles is compared once; it stays with the tile that comes first, under its hub.
     once = found.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("tile", "chunk", "a", "b")).alias("s"))
     return kept(once.select("s.a", "s.b", F.xxhash64("s.tile", "s.chunk").alias("chunk")), f"{tag}-pairs")
 
 
-def _wanted(batches, address: str, columns: list[str]):
-    """Sets of the rows that a block's requests name, with the requests by rid. Sets that nobody asks for are passed over."""
-    reader, current, wanted = Replies(address), None, {}
-    for block, (rids,), stored in slices(batches):
+def _requests(table: pa.Table | None, columns: list[str]) -> dict[int, list]:
+    """A block's requests by the first column, rid."""
+    wanted: dict[int, list] = {}
+    if table is not None:
+        for r, *rest in zip(*(table[c].to_pylist() for c in columns), strict=True):
+            wanted.setdefault(r, []).append(rest)
+    return wanted
+
+
+def _wanted(batches, address: str, columns: list[str], n: int):
+    """Sets of the rows that a block's requests name, with the requests by rid. Texts that nobody asks for are passed over."""
+    reader, hashes, current, wanted = Replies(address), WordHashes(), None, {}
+    for block, (rids,), texts in slices(batches):
         if block != current:
-            current, wanted = block, {}
-            table = reader(block, columns)
-            if table is not None:
-                for r, *rest in zip(*(table[c].to_pylist() for c in columns), strict=True):
-                    wanted.setdefault(r, []).append(rest)
+            current, wanted = block, _requests(reader(block, columns), columns)
         if not wanted:
             continue
-        chosen = [(r, x) for r, x in zip(rids.to_pylist(), stored, strict=True) if r in wanted]
+        chosen = [(r, t) for r, t in zip(rids.to_pylist(), texts, strict=True) if r in wanted]
         for i in range(0, len(chosen), 64):
-            yield [(r, np.frombuffer(x, np.uint64)) for r, x in chosen[i : i + 64]], wanted
+            some = chosen[i : i + 64]
+            yield list(zip([r for r, _ in some], sets_of([t for _, t in some], hashes, n), strict=True)), wanted
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, blocks: DataFrame, tag: str) -> DataFrame:
+def _verified(rows: DataFrame, pairs: DataFrame, blocks: DataFrame, n: int, tag: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by exact intersection. A hub's partners come in chunks."""
     hubs = pairs.select(F.col("a").alias("rid"), "a", "chunk", F.lit(0).alias("side")).distinct()
     asked = hubs.unionByName(pairs.select(F.col("b").alias("rid"), "a", "chunk", F.lit(1).alias("side"))).join(blocks, "rid")
     address = _asked(asked.select("block", "rid", "a", "chunk", "side"), f"{tag}-sets")
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, wanted in _wanted(batches, address, ["rid", "a", "chunk", "side"]):
-            rows = [(a, c, s, r, v.tobytes()) for r, v in found for a, c, s in wanted[r]]
+        for sets, wanted in _wanted(batches, address, ["rid", "a", "chunk", "side"], n):
+            rows = [(a, c, s, r, v.tobytes()) for r, v in sets for a, c, s in wanted[r]]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["a", "chunk", "side", "rid", "values"])
 
@@ -400,7 +414,7 @@ def _verified(sets: DataFrame, pairs: DataFrame, blocks: DataFrame, tag: str) ->
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from gathered((row for part in runs(batches, ["a", "chunk"]) for row in links(part)), ["a", "b"], [pa.int64(), pa.int64()])
 
-    carried = sets.mapInArrow(carry, "a bigint, chunk bigint, side int, rid bigint, values binary")
+    carried = rows.select("rid", "_t", "_block").mapInArrow(carry, "a bigint, chunk bigint, side int, rid bigint, values binary")
     return kept(carried.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(meet, "a bigint, b bigint"), f"{tag}-links")
 
 
@@ -411,21 +425,21 @@ def _placed(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, Da
     signatures = _signatures(rows, "key", n)
     frequent = _frequent(signatures)
     signed = signatures.where("rid IS NOT NULL").select("rid", "key", "block", "n", "digest")
-    sets = signatures.where("n > 0").select("rid", "hashes", "block")
+    maps = signatures.where("n > 0").select("rid", "n", "bits", "block")
     # Stored, so that the join's side of rows with one digest can be split.
     same = kept(signed.where("n > 0").groupBy("digest").agg(F.min("rid").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "same")
     members = signed.join(same, "digest", "left").select("rid", "key", "block", "n", F.coalesce("first", "rid").alias("class"), F.coalesce("copies", F.lit(1)).alias("copies"))
     members = kept(members, "members")
     copies = _asked(members.where("rid <> class").select("block", "rid"), "copies")
     blocks = members.where("rid = class").select("rid", "block")
-    groups = kept(_groups(_first_shingles(sets, copies, frequent, buckets)), "groups")
+    groups = kept(_groups(_first_shingles(rows, copies, frequent, n, buckets)), "groups")
     tiles = kept(_tiles(groups), "tiles")
-    links = _verified(sets, _pairs(sets, tiles, blocks, None, "stars"), blocks, "stars")
+    links = _verified(rows, _pairs(maps, tiles, blocks, None, "stars"), blocks, n, "stars")
     folder = shared_folder(docs.sparkSession, "components")
     parts = kept(components(links, folder=folder), "parts")
     # Tiles whose members all lie in one component can't change anything.
     open_ = tiles.join(parts.withColumnRenamed("node", "rid"), "rid", "left").groupBy("tile").agg(F.min(F.coalesce("component", "rid")).alias("x"), F.max(F.coalesce("component", "rid")).alias("y")).where("x <> y").select("tile")
-    rest = _verified(sets, _pairs(sets, tiles.join(open_, "tile", "left_semi"), blocks, parts, "rest"), blocks, "rest")
+    rest = _verified(rows, _pairs(maps, tiles.join(open_, "tile", "left_semi"), blocks, parts, "rest"), blocks, n, "rest")
     parts = components(links.unionByName(rest), folder=folder).select(F.col("node").alias("class"), "component")
     own = members.where("n > 0").groupBy("class").agg(F.min(F.struct("key", "rid")).alias("first"), F.min("key").alias("least"), F.count("*").alias("k"))
     own = kept(own.join(parts, "class", "left").where("component IS NOT NULL OR k > 1"), "classes")
