@@ -12,7 +12,9 @@
    the overlap from above; pairs that the bound rules out are dropped.
 4. Pairs that remain are compared exactly, by the intersection of sorted arrays, in two rounds: first stars around
    the members with most possible partners, which is linear in a tile's members; then every possible pair whose
-   members are still in different components. Pairs inside a component can't change the classes.
+   members are still in different components. Pairs inside a component can't change the classes. For the second round
+   a tile names its members with such a partner, their sets meet in the tile, and only links that join components
+   leave it, so that no row stands for a pair that is merely possible.
 
 Bitmaps are stored when texts are first read; texts are read anew where shingles themselves are needed (for the first
 ones, and for exact intersections), and only what is asked for moves. Defined results: a null or empty text, or one
@@ -47,6 +49,8 @@ HELD, BUCKET_BYTES = 1_000_000, 8 << 20
 #: Members of a tile, or of a band's part of one.
 TILE = 4096
 CHUNK = 256
+#: Hashes of a tile's sets that a task holds at once, from each of two parts.
+SETS = 4_000_000
 
 
 def sets_of(texts: list[bytes], hashes: WordHashes, n: int = WORDS) -> list[np.ndarray]:
@@ -304,8 +308,8 @@ def _cut_tiles(groups: DataFrame) -> DataFrame:
     return placed.join(met, "tile", "left_semi")
 
 
-def _pairs(maps: DataFrame, tiles: DataFrame, blocks: DataFrame, parts: DataFrame | None, tag: str) -> DataFrame:
-    """Possible pairs (a, b, chunk) of the tiles: stars, or where components are given, all that lie in two of them."""
+def _members(maps: DataFrame, tiles: DataFrame, blocks: DataFrame, parts: DataFrame | None, tag: str) -> DataFrame:
+    """The tiles' members with component (their own number where none is given), size and bitmap, each tile's rows one after the other."""
     asked = tiles.join(blocks, "rid")
     if parts is not None:
         asked = asked.join(parts.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
@@ -325,48 +329,121 @@ def _pairs(maps: DataFrame, tiles: DataFrame, blocks: DataFrame, parts: DataFram
             kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["tile", "side", "own", "rid", "component", "n", "bits"])
 
-    all_pairs = parts is not None
+    members = maps.mapInArrow(carry, "tile bigint, side int, own boolean, rid bigint, component bigint, n bigint, bits binary")
+    return members.repartition(F.col("tile")).sortWithinPartitions("tile", "rid")
+
+
+def _flags(part: dict) -> np.ndarray | None:
+    """The possible pairs of a tile's members: in a tile of its own all, else those of the two sides."""
+    n, side = np.array(part["n"], np.int64), np.array(part["side"])
+    if part["own"][0]:
+        return possible_within(part["bits"], n) if len(n) > 1 else None
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
+        return None
+    flags = np.zeros((len(n),) * 2, bool)
+    flags[np.ix_(left, right)] = possible([part["bits"][i] for i in left], n[left], [part["bits"][i] for i in right], n[right])
+    return flags | flags.T
+
+
+def _pairs(maps: DataFrame, tiles: DataFrame, blocks: DataFrame, tag: str) -> DataFrame:
+    """Possible pairs (a, b, chunk) of the tiles, as stars."""
 
     def tile_pairs(part: dict) -> Iterator[tuple]:
-        own = part["own"][0]
-        left = [i for i, x in enumerate(part["side"]) if x == 0]
-        right = left if own else [i for i, x in enumerate(part["side"]) if x == 1]
-        if not left or not right or len(part["rid"]) < 2:
+        flags = _flags(part)
+        if flags is None:
             return
-        n, component, rid = (np.array(part[c], np.int64) for c in ("n", "component", "rid"))
-        if own:
-            flags = possible_within(part["bits"], n)
-        else:
-            flags = possible([part["bits"][i] for i in left], n[left], [part["bits"][i] for i in right], n[right])
-        if all_pairs:
-            flags &= component[left][:, None] != component[right][None, :]
-            found = np.argwhere(np.triu(flags) if own else flags).tolist()
-            names = rid[left].tolist(), rid[right].tolist()
-        elif own:
-            found, names = _stars(flags), (rid[left].tolist(),) * 2
-        else:
-            both = np.zeros((len(left) + len(right),) * 2, bool)
-            both[: len(left), len(left) :] = flags
-            both[len(left) :, : len(left)] = flags.T
-            found, ids = _stars(both), rid[left].tolist() + rid[right].tolist()
-            names = ids, ids
         seen: dict[int, int] = {}
-        for i, j in found:
-            a = names[0][i]
+        for i, j in _stars(flags):
+            a = part["rid"][i]
             k = seen[a] = seen.get(a, -1) + 1
-            yield a, names[1][j], part["tile"][0], k // CHUNK
+            yield a, part["rid"][j], part["tile"][0], k // CHUNK
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (row for part in runs(batches, ["tile"]) for row in tile_pairs(part))
         yield from gathered(found, ["a", "b", "tile", "chunk"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()])
 
-    members = maps.mapInArrow(carry, "tile bigint, side int, own boolean, rid bigint, component bigint, n bigint, bits binary")
-    found = members.repartition(F.col("tile")).sortWithinPartitions("tile", "rid").mapInArrow(compare, "a bigint, b bigint, tile bigint, chunk int")
+    found = _members(maps, tiles, blocks, None, tag).mapInArrow(compare, "a bigint, b bigint, tile bigint, chunk int")
     # A pair that stands in several tiles is compared once; it stays with the tile that comes first, under its hub.
     once = found.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("tile", "chunk", "a", "b")).alias("s"))
     return kept(once.select("s.a", "s.b", F.xxhash64("s.tile", "s.chunk").alias("chunk")), f"{tag}-pairs")
 
 
+def _open(maps: DataFrame, tiles: DataFrame, blocks: DataFrame, parts: DataFrame, tag: str) -> DataFrame:
+    """The tiles' members (tile, side, own, rid, component, n) that have a possible partner in another component."""
+    names, kinds = ["tile", "side", "own", "rid", "component", "n"], [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+
+    def tile_members(part: dict) -> Iterator[tuple]:
+        flags = _flags(part)
+        if flags is not None:
+            component = np.array(part["component"], np.int64)
+            for i in np.flatnonzero((flags & (component[:, None] != component[None, :])).any(1)).tolist():
+                yield tuple(part[c][i] for c in names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered((row for part in runs(batches, ["tile"]) for row in tile_members(part)), names, kinds)
+
+    found = _members(maps, tiles, blocks, parts, tag).mapInArrow(compare, "tile bigint, side int, own boolean, rid bigint, component bigint, n bigint")
+    return kept(found, f"{tag}-open")
+
+
+def cell_links(rid: list[int], component: list[int], sets: list[np.ndarray], flags: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links (a, b) among the flagged pairs of a cell's members that join two components, by exact intersections. A pair that earlier links have put into one component is passed over, so that there are fewer links than members."""
+    n = np.array([len(s) for s in sets], np.int64)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    numbers = np.split(at, np.cumsum(n)[:-1])
+    _, part = np.unique(np.array(component, np.int64), return_inverse=True)
+    held = np.zeros(int(at.max()) + 1, bool)
+    flags = flags.copy()
+    for hub in np.argsort(-flags.sum(1), kind="stable").tolist():
+        others = np.flatnonzero(flags[hub] & (part != part[hub]))
+        flags[:, hub] = False
+        if not len(others):
+            continue
+        held[numbers[hub]] = True
+        for i in range(0, len(others), CHUNK):
+            some = others[i : i + CHUNK]
+            overlap = np.add.reduceat(held[np.concatenate([numbers[j] for j in some])], np.concatenate(([0], np.cumsum(n[some])[:-1])), dtype=np.int64)
+            for j in some[linked(overlap, n[hub], n[some])].tolist():
+                if part[j] != part[hub]:
+                    part[part == part[j]] = part[hub]
+                    yield rid[hub], rid[j]
+        held[numbers[hub]] = False
+
+
+def _joining(rows: DataFrame, members: DataFrame, blocks: DataFrame, n: int, tag: str) -> DataFrame:
+    """The links (a, b) that join components, of the open members of tiles. Sets meet by tile, once a member; where a tile's sets have more than SETS hashes they are dealt to parts, and each two parts meet in a cell of their own."""
+    sizes = members.groupBy("tile").agg(F.ceil(F.sum("n") / SETS).cast("int").alias("parts"))
+    dealt_ = members.join(sizes, "tile").withColumn("p", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("p", q).alias("a"), F.greatest("p", q).alias("b")))
+    spread = dealt_.select("tile", "side", "own", "rid", "component", "p", F.explode(cells).alias("x"))
+    asked = spread.select("rid", F.xxhash64("tile", "x.a", "x.b").alias("cell"), (F.col("x.a") != F.col("x.b")).alias("cross"), "side", "own", "p", "component").join(blocks, "rid")
+    columns = ["rid", "cell", "cross", "side", "own", "p", "component"]
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.binary())
+    address = _asked(asked.select("block", *columns), f"{tag}-sets")
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets, wanted in _wanted(batches, address, columns, n):
+            rows = [(r, *x, v.tobytes()) for r, v in sets for x in wanted[r]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=[*columns, "values"])
+
+    def links(part: dict) -> Iterator[tuple]:
+        sets = [np.frombuffer(x, np.uint64) for x in part["values"]]
+        flags = _flags({"n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets], "side": part["side"], "own": part["own"]})
+        if flags is None:
+            return
+        if part["cross"][0]:
+            p = np.array(part["p"])
+            flags &= p[:, None] != p[None, :]
+        yield from cell_links(part["rid"], part["component"], sets, flags)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered((row for part in runs(batches, ["cell"]) for row in links(part)), ["a", "b"], [pa.int64(), pa.int64()])
+
+    carried = rows.select("rid", "_t", "_block").mapInArrow(carry, "rid bigint, cell bigint, cross boolean, side int, own boolean, p int, component bigint, values binary")
+    return kept(carried.repartition("cell").sortWithinPartitions("cell", "rid").mapInArrow(meet, "a bigint, b bigint"), f"{tag}-links")
+
+
 def _requests(table: pa.Table | None, columns: list[str]) -> dict[int, list]:
     """A block's requests by the first column, rid."""
     wanted: dict[int, list] = {}
@@ -434,12 +511,12 @@ def _placed(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, Da
     blocks = members.where("rid = class").select("rid", "block")
     groups = kept(_groups(_first_shingles(rows, copies, frequent, n, buckets)), "groups")
     tiles = kept(_tiles(groups), "tiles")
-    links = _verified(rows, _pairs(maps, tiles, blocks, None, "stars"), blocks, n, "stars")
+    links = _verified(rows, _pairs(maps, tiles, blocks, "stars"), blocks, n, "stars")
     folder = shared_folder(docs.sparkSession, "components")
     parts = kept(components(links, folder=folder), "parts")
     # Tiles whose members all lie in one component can't change anything.
     open_ = tiles.join(parts.withColumnRenamed("node", "rid"), "rid", "left").groupBy("tile").agg(F.min(F.coalesce("component", "rid")).alias("x"), F.max(F.coalesce("component", "rid")).alias("y")).where("x <> y").select("tile")
-    rest = _verified(rows, _pairs(maps, tiles.join(open_, "tile", "left_semi"), blocks, parts, "rest"), blocks, n, "rest")
+    rest = _joining(rows, _open(maps, tiles.join(open_, "tile", "left_semi"), blocks, parts, "rest"), blocks, n, "rest")
     parts = components(links.unionByName(rest), folder=folder).select(F.col("node").alias("class"), "component")
     own = members.where("n > 0").groupBy("class").agg(F.min(F.struct("key", "rid")).alias("first"), F.min("key").alias("least"), F.count("*").alias("k"))
     own = kept(own.join(parts, "class", "left").where("component IS NOT NULL OR k > 1"), "classes")

@@ -250,6 +250,32 @@ def test_tiles_of_large_groups_lose_no_link(spark, tmp_path, monkeypatch):
     assert found == dict(enumerate(root)) and len(set(root)) > 1
 
 
+@pytest.mark.parametrize("sets", [1 << 22, 400])
+def test_second_round_makes_no_row_for_a_possible_pair(spark, tmp_path, monkeypatch, sets):
+    monkeypatch.setattr(jaccard_tiles, "SETS", sets)
+    rng = random.Random(21)
+    base = _sentence(rng, 100).split()
+    texts = []
+    for i in range(60):  # likeness of about 0.7 to each other, too little for a link, and close to what bitmaps can tell
+        at = 14 + rng.randrange(5)
+        texts.append(" ".join([*base[:80], *(f"{i}own{j}" for j in range(at))]))
+    texts += [t.rsplit(" ", 1)[0] for t in texts[:3]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    shingles, root = [_shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(shingles[i] & shingles[j]) >= 75 * len(shingles[i] | shingles[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    made = []
+    once = jaccard_tiles.kept
+    monkeypatch.setattr(jaccard_tiles, "kept", lambda df, tag: (out := once(df, tag), tag.startswith("rest") and made.append((tag, out.count())))[0])
+    found = {r.doc_id: r.component_id for r in jaccard_tiles.classes(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert found == dict(enumerate(root)) and len(set(root)) > 5
+    tiles = 2 * len(texts)  # a member stands in few tiles
+    assert made and all(k <= tiles for _, k in made), made
+
+
 def test_passages(spark, docs):
     words = [t.split() for _, t in _plain(_rows())]
     count = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
