@@ -50,6 +50,10 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _WRITTEN = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
+class Apart(Exception):
+    """A text isn't words that blanks and line ends part one by one."""
+
+
 class Pieces(dict):
     """Ids of pieces, as bytes, with ``lead`` in front; found by the library once and remembered: when there are BOUND of them they become the older half, and those of it that are met again come back. Marks after a letter or digit are tokens of their own, so that the piece before them is looked up alone; a piece of letters alone is one word to the pre-tokenizer and goes to the library's model at once."""
 
@@ -65,6 +69,12 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
+            if piece[:1] == "\n" and piece.split() == [piece[1:]]:  # a line's first piece, after the line's end
+                ids = self.line + self.marks[piece[1:]]
+                self[piece] = ids
+                return ids
+            if piece.split() != [piece]:
+                raise Apart
             core = piece.rstrip(self.MARKS)
             if core != piece and core and (core[-1].isalpha() or "0" <= core[-1] <= "9"):
                 ids = self[core] + self.marks[piece[len(core) :]]
@@ -98,13 +108,9 @@ class Encoder:
         self.kind = np.dtype("<u2" if library.get_vocab_size() <= 1 << 16 else "<u4")
         self.led, self.bare = Pieces(library, self.kind, " "), Pieces(library, self.kind, "")
         self.led.marks = self.bare.marks = self.bare
-        self.line = self.bare["\n"]
+        self.line = self.led.line = self.bare.line = np.array(library.encode("\n", add_special_tokens=False).ids, self.kind).tobytes()
 
     def _lines(self, text: str) -> list[list[str]]:
-        # Words that blanks and line ends part one by one, with no other white space.
-        words, apart = text.split(), text.count(" ") + text.count("\n")
-        if len(words) == apart + 1 and sum(map(len, words)) + apart == len(text):
-            return [x.split(" ") for x in text.split("\n")]
         parts = self._cut.split(text)
         lines = [[parts[0]]]
         for by, piece in zip(parts[1::2], parts[2::2], strict=True):
@@ -114,18 +120,48 @@ class Encoder:
                 lines[-1].append(piece)
         return lines
 
+    def _ids(self, pieces: Pieces, piece: str) -> bytes:
+        """Ids of a piece that may hold white space; such a one is the library's alone and isn't remembered."""
+        try:
+            return pieces[piece]
+        except Apart:
+            return array(pieces.code, self.library.encode(pieces.lead + piece, add_special_tokens=False).ids).tobytes()
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(x in text for x in self._added):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         led, bare = self.led.__getitem__, self.bare
-        return self.line.join([bare[x[0]] + b"".join(map(led, x[1:])) for x in self._lines(text)])
+        if "\n\n" not in text and "  " not in text:
+            first, *rest = text.replace("\n", " \n").split(" ")
+            try:
+                return bare[first] + b"".join(map(led, rest))
+            except Apart:  # other white space, or some at an end
+                pass
+        return self.line.join([self._ids(bare, x[0]) + b"".join([self._ids(self.led, y) for y in x[1:]]) for x in self._lines(text)])
 
 
 # --- grammar ---------------------------------------------------------------------------------------------------
 
 
+def _frequent(keys: np.ndarray, bucket: np.ndarray, rules: int, least: int) -> tuple:
+    """(keys at places, the places, the keys in order, starts of equal ones, their counts, a count): all pairs with that count or more stand in them, and those are ``rules`` pairs or all with the least count. A pair stands no more often than its bucket, so that only places of full buckets are ordered."""
+    held = np.bincount(bucket, minlength=1 << 20)
+    fuller = np.cumsum(np.bincount(held)[::-1])[::-1]  # buckets that hold so many or more
+    wanted = 2 * rules
+    while True:
+        limit = max(least, int(np.searchsorted(-fuller, -wanted, "right")) - 1)
+        at = np.flatnonzero((held >= limit)[bucket])
+        some = keys[at]
+        ordered = np.sort(some)
+        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(at) else at
+        count = np.diff(np.append(heads, len(ordered)))
+        if limit == least or np.count_nonzero(count >= limit) >= rules:
+            return some, at, ordered, heads, count, limit
+        wanted *= 2
+
+
 def compress(ids: np.ndarray, rules: int = RULES, least: int = LEAST, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, list[int], int]:
     """(sequence, pairs, first symbol of each round, first new symbol). Within a round a place where several chosen pairs overlap goes to the more frequent, and of equal ones to the first."""
     base = int(ids.max()) + 1 if len(ids) else 1
@@ -134,20 +170,13 @@ def compress(ids: np.ndarray, rules: int = RULES, least: int = LEAST, gain: floa
         keys = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
         with np.errstate(over="ignore"):
             bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        often = np.bincount(bucket, minlength=1 << 20) >= least
-        at = np.flatnonzero(often[bucket])
-        if not len(at):
+        some, at, ordered, heads, count, limit = _frequent(keys, bucket, rules, least)
+        good = np.flatnonzero(count >= limit)
+        if not len(good):
             break
-        some = keys[at]
-        ordered = np.sort(some)
-        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count = np.diff(np.append(heads, len(ordered)))
         with np.errstate(over="ignore"):
-            tie = ordered[heads] * np.uint64(0xD6E8FEB86659FD93)
-        best = np.lexsort((tie, -count))[:rules]  # equal counts in no order, so that chains of neighbours don't form
-        best = best[count[best] >= least]
-        if not len(best):
-            break
+            tie = ordered[heads[good]] * np.uint64(0xD6E8FEB86659FD93)
+        best = good[np.lexsort((tie, -count[good]))[:rules]]  # equal counts in no order, so that chains of neighbours don't form
         chosen = ordered[heads[best]]  # from the most frequent pair to the least
         # Of chosen pairs that share a bucket, the most frequent is looked up; another one waits for the next round.
         with np.errstate(over="ignore"):

@@ -54,6 +54,25 @@ def test_encoder_gives_the_library_s_ids():
         assert np.frombuffer(encoder(text), encoder.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_lines_of_words_need_no_cut(monkeypatch):
+    encoder = repair_codec.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    monkeypatch.setattr(repair_codec.Encoder, "_lines", lambda self, text: pytest.fail("cut"))
+    for text in ("Two words,\nand a line.\nx", "word", "a\nb"):
+        assert np.frombuffer(encoder(text), encoder.kind).tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("rules", [1, 5, 100])
+def test_frequent_pairs_are_all_counted(rules):
+    rng = np.random.default_rng(rules)
+    ids = np.minimum(rng.geometric(0.05, 30_000), 200).astype(np.uint64)
+    keys = (ids[:-1] << np.uint64(32)) | ids[1:]
+    bucket = (keys % np.uint64(300)).astype(np.int64)  # few buckets, so that pairs share them
+    _, _, ordered, heads, count, limit = repair_codec._frequent(keys, bucket, rules, 8)
+    found = {k: n for k, n in zip(ordered[heads].tolist(), count.tolist(), strict=True) if n >= limit}
+    assert found == {k: n for k, n in Counter(keys.tolist()).items() if n >= limit}
+    assert len(found) >= rules or limit == 8
+
+
 def test_added_tokens_are_those_of_the_untouched_library():
     from tokenizers import Tokenizer
 
