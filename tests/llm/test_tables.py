@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinweave.llm import decontam, jaccard_tiles, labelled, level_dedup, mil_quality, repair_codec, shard_tree, sp_lattice, toxic_kernel, warc_zst, weak_rules
+from kinweave.llm import queries
 from kinweave.llm.queries import tokenizer_file
 
 #: Columns whose names the operators use themselves.
@@ -126,6 +127,18 @@ def test_lattice_against_the_library(spark, docs):
     assert sp_lattice.encode(docs[1], path).count() == 0
 
 
+def test_lattice_query_returns_all_ids(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = queries.op4_sentencepiece_lattice(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text)
+    for r in rows:
+        assert r.ids == model.encode(text[r.doc_id])
+        assert r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.decoded_equal
+
+
 def test_lattice_on_runs_of_blanks_and_units_at_the_mask_s_limit(spark, tmp_path):
     import sentencepiece
 
