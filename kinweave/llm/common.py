@@ -151,6 +151,42 @@ def eight(data: bytes, at: np.ndarray, left: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) - 7, "<u8", data, 0, (1,))[at] & _BELOW[np.minimum(left, 8)]
 
 
+#: 1 for bytes of words, 0 for the six blanks; and those blanks as one.
+_INSIDE = bytes(0 if x in b" \t\n\v\f\r" else 1 for x in range(256))
+ONE_BLANK = bytes(x if _INSIDE[x] else 32 for x in range(256))
+
+
+def word_places(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(the texts, one after the other with blanks between, a blank in front and eight behind; starts and ends of their words; words of each text)."""
+    data = b"".join((b" ", b" ".join(texts), b" " * 8))
+    inside = np.frombuffer(data.translate(_INSIDE), bool)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    bounds = np.cumsum([1, *[len(t) + 1 for t in texts]])
+    return data, starts, ends, np.diff(np.searchsorted(starts, bounds))
+
+
+#: Bytes of a word that is hashed by numbers of eight bytes each; of longer ones there are few.
+LONG_WORD = 64
+
+
+def placed_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, longer: WordHashes) -> np.ndarray:
+    """64-bit hashes of the words at places; eight bytes of all words are taken in at a time. Those of over LONG_WORD bytes are hashed one by one."""
+    sizes = ends - starts
+    with np.errstate(over="ignore"):
+        out = mixed(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        out = mixed(out * np.uint64(0xD6E8FEB86659FD93) + eight(data, starts, sizes))
+        for at in range(8, LONG_WORD, 8):
+            some = np.flatnonzero(sizes > at)
+            if not len(some):
+                break
+            out[some] = mixed(out[some] * np.uint64(0xD6E8FEB86659FD93) + eight(data, starts[some] + at, sizes[some] - at))
+    some = np.flatnonzero(sizes > LONG_WORD)
+    if len(some):
+        out[some] = longer.of([data[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+    return out
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash for each run of n consecutive words; built by doubling, so it takes about log2(n) passes."""
     if len(hashes) < n:

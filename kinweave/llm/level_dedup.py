@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Replies, WordHashes, bucket_count, contained, dealt, mixed, shared_folder, slices, sliding, tidy, windows, with_blocks
+from kinweave.llm.common import ONE_BLANK, Replies, WordHashes, bucket_count, contained, dealt, mixed, placed_hashes, shared_folder, slices, sliding, tidy, windows, with_blocks, word_places
 
 WINDOW, FIRST = 35, 9
 #: Hashes that a task holds before it sends them, and bytes of input whose hashes meet in a bucket.
@@ -45,10 +45,9 @@ class Passages:
     """The passages of several texts, one text after the other."""
 
     def __init__(self, texts: list[bytes], hashes: WordHashes, window: int):
-        self.words = [t.split() for t in texts]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.data, self.starts, self.stops, self.sizes = word_places(texts)
         self.ends = np.cumsum(self.sizes)
-        self.hashes = hashes.of([w for x in self.words for w in x])
+        self.hashes = placed_hashes(self.data, self.starts, self.stops, hashes)
         self.window = window
         n = max(0, len(self.hashes) - window + 1)
         text = np.repeat(np.arange(len(texts)), self.sizes)
@@ -90,6 +89,17 @@ class Passages:
         np.subtract.at(steps, at + self.window, 1)
         return np.split(np.cumsum(steps[:-1]) > 0, self.ends[:-1])
 
+    def kept(self, gone: list[np.ndarray]) -> list[bytes]:
+        """Of each text the words that aren't marked, joined by single blanks."""
+        stay = ~np.concatenate(gone) if gone else np.zeros(0, bool)
+        steps = np.zeros(len(self.data) + 1, np.int8)
+        steps[self.starts[stay]] = 1
+        steps[self.stops[stay] + 1] -= 1  # each word with a blank behind
+        out = np.frombuffer(self.data.translate(ONE_BLANK), np.uint8)[np.cumsum(steps[:-1], dtype=np.int8).view(bool)].tobytes()
+        sizes = np.concatenate(([0], np.cumsum(np.where(stay, self.stops - self.starts + 1, 0))))
+        at = sizes[np.concatenate(([0], self.ends))].tolist()
+        return [out[a : max(a, b - 1)] for a, b in zip(at, at[1:], strict=False)]
+
 
 def _answers(addresses: list[str], lengths: list[int]):
     """A function that gives a block's answers so far; those of the last block are held."""
@@ -177,13 +187,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             passages = Passages(texts, hashes, window)
             for length, repeated in answer(block):
                 passages.keep(length, repeated)
-            gone, sums, clean = passages.removed(), [], []
-            for t, w, g in zip(texts, passages.words, gone, strict=True):
-                drop = bool(len(g)) and bool(g.any())
-                sums.append(hashlib.sha256(b" ".join([x for x, y in zip(w, g.tolist(), strict=True) if not y] if drop else w)).hexdigest())
-                if cleaned:
-                    clean.append((cut(t, g) if drop else t).decode())
-            columns = [keys, pa.array(passages.sizes), pa.array(np.array([int(g.sum()) for g in gone], np.int64)), pa.array(sums)]
+            gone = passages.removed()
+            sums = [hashlib.sha256(x).hexdigest() for x in passages.kept(gone)]
+            removed = np.array([np.count_nonzero(g) for g in gone], np.int64)
+            clean = [(cut(t, g) if n else t).decode() for t, g, n in zip(texts, gone, removed.tolist(), strict=True)] if cleaned else []
+            columns = [keys, pa.array(passages.sizes), pa.array(removed), pa.array(sums)]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(clean, pa.string())] * cleaned, *others], names=[key, "n_words", "n_removed", "kept_sha256", *["clean_text"] * cleaned, *more])
 
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *more)]

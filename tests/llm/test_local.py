@@ -290,6 +290,21 @@ def test_levels_against_plain_search():
         assert _levels_removed(texts, 7, 2) == _plain_removed(texts, 7), texts
 
 
+def test_words_of_texts_are_hashed_without_an_object_for_each(monkeypatch):
+    texts = [b"", b" a  b\tc\n", b"x" * 64 + b" " + b"x" * 65, b"\v\f", b"a\0 a \xc3\xa9\x1cz", b"x" * 65, b"12345678 123456789 12345678"]
+    looked_up, of = [], WordHashes.of
+    monkeypatch.setattr(WordHashes, "of", lambda self, words: looked_up.extend(words) or of(self, words))
+    passages = level_dedup.Passages(texts, WordHashes(), 2)
+    words = [w for t in texts for w in t.split()]
+    assert looked_up == [b"x" * 65] * 2  # only those of over 64 bytes
+    assert passages.sizes.tolist() == [len(t.split()) for t in texts]
+    assert len(set(zip(words, passages.hashes.tolist(), strict=True))) == len(set(words)) == len(set(passages.hashes.tolist()))
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        gone = [rng.random(n) < 0.4 for n in passages.sizes]
+        assert passages.kept(gone) == [b" ".join([w for w, g in zip(t.split(), x, strict=True) if not g]) for t, x in zip(texts, gone, strict=True)]
+
+
 def test_passage_cut_keeps_the_rest_as_it_was():
     assert level_dedup.cut(b"a  b\nc d", np.array([False, False, True, False])) == b"a  b d"
     assert level_dedup.cut(b" a b", np.array([True, False])) == b"b"
