@@ -344,6 +344,16 @@ def test_stars_reach_every_possible_partner():
 # --- SentencePiece ---------------------------------------------------------------------------------------------
 
 
+def test_units_that_do_not_decode_to_themselves_are_told():
+    v = sp_lattice.Vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    units = [*v.cut("Some words, a\nline and " + sp_lattice.BLANK + "x é漢"), "a\nb"]
+    found = {u: np.array(v.ids_of(u, "merges"), "<i4").tobytes() for u in units}
+    assert v.unlike(units, found) == [] and v.unlike([], {}) == []
+    units = sorted(set(units))
+    found[units[1]], found[units[2]] = found[units[2]], found[units[1]]
+    assert v.unlike(units, found) == [u for u in units if v.decode(np.frombuffer(found[u], "<i4")) != u.replace(sp_lattice.BLANK, " ").removeprefix(" ")] != []
+
+
 def test_units_by_heap_give_the_library_s_ids():
     import sentencepiece
 
