@@ -183,12 +183,13 @@ class Words:
             same = (self.a[here] == a[left]) & (self.b[here] == b[left])
             out[left[same]] = here[same]
             left, slot = left[~same], (slot[~same] + 1) & (len(self.slots) - 1)
-        for i in np.flatnonzero(~short).tolist():
-            word = data[starts[i] : ends[i]], bool(bare[i])
-            if word not in self.long:
-                self.long[word] = self.size
-                self._add([word[0]], [word[1]], 0, self._LONG)
-            out[i] = self.long[word]
+        some = np.flatnonzero(~short)
+        if len(some):
+            words = [(data[x:y], z) for x, y, z in zip(starts[some].tolist(), ends[some].tolist(), bare[some].tolist(), strict=True)]
+            new = [w for w in dict.fromkeys(words) if w not in self.long]
+            self.long.update(zip(new, range(self.size, self.size + len(new)), strict=True))
+            self._add([w for w, _ in new], [z for _, z in new], 0, self._LONG)
+            out[some] = [self.long[w] for w in words]
         self.used[out[out < before]] = True
         return out
 

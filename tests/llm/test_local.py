@@ -344,6 +344,17 @@ def test_stars_reach_every_possible_partner():
 # --- SentencePiece ---------------------------------------------------------------------------------------------
 
 
+def test_units_have_places_in_utf_8():
+    v = sp_lattice.Vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    parts = ["a", "Bé", " ", "  ", "\n", sp_lattice.BLANK, "漢", "😀", "word", "\t", ".", "\0"]
+    for _ in range(200):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 6))]
+        data, starts, ends, first = v.places(texts)
+        units = [data[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        assert [units[a:b] for a, b in zip(first.tolist(), [*first.tolist()[1:], len(units)], strict=True)] == [v.cut(t) for t in texts]
+
+
 def test_units_that_do_not_decode_to_themselves_are_told():
     v = sp_lattice.Vocabulary(tokenizer_file("piece_bpe_32k.model"))
     units = [*v.cut("Some words, a\nline and " + sp_lattice.BLANK + "x é漢"), "a\nb"]
