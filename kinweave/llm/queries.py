@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import decontam, jaccard_tiles, level_dedup, mil_quality, repair_codec, shard_tree, sp_lattice, toxic_kernel, warc_zst, weak_rules
+from kinweave.llm import decontam, dual_tree, filter_audit, jaccard_tiles, level_dedup, license_rules, mil_quality, repair_codec, shard_tree, sp_lattice, toxic_kernel, warc_zst, weak_rules
 
 _SQL: dict[str, str] = {}
 
@@ -114,6 +114,62 @@ def op10_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_dual_tree_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd(rounds: int) -> str:
+    """The rounds as parts of a WITH clause: a<i> assigns by the centroids c<i>, which are a table of (c, w)."""
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS (SELECT r, c, list_sum(list_transform(range(1, 65), lambda j: (v[j] - w[j]) * (v[j] - w[j]))) AS d FROM q CROSS JOIN c{i}),
+a{i} AS (SELECT r, CAST(min(c) AS INTEGER) AS cluster, min(d) AS distance FROM (SELECT r, c, d, min(d) OVER (PARTITION BY r) AS m FROM d{i}) AS t WHERE d = m GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT cluster, j, sum(v[j]) AS s, count(*) AS n FROM a{i} JOIN q USING (r), unnest(range(1, 65)) AS t(j) GROUP BY cluster, j),
+m{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS w FROM s{i} GROUP BY cluster),
+c{i + 1} AS (SELECT c, coalesce(m{i}.w, c{i}.w) AS w FROM c{i} LEFT JOIN m{i} ON c = cluster)""")
+    return ",\n".join(parts)
+
+
+_SQL["op11_dual_tree_clustering"] = f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+q AS MATERIALIZED (SELECT r, vec_id, list_transform(e, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM k),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), v) - 1 AS c, v AS w FROM q WHERE vec_id IS NOT NULL QUALIFY c < 16),
+{_lloyd(3)}
+SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(w, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM a3 JOIN q USING (r) JOIN c3 ON c = cluster
+"""
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+_SQL["op12_filter_interactions"] = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+f AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN f.doc_id > first_id THEN 'E' ELSE '' END AS fails FROM f LEFT JOIN l ON l.doc_id = f.doc_id),
+h AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS earlier FROM o, unnest(range(1, 6)) AS t(step)),
+r AS (SELECT part, filter_order, step, f, n, good, toxic, fails, contains(fails, f) AS failed, translate(fails, earlier, '') <> fails AS gone FROM h, s),
+g AS (SELECT part, filter_order, step, f, CAST(coalesce(sum(n) FILTER (NOT failed AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (failed AND NOT gone), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (failed AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (failed AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (failed AND NOT gone), 0) AS BIGINT) AS toxic_lost FROM r GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g
+"""
+
+
+def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
