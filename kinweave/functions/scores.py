@@ -56,9 +56,21 @@ def fused(attribute: Column, relation: Column, alpha: float) -> Column:
     return (1.0 - alpha) * attribute + alpha * relation
 
 
+#: Levels of likeness by what they are under; beyond the last, ``high``.
+LEVELS = (("low", 0.3), ("medium", 0.6))
+
+
 def bucket(x: Column) -> Column:
     """zero, low (under 0.3), medium (under 0.6) or high."""
-    return F.when(x == 0, "zero").when(x < 0.3, "low").when(x < 0.6, "medium").otherwise("high")
+    out = F.when(x == 0, "zero")
+    for name, end in LEVELS:
+        out = out.when(x < end, name)
+    return out.otherwise("high")
+
+
+def level_of(x: float) -> str:
+    """The same of a number."""
+    return "zero" if x == 0 else next((name for name, end in LEVELS if x < end), "high")
 
 
 def pairwise_summary(x: Column) -> Column:

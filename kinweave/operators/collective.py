@@ -11,18 +11,21 @@ the answers are there. It sees no pair of members, only the best probability of
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.scores import RELATIONAL_SETS, fused, relational
+from kinweave.functions.scores import RELATIONAL_SETS, fused, level_of, relational
 from kinweave.operators.components import _held, components
 from kinweave.operators.graph import candidate_edges, contexts_of
+from kinweave.operators.near import cells, classed, least_probability, near_pairs
+from kinweave.operators.queue import AddressableQueue
+from kinweave.operators.scorers import TextPairs
 
 #: Members of a component above which ``clusters`` scores pairs only when they are compared, not all in advance.
 MAX_COMPONENT = 5_000
@@ -63,6 +66,10 @@ class _Clusters:
             self.best[a][b] = self.best[b][a] = max(p, self.best[a].get(b, 0.0))
         self.score = score
 
+    def match(self, a: str, b: str) -> float:
+        """The best match probability of two clusters."""
+        return self.best[a].get(b, 0.0)
+
     def similarity(self, a: str, b: str) -> float:
         return self.score(self, *sorted((a, b)))
 
@@ -83,6 +90,33 @@ class _Clusters:
         return a
 
 
+class _Classes(_Clusters):
+    """Clusters whose members stand for classes of equal texts: probabilities are by pair of classes, so that copies take no pairs."""
+
+    def __init__(self, ids, contexts, candidates, near, score: Callable, kinds: dict[str, str]):
+        super().__init__(ids, contexts, candidates, (), score)
+        by: dict[str, dict[str, float]] = {}
+        for x, y, p in near:
+            by.setdefault(x, {})[y] = by.setdefault(y, {})[x] = p
+        self.kinds = {i: {kinds[i]} for i in ids}
+        self.near = {i: dict(by.get(kinds[i], ())) for i in ids}
+
+    def match(self, a: str, b: str) -> float:
+        kinds, near = self.kinds[b], self.near[a]
+        if len(kinds) > len(near):
+            return max((p for c, p in near.items() if c in kinds), default=0.0)
+        return max((near[c] for c in kinds if c in near), default=0.0)
+
+    def merge(self, a: str, b: str) -> str:
+        root, gone = sorted((a, b))
+        self.kinds[root] |= self.kinds.pop(gone)
+        more, fewer = sorted((self.near[root], self.near.pop(gone)), key=len, reverse=True)
+        for c, p in fewer.items():
+            more[c] = max(p, more.get(c, 0.0))
+        self.near[root] = more
+        return super().merge(a, b)
+
+
 class _Asking(_Clusters):
     """Clusters made of those a round starts with. ``asked`` collects pairs of the latter whose probability was needed and isn't known."""
 
@@ -112,50 +146,60 @@ class _Asking(_Clusters):
         return super().merge(a, b)
 
 
-def _merges(state: _Clusters, threshold: float, enough: Callable[[], bool] = lambda: False) -> Iterator[tuple[str, str]]:
-    """Merges the best pair of similar clusters while its similarity is the threshold or more, and tells each merge; entries of clusters that have changed since are passed over."""
-    version = dict.fromkeys(state.members, 0)
-    queue = []
+def _merges(state: _Clusters, threshold: float, enough: Callable[[], bool] = lambda: False) -> Iterator[tuple[str, str, float]]:
+    """Merges the best pair of similar clusters while its similarity is the threshold or more, and tells each merge with it. The queue holds a pair of clusters once: it is changed with its similarity and leaves with either cluster."""
+    queue = AddressableQueue()
 
-    def push(a: str, b: str) -> None:
+    def put(a: str, b: str) -> None:
         a, b = sorted((a, b))
         s = state.similarity(a, b)
         if s >= threshold:
-            heapq.heappush(queue, (-s, a, b, version[a], version[b]))
+            queue.put((a, b), (-s, a, b))
+        else:
+            queue.remove((a, b))
 
     for a in list(state.members):
         for b in state.similar[a]:
             if a < b:
-                push(a, b)
+                put(a, b)
     while queue and not enough():
-        _, a, b, va, vb = heapq.heappop(queue)
-        if version.get(a) != va or version.get(b) != vb:
-            continue
+        (a, b), (negative, *_) = queue.pop()
+        gone = max(a, b)
+        for other in state.similar[gone]:
+            queue.remove((min(gone, other), max(gone, other)))
         root = state.merge(a, b)
-        version[root] += 1
-        version[b if root == a else a] = -1
         for other in sorted(state.similar[root]):
-            push(root, other)
-        yield a, b
+            put(root, other)
+        yield a, b, -negative
 
 
 def _places(state: _Clusters) -> dict[str, str]:
     return {m: root for root, members in state.members.items() for m in members}
 
 
-def merged(ids: list[str], contexts: dict, candidates: list[tuple[str, str]], probabilities: list[tuple[str, str, float]], threshold: float, score: Callable) -> dict[str, str]:
-    """id -> cluster of one component."""
-    state = _Clusters(ids, contexts, candidates, probabilities, score)
-    for _ in _merges(state, threshold):
-        pass
-    return _places(state)
+def merged(ids: list[str], contexts: dict, candidates: list[tuple[str, str]], probabilities: list[tuple[str, str, float]], threshold: float, score: Callable, kinds: dict[str, str] | None = None, start: dict[str, str] | None = None) -> tuple[dict[str, str], list[tuple[str, str, float]]]:
+    """(id -> cluster of one component, its merges in their order). With ``kinds`` (id -> class) probabilities are of classes. ``start`` (id -> cluster) joins members before."""
+    state = _Clusters(ids, contexts, candidates, probabilities, score) if kinds is None else _Classes(ids, contexts, candidates, probabilities, score, kinds)
+    place = {i: i for i in ids}
+    for i, first in sorted((start or {}).items()):
+        a, b = _root(place, i), _root(place, first)
+        if a != b:
+            place[max(a, b)] = state.merge(a, b)
+    merges = list(_merges(state, threshold))
+    return _places(state), merges
+
+
+def _root(place: dict[str, str], i: str) -> str:
+    while place[i] != i:
+        i = place[i]
+    return i
 
 
 def progress(ids: list[str], contexts: dict, candidates: list[tuple[str, str]], probabilities: list[tuple[str, str, float]], threshold: float, score: Callable, most: int = ASKED) -> tuple[dict[str, str], list[tuple[str, str]], list[tuple[str, str, float]], list[tuple[str, str]]]:
     """A round of the merge of clusters ``ids`` with what is known of their best probabilities: id -> cluster after all merges that are sure; of those clusters, the links, the known probabilities and the pairs whose probability is asked for. Nothing asked: the merge is over."""
     state, done, sure = _Asking(ids, contexts, candidates, probabilities, score), [], 0
-    for pair in _merges(state, threshold, lambda: len(state.asked) >= most):
-        done.append(pair)
+    for a, b, _ in _merges(state, threshold, lambda: len(state.asked) >= most):
+        done.append((a, b))
         if not state.asked:
             sure = len(done)
     asked = state.asked
@@ -173,19 +217,22 @@ def late_fusion(alpha: float, similarity: str = "jaccard_coefficient") -> Callab
     relation = RELATIONAL_SETS[similarity]
 
     def score(state: _Clusters, a: str, b: str) -> float:
-        return (1 - alpha) * state.best[a].get(b, 0.0) + alpha * relation(state.contexts[a], state.contexts[b])
+        return (1 - alpha) * state.match(a, b) + alpha * relation(state.contexts[a], state.contexts[b])
 
     return score
 
 
+def context_tails(x: set[str], y: set[str], field: str, k: int = 5) -> tuple[str, str]:
+    """What stands behind the texts of two clusters' members: the cluster's first contexts under ``field``, and how alike both clusters' are."""
+    j = len(x & y) / len(x | y) if x and y else 0.0
+    return tuple(f' , {field} : "{" | ".join(sorted(c)[:k])}" , pairwise_summary : "jac={level_of(j)}"' for c in (x, y))
+
+
 def inline_encode(texts: dict[str, str], match: Callable[[str, str], float], k: int = 5, field: str = "context") -> Callable:
-    """Best match over member pairs of texts (``inference`` style) that end in two columns more, the cluster's first contexts (under ``field``) and both clusters' likeness, to 3 places; the lesser cluster stands left."""
+    """Best match over member pairs of texts (``inference`` style) that end in two columns more (``context_tails``), to 3 places; the lesser cluster stands left."""
 
     def score(state: _Clusters, a: str, b: str) -> float:
-        x, y = state.contexts[a], state.contexts[b]
-        j = len(x & y) / len(x | y) if x and y else 0.0
-        level = "zero" if j == 0 else "low" if j < 0.3 else "medium" if j < 0.6 else "high"
-        tail = [f' , {field} : "{" | ".join(sorted(c)[:k])}" , pairwise_summary : "jac={level}"' for c in (x, y)]
+        tail = context_tails(state.contexts[a], state.contexts[b], field, k)
         return round(max((match(texts[m] + tail[0], texts[n] + tail[1]) for m in state.members[a] for n in state.members[b] if m != n), default=0.0), 3)
 
     return score
@@ -241,69 +288,159 @@ def _in_rounds(parts: DataFrame, records: DataFrame, linked: DataFrame, nodes: D
     return reduce(DataFrame.unionByName, over).select(F.col("a").alias("id"), F.col("b").alias("cluster_id"))
 
 
-def _merge_runs(alpha: float, threshold: float, strategy: str, match: Callable[[str, str], float], similarity: str, field: str) -> Callable:
-    """Merges components that stand one after the other in a partition, without the cost of a frame for each. A row is a member (a: id, b null), a link (a, b) or a scored pair (a, b, p); those of a component come in any order."""
+def _merge_runs(score_of: Callable[[dict], Callable], threshold: float, log: bool) -> Callable:
+    """Merges components that stand one after the other in a partition, without the cost of a frame for each. A row is a member (a: id, b: its first cluster), its class (b), a link (a, b) or a scored pair (a, b, p), of members or of classes; those of a component come in any order. ``log``: tells merges instead of clusters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, contexts, texts, links, scored = None, {}, {}, [], []
-        names: dict[str, str] = {}  # each id is held once
-
-        def over() -> dict[str, str]:
-            score = late_fusion(alpha, similarity) if strategy == "LATE_FUSION" else inline_encode(texts, match, field=field)
-            return merged(sorted(texts), contexts, links, scored, threshold, score)
+        current, names = None, {}  # each id is held once
+        contexts, texts, links, scored, kinds, start = {}, {}, [], [], {}, {}
 
-        def told(found: dict[str, str]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string())], names=["id", "cluster_id"])
+        def over() -> pa.RecordBatch:
+            place, merges = merged(sorted(contexts), contexts, links, scored, threshold, score_of(texts), kinds or None, start)
+            if log:
+                columns = [[current] * len(merges), list(range(1, len(merges) + 1)), *zip(*merges, strict=True), list(accumulate((s for _, _, s in merges), min))] if merges else [[]] * 6
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=["component", "step", "a", "b", "sim", "level"])
+            return pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()), pa.array(list(place.values()), pa.string())], names=["id", "cluster_id"])
 
         for batch in batches:
-            found: dict[str, str] = {}
-            for component, a, b, p, ctxs, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = []
+            for component, kind, a, b, p, ctxs, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if component != current:
                     if current is not None:
-                        found.update(over())
-                    current, contexts, texts, links, scored, names = component, {}, {}, [], [], {}
-                a = names.setdefault(a, a)
-                if b is None:
+                        found.append(over())
+                    current, names = component, {}
+                    contexts, texts, links, scored, kinds, start = {}, {}, [], [], {}, {}
+                a, b = names.setdefault(a, a), names.setdefault(b, b)
+                if kind == "member":
                     contexts[a], texts[a] = set(ctxs), text
-                elif p is None:
-                    links.append((a, names.setdefault(b, b)))
+                    if b is not None:
+                        start[a] = b
+                elif kind == "class":
+                    kinds[a] = b
+                elif kind == "link":
+                    links.append((a, b))
                 else:
-                    scored.append((a, names.setdefault(b, b), p))
-            yield told(found)
+                    scored.append((a, b, p))
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
         if current is not None:
-            yield told(over())
+            yield over()
 
     return run
 
 
-def clusters(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability: Column | None, alpha: float, threshold: float, strategy: str = "LATE_FUSION", text: str = "text", match: Callable[[str, str], float] = token_match, folder: str | None = None, max_component: int = MAX_COMPONENT, similarity: str = "jaccard_coefficient", field: str = "context") -> DataFrame:
-    """(id, cluster_id) of every id of a pair. ``records``: id and what ``probability`` needs as l_* and r_* columns; ``edges``: (id, ctx). With LATE_FUSION, pairs inside a component of up to ``max_component`` members are all scored in advance and those of a larger one when they are compared; a probability is 1 at most. INLINE_ENCODE scores when it compares."""
+_ROW = "component string, kind string, a string, b string, p double, ctxs array<string>, text string"
+
+
+def _row(df: DataFrame, kind: str, **given: Column) -> DataFrame:
+    """Rows of ``_ROW``; what isn't given is null."""
+    cells_ = [c.split(" ", 1) for c in _ROW.split(", ")]
+    given = {"component": F.col("component"), "kind": F.lit(kind), **given}
+    return df.select(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in cells_])
+
+
+def _grouped(rows: DataFrame, score_of: Callable, threshold: float, log: bool) -> DataFrame:
+    # Dealt by a hash of the component: a union whose parts are all dealt by the component itself is taken to be so too, and isn't once partitions are coalesced.
+    told = "component string, step bigint, a string, b string, sim double, level double" if log else "id string, cluster_id string"
+    return rows.repartition(F.xxhash64("component")).sortWithinPartitions("component").mapInArrow(_merge_runs(score_of, threshold, log), told)
+
+
+def _solve(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability, alpha: float, threshold: float, strategy: str, text: str, match, folder: str | None, max_component: int, similarity: str, field: str, start: DataFrame | None, log: bool) -> DataFrame:
+    """Clusters (id, cluster_id) of members of components, or their merges."""
     relational(similarity)  # an unknown one is told at once
+    if strategy not in ("LATE_FUSION", "INLINE_ENCODE"):
+        raise ValueError(f"unknown strategy: {strategy}")
     candidates = candidate_edges(pairs)
-    ids = pairs.select(F.col("ltable_id").alias("id")).unionByName(pairs.select(F.col("rtable_id").alias("id"))).distinct()
-    parts = components(candidates, "a", "b", folder).withColumnRenamed("node", "id")
-    place = parts.select(F.col("id").alias("a"), "component")
-    linked = candidates.join(place, "a").select("component", "a", "b", F.lit(None).cast("double").alias("p"))
-    large = None
+    tied = candidates if start is None else candidates.unionByName(start.select(F.col("id").alias("a"), F.col("cluster_id").alias("b")).where("a <> b"))
+    parts = components(tied, "a", "b", folder).withColumnRenamed("node", "id")
+    of = lambda df, some, how: df if some is None else df.join(some, "component", how)
+    sizes = parts.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > max_component).select("component")
+    large = None if sizes.isEmpty() else sizes
+    fusion = late_fusion(alpha, similarity)
     if strategy == "LATE_FUSION":
-        sizes = parts.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > max_component).select("component")
-        large = None if sizes.isEmpty() else sizes
-        small = parts if large is None else parts.join(large, "component", "left_anti")
-        scored = component_pairs(small, records).select("component", F.col("l_id").alias("a"), F.col("r_id").alias("b"), probability.cast("double").alias("p"))
-        every, linked = linked, (linked if large is None else linked.join(large, "component", "left_anti")).unionByName(scored)
-    elif strategy != "INLINE_ENCODE":
-        raise ValueError(f"unknown strategy: {strategy}")
+        least = least_probability(alpha, threshold)
+        scorer = not isinstance(probability, Column)
+        column, likeness = probability.probability() if scorer else probability, None
+        if scorer and hasattr(probability, "least_jaccard"):
+            likeness = 1.0 if least > 1 else probability.least_jaccard(least)
+        if likeness is not None:
+            return _by_classes(parts, candidates, records, edges, probability, column, least, likeness, fusion, alpha, threshold, folder, large, start, log)
+        score_of = lambda _: fusion
+    else:
+        score_of = lambda texts: inline_encode(texts, match, field=field)
+        if hasattr(match, "of_texts"):  # a model that takes batches: all components together, in rounds
+            large = parts.select("component").distinct()
+    linked = candidates.join(parts.select(F.col("id").alias("a"), "component"), "a").select("component", "a", "b")
     known = records.select("id", F.col(text).alias("text")) if strategy == "INLINE_ENCODE" else records.select("id", F.lit("").alias("text"))
-    nodes = parts.join(contexts_of(edges), "id", "left").join(known, "id", "left").select(F.col("component").alias("part"), "id", F.coalesce("ctxs", F.array().cast("array<string>")).alias("ctxs"), F.coalesce("text", F.lit("")).alias("text"))
-
-    whole = nodes if large is None else nodes.join(large.withColumnRenamed("component", "part"), "part", "left_anti")
-
-    none = lambda kind: F.lit(None).cast(kind)
-    links = linked.select("component", "a", "b", "p", none("array<string>").alias("ctxs"), none("string").alias("text"))
-    members = whole.select(F.col("part").alias("component"), F.col("id").alias("a"), none("string").alias("b"), none("double").alias("p"), "ctxs", "text")
-    placed = _merge_runs(alpha, threshold, strategy, match, similarity, field)
-    grouped = links.unionByName(members).repartition("component").sortWithinPartitions("component").mapInArrow(placed, "id string, cluster_id string")
-    if large is not None:
-        of = lambda df, c: df.join(large.withColumnRenamed("component", c), c, "left_semi")
-        grouped = grouped.unionByName(_in_rounds(of(parts, "component"), records, of(every, "component"), of(nodes, "part"), probability, late_fusion(alpha, similarity), threshold, folder))
-    return ids.join(grouped, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
+    nodes = _members(parts, edges, start).join(known, "id", "left")
+    small = lambda df: of(df, large, "left_anti")
+    rows = _row(small(nodes), "member", a=F.col("id"), b=F.col("first"), ctxs=F.col("ctxs"), text=F.coalesce("text", F.lit(""))).unionByName(_row(small(linked), "link", a=F.col("a"), b=F.col("b")))
+    if strategy == "LATE_FUSION":
+        every = component_pairs(small(parts), records).select("component", F.col("l_id").alias("a"), F.col("r_id").alias("b"), column.cast("double").alias("p"))
+        rows = rows.unionByName(_row(every, "near", a=F.col("a"), b=F.col("b"), p=F.col("p")))
+    found = _grouped(rows, score_of, threshold, log)
+    if large is None:
+        return found
+    if log or start is not None:
+        raise ValueError("merges of components in rounds aren't told, nor started from clusters: give a scorer that bounds token likeness, or a larger max_component")
+    inner = lambda df: of(df, large, "left_semi")
+    if strategy == "LATE_FUSION":
+        some = inner(nodes).withColumnRenamed("component", "part").select("part", "id", "ctxs", F.coalesce("text", F.lit("")).alias("text"))
+        return found.unionByName(_in_rounds(inner(parts), records, inner(linked), some, column, fusion, threshold, folder))
+    from kinweave.operators.inline_rounds import in_rounds
+
+    batched = match if hasattr(match, "of_texts") else TextPairs(match)
+    rounds = in_rounds(inner(nodes), inner(linked), batched, threshold, field, folder)
+    return rounds if hasattr(match, "of_texts") else found.unionByName(rounds)
+
+
+def _members(parts: DataFrame, edges: DataFrame, start: DataFrame | None) -> DataFrame:
+    """component, id, ctxs and first (the cluster a member starts in, or null) of all members."""
+    none = F.lit(None).cast("string")
+    rows = parts.join(contexts_of(edges), "id", "left").withColumn("ctxs", F.coalesce("ctxs", F.array().cast("array<string>")))
+    return rows.withColumn("first", none) if start is None else rows.join(start.select("id", F.col("cluster_id").alias("first")), "id", "left")
+
+
+def _by_classes(parts: DataFrame, candidates: DataFrame, records: DataFrame, edges: DataFrame, scorer, column: Column, least: float, likeness: float, score: Callable, alpha: float, threshold: float, folder: str | None, large: DataFrame | None, start: DataFrame | None, log: bool) -> DataFrame:
+    """LATE_FUSION over near pairs of classes only. Large components are split first."""
+    members = classed(parts, records.select("id", *scorer.columns), scorer.identity())
+    near = near_pairs(members, scorer.columns, scorer.token_set(), column, least, likeness)
+    kinds = members.select("component", "id", "cls")
+    link = lambda parts: candidates.join(parts.select(F.col("id").alias("a"), "component"), "a").select("component", "a", "b")
+    if large is not None and start is None and alpha < min(threshold, 1.0):  # else contexts alone can bring a merge
+        near = _held(near, folder, "near")
+        some = lambda df: df.join(large, "component", "left_semi")
+        whole = parts.join(kinds.select("id", "cls"), "id", "left").select("component", "id", F.coalesce("cls", F.concat(F.lit("-"), "id")).alias("cls"))  # without a record: near to nobody
+        split = cells(some(link(parts)), some(whole), some(near), folder).select("id", F.col("component").alias("cell"))
+        placed = _held(parts.join(split, "id", "left").select("id", "component", F.coalesce("cell", "component").alias("cell")), folder, "placed")
+        kinds = kinds.join(placed.select("id", "cell"), "id").select(F.col("component").alias("whole"), F.col("cell").alias("component"), "id", "cls")
+        at = kinds.select("whole", "component", "cls").distinct()
+        a, b = at.withColumnRenamed("cls", "a"), at.withColumnRenamed("cls", "b")
+        near = near.withColumnRenamed("component", "whole").join(a, ["whole", "a"]).join(b, ["whole", "component", "b"]).select("component", "a", "b", "p")
+        parts = placed.select("id", F.col("cell").alias("component"))
+        two = parts.select(F.col("id").alias("b"), F.col("component").alias("other"))
+        linked = link(parts).join(two, "b").where("component = other").select("component", "a", "b")
+    else:
+        linked = link(parts)
+    nodes = _members(parts, edges, start)
+    rows = _row(nodes, "member", a=F.col("id"), b=F.col("first"), ctxs=F.col("ctxs")).unionByName(_row(linked, "link", a=F.col("a"), b=F.col("b")))
+    # Every member has a class; those without a record one of their own.
+    lonely = parts.join(kinds.select("id", "cls"), "id", "left").select("component", "id", F.coalesce("cls", F.concat(F.lit("-"), "id")).alias("cls"))
+    rows = rows.unionByName(_row(lonely, "class", a=F.col("id"), b=F.col("cls"))).unionByName(_row(near, "near", a=F.col("a"), b=F.col("b"), p=F.col("p")))
+    return _grouped(rows, lambda _: score, threshold, log)
+
+
+def clusters(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability, alpha: float, threshold: float, strategy: str = "LATE_FUSION", text: str = "text", match=token_match, folder: str | None = None, max_component: int = MAX_COMPONENT, similarity: str = "jaccard_coefficient", field: str = "context", start: DataFrame | None = None) -> DataFrame:
+    """(id, cluster_id) of every id of a pair. ``records``: id and what ``probability`` needs; ``edges``: (id, ctx); ``start``: (id, cluster_id), members joined before (unknown ids and nulls are left out).
+
+    LATE_FUSION: ``probability`` is a scorer or a column over l_* and r_* columns, 1 at most. Of a scorer that bounds token
+    likeness only pairs that can bring a merge are found, and components of more than ``max_component`` members are split by
+    them. For others all pairs inside a component are scored in advance, in a larger one when they are compared.
+
+    INLINE_ENCODE: ``match`` is a function of two texts, or a model that takes batches (``of_texts``, as ``scorers.External``).
+    The function runs as clusters are compared; models, and the function in larger components, answer in rounds."""
+    ids = pairs.select(F.col("ltable_id").alias("id")).unionByName(pairs.select(F.col("rtable_id").alias("id"))).distinct()
+    if start is not None:
+        start = _held(start.where("cluster_id IS NOT NULL").join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "cluster_id"), "cluster_id", "left_semi"), folder, "start")
+    found = _solve(pairs, records, edges, probability, alpha, threshold, strategy, text, match, folder, max_component, similarity, field, start, False)
+    return ids.join(found, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))

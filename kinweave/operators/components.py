@@ -53,8 +53,7 @@ def _held(df: DataFrame, folder: str | None, round_: str, edges: int | None = No
     if edges is not None:
         df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-edges // PART_EDGES)))
     if folder is None:
-        _checkpoint_root(df.sparkSession)
-        return df.checkpoint()
+        return stored(df, round_)
     path = f"{folder}/{round_}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -84,3 +83,63 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", folder: str | None
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     found = stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
     return found.unionByName(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
+#: Parts of a stored label table; an addition rewrites those that hold a changed component.
+LABEL_PARTS = 64
+
+
+class GrowingComponents:
+    """Components to which edges are added in turn, as a stored table of labels (node, component).
+
+    New edges are first contracted by the labels; rounds run over the contracted graph alone, so an addition costs its own
+    edges and the joins with the labels. Labels lie in LABEL_PARTS parts by component; parts without a changed component stay
+    as they are stored. Nulls take no part; a node of a loop alone is a component."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, kind: str = "string"):
+        self.spark, self.kind = spark, kind
+        self.folder = (folder or f"{_checkpoint_root(spark)}/labels-{uuid.uuid4().hex}").rstrip("/")
+        self._paths: dict[int, list[str]] = {}
+
+    def _read(self, parts: list[int]) -> DataFrame:
+        paths = [p for k in parts for p in self._paths.get(k, [])]
+        schema = f"node {self.kind}, component {self.kind}"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    @property
+    def labels(self) -> DataFrame:
+        """(node, component) of every node so far."""
+        return self._read(sorted(self._paths))
+
+    def add(self, edges: DataFrame, a: str = "a", b: str = "b") -> GrowingComponents:
+        pairs = edges.select(F.col(a).cast(self.kind).alias("u"), F.col(b).cast(self.kind).alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct()
+        labels = self.labels
+        at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        met = _held(pairs.join(at("u"), "u", "left").join(at("v"), "v", "left"), None, "met")
+        joined = met.select(F.coalesce("cu", "u").alias("a"), F.coalesce("cv", "v").alias("b")).where("a <> b")
+        moved = components(joined).select(F.col("node").alias("component"), F.col("component").alias("new")).where("component <> new")
+        moved = _held(moved, None, "moved")
+        fresh = met.where("cu IS NULL").select(F.col("u").alias("node")).unionByName(met.where("cv IS NULL").select(F.col("v").alias("node"))).distinct()
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(LABEL_PARTS)).cast("int")
+        touched = sorted(r.part for r in moved.select(part("component").alias("part")).distinct().collect())  # LABEL_PARTS at most
+        old = self._read(touched).unionByName(fresh.withColumn("component", F.col("node")))
+        told = old.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        told.withColumn("part", part("component")).write.partitionBy("part").parquet(path)
+        for k in touched:
+            self._paths.pop(k, None)
+        written = self.spark.read.schema(f"node {self.kind}, component {self.kind}, part int").parquet(path).select("part").distinct().collect()
+        for r in written:
+            self._paths.setdefault(r.part, []).append(f"{path}/part={r.part}")
+        return self
+
+    def union(self, x, y) -> GrowingComponents:
+        return self.add(self.spark.createDataFrame([(x, y)], f"a {self.kind}, b {self.kind}"))
+
+    def find(self, nodes: DataFrame, column: str = "node") -> DataFrame:
+        """Adds ``component`` to rows; null for nodes that aren't known."""
+        return nodes.join(self.labels.withColumnRenamed("node", column), column, "left")
+
+    def sets(self) -> DataFrame:
+        """(component, n): the sets by their size; their members are the rows of ``labels``."""
+        return self.labels.groupBy("component").agg(F.count("*").alias("n"))

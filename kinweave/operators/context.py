@@ -6,11 +6,12 @@ is transitive, so that entities are groups of canonical names and no pair is eve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.names import name_features
 from kinweave.functions.text import list_items
+from kinweave.operators.numbering import numbered
 
 
 def explode_context(df: DataFrame, field: str, separator: str = ",", key: str = "id") -> DataFrame:
@@ -65,16 +66,8 @@ def triples(df: DataFrame, field: str, separator: str = ",", relation: str = "is
 
 
 def typed_hyperedges(relations: DataFrame) -> DataFrame:
-    """(edge_id, relation, source, refs): triples by source and relation. Edges are numbered e0, e1, ... in the order of relation and source, by ranges, so that no task orders all of them."""
-    grouped = relations.groupBy("source", "relation").agg(F.sort_array(F.collect_set("target")).alias("refs"))
-    return _numbered(grouped, ["relation", "source"]).select(F.concat(F.lit("e"), F.col("_number")).alias("edge_id"), "relation", "source", "refs")
-
-
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``_number`` from 0 in a total order: rows are dealt to buckets of the first column's hash-free order by groups, whose sizes are summed."""
-    first = order[0]
-    sizes = df.groupBy(first).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(first, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(first).orderBy(*order[1:])
-    return df.withColumn("_at", F.row_number().over(within) - 1).join(starts, first).withColumn("_number", F.col("_start") + F.col("_at"))
+    """(edge_id, relation, source, ref): a row for each target of an edge; triples with one source and relation (null being a value) are an edge. Edges are numbered e0, e1, ... in the order of relation and source, nulls first, by ranges of both."""
+    rows = relations.select("source", "relation", F.col("target").alias("ref")).distinct()
+    edges = numbered(rows.select("relation", "source").distinct(), ["relation", "source"]).withColumnsRenamed({"relation": "_r", "source": "_s"})
+    met = rows.join(edges, F.col("relation").eqNullSafe(F.col("_r")) & F.col("source").eqNullSafe(F.col("_s")))
+    return met.select(F.concat(F.lit("e"), F.col("number")).alias("edge_id"), "relation", "source", "ref")

@@ -14,11 +14,12 @@ def predictions(pairs: DataFrame, clusters: DataFrame, left: str = "ltable_id",
     return out.withColumn("pred", (F.coalesce("_lc", left) == F.coalesce("_rc", right)).cast("int")).drop("_lc", "_rc")
 
 
-def measures(rows: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    """n, accuracy, precision, recall and f1 in one aggregation; 0 where a denominator is 0. Rounded to 6 places."""
+def measures(rows: DataFrame, label: str = "label", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
+    """n, accuracy, precision, recall and f1 in one aggregation; 0 where a denominator is 0. Rounded to 6 places. ``by``: for each group of these columns."""
     y, p = F.col(label) == 1, F.col(pred) == 1
     s = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("double")
-    t = rows.agg(F.count("*").alias("n"), s(y & p).alias("tp"), s(~y & p).alias("fp"), s(y & ~p).alias("fn"), s(~y & ~p).alias("tn"))
+    by = by or []
+    t = rows.groupBy(*by).agg(F.count("*").alias("n"), s(y & p).alias("tp"), s(~y & p).alias("fp"), s(y & ~p).alias("fn"), s(~y & ~p).alias("tn"))
     r = lambda up, down: F.round(F.coalesce(F.try_divide(up, down), F.lit(0.0)), 6)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return t.select("n", r(tp + tn, tp + fp + fn + tn).alias("accuracy"), r(tp, tp + fp).alias("precision"), r(tp, tp + fn).alias("recall"), r(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    return t.select(*by, "n", r(tp + tn, tp + fp + fn + tn).alias("accuracy"), r(tp, tp + fp).alias("precision"), r(tp, tp + fn).alias("recall"), r(2 * tp, 2 * tp + fp + fn).alias("f1"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -25,9 +26,19 @@ class TokenJaccard:
     def __init__(self, columns: list[str]):
         self.columns = columns
 
+    def token_set(self, prefix: str = "") -> Column:
+        return tokens(F.concat_ws(" ", *[F.col(f"{prefix}{c}").cast("string") for c in self.columns]))
+
     def probability(self) -> Column:
-        text = lambda p: F.concat_ws(" ", *[F.col(f"{p}{c}").cast("string") for c in self.columns])
-        return jaccard(tokens(text("l_")), tokens(text("r_")))
+        return jaccard(self.token_set("l_"), self.token_set("r_"))
+
+    def identity(self) -> Column:
+        """What decides a record's probabilities."""
+        return F.array_join(F.array_sort(self.token_set()), " ")
+
+    def least_jaccard(self, least: float) -> float | None:
+        """The token Jaccard that pairs of a probability of ``least`` or more have at least; 0: they share a token, or are 0."""
+        return max(least, 0.0)
 
 
 class EditDistance:
@@ -62,6 +73,20 @@ class Logistic:
         model = trained(rows, [c for c in rows.columns if c != "y"], "y").stages[-1]
         return cls(columns, [float(w) for w in model.coefficients], float(model.intercept))
 
+    def token_set(self, prefix: str = "") -> Column:
+        return TokenJaccard(self.columns).token_set(prefix)
+
+    def identity(self) -> Column:
+        return F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in self.columns]))
+
+    def least_jaccard(self, least: float) -> float | None:
+        """Where the likeness of characters, 1 at most, can't reach ``least`` by itself; else None, as pairs without a common token may."""
+        by_tokens, by_characters = self.weights
+        if by_tokens <= 0 or not 0 < least < 1:
+            return None
+        needed = (math.log(least / (1 - least)) - self.intercept - max(by_characters, 0.0)) / by_tokens
+        return needed if needed > 0 else None
+
     def probability(self) -> Column:
         z = F.lit(self.intercept)
         for w, f in zip(self.weights, self.features(self.columns), strict=True):
@@ -70,12 +95,13 @@ class Logistic:
 
 
 class External:
-    """A model outside: ``load()`` runs once in a task and returns a function from text lines to two logits a line."""
+    """A model outside: ``load()`` runs once in a task and returns a function from text lines to two logits a line. A record is its id first and its values as they are, nulls left out."""
 
-    def __init__(self, columns: list[str], load: Callable[[], Callable[[list[str]], list[tuple[float, float]]]]):
-        self.columns, self.load = columns, load
+    def __init__(self, columns: list[str], load: Callable[[], Callable[[list[str]], list[tuple[float, float]]]], key: str | None = "id"):
+        self.columns, self.load, self.key = columns, load, key
 
-    def probability(self) -> Column:
+    def of_texts(self, left: Column, right: Column) -> Column:
+        """The probability of two records' texts: one model a task, whole Arrow batches of lines at a time."""
         load = self.load
 
         @F.pandas_udf("struct<l0:double,l1:double>")
@@ -85,10 +111,29 @@ class External:
                 found = model(part.tolist())
                 yield pd.DataFrame({"l0": [float(x) for x, _ in found], "l1": [float(y) for _, y in found]})
 
-        line = F.concat_ws("\t", record_text(self.columns, "l_", "inference"), record_text(self.columns, "r_", "inference"), F.lit("0"))
-        both = logits(line)
+        both = logits(F.concat_ws("\t", left, right, F.lit("0")))
         return match_probability(both["l0"], both["l1"])
 
+    def probability(self) -> Column:
+        names = [*([self.key] if self.key else []), *[c for c in self.columns if c != self.key]]
+        return self.of_texts(record_text(names, "l_", "inference", clean=False), record_text(names, "r_", "inference", clean=False))
+
+
+class TextPairs:
+    """A plain function of two texts, in batches."""
+
+    def __init__(self, match: Callable[[str, str], float]):
+        self.match = match
+
+    def of_texts(self, left: Column, right: Column) -> Column:
+        match = self.match
+
+        @F.pandas_udf("double")
+        def scored(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([float(match(x, y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+        return scored(left, right)
+
 
 STRATEGIES = {"TOKEN_JACCARD": TokenJaccard, "EDIT_DISTANCE": EditDistance, "LOGISTIC": Logistic, "EXTERNAL": External}
 

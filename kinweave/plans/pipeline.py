@@ -72,7 +72,7 @@ def write_split(config: Config, name: str, split: Split) -> None:
     write_pair_text(lines, config.text_path(name), mode="overwrite")
 
 
-def experiment(spark: SparkSession, config: Config, log: logging.Logger, probability=None) -> dict[str, float]:
+def experiment(spark: SparkSession, config: Config, log: logging.Logger, scorer=None) -> dict[str, float]:
     """All splits read and written, a scorer fitted on the first where that is asked for and none is given, the last split matched and measured. The task list names the written texts, for a scorer trained outside."""
     names = config.dataset.split_names
     splits = {name: read_split(spark, config, name) for name in names}
@@ -83,25 +83,25 @@ def experiment(spark: SparkSession, config: Config, log: logging.Logger, probabi
     if config.finetune.enabled:
         texts = {f"{name}set": config.text_path(name) for name in names}
         register_task(config.run.tasks_file, {"name": config.finetune.task, "task_type": "classification", "vocab": ["0", "1"], **texts})
-        if probability is None and config.algo.strategy == "LATE_FUSION":
-            fitted = scorers.Logistic.fit(splits[names[0]].enriched, attributes_of(last))
+        if scorer is None and config.algo.strategy == "LATE_FUSION":
+            scorer = fitted = scorers.Logistic.fit(splits[names[0]].enriched, attributes_of(last))
             log.info("fitted: weights %s, intercept %s", fitted.weights, fitted.intercept)
-            probability = fitted.probability()
     counts = last.mentions.agg(F.count("*").alias("before"), F.countDistinct("ctx").alias("after")).first()
     log.info("context entities before matching: %d, after: %d", counts.before, counts.after)
-    found = run(config, last, probability)[1].first().asDict()
+    found = run(config, last, scorer)[1].first().asDict()
     log.info("threshold: %s, alpha: %s", config.algo.threshold, config.algo.alpha)
     for measure in ("accuracy", "precision", "recall", "f1"):
         log.info("%s: %.2f", measure, found[measure])
     return found
 
 
-def run(config: Config, split: Split, probability=None) -> tuple[DataFrame, DataFrame]:
-    """(clusters, measures) of a split."""
+def run(config: Config, split: Split, scorer=None) -> tuple[DataFrame, DataFrame]:
+    """(clusters, measures) of a split. ``scorer``: a scorer of pairs or a column of probabilities; with INLINE_ENCODE one of texts (``scorers.External``)."""
     attributes = attributes_of(split)
-    records = context.merged_sides(split.right, split.left).withColumn("text", record_text(attributes, style="inference"))
-    score = probability if probability is not None else scorers.TokenJaccard(attributes).probability()
-    found = collective.clusters(split.pairs, records, split.edges, score, config.algo.alpha, config.algo.threshold, config.algo.strategy, similarity=config.algo.similarity, field=config.dataset.context_field)
+    records = context.merged_sides(split.right, split.left).withColumn("text", record_text(["id", *attributes], style="inference", clean=False))
+    score = scorer if scorer is not None else scorers.TokenJaccard(attributes)
+    match = scorer if hasattr(type(scorer), "of_texts") else collective.token_match
+    found = collective.clusters(split.pairs, records, split.edges, score, config.algo.alpha, config.algo.threshold, config.algo.strategy, match=match, similarity=config.algo.similarity, field=config.dataset.context_field)
     return found, metrics.measures(metrics.predictions(split.pairs, found))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import scores, text
 from kinweave.functions.names import name_features
-from kinweave.operators import collective, context, graph, metrics, pairs, scorers
+from kinweave.operators import bootstrap, collective, context, forest, graph, metrics, pairs, scorers
+from kinweave.operators.components import GrowingComponents
 from kinweave.plans.fixtures import fixture, with_fixtures
 from kinweave.plans.registry import query
 
@@ -171,10 +172,10 @@ def merged_sides(spark, sf_dir):
     return context.merged_sides(edges, found.select(F.col("ltable_id").alias("id"), F.col("rtable_id").alias("ctx")).distinct())
 
 
-@query("typed_hyperedges", with_fixtures("SELECT 'e' || CAST(row_number() OVER (ORDER BY relation, source) - 1 AS VARCHAR) AS edge_id, relation, source, string_agg(target, ',' ORDER BY target) AS refs FROM (SELECT DISTINCT name AS source, 'isAuthor' AS relation, id AS target FROM er_mentions) AS t GROUP BY relation, source"))
+@query("typed_hyperedges", with_fixtures("SELECT 'e' || CAST(n AS VARCHAR) AS edge_id, relation, source, ref FROM (SELECT *, dense_rank() OVER (ORDER BY relation, source) - 1 AS n FROM (SELECT DISTINCT name AS source, 'isAuthor' AS relation, id AS ref FROM er_mentions) AS t) AS u"))
 def typed_hyperedges(spark, sf_dir):
-    relations = fixture(spark, sf_dir, "er_mentions").select(F.col("name").alias("source"), F.lit("isAuthor").alias("relation"), F.col("id").alias("target"))
-    return context.typed_hyperedges(relations).withColumn("refs", F.array_join("refs", ","))
+    found = fixture(spark, sf_dir, "er_mentions").groupBy("id").agg(F.array_join(F.collect_list("name"), ",").alias("authors"))
+    return context.typed_hyperedges(context.triples(found, "authors"))
 
 
 # --- the graph -------------------------------------------------------------------------------------------------
@@ -315,8 +316,8 @@ def top_pairs(spark, sf_dir):
 
 def _clusters(spark, sf_dir, name: str) -> DataFrame:
     records, found, edges = _fx(spark, sf_dir, "er_primary", "er_pairs", "er_orders_parts")
-    records = records.withColumn("text", text.record_text(ATTRIBUTES))
-    return collective.clusters(found.where("split = 'test'"), records, edges, scorers.TokenJaccard(ATTRIBUTES).probability(), ALPHA, THRESHOLD, name)
+    records = records.withColumn("text", text.record_text(["id", *ATTRIBUTES], style="inference", clean=False))
+    return collective.clusters(found.where("split = 'test'"), records, edges, scorers.TokenJaccard(ATTRIBUTES), ALPHA, THRESHOLD, name)
 
 
 @query("collective_clusters")
@@ -353,3 +354,76 @@ def trained_scorer(spark, sf_dir):
     rows = _queue(spark, sf_dir).join(fixture(spark, sf_dir, "er_pairs").select("ltable_id", "rtable_id", F.col("label").alias("y"), F.col("split").alias("part")), ["ltable_id", "rtable_id"])
     model = scorers.trained(rows.where("part = 'train'").select("sim_a", "sim_r", F.col("y").alias("label")), ["sim_a", "sim_r"])
     return model.transform(rows.where("part = 'test'").select("ltable_id", "rtable_id", "sim_a", "sim_r", F.col("y").alias("label"))).select("ltable_id", "rtable_id", "label", F.col("prediction").cast("int").alias("pred"))
+
+
+# --- what the merge starts from, and what it leaves -----------------------------------------------------------
+
+
+@query("growing_components", with_fixtures("SELECT id, component FROM k WHERE id IN (SELECT ltable_id FROM er_pairs WHERE label = 1 UNION SELECT rtable_id FROM er_pairs WHERE label = 1)", _GOLD))
+def growing_components(spark, sf_dir):
+    found, grown = fixture(spark, sf_dir, "er_pairs").where("label = 1"), GrowingComponents(spark)
+    for split in ("train", "valid", "test"):
+        grown.add(found.where(F.col("split") == split), "ltable_id", "rtable_id")
+    return grown.labels.select(F.col("node").alias("id"), "component")
+
+
+#: Exact and k-matches, and the least id in reach of each id.
+_BOOT = """a AS (SELECT h.ctx AS edge, h.id AS member, p.title || '|' || p.venue || '|' || p.year AS attr FROM er_orders_parts h JOIN er_primary p ON p.id = h.id),
+    u AS (SELECT q.ltable_id, q.rtable_id, count(*) AS c FROM er_pairs q JOIN er_orders_parts x ON x.id = q.ltable_id JOIN er_orders_parts y ON y.id = q.rtable_id JOIN a m ON m.edge = x.ctx JOIN a n ON n.edge = y.ctx AND n.attr = m.attr AND n.member <> m.member GROUP BY q.ltable_id, q.rtable_id, x.ctx, y.ctx),
+    h AS (SELECT ltable_id AS x, rtable_id AS y FROM e WHERE l_title = r_title AND l_venue = r_venue AND l_year = r_year AND ltable_id <> rtable_id UNION SELECT ltable_id, rtable_id FROM u WHERE c >= {k}),
+    s AS (SELECT x, y FROM h UNION SELECT y, x FROM h),
+    g AS (SELECT ltable_id AS id, ltable_id AS o FROM er_pairs UNION SELECT rtable_id, rtable_id FROM er_pairs UNION SELECT g.id, s.y FROM g JOIN s ON g.o = s.x),
+    k AS (SELECT id, min(o) AS cluster_id FROM g GROUP BY id)""".replace("{k}", "4")
+
+
+def _bootstrapped(spark, sf_dir) -> DataFrame:
+    records, found, lines = _fx(spark, sf_dir, "er_primary", "er_pairs", "er_order_lines")
+    attr = F.concat(*[x for c in ATTRIBUTES for x in (F.lit("|"), F.col(c))][1:])
+    near = graph.hyperedge_k_match(found, records.select("id", attr.alias("attr")), lines.select("id", F.col("ctx").alias("edge")), 4)
+    ids = found.select(F.col("ltable_id").alias("id")).unionByName(found.select(F.col("rtable_id").alias("id")))
+    return bootstrap.bootstrap(ids, graph.exact_match(_enriched(spark, sf_dir), ATTRIBUTES), near)
+
+
+@query("bootstrap_clusters", with_fixtures("SELECT id, cluster_id FROM k", _E, _BOOT))
+def bootstrap_clusters(spark, sf_dir):
+    return _bootstrapped(spark, sf_dir)
+
+
+@query(
+    "quotient_graph",
+    with_fixtures(
+        """SELECT 'member' AS kind, cluster_id, id AS other FROM k UNION SELECT 'context', cluster_id, ctx FROM k JOIN er_orders_parts USING (id)
+        UNION SELECT 'similar', x.cluster_id, y.cluster_id FROM (SELECT ltable_id AS l, rtable_id AS r FROM er_pairs UNION SELECT rtable_id, ltable_id FROM er_pairs) AS p JOIN k x ON x.id = p.l JOIN k y ON y.id = p.r WHERE x.cluster_id <> y.cluster_id""",
+        _E,
+        _BOOT,
+    ),
+)
+def quotient_graph(spark, sf_dir):
+    return bootstrap.quotient(_bootstrapped(spark, sf_dir), *_fx(spark, sf_dir, "er_pairs", "er_orders_parts"))
+
+
+@query("bootstrapped_merge")
+def bootstrapped_merge(spark, sf_dir):
+    """Clusters of the test split, whose merge starts from the quotient's members."""
+    records, found, edges = _fx(spark, sf_dir, "er_primary", "er_pairs", "er_orders_parts")
+    start = bootstrap.members_of(bootstrap.quotient(_bootstrapped(spark, sf_dir), found, edges))
+    return collective.clusters(found.where("split = 'test'"), records, edges, scorers.TokenJaccard(ATTRIBUTES), ALPHA, THRESHOLD, start=start)
+
+
+#: Thresholds of a sweep; the run is at the lowest.
+SWEEP = [0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9]
+
+
+def _forest(spark, sf_dir) -> DataFrame:
+    records, found, edges = _fx(spark, sf_dir, "er_primary", "er_pairs", "er_orders_parts")
+    return forest.merge_forest(found.where("split = 'test'"), records, edges, scorers.TokenJaccard(ATTRIBUTES), ALPHA, SWEEP[0])
+
+
+@query("merge_forest")
+def merge_forest(spark, sf_dir):
+    return _forest(spark, sf_dir)
+
+
+@query("threshold_sweep")
+def threshold_sweep(spark, sf_dir):
+    return forest.threshold_sweep(fixture(spark, sf_dir, "er_pairs").where("split = 'test'"), _forest(spark, sf_dir), SWEEP)

@@ -197,12 +197,12 @@ def test_merge_against_a_global_loop(seed):
     probability = {frozenset(p): round(rng.random(), digits) for p in every}
     contexts = {i: {rng.choice("abcde") for _ in range(rng.randint(0, 3))} for i in ids}
     alpha, threshold = rng.choice((0.0, 0.3)), rng.choice((0.4, 0.6, 0.8))
-    found = collective.merged(ids, contexts, candidates, [(a, b, probability[frozenset((a, b))]) for a, b in every], threshold, collective.late_fusion(alpha))
+    found = collective.merged(ids, contexts, candidates, [(a, b, probability[frozenset((a, b))]) for a, b in every], threshold, collective.late_fusion(alpha))[0]
     assert found == _plain_merge(ids, contexts, candidates, probability, threshold, alpha)
 
 
 def test_bridge_of_a_pair_that_is_no_candidate():
-    found = collective.merged(["r1", "r2", "r3"], {}, [("r1", "r2"), ("r2", "r3")], [("r1", "r2", 0.9), ("r2", "r3", 0.1), ("r1", "r3", 0.95)], 0.5, collective.late_fusion(0.0))
+    found = collective.merged(["r1", "r2", "r3"], {}, [("r1", "r2"), ("r2", "r3")], [("r1", "r2", 0.9), ("r2", "r3", 0.1), ("r1", "r3", 0.95)], 0.5, collective.late_fusion(0.0))[0]
     assert set(found.values()) == {"r1"}
 
 
