@@ -288,15 +288,15 @@ def _in_rounds(parts: DataFrame, records: DataFrame, linked: DataFrame, nodes: D
     return reduce(DataFrame.unionByName, over).select(F.col("a").alias("id"), F.col("b").alias("cluster_id"))
 
 
-def _merge_runs(score_of: Callable[[dict], Callable], threshold: float, log: bool) -> Callable:
-    """Merges components that stand one after the other in a partition, without the cost of a frame for each. A row is a member (a: id, b: its first cluster), its class (b), a link (a, b) or a scored pair (a, b, p), of members or of classes; those of a component come in any order. ``log``: tells merges instead of clusters."""
+def _merge_runs(score_of: Callable[[dict], Callable], threshold: float, log: bool, classes: bool) -> Callable:
+    """Merges components that stand one after the other in a partition, without the cost of a frame for each. A row is a member (a: id, b: its first cluster), a link (a, b) or a scored pair (a, b, p) of members, or, with ``classes``, of the classes that stand as members' texts; those of a component come in any order. ``log``: tells merges instead of clusters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, names = None, {}  # each id is held once
-        contexts, texts, links, scored, kinds, start = {}, {}, [], [], {}, {}
+        contexts, texts, links, scored, start = {}, {}, [], [], {}
 
         def over() -> pa.RecordBatch:
-            place, merges = merged(sorted(contexts), contexts, links, scored, threshold, score_of(texts), kinds or None, start)
+            place, merges = merged(sorted(contexts), contexts, links, scored, threshold, score_of(texts), texts if classes else None, start)
             if log:
                 columns = [[current] * len(merges), list(range(1, len(merges) + 1)), *zip(*merges, strict=True), list(accumulate((s for _, _, s in merges), min))] if merges else [[]] * 6
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=["component", "step", "a", "b", "sim", "level"])
@@ -309,14 +309,12 @@ def _merge_runs(score_of: Callable[[dict], Callable], threshold: float, log: boo
                     if current is not None:
                         found.append(over())
                     current, names = component, {}
-                    contexts, texts, links, scored, kinds, start = {}, {}, [], [], {}, {}
+                    contexts, texts, links, scored, start = {}, {}, [], [], {}
                 a, b = names.setdefault(a, a), names.setdefault(b, b)
                 if kind == "member":
-                    contexts[a], texts[a] = set(ctxs), text
+                    contexts[a], texts[a] = set(ctxs), names.setdefault(text, text)
                     if b is not None:
                         start[a] = b
-                elif kind == "class":
-                    kinds[a] = b
                 elif kind == "link":
                     links.append((a, b))
                 else:
@@ -339,10 +337,10 @@ def _row(df: DataFrame, kind: str, **given: Column) -> DataFrame:
     return df.select(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in cells_])
 
 
-def _grouped(rows: DataFrame, score_of: Callable, threshold: float, log: bool) -> DataFrame:
+def _grouped(rows: DataFrame, score_of: Callable, threshold: float, log: bool, classes: bool = False) -> DataFrame:
     # Dealt by a hash of the component: a union whose parts are all dealt by the component itself is taken to be so too, and isn't once partitions are coalesced.
     told = "component string, step bigint, a string, b string, sim double, level double" if log else "id string, cluster_id string"
-    return rows.repartition(F.xxhash64("component")).sortWithinPartitions("component").mapInArrow(_merge_runs(score_of, threshold, log), told)
+    return rows.repartition(F.xxhash64("component")).sortWithinPartitions("component").mapInArrow(_merge_runs(score_of, threshold, log, classes), told)
 
 
 def _solve(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability, alpha: float, threshold: float, strategy: str, text: str, match, folder: str | None, max_component: int, similarity: str, field: str, start: DataFrame | None, log: bool) -> DataFrame:
@@ -404,30 +402,25 @@ def _members(parts: DataFrame, edges: DataFrame, start: DataFrame | None) -> Dat
 def _by_classes(parts: DataFrame, candidates: DataFrame, records: DataFrame, edges: DataFrame, scorer, column: Column, least: float, likeness: float, score: Callable, alpha: float, threshold: float, folder: str | None, large: DataFrame | None, start: DataFrame | None, log: bool) -> DataFrame:
     """LATE_FUSION over near pairs of classes only. Large components are split first."""
     members = classed(parts, records.select("id", *scorer.columns), scorer.identity())
-    near = near_pairs(members, scorer.columns, scorer.token_set(), column, least, likeness)
+    if large is not None:
+        members = _held(members, folder, "classes")
+    near = near_pairs(members, scorer.columns, scorer.token_set(), column, least, likeness, large is not None)
     kinds = members.select("component", "id", "cls")
     link = lambda parts: candidates.join(parts.select(F.col("id").alias("a"), "component"), "a").select("component", "a", "b")
+    linked = link(kinds)
     if large is not None and start is None and alpha < min(threshold, 1.0):  # else contexts alone can bring a merge
         near = _held(near, folder, "near")
         some = lambda df: df.join(large, "component", "left_semi")
-        whole = parts.join(kinds.select("id", "cls"), "id", "left").select("component", "id", F.coalesce("cls", F.concat(F.lit("-"), "id")).alias("cls"))  # without a record: near to nobody
-        split = cells(some(link(parts)), some(whole), some(near), folder).select("id", F.col("component").alias("cell"))
-        placed = _held(parts.join(split, "id", "left").select("id", "component", F.coalesce("cell", "component").alias("cell")), folder, "placed")
-        kinds = kinds.join(placed.select("id", "cell"), "id").select(F.col("component").alias("whole"), F.col("cell").alias("component"), "id", "cls")
+        split = cells(some(linked), some(kinds), some(near), folder).select("id", F.col("component").alias("cell"))
+        kinds = _held(kinds.join(split, "id", "left").select(F.col("component").alias("whole"), F.coalesce("cell", "component").alias("component"), "id", "cls"), folder, "placed")
         at = kinds.select("whole", "component", "cls").distinct()
         a, b = at.withColumnRenamed("cls", "a"), at.withColumnRenamed("cls", "b")
         near = near.withColumnRenamed("component", "whole").join(a, ["whole", "a"]).join(b, ["whole", "component", "b"]).select("component", "a", "b", "p")
-        parts = placed.select("id", F.col("cell").alias("component"))
-        two = parts.select(F.col("id").alias("b"), F.col("component").alias("other"))
-        linked = link(parts).join(two, "b").where("component = other").select("component", "a", "b")
-    else:
-        linked = link(parts)
-    nodes = _members(parts, edges, start)
-    rows = _row(nodes, "member", a=F.col("id"), b=F.col("first"), ctxs=F.col("ctxs")).unionByName(_row(linked, "link", a=F.col("a"), b=F.col("b")))
-    # Every member has a class; those without a record one of their own.
-    lonely = parts.join(kinds.select("id", "cls"), "id", "left").select("component", "id", F.coalesce("cls", F.concat(F.lit("-"), "id")).alias("cls"))
-    rows = rows.unionByName(_row(lonely, "class", a=F.col("id"), b=F.col("cls"))).unionByName(_row(near, "near", a=F.col("a"), b=F.col("b"), p=F.col("p")))
-    return _grouped(rows, lambda _: score, threshold, log)
+        linked = link(kinds).join(kinds.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").where("component = other")
+    nodes = _members(kinds, edges, start)
+    rows = _row(nodes, "member", a=F.col("id"), b=F.col("first"), ctxs=F.col("ctxs"), text=F.col("cls")).unionByName(_row(linked, "link", a=F.col("a"), b=F.col("b")))
+    rows = rows.unionByName(_row(near, "near", a=F.col("a"), b=F.col("b"), p=F.col("p")))
+    return _grouped(rows, lambda _: score, threshold, log, classes=True)
 
 
 def clusters(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability, alpha: float, threshold: float, strategy: str = "LATE_FUSION", text: str = "text", match=token_match, folder: str | None = None, max_component: int = MAX_COMPONENT, similarity: str = "jaccard_coefficient", field: str = "context", start: DataFrame | None = None) -> DataFrame:

@@ -31,29 +31,34 @@ def least_probability(alpha: float, threshold: float) -> float:
 
 
 def classed(parts: DataFrame, records: DataFrame, identity: Column) -> DataFrame:
-    """Members of components (component, id) with their class and record; equal ``identity`` is one class, a hash of 128 bits."""
-    return parts.join(records, "id").withColumn("cls", F.md5(F.coalesce(identity, F.lit(""))))
+    """Members of components (component, id) with their class and record; equal ``identity`` is one class, a hash of 128 bits. A member without a record is a class by itself, which is near to nobody (``known`` is null)."""
+    rows = parts.join(records.withColumn("known", F.lit(True)), "id", "left")
+    return rows.withColumn("cls", F.when(F.col("known"), F.md5(F.coalesce(identity, F.lit("")))).otherwise(F.concat(F.lit("-"), "id")))
 
 
-def near_pairs(members: DataFrame, columns: list[str], tokens: Column, probability: Column, least: float, jaccard: float) -> DataFrame:
-    """(component, a, b, p): classes of a component, a <= b, whose probability is ``least`` or more and token Jaccard ``jaccard`` or more (any that isn't 0, where that is 0). ``members``: component, cls and ``columns``. A class stands with itself too."""
-    spark = members.sparkSession
-    rows = members.groupBy("component", "cls").agg(F.min(F.struct(*columns)).alias("_r")).select("component", "cls", *[F.col(f"_r.{c}").alias(c) for c in columns])
-    rows = rows.withColumn("_tokens", tokens).withColumn("_n", F.size("_tokens"))
+def _ranks(rows: DataFrame) -> Column:
+    """Counts of the most frequent tokens, as a constant map."""
     often = rows.select(F.explode("_tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(FREQUENT).collect()
-    rank = F.from_json(F.lit(json.dumps({r.t: r.n for r in often})), "map<string,bigint>")
-    ordered = F.transform(F.sort_array(F.transform("_tokens", lambda t: F.struct(F.coalesce(rank[t], F.lit(0)).alias("n"), t.alias("t")))), lambda x: x["t"])
+    return F.from_json(F.lit(json.dumps({r.t: r.n for r in often})), "map<string,bigint>")
+
+
+def near_pairs(members: DataFrame, columns: list[str], tokens: Column, probability: Column, least: float, jaccard: float, ranked: bool = True) -> DataFrame:
+    """(component, a, b, p): classes of a component, a < b, and those of several members with themselves, whose probability is ``least`` or more and token Jaccard ``jaccard`` or more (any that isn't 0, where that is 0). ``members``: as of ``classed``. ``ranked``: frequent tokens come last; without, the order is the tokens' own, which does where components are small."""
+    rows = members.where("known").groupBy("component", "cls").agg(F.min(F.struct(*columns)).alias("_r"), F.count("*").alias("_m")).select("component", "cls", "_m", *[F.col(f"_r.{c}").alias(c) for c in columns])
+    rows = rows.withColumn("_tokens", tokens).withColumn("_n", F.size("_tokens"))
+    ordered = F.sort_array("_tokens")
+    if ranked:
+        rank = _ranks(rows)
+        ordered = F.transform(F.sort_array(F.transform("_tokens", lambda t: F.struct(F.coalesce(rank[t], F.lit(0)).alias("n"), t.alias("t")))), lambda x: x["t"])
     first = (F.col("_n") - F.ceil(F.col("_n") * (jaccard - SLACK)) + 1).cast("int") if jaccard > 0 else F.col("_n")
-    rows = rows.where("_n > 0").select("component", "cls", *columns, "_n", F.slice(ordered, F.lit(1), F.greatest(F.lit(1), F.least(F.col("_n"), first))).alias("_prefix"))
+    rows = rows.where("_n > 0").select("component", "cls", "_m", *columns, "_n", F.slice(ordered, F.lit(1), F.greatest(F.lit(1), F.least(F.col("_n"), first))).alias("_prefix"))
     spread = rows.select("*", F.explode("_prefix").alias("_t"))
-    side = lambda p, c: spread.select("component", "_t", F.col("cls").alias(c), F.col("_n").alias(f"{p}n"), F.col("_prefix").alias(f"{p}prefix"), *[F.col(x).alias(f"{p}{x}") for x in columns])
-    met = side("l_", "a").join(side("r_", "b"), ["component", "_t"]).where("a < b")
+    side = lambda p, c: spread.select("component", "_t", F.col("cls").alias(c), F.col("_m").alias(f"{p}m"), F.col("_n").alias(f"{p}n"), F.col("_prefix").alias(f"{p}prefix"), *[F.col(x).alias(f"{p}{x}") for x in columns])
+    met = side("l_", "a").join(side("r_", "b"), ["component", "_t"]).where("a < b OR a = b AND l_m > 1")
     if jaccard > 0:
         met = met.where((F.col("l_n") >= (jaccard - SLACK) * F.col("r_n")) & (F.col("r_n") >= (jaccard - SLACK) * F.col("l_n")))
     met = met.where(F.element_at(F.array_intersect("l_prefix", "r_prefix"), 1) == F.col("_t"))  # each pair once
-    found = met.select("component", "a", "b", probability.cast("double").alias("p"))
-    own = rows.select("component", F.col("cls").alias("a"), F.col("cls").alias("b"), *[F.col(x).alias(f"{p}{x}") for p in ("l_", "r_") for x in columns])
-    return found.unionByName(own.select("component", "a", "b", probability.cast("double").alias("p"))).where(F.col("p") >= least)
+    return met.select("component", "a", "b", probability.cast("double").alias("p")).where(F.col("p") >= least)
 
 
 def cells(links: DataFrame, members: DataFrame, near: DataFrame, folder: str | None = None) -> DataFrame:
