@@ -1,4 +1,9 @@
-"""A training corpus from raw documents, in five stages; each stage's rows are written and read again by the next."""
+"""A training corpus from raw documents, in five stages; each stage's rows are written and read again by the next.
+
+In all stages a null text has no words and rows with a null key are rows like others, repeated rows are judged each by
+itself (equal ones as near-duplicates), very long texts are read whole, an empty table gives an empty table, and all columns
+of the documents but the text and its length stay as they are, whatever their names. What a stage decides at a tie is in its own line.
+"""
 
 from __future__ import annotations
 
@@ -28,24 +33,27 @@ def _cleaned(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject; a score of TOXIC itself is rejected. Without labels of both kinds nothing is."""
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
     model = toxic_kernel.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxic_kernel.score(docs, model, "text", "_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    return toxic_kernel.score(docs, model, "text", name).where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that of the least key, of equal keys any one. Documents without words stay."""
     return jaccard_tiles.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that occur elsewhere; a document of which nothing is left goes."""
+    """Texts without passages that occur elsewhere; a document of which nothing is left goes. One without words stays."""
     rows = level_dedup.dedup(docs, carry=_rest(docs))
     return _cleaned(rows.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without benchmark passages; a document that consists of them by more than half goes."""
+    """Texts without benchmark passages; a document that consists of them by more than half goes; by half, it stays."""
     rows = decontam.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=_rest(docs))
     return _cleaned(rows.where(~F.col("dropped")), docs)
 
