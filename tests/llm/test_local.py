@@ -450,26 +450,27 @@ def test_numbers_of_sets_are_counted_in_parts(most):
     assert len(toxic_kernel._counted(iter([]))[0]) == 0
 
 
-def test_toxicity_on_held_out_documents():
-    """Held-out rows of a table whose labels follow its words; and no word of a sampled text is left out of training."""
+@pytest.mark.parametrize("table, least", [("sf0.1", 0.75), ("check_s", 0.9)])
+def test_toxicity_on_held_out_documents(table, least):
+    """Held-out rows of tables whose labels follow their words; the first has few labels in three of its languages (README)."""
     import zlib
     from pathlib import Path
 
     import pyarrow.parquet as pq
 
-    folder = Path("/root/testdata/check_s")
-    if not folder.exists():
+    folder = Path("/root/testdata") / table
+    if not folder.exists() and table != "sf0.1":
         pytest.skip("no such table here")
     read = lambda name, columns: pq.read_table(folder / f"{name}.parquet", columns=columns).to_pydict()
     labels = dict(zip(*read("labels", ["doc_id", "toxic"]).values(), strict=True))
     rows = [(zlib.crc32(str(k).encode()) % 5 == 0, t or "", labels[k]) for k, t in zip(*read("documents", ["doc_id", "text"]).values(), strict=True) if labels.get(k) is not None]
     fit = [(t, y) for held, t, y in rows if not held]
-    some = [r for r in fit if r[1]][:500] + [r for r in fit if not r[1]][:1000]
+    some = [r for r in fit if r[1]][:1500] + [r for r in fit if not r[1]][:1500] if table == "sf0.1" else [r for r in fit if r[1]][:500] + [r for r in fit if not r[1]][:1000]
     model = toxic_kernel.train(some, {y: sum(v == y for _, v in fit) for y in (0, 1)})
     held = [(t, y) for h, t, y in rows if h][:2000]
     margin = np.array(toxic_kernel.Scores(model).documents([t for t, _ in held]))
     said, told = model["slope"] * margin + model["shift"] >= 0, np.array([y for _, y in held]) == 1
-    assert (said & told).sum() >= 0.9 * told.sum() and (said & told).sum() >= 0.9 * said.sum()
+    assert (said & told).sum() >= least * told.sum() and (said & told).sum() >= least * said.sum()
 
 
 def test_attention_gradient_and_learning():

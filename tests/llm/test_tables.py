@@ -356,6 +356,23 @@ def test_pipeline(spark, docs, tmp_path):
     assert " ".join(text[31].split()[3:23]) not in model.get(31, "") and model[14] == text[14]
 
 
+def test_pipeline_keeps_columns_of_its_own_names_and_takes_empty_tables(spark, docs, tmp_path):
+    clashing = docs[0].select("*", F.lit("mine").alias("_toxicity"), F.lit("too").alias("_toxicity_"), F.lit(7).alias("_rid"))
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    for path, rows in (("full", clashing), ("none", clashing.where("false"))):
+        folder = str(tmp_path / path)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        out = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            stage(spark, out, folder).write.parquet(f"{folder}/{name}")
+            out = spark.read.parquet(f"{folder}/{name}")
+            assert out.columns == clashing.columns
+            assert {(r._toxicity, r._toxicity_, r._rid, r.score) for r in out.collect()} == ({("mine", "too", 7, CLASHES["score"])} if path == "full" else set())
+        assert corpus_pipeline.STAGES[-1][0] == names[-1] and corpus_pipeline.STAGES[-1][1](spark, out, folder).count() == out.count()
+
+
 def _plain_pipeline(rows, items, toxic):
     """The five stages on (doc_id, text) in plain Python; ``toxic`` judges a text. The ids are the library's."""
     import sentencepiece
