@@ -25,7 +25,7 @@ def _state(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def _checkpoint_root(spark: SparkSession) -> str:
+def checkpoint_root(spark: SparkSession) -> str:
     """The folder of checkpoints: Spark's own, or spark.checkpoint.dir. Only where Spark is one local process and neither is set a local one is made."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
@@ -43,7 +43,7 @@ def _checkpoint_root(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """The frame written below the folder of checkpoints and read again, so that its size is known to plans that use it."""
-    path = f"{_checkpoint_root(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -98,7 +98,7 @@ class GrowingComponents:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, kind: str = "string"):
         self.spark, self.kind = spark, kind
-        self.folder = (folder or f"{_checkpoint_root(spark)}/labels-{uuid.uuid4().hex}").rstrip("/")
+        self.folder = (folder or f"{checkpoint_root(spark)}/labels-{uuid.uuid4().hex}").rstrip("/")
         self._paths: dict[int, list[str]] = {}
 
     def _read(self, parts: list[int]) -> DataFrame:

@@ -12,7 +12,8 @@ from kinweave.functions.scores import jaccard, pairwise_summary
 from kinweave.functions.text import pair_line, record_text
 from kinweave.operators import collective, context, graph, metrics, pairs, scorers
 from kinweave.sources.config import Config, register_task
-from kinweave.sources.files import read_pairs, read_records, write_pair_text, write_records
+from kinweave.sources.files import read_pairs, write_pair_text, write_records
+from kinweave.sources.positions import POSITION, first_rows, read_positioned
 
 
 @dataclass
@@ -44,7 +45,8 @@ def preprocess(config: Config, found: DataFrame, a: DataFrame, b: DataFrame) ->
     sides = []
     for df, side, column in ((a, "a", "ltable_id"), (b, "b", "rtable_id")):
         df = _sided(df.withColumnRenamed(d.prim_id_col, "id"), config, ("id",), side)
-        df = pairs.first_by_key(df, "id", [F.struct(*[c for c in df.columns if c != "id"])])
+        placed_rows = set(POSITION) <= set(df.columns)  # else there is no first row, and the least one stays
+        df = first_rows(df, "id") if placed_rows else pairs.first_by_key(df, "id", [F.struct(*[c for c in df.columns if c != "id"])])
         sides.append(pairs.reduce_source(df, found, "id", column))
     exploded = [context.explode_context(s, d.context_field, d.context_separator) for s in sides]
     placed = context.entities(context.mentions(context.merged_sides(*exploded)))
@@ -54,7 +56,7 @@ def preprocess(config: Config, found: DataFrame, a: DataFrame, b: DataFrame) ->
 
 def read_split(spark: SparkSession, config: Config, split: str) -> Split:
     d = config.dataset
-    return preprocess(config, read_pairs(spark, config.pairs_path(split), d.left_id_col, d.right_id_col, d.label_col), *[read_records(spark, config.table_path(side)) for side, _ in config.sides()])
+    return preprocess(config, read_pairs(spark, config.pairs_path(split), d.left_id_col, d.right_id_col, d.label_col), *[read_positioned(spark, config.table_path(side)) for side, _ in config.sides()])
 
 
 def attributes_of(split: Split) -> list[str]:

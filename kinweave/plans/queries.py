@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import scores, text
 from kinweave.functions.names import name_features
 from kinweave.operators import bootstrap, collective, context, forest, graph, metrics, pairs, scorers
-from kinweave.operators.components import GrowingComponents
+from kinweave.operators.components import GrowingComponents, checkpoint_root
 from kinweave.plans.fixtures import fixture, with_fixtures
 from kinweave.plans.registry import query
+from kinweave.sources import files, positions
 
 ALPHA, THRESHOLD = 0.3, 0.5
 ATTRIBUTES = ["title", "venue", "year"]
@@ -427,3 +430,79 @@ def merge_forest(spark, sf_dir):
 @query("threshold_sweep")
 def threshold_sweep(spark, sf_dir):
     return forest.threshold_sweep(fixture(spark, sf_dir, "er_pairs").where("split = 'test'"), _forest(spark, sf_dir), SWEEP)
+
+
+# --- files written and read again ------------------------------------------------------------------------------
+
+
+def _folder(spark, tag: str) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+_LINES = "SELECT CAST(l_orderkey AS VARCHAR) AS id, CAST(l_linenumber AS VARCHAR) AS line, CAST(l_partkey AS VARCHAR) AS part, CAST(l_suppkey AS VARCHAR) AS supplier, l_returnflag || chr(10) || '\"' || l_linestatus || ',' AS note FROM lineitem"
+
+
+def _lines_file(spark, sf_dir) -> DataFrame:
+    """The lines as CSV whose cells hold line ends, quotes and commas, in the order of order, line (descending), part and supplier; read with positions."""
+    rows, path = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), _folder(spark, "lines")
+    text = lambda c: F.col(c).cast("string")
+    rows = rows.orderBy("l_orderkey", F.desc("l_linenumber"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    files.write_records(rows.select(text("l_orderkey").alias("id"), text("l_linenumber").alias("line"), text("l_partkey").alias("part"), text("l_suppkey").alias("supplier"), F.concat("l_returnflag", F.lit('\n"'), "l_linestatus", F.lit(",")).alias("note")), path)
+    return positions.read_positioned(spark, path)
+
+
+@query("csv_positions", _LINES)
+def csv_positions(spark, sf_dir):
+    return _lines_file(spark, sf_dir).drop(*positions.POSITION)
+
+
+@query("csv_first_rows", f"SELECT id, line, part, supplier, note FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CAST(line AS INT) DESC, CAST(part AS BIGINT), CAST(supplier AS BIGINT), note) AS n FROM ({_LINES}) AS l) AS t WHERE n = 1")
+def csv_first_rows(spark, sf_dir):
+    return positions.first_rows(_lines_file(spark, sf_dir), "id")
+
+
+@query("csv_records", with_fixtures("SELECT id, title, venue, year FROM er_primary"))
+def csv_records(spark, sf_dir):
+    path = _folder(spark, "records")
+    files.write_records(fixture(spark, sf_dir, "er_primary").drop("side"), path)
+    return files.read_records(spark, path)
+
+
+@query("csv_pairs", with_fixtures("SELECT ltable_id, rtable_id, label, split FROM er_pairs"))
+def csv_pairs(spark, sf_dir):
+    path = _folder(spark, "pairs")
+    found = fixture(spark, sf_dir, "er_pairs")
+    files.write_records(found.withColumn("ltable_id", F.concat(F.lit(" "), "ltable_id", F.lit("\t"))), path)
+    return files.read_pairs(spark, path)
+
+
+@query("csv_pair_ids", with_fixtures("SELECT ltable_id, count(*) AS n FROM er_pairs GROUP BY ltable_id"))
+def csv_pair_ids(spark, sf_dir):
+    path = _folder(spark, "pair-ids")
+    files.write_records(fixture(spark, sf_dir, "er_pairs"), path)
+    return files.read_pair_ids(spark, path).groupBy("ltable_id").agg(F.count("*").alias("n"))
+
+
+@query("csv_inferred", with_fixtures("SELECT CAST(ltable_id AS INT) AS ltable_id, CAST(rtable_id AS INT) AS rtable_id, label, split FROM er_pairs"))
+def csv_inferred(spark, sf_dir):
+    path = _folder(spark, "inferred")
+    files.write_records(fixture(spark, sf_dir, "er_pairs"), path)
+    return files.read_inferred(spark, path)
+
+
+@query("pair_text_file", with_fixtures(f"SELECT {_training('l_')} AS left_text, {_training('r_')} AS right_text, label FROM e", _E))
+def pair_text_file(spark, sf_dir):
+    path = _folder(spark, "pair-text")
+    files.write_pair_text(pairs.pair_text(_enriched(spark, sf_dir), ATTRIBUTES), path)
+    return files.read_pair_text(spark, path).select(F.col("left").alias("left_text"), F.col("right").alias("right_text"), "label")
+
+
+@query("normalised_export", with_fixtures("SELECT 'record' AS kind, id AS a, ctx AS b FROM h UNION ALL SELECT 'context', ctx, id FROM h UNION ALL SELECT 'name', ctx, min(name) FROM c GROUP BY ctx UNION ALL SELECT 'title', id, title FROM er_primary WHERE id IN (SELECT id FROM er_mentions)", _M, _C, _H))
+def normalised_export(spark, sf_dir):
+    path = _folder(spark, "normalised")
+    authors = fixture(spark, sf_dir, "er_mentions").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), ",").alias("authors"))
+    files.write_normalised(files.normalised(fixture(spark, sf_dir, "er_primary").drop("side").join(authors, "id")), path)
+    read = lambda n: spark.read.parquet(f"{path}/{n}")
+    row = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), b.alias("b"))
+    out = row(read("record_to_contexts"), "record", "id", F.explode("ctxs")).unionByName(row(read("context_to_records"), "context", "ctx", F.explode("ids")))
+    return out.unionByName(row(read("contexts"), "name", "ctx", F.col("name"))).unionByName(row(read("records"), "title", "id", F.col("title")))
