@@ -36,6 +36,31 @@ def neighbor_edges(edges: DataFrame, key: str = "id", ctx: str = "ctx") -> DataF
     return e.join(e.select(F.col("a").alias("b"), "c"), "c").where("a < b").select("a", "b").distinct()
 
 
+#: Classes of one context that meet in a task; more are dealt to cells on both sides.
+CELL = 2_000
+
+
+def context_classes(edges: DataFrame, key: str = "id", ctx: str = "ctx") -> DataFrame:
+    """(id, class_id): ids with equal sets of contexts, under the least of them. Sets are compared by their size and two sums of 64-bit hashes, which need no set in one row."""
+    e = edges.select(F.col(key).alias("id"), F.col(ctx).alias("c")).where("id IS NOT NULL AND c IS NOT NULL").distinct()
+    exact = lambda *x: F.sum(F.xxhash64(*x).cast("decimal(38,0)"))
+    signs = e.groupBy("id").agg(F.struct(F.count("*").alias("n"), exact("c").alias("x"), exact(F.lit(1), "c").alias("y")).alias("sign"))
+    return signs.join(signs.groupBy("sign").agg(F.min("id").alias("class_id")), "sign").select("id", "class_id")
+
+
+def neighbor_classes(edges: DataFrame, classes: DataFrame, key: str = "id", ctx: str = "ctx", cell: int = CELL) -> DataFrame:
+    """(a, b, n), a <= b: classes with n common contexts; a class of several ids stands with itself. Together with ``context_classes`` it says what ``neighbor_edges`` does, without a pair for each two ids of large classes."""
+    own = classes.groupBy("class_id").agg(F.count("*").alias("m"))
+    reps = edges.select(F.col(key).alias("class_id"), F.col(ctx).alias("c")).distinct().join(own, "class_id")
+    sizes = reps.groupBy("c").agg(F.count("*").alias("_n")).where("_n > 1").select("c", F.ceil(F.col("_n") / cell).cast("int").alias("g"))
+    met = reps.join(sizes, "c").withColumn("at", F.pmod(F.xxhash64("class_id"), F.col("g")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    left = met.select(F.col("class_id").alias("a"), "c", F.col("at").alias("i"), every.alias("j"))
+    right = met.select(F.col("class_id").alias("b"), "c", F.col("at").alias("j"), every.alias("i"))
+    linked = left.join(right, ["c", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return linked.unionByName(reps.where("m > 1").groupBy(F.col("class_id").alias("a"), F.col("class_id").alias("b")).agg(F.count("*").alias("n")))
+
+
 def contexts_of(edges: DataFrame, key: str = "id", ctx: str = "ctx") -> DataFrame:
     """(id, ctxs): ordered distinct contexts of each id."""
     return edges.groupBy(F.col(key).alias("id")).agg(F.sort_array(F.collect_set(ctx)).alias("ctxs"))

@@ -199,6 +199,19 @@ def neighbor_edges(spark, sf_dir):
     return graph.neighbor_edges(fixture(spark, sf_dir, "er_orders_parts"))
 
 
+_CLASSES = """t AS (SELECT id, string_agg(ctx, ',' ORDER BY ctx) AS s FROM {0} GROUP BY id), k AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS m FROM t),
+    r AS (SELECT DISTINCT class_id, m, ctx FROM {0} JOIN k USING (id))"""
+_LINKED = "SELECT 'member' AS kind, id AS a, class_id AS b, CAST(1 AS BIGINT) AS n FROM k UNION ALL SELECT 'link', x.class_id, y.class_id, count(*) FROM r x JOIN r y ON x.ctx = y.ctx AND (x.class_id < y.class_id OR x.class_id = y.class_id AND x.m > 1) GROUP BY x.class_id, y.class_id"
+
+
+@query("neighbor_classes", with_fixtures(_LINKED, _CLASSES.format("er_orders_parts")))
+def neighbor_classes(spark, sf_dir):
+    edges = fixture(spark, sf_dir, "er_orders_parts")
+    classes = graph.context_classes(edges)
+    member = classes.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("class_id").alias("b"), F.lit(1).cast("long").alias("n"))
+    return member.unionByName(graph.neighbor_classes(edges, classes).select(F.lit("link").alias("kind"), "a", "b", "n"))
+
+
 def _pairs_with_contexts(spark, sf_dir) -> DataFrame:
     edges, found = _fx(spark, sf_dir, "er_orders_parts", "er_pairs")
     return graph.with_contexts(found, graph.contexts_of(edges))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions.scores import LEVELS
-from kinweave.operators import bootstrap, collective, context, forest, inline_rounds, metrics, near, numbering, scorers
+from kinweave.operators import bootstrap, collective, context, forest, graph, inline_rounds, metrics, near, numbering, scorers
 from kinweave.operators.components import GrowingComponents
 from kinweave.operators.queue import AddressableQueue
 
@@ -322,3 +322,23 @@ def test_bootstrap_and_quotient(spark):
     assert [r for r in rows if r[0] != "member"] == [("context", "a", "u"), ("context", "d", "u"), ("context", "f", "v"), ("similar", "a", "d"), ("similar", "d", "a")]
     assert sorted(map(tuple, bootstrap.members_of(table).collect())) == sorted(map(tuple, joined.collect()))
     assert [tuple(r) for r in bootstrap.neighbor_clusters(table).collect()] == [("a", "d")]
+
+
+def test_neighbour_classes_say_what_pairs_of_ids_do(spark):
+    rng = random.Random(3)
+    rows = [(f"r{i:02}", rng.choice("uvwxyz")) for i in range(40) for _ in range(rng.randint(0, 2))]
+    rows += [(f"h{i:02}", "hub") for i in range(30)] + [(f"h{i:02}", f"own{i}") for i in range(10)] + [("r01", "hub"), (None, "hub"), ("r02", None), ("r00", "u"), ("r00", "u")]
+    edges = spark.createDataFrame(rows, "id string, ctx string")
+    classes = graph.context_classes(edges)
+    member = {r.id: r.class_id for r in classes.collect()}
+    sets = {}
+    for i, c in rows:
+        if i is not None and c is not None:
+            sets.setdefault(i, set()).add(c)
+    assert member == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    told = {tuple(sorted((i, j))) for i, j in itertools.combinations(sets, 2) if sets[i] & sets[j]}
+    for cell in (1, 7, 2_000):
+        links = {(r.a, r.b): r.n for r in graph.neighbor_classes(edges.where("id IS NOT NULL AND ctx IS NOT NULL"), classes, cell=cell).collect()}
+        assert all(n == len(sets[a] & sets[b]) for (a, b), n in links.items())
+        assert {(i, j) for i, j in told} == {(i, j) for i, j in itertools.combinations(sorted(sets), 2) if tuple(sorted((member[i], member[j]))) in links}
+    assert told == {tuple(r) for r in graph.neighbor_edges(edges.where("id IS NOT NULL")).collect()}
