@@ -85,9 +85,8 @@ def experiment(spark: SparkSession, config: Config, log: logging.Logger, scorer=
     if config.finetune.enabled:
         texts = {f"{name}set": config.text_path(name) for name in names}
         register_task(config.run.tasks_file, {"name": config.finetune.task, "task_type": "classification", "vocab": ["0", "1"], **texts})
-        if scorer is None and config.algo.strategy == "LATE_FUSION":
-            scorer = fitted = scorers.Logistic.fit(splits[names[0]].enriched, attributes_of(last))
-            log.info("fitted: weights %s, intercept %s", fitted.weights, fitted.intercept)
+        if scorer is None:
+            scorer = _learned(config, splits, log)
     counts = last.mentions.agg(F.count("*").alias("before"), F.countDistinct("ctx").alias("after")).first()
     log.info("context entities before matching: %d, after: %d", counts.before, counts.after)
     found = run(config, last, scorer)[1].first().asDict()
@@ -97,6 +96,24 @@ def experiment(spark: SparkSession, config: Config, log: logging.Logger, scorer=
     return found
 
 
+def _learned(config: Config, splits: dict[str, Split], log: logging.Logger):
+    """A text matcher from the first split, with the second as the stop; it reads what the merge will show it: with INLINE_ENCODE, texts that end in contexts and their likeness. Without labels of both kinds, None."""
+    first, second = [*splits.values()][0], [*splits.values()][min(1, len(splits) - 1)]
+    attributes = attributes_of(first)
+    try:
+        if config.algo.strategy == "INLINE_ENCODE":
+            shown = [inline_text(s.enriched, graph.gold_components(s.pairs), s.edges, attributes, field=config.dataset.context_field, style="inference") for s in (first, second)]
+            sides = [F.element_at(F.split("line", "\t"), i) for i in (1, 2)]
+            fitted = scorers.TextMatcher.fit_texts(*shown, attributes, *sides)
+        else:
+            fitted = scorers.TextMatcher.fit(first.enriched, second.enriched, attributes)
+    except ValueError as e:
+        log.info("nothing learned: %s", e)
+        return None
+    log.info("fitted: %d weights, intercept %s", len(fitted.weights), fitted.intercept)
+    return fitted
+
+
 def run(config: Config, split: Split, scorer=None) -> tuple[DataFrame, DataFrame]:
     """(clusters, measures) of a split. ``scorer``: a scorer of pairs or a column of probabilities; with INLINE_ENCODE one of texts (``scorers.External``)."""
     attributes = attributes_of(split)
@@ -107,11 +124,15 @@ def run(config: Config, split: Split, scorer=None) -> tuple[DataFrame, DataFrame
     return found, metrics.measures(metrics.predictions(split.pairs, found))
 
 
-def inline_text(enriched: DataFrame, parts: DataFrame, edges: DataFrame, attributes: list[str], k: int = 5, field: str = "context") -> DataFrame:
-    """Adds ``line``: pair text whose records end in two columns more, the first contexts of their gold cluster (under ``field``) and how alike both neighbourhoods are."""
+def inline_text(enriched: DataFrame, parts: DataFrame, edges: DataFrame, attributes: list[str], k: int = 5, field: str = "context", style: str = "training") -> DataFrame:
+    """Adds ``line``: pair text (``inference`` style: without ids) whose records end in two columns more, the first contexts of their gold cluster (under ``field``) and how alike both neighbourhoods are."""
     around = parts.join(graph.component_neighborhood(parts, edges, k), "component", "left").select("id", "ctxs", "top")
     side = lambda p: around.select(F.col("id").alias(f"{p}table_id"), F.coalesce("ctxs", F.array().cast("array<string>")).alias(f"{p}_ctxs"), F.array_join(F.coalesce("top", F.array().cast("array<string>")), " | ").alias(f"{p}_top"))
     rows = enriched.join(side("l"), "ltable_id", "left").join(side("r"), "rtable_id", "left")
     summary = pairwise_summary(jaccard(F.col("l_ctxs"), F.col("r_ctxs")))
-    line = lambda p: F.concat(record_text(attributes, f"{p}_"), F.lit(f" COL {field} VAL "), F.coalesce(f"{p}_top", F.lit("")), F.lit(" COL pairwise_summary VAL "), summary)
+    top = lambda p: F.coalesce(f"{p}_top", F.lit(""))
+    if style == "training":
+        line = lambda p: F.concat(record_text(attributes, f"{p}_"), F.lit(f" COL {field} VAL "), top(p), F.lit(" COL pairwise_summary VAL "), summary)
+    else:
+        line = lambda p: F.concat(record_text(attributes, f"{p}_", style, clean=False), F.lit(f' , {field} : "'), top(p), F.lit('" , pairwise_summary : "'), summary, F.lit('"'))
     return rows.withColumn("line", pair_line(line("l"), line("r"), F.col("label")))

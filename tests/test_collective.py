@@ -342,3 +342,23 @@ def test_neighbour_classes_say_what_pairs_of_ids_do(spark):
         assert all(n == len(sets[a] & sets[b]) for (a, b), n in links.items())
         assert {(i, j) for i, j in told} == {(i, j) for i, j in itertools.combinations(sorted(sets), 2) if tuple(sorted((member[i], member[j]))) in links}
     assert told == {tuple(r) for r in graph.neighbor_edges(edges.where("id IS NOT NULL")).collect()}
+
+
+def test_a_learned_matcher_beats_two_features(spark):
+    """Titles whose last words mean the same match, others don't: likeness of tokens or characters can't tell."""
+    rng = random.Random(4)
+    same = [("car", "automobile"), ("big", "large"), ("street", "road"), ("begin", "start")]
+    rows = []
+    for i in range(900):
+        words = [rng.choice(("graph", "data", "query", "index", "stream", "cloud")) for _ in range(3)]
+        left, match = rng.randrange(4), i % 2
+        right = left if match else (left + 1 + rng.randrange(3)) % 4
+        rows.append((" ".join([*words, same[left][0]]), " ".join([*words, same[right][1]]), match, ("train", "valid", "test")[i % 3]))
+    df = spark.createDataFrame(rows, "l_t string, r_t string, label int, split string").cache()
+    of = lambda s: df.where(F.col("split") == s)
+    learned = scorers.TextMatcher.fit(of("train"), of("valid"), ["t"], bits=10)
+    plain = scorers.Logistic.fit(of("train"), ["t"])
+    f1 = lambda m: metrics.measures(of("test").withColumn("pred", (m.probability() >= 0.5).cast("int"))).first().f1
+    assert f1(learned) > 0.95 > f1(plain)
+    with pytest.raises(ValueError):
+        scorers.TextMatcher.fit(df.where("label = 1"), of("valid"), ["t"])
