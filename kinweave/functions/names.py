@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,15 +25,46 @@ def _plain_letters() -> tuple[str, str]:
 _FROM, _TO = _plain_letters()
 
 
-def strip_diacritics(value: Column, exact: bool = False) -> Column:
-    """Letters without their marks. By a table and without Python; ``exact`` takes the full decomposition (ligatures, all scripts) in an Arrow function."""
-    if exact:
+@functools.cache
+def _decomposition() -> tuple[str, str, str, str]:
+    """Of all characters but Hangul syllables, by what stays of their compatibility decomposition without marks: those of one character and these, those of none, and those of several as JSON."""
+    one, letters, none, several = [], [], [], {}
+    for code in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        c = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not plain:
+            none.append(c)
+        elif len(plain) > 1:
+            several[c] = plain
+        elif plain != c:
+            one.append(c)
+            letters.append(plain)
+    return "".join(one), "".join(letters), "".join(none), json.dumps(several)
+
+
+#: Letters of a Hangul syllable: first, second, and third or none.
+_HANGUL = tuple("".join(map(chr, range(start, start + n))) for start, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 
-        @F.pandas_udf("string")
-        def decomposed(values: pd.Series) -> pd.Series:
-            return values.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
-        return decomposed(value)
+def _expanded(c: Column) -> Column:
+    """A character that decomposes to several ones, as these; others as they are. Syllables by arithmetic."""
+    first, second, third = _HANGUL
+    n = F.ascii(c) - 0xAC00
+    letter = lambda letters, i: F.substring(F.lit(letters), i, F.lit(1))
+    size = len(second) * (len(third) + 1)
+    parts = [letter(first, F.floor(n / size) + 1), letter(second, F.floor(n % size / (len(third) + 1)) + 1), F.when(n % (len(third) + 1) > 0, letter(third, n % (len(third) + 1))).otherwise(F.lit(""))]
+    syllable = F.when(n.between(0, len(first) * size - 1), F.concat(*parts))
+    return F.coalesce(F.element_at(F.from_json(F.lit(_decomposition()[3]), "map<string,string>"), c), syllable, c)
+
+
+def strip_diacritics(value: Column, exact: bool = False) -> Column:
+    """Letters without their marks, by a table. ``exact`` takes the full decomposition (ligatures, all scripts); only texts with a character that becomes several ones are taken apart."""
+    if exact:
+        one, letters, none, several = _decomposition()
+        low = F.translate(value, one + none, letters)
+        found = F.lit("[\\x{AC00}-\\x{D7A3}" + "".join(f"\\x{{{ord(c):X}}}" for c in json.loads(several)) + "]")
+        taken = F.array_join(F.transform(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)), _expanded), "")
+        return F.when(F.rlike(low, found), taken).otherwise(low)
     return F.regexp_replace(F.translate(value, _FROM, _TO), r"\p{Mn}+", "")
 
 

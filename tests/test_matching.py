@@ -83,6 +83,20 @@ def test_exact_decomposition(spark):
     assert _one(spark, strip_diacritics, "é Ä ñ ß ø") == "e A n ß ø"
 
 
+def test_exact_decomposition_of_all_characters(spark):
+    import sys
+    import unicodedata
+
+    every = [chr(i) for i in range(1, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    rng = random.Random(1)
+    rare = [c for c in every if unicodedata.normalize("NFKD", c) != c]
+    rows = ["".join(every[i : i + 4_096]) for i in range(0, len(every), 4_096)] + ["".join(rng.choice(rare + list("ab \n")) for _ in range(30)) for _ in range(300)] + ["", None]
+    told = [None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)) for x in rows]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, x string").select("i", strip_diacritics(F.col("x"), exact=True).alias("y"))
+    assert [r.y for r in sorted(df.collect())] == told
+    assert "Python" not in df._jdf.queryExecution().toString()
+
+
 def test_buckets_and_empty_sets(spark):
     rows = spark.createDataFrame([(0.0,), (0.3,), (0.6,), (1.0,), (0.29,), (float("nan"),)], "x double").select(scores.bucket(F.col("x")).alias("y"))
     assert [r.y for r in rows.collect()] == ["zero", "medium", "high", "high", "low", "high"]
