@@ -18,6 +18,15 @@ from kinweave.llm.queries import tokenizer_file
 
 #: A document is toxic from this score.
 TOXIC = 0.5
+#: Rows of a batch that Spark hands to Python, at most: texts of a batch lie in the executor's memory outside its heap and in the worker's.
+BATCH_ROWS = 2_000
+
+
+def _lean(spark: SparkSession) -> None:
+    """Has the session make batches of BATCH_ROWS at most from now on; smaller ones stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def _rest(docs: DataFrame) -> tuple[str, ...]:
@@ -34,6 +43,7 @@ def _cleaned(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; a score of TOXIC itself is rejected. Without labels of both kinds nothing is."""
+    _lean(spark)
     name = "_toxicity"
     while name in docs.columns:
         name += "_"
@@ -43,23 +53,27 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the least key, of equal keys any one. Documents without words stay."""
+    _lean(spark)
     return jaccard_tiles.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur elsewhere; a document of which nothing is left goes. One without words stays."""
+    _lean(spark)
     rows = level_dedup.dedup(docs, carry=_rest(docs))
     return _cleaned(rows.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark passages; a document that consists of them by more than half goes; by half, it stays."""
+    _lean(spark)
     rows = decontam.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=_rest(docs))
     return _cleaned(rows.where(~F.col("dropped")), docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, decoded_equal and ids of each document."""
+    _lean(spark)
     return sp_lattice.encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
