@@ -75,6 +75,11 @@ class Replies:
         tables = [pq.ParquetFile(f).read(columns=columns) for x in found if x.path.endswith(".parquet") for f in [system.open_input_file(x.path)]]
         return pa.concat_tables(tables) if tables else None
 
+    def pairs(self, block: int) -> np.ndarray:
+        """All pairs of numbers in the block's ``blob`` rows, each once, in ascending order."""
+        table = self(block, ["blob"])
+        return ordered_pairs(np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2) for x in (table["blob"] if table is not None else ())] or [NO_PAIRS]))[0]
+
     def hashes(self, block: int) -> np.ndarray:
         """All numbers in the block's ``blob`` rows, in ascending order."""
         table = self(block, ["blob"])
@@ -127,16 +132,20 @@ def released(spark: SparkSession) -> None:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound."""
+    """64-bit hashes of words (bytes), remembered up to a bound. Other seeds give other hashes."""
 
     BOUND = 400_000
 
+    def __init__(self, seed: int = 0):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= self.BOUND:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        self[word] = h = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -171,10 +180,10 @@ LONG_WORD = 64
 
 
 def placed_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, longer: WordHashes) -> np.ndarray:
-    """64-bit hashes of the words at places; eight bytes of all words are taken in at a time. Those of over LONG_WORD bytes are hashed one by one."""
+    """64-bit hashes of the words at places, by the seed of ``longer``; eight bytes of all words are taken in at a time. Those of over LONG_WORD bytes are hashed one by one."""
     sizes = ends - starts
     with np.errstate(over="ignore"):
-        out = mixed(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        out = mixed(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 ^ longer.seed))
         out = mixed(out * np.uint64(0xD6E8FEB86659FD93) + eight(data, starts, sizes))
         for at in range(8, LONG_WORD, 8):
             some = np.flatnonzero(sizes > at)
@@ -244,6 +253,32 @@ def contained(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+NO_PAIRS = np.empty((0, 2), np.uint64)
+
+
+def ordered_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct pairs in ascending order, how often each stands)."""
+    if not len(pairs):
+        return NO_PAIRS, np.empty(0, np.int64)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    heads = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1))))
+    return pairs[heads], np.diff(np.append(heads, len(pairs)))
+
+
+def contained_pairs(pairs: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of the pairs stand among the ordered ones."""
+    found = np.zeros(len(pairs), bool)
+    at, left = np.searchsorted(ordered[:, 0], pairs[:, 0]), np.arange(len(pairs))
+    while len(left):  # a second time only where two ordered pairs begin alike
+        left = left[at[left] < len(ordered)]
+        left = left[ordered[at[left], 0] == pairs[left, 0]]
+        same = ordered[at[left], 1] == pairs[left, 1]
+        found[left[same]] = True
+        left = left[~same]
+        at[left] += 1
+    return found
+
+
 def plan_bytes(df: DataFrame) -> int:
     """What Spark takes the frame's size to be: for a scan, its files' bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -258,12 +293,13 @@ def bucket_count(df: DataFrame, per_bucket: int) -> int:
     return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-min(plan_bytes(df), 1 << 50) // per_bucket)))
 
 
-def dealt(hashes: np.ndarray, buckets: int):
-    """(bucket, slice) of ascending 64-bit hashes that are dealt by ranges of value; empty slices are left out."""
+def dealt(hashes: np.ndarray, buckets: int, rows: np.ndarray | None = None):
+    """(bucket, slice) of ascending 64-bit hashes, or of rows that belong to them, dealt by ranges of value; empty slices are left out."""
+    rows = hashes if rows is None else rows
     edges = [(k << 64) // buckets for k in range(1, buckets)]
     at = np.concatenate(([0], np.searchsorted(hashes, np.array(edges, np.uint64)), [len(hashes)]))
     for k in np.flatnonzero(np.diff(at)).tolist():
-        yield k, hashes[at[k] : at[k + 1]]
+        yield k, rows[at[k] : at[k + 1]]
 
 
 def runs(batches, keys: list[str]):

@@ -9,8 +9,13 @@ Hashes move, texts don't: a task sends each block's distinct hashes, dealt by va
 the block sent twice; each bucket answers every block with those that occur twice anywhere. The next level reads the
 texts again and looks the answers up. A hash that a third of all rows share is one number a block.
 
-Windows are compared by 64-bit hashes. Defined results: a null or empty text has no words; texts under 35 words keep
-all of theirs; repeated rows lose every passage; an empty table gives an empty table; other columns are not looked at.
+Earlier levels compare windows by 64-bit hashes, which can only let too many windows through; the last one, which
+decides, by pairs of hashes of 64 bits each, made of words hashed twice by different seeds. Where a level finds nothing
+repeated, the levels after it aren't run.
+
+Defined results: a null or empty text has no words; texts under 35 words keep all of theirs; very long texts are read
+whole; repeated rows lose every passage, and there are no other ties: a passage repeats or doesn't; rows with a null key
+are rows like others; an empty table gives an empty table; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import ONE_BLANK, Replies, WordHashes, bucket_count, contained, dealt, mixed, placed_hashes, shared_folder, slices, sliding, tidy, windows, with_blocks, word_places
+from kinweave.llm.common import NO_PAIRS, ONE_BLANK, Replies, WordHashes, bucket_count, contained, contained_pairs, dealt, mixed, ordered_pairs, placed_hashes, shared_folder, slices, sliding, tidy, windows, with_blocks, word_places
 
 WINDOW, FIRST = 35, 9
 #: Hashes that a task holds before it sends them, and bytes of input whose hashes meet in a bucket.
 HELD, BUCKET_BYTES = 1_000_000, 12 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Seed of the second hashes.
+SECOND = 0x5851F42D4C957F2D
 
 
 def levels(window: int = WINDOW, first: int = FIRST) -> list[int]:
@@ -44,15 +51,32 @@ def levels(window: int = WINDOW, first: int = FIRST) -> list[int]:
 class Passages:
     """The passages of several texts, one text after the other."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes, window: int):
+    def __init__(self, texts: list[bytes], hashes: WordHashes, window: int, second: WordHashes | None = None):
         self.data, self.starts, self.stops, self.sizes = word_places(texts)
         self.ends = np.cumsum(self.sizes)
         self.hashes = placed_hashes(self.data, self.starts, self.stops, hashes)
-        self.window = window
+        self.window, self.second = window, WordHashes(SECOND) if second is None else second
         n = max(0, len(self.hashes) - window + 1)
         text = np.repeat(np.arange(len(texts)), self.sizes)
         self.alive = text[:n] == text[window - 1 :] if n else np.zeros(0, bool)  # passages within one text
 
+    def _covered(self) -> np.ndarray:
+        """Which words a passage alive covers."""
+        steps = np.zeros(len(self.hashes) + 1, np.int32)
+        at = np.flatnonzero(self.alive)
+        steps[at] += 1
+        np.subtract.at(steps, at + self.window, 1)
+        return np.cumsum(steps[:-1]) > 0
+
+    def whole(self) -> np.ndarray:
+        """Two hashes of each passage alive; only words that such passages cover are hashed again."""
+        if not self.alive.any():
+            return NO_PAIRS
+        covered = self._covered()
+        at = np.cumsum(covered)[np.flatnonzero(self.alive)] - 1  # a passage's words stay neighbours
+        again = placed_hashes(self.data, self.starts[covered], self.stops[covered], self.second)
+        return np.column_stack((mixed(windows(self.hashes[covered], self.window)[at]), windows(again, self.window)[at]))
+
     def least(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of the windows, the least of them in each passage)."""
         grams = windows(self.hashes, length) | np.uint64(1)
@@ -63,19 +87,18 @@ class Passages:
         if not self.alive.any():
             return
         if length == self.window:
-            at = np.flatnonzero(self.alive)
-            self.alive[at] = contained(mixed(windows(self.hashes, length)[at]), repeated)
+            self.alive[self.alive] = contained_pairs(self.whole(), repeated)
             return
         _, low = self.least(length)
         heads = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         self.alive &= np.repeat(contained(mixed(low[heads]), repeated), np.diff(np.append(heads, len(low))))
 
     def compared(self, length: int) -> np.ndarray:
-        """Hashes of the windows to compare, one for each place in a text. They are the least of their passages; scrambled, they go to all buckets alike."""
+        """Hashes of the windows to compare, one (at the last level a pair) for each place in a text. They are the least of their passages; scrambled, they go to all buckets alike."""
+        if length == self.window:
+            return self.whole()
         if not self.alive.any():
             return np.empty(0, np.uint64)
-        if length == self.window:
-            return mixed(windows(self.hashes, length)[self.alive])
         grams, low = self.least(length)
         span = self.window - length
         edge = np.zeros(span, np.uint64)
@@ -83,11 +106,7 @@ class Passages:
 
     def removed(self) -> list[np.ndarray]:
         """For each text, which of its words a passage alive covers."""
-        steps = np.zeros(len(self.hashes) + 1, np.int32)
-        at = np.flatnonzero(self.alive)
-        steps[at] += 1
-        np.subtract.at(steps, at + self.window, 1)
-        return np.split(np.cumsum(steps[:-1]) > 0, self.ends[:-1])
+        return np.split(self._covered(), self.ends[:-1])
 
     def kept(self, gone: list[np.ndarray]) -> list[bytes]:
         """Of each text the words that aren't marked, joined by single blanks."""
@@ -101,14 +120,20 @@ class Passages:
         return [out[a : max(a, b - 1)] for a, b in zip(at, at[1:], strict=False)]
 
 
-def _answers(addresses: list[str], lengths: list[int]):
+def _values(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct hashes or pairs of hashes in ascending order, how often each stands)."""
+    every = np.concatenate(arrays)
+    return np.unique(every, return_counts=True) if every.ndim == 1 else ordered_pairs(every)
+
+
+def _answers(addresses: list[str], lengths: list[int], window: int):
     """A function that gives a block's answers so far; those of the last block are held."""
     readers, held = [Replies(a) for a in addresses], {}
 
     def of(block: int) -> list[tuple[int, np.ndarray]]:
         if block not in held:
             held.clear()
-            held[block] = [(n, r.hashes(block)) for n, r in zip(lengths, readers, strict=False)]
+            held[block] = [(n, r.pairs(block) if n == window else r.hashes(block)) for n, r in zip(lengths, readers, strict=False)]
         return held[block]
 
     return of
@@ -117,16 +142,18 @@ def _answers(addresses: list[str], lengths: list[int]):
 def _compare(rows: DataFrame, answers: list[str], lengths: list[int], window: int, buckets: int) -> str:
     """One level: sends hashes, counts them and writes the answers; returns the answers' address."""
     level = lengths[len(answers)]
+    last = level == window
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answer, hashes = _answers(answers, lengths), WordHashes()
+        answer, hashes, second = _answers(answers, lengths, window), WordHashes(), WordHashes(SECOND)
         held, size, current = [], 0, None
 
         def flush():
             nonlocal held, size
             if held:
-                values, counts = np.unique(np.concatenate(held), return_counts=True)
-                parts = list(dealt(np.repeat(values, np.minimum(counts, 2)), buckets))
+                values, counts = _values(held)
+                sent = np.repeat(values, np.minimum(counts, 2), axis=0)
+                parts = list(dealt(sent[:, 0] if last else sent, buckets, sent))
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([current] * len(parts), pa.int64()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["bucket", "block", "blob"])
             held, size = [], 0
@@ -135,7 +162,7 @@ def _compare(rows: DataFrame, answers: list[str], lengths: list[int], window: in
             if block != current or size > HELD:
                 yield from flush()
                 current = block
-            passages = Passages(texts, hashes, window)
+            passages = Passages(texts, hashes, window, second)
             for length, repeated in answer(block):
                 passages.keep(length, repeated)
             held.append(passages.compared(level))
@@ -143,10 +170,10 @@ def _compare(rows: DataFrame, answers: list[str], lengths: list[int], window: in
         yield from flush()
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
-        arrays = [np.frombuffer(x, np.uint64) for x in part["blob"]]
-        values, counts = np.unique(np.concatenate(arrays), return_counts=True)
-        values = values[counts > 1]
-        found = [(b, np.unique(x[contained(x, values)])) for b, x in zip(part["block"], arrays, strict=True)]
+        arrays = [np.frombuffer(x, np.uint64).reshape((-1, 2) if last else -1) for x in part["blob"]]
+        values, counts = _values(arrays)
+        values, among = values[counts > 1], contained_pairs if last else contained
+        found = [(b, _values([x[among(x, values)]])[0]) for b, x in zip(part["block"], arrays, strict=True)]
         found = [(b, x.tobytes()) for b, x in found if len(x)]
         return pd.DataFrame({"block": pd.Series([b for b, _ in found], dtype="int64"), "blob": pd.Series([x for _, x in found], dtype=object)})
 
@@ -157,6 +184,16 @@ def _compare(rows: DataFrame, answers: list[str], lengths: list[int], window: in
     return address
 
 
+def _any(spark: SparkSession, address: str) -> bool:
+    """Whether some block has answers; the folder's names are read up to the first one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(address)
+    names = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(folder)
+    while names.hasNext():
+        if names.next().getPath().getName().startswith("block="):
+            return True
+    return False
+
+
 def cut(text: bytes, gone: np.ndarray) -> bytes:
     """The text without the words marked; between words that stay neighbours, what stood there."""
     out, last, joined = [], 0, True
@@ -180,11 +217,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     buckets = bucket_count(docs, BUCKET_BYTES)
     for _ in lengths:
         answers.append(_compare(rows.select("_t", "_block"), answers, lengths, window, buckets))
+        if not _any(docs.sparkSession, answers[-1]):
+            break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answer, hashes = _answers(answers, lengths), WordHashes()
+        answer, hashes, second = _answers(answers, lengths, window), WordHashes(), WordHashes(SECOND)
         for block, (keys, *others), texts in slices(batches):
-            passages = Passages(texts, hashes, window)
+            passages = Passages(texts, hashes, window, second)
             for length, repeated in answer(block):
                 passages.keep(length, repeated)
             gone = passages.removed()

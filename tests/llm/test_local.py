@@ -274,7 +274,7 @@ def _levels_removed(texts, window, first):
     """All levels over one block in memory."""
     passages = level_dedup.Passages(texts, WordHashes(), window)
     for length in level_dedup.levels(window, first):
-        values, counts = np.unique(passages.compared(length), return_counts=True)
+        values, counts = level_dedup._values([passages.compared(length)])
         passages.keep(length, values[counts > 1])
     return [g.tolist() for g in passages.removed()]
 
@@ -290,6 +290,26 @@ def test_levels_against_plain_search():
         assert _levels_removed(texts, 7, 2) == _plain_removed(texts, 7), texts
 
 
+def test_passages_whose_first_hashes_are_all_equal_are_told_apart(monkeypatch):
+    monkeypatch.setattr(level_dedup, "mixed", lambda x: np.zeros_like(x))
+    rng = random.Random(8)
+    for _ in range(50):
+        texts = [b" ".join(rng.choice([b"a", b"b", b"c", b"x" * 70, b"y" * 70]) for _ in range(rng.choice((0, 6, 7, 20, 40)))) for _ in range(5)]
+        assert _levels_removed(texts, 7, 2) == _plain_removed(texts, 7), texts
+
+
+def test_pairs_of_hashes():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        pairs, others = rng.integers(0, 4, (30, 2)).astype(np.uint64), rng.integers(0, 5, (30, 2)).astype(np.uint64)
+        told = Counter(map(tuple, pairs.tolist()))
+        values, counts = common.ordered_pairs(pairs)
+        assert [(tuple(v), n) for v, n in zip(values.tolist(), counts.tolist(), strict=True)] == sorted(told.items())
+        assert common.contained_pairs(others, values).tolist() == [tuple(x) in told for x in others.tolist()]
+        assert not common.contained_pairs(others, common.NO_PAIRS).any()
+    assert len(common.ordered_pairs(common.NO_PAIRS)[0]) == 0
+
+
 def test_words_of_texts_are_hashed_without_an_object_for_each(monkeypatch):
     texts = [b"", b" a  b\tc\n", b"x" * 64 + b" " + b"x" * 65, b"\v\f", b"a\0 a \xc3\xa9\x1cz", b"x" * 65, b"12345678 123456789 12345678"]
     looked_up, of = [], WordHashes.of

@@ -308,6 +308,16 @@ def test_passages(spark, docs):
     assert level_dedup.dedup(docs[1]).count() == 0
 
 
+def test_no_level_runs_after_one_without_repeats(spark, monkeypatch):
+    ran, compare = [], level_dedup._compare
+    monkeypatch.setattr(level_dedup, "_compare", lambda rows, answers, *rest: ran.append(len(answers)) or compare(rows, answers, *rest))
+    words = [f"w{i}" for i in range(200)]
+    far = spark.createDataFrame([(1, " ".join(words[:60]), 5), (2, " ".join(words[60:120] + words[:8]), 5), (None, " ".join(words[120:]), 6)], "doc_id long, text string, n_removed int")
+    assert [(r.n_words, r.n_removed) for r in level_dedup.dedup(far).orderBy("doc_id").collect()] == [(80, 0), (60, 0), (68, 0)] and ran == [0]
+    near = spark.createDataFrame([(1, " ".join(words[:60])), (2, " ".join(words[60:120] + words[:40]))], "doc_id long, text string")
+    assert [r.n_removed for r in level_dedup.dedup(near).collect()] == [40, 40] and ran == [0, 0, 1, 2]
+
+
 def test_quality_rules(spark, docs):
     rows = weak_rules.judge(docs[0]).collect()
     told = Counter()
