@@ -1,19 +1,25 @@
 """Benchmark decontamination by a generalised suffix automaton of the benchmark's words.
 
-Each block of benchmark items, bounded in words, becomes one automaton over word numbers. Training texts stream
-through it and the length of the longest match that ends at each word is tracked: where it reaches the window, the
-words of the window are hit. Items shorter than a window are hit where they occur whole. No shuffle is needed, and
-what is sent to executors is a block of items of at most BLOCK_WORDS words; a larger benchmark takes several
-blocks, whose hits are put together in the same pass.
-
-Defined results: a null or empty text, and one without words, has no hits; an item without words or text is no
-window; repeated rows get equal rows; an empty table gives an empty table; equal items count once each.
+Benchmark items come in blocks of at most BLOCK_WORDS words (an item longer than that is cut into pieces that overlap by
+a window less one word); each block becomes one automaton over word numbers. Training texts stream through it and the
+length of the longest match that ends at each word is tracked: where it reaches the window, the words of the window
+are hit. Items shorter than a window are hit where they occur whole. A benchmark of one block is sent to the executors
+and texts are read once, without a shuffle. A larger one is taken a block at a time: a pass over the texts for each,
+whose hits are kept by blocks of rows, and one more that puts them together. Neither the driver nor a worker ever holds
+more than one block.
+
+Defined results: a null or empty text, and one without words, has no hits; very long texts are read whole; an item
+without words or text is no window; items without an id hit words like others, count as one item together and have no
+name; equal items count once each; a document of which exactly ``max_coverage`` is hit isn't dropped; repeated rows get
+equal rows; an empty table gives an empty table, and an empty benchmark no hits; other columns are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import slim, tidy
+from kinweave.llm.common import Replies, kept, shared_folder, slim, tidy, with_blocks
 
 #: Bytes of words stay (ASCII letters in lower case, digits, and all bytes of what is beyond ASCII); every other byte becomes a blank.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -39,7 +45,7 @@ def words(data: bytes) -> list[bytes]:
 class Automaton:
     """Suffix automaton of several word sequences. ``numbers`` maps words to transition labels."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window, self.numbers = window, {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -138,28 +144,34 @@ class Automaton:
         return flags, found
 
 
-_BUILT: dict[str, list[Automaton]] = {}
+_BUILT: dict[str, Automaton] = {}
 
 
-def _automata(key: str, blocks: list[list[tuple[str, list[bytes]]]], window: int) -> list[Automaton]:
-    """Built once in a worker."""
+def _automaton(key: str, items: list[tuple[str | None, list[bytes]]], window: int) -> Automaton:
+    """Built once in a worker, which holds one at a time."""
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = [Automaton(b, window) for b in blocks]
+        _BUILT[key] = Automaton(items, window)
     return _BUILT[key]
 
 
-def read_items(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> list[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of a bounded number of words, streamed to the driver partition by partition."""
-    blocks, size = [[]], 0
+def read_items(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items in blocks of a bounded number of words, one block after the other; the driver holds one partition and one block."""
+    most = max(block_words, 2 * window)
+    block, size = [], 0
     for name, value in benchmark.select(item, text).toLocalIterator():
-        if sequence := words((value or "").encode()):
-            if size and size + len(sequence) > block_words:
-                blocks.append([])
-                size = 0
-            blocks[-1].append((str(name), sequence))
-            size += len(sequence)
-    return blocks
+        sequence = words((value or "").encode())
+        # Each window of a long item stands in one piece at least, and no piece is shorter than a window.
+        starts = range(0, len(sequence) - window + 1, most - window + 1) if len(sequence) > most else [0] if sequence else []
+        for at in starts:
+            piece = sequence[at : at + most]
+            if block and size + len(piece) > block_words:
+                yield block
+                block, size = [], 0
+            block.append((None if name is None else str(name), piece))
+            size += len(piece)
+    if block:
+        yield block
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -178,37 +190,87 @@ def cut(data: bytes, flags: np.ndarray, least: int) -> bytes:
     return b"".join([*out, data[last:]])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5, cleaned: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def _hits(rows: DataFrame, items: list, window: int) -> DataFrame:
+    """(block, row, spans, names) of texts that one block of items hits."""
+    tag, sent = uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(tag, sent.value, window)
+        for batch in slim(batches):
+            found = []
+            for value, block, row in zip(batch.column(0).cast(pa.binary()), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                flags, names = automaton.hits(words(value.as_py() or b""))
+                if flags is not None:
+                    found.append((block, row, [x for span in _spans(flags) for x in span], list(names)))
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "row", "spans", "names"])
+
+    return rows.select("_t", "_block", "_row").mapInArrow(tidy(run), "block bigint, row bigint, spans array<int>, names array<string>")
+
+
+def _kept_hits(address: str, block: int) -> dict[int, list[tuple[list[int], list[str | None]]]]:
+    """What the passes found in a block of rows, by row."""
+    out, table = defaultdict(list), Replies(address)(block, ["row", "spans", "names"])
+    if table is not None:
+        for row, spans, names in zip(*(c.to_pylist() for c in table.columns), strict=True):
+            out[row].append((spans, names))
+    return out
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5, cleaned: bool = True, carry: tuple[str, ...] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row: key, n_words, n_hit, n_items, items (names as text, sorted, comma-joined), contaminated, spans (of words: "start-end", space-joined), coverage, dropped (coverage over the limit) and, where ``cleaned``, clean_text (the text without hit spans of min_span words or more), and, where columns are to be carried, the struct ``carried`` of them."""
-    blocks = read_items(benchmark)
-    carried = [F.struct(*carry).alias("carried")] if carry else []
-    rows = docs.select(F.col(key), F.col(text).alias("_t"), *carried)
-    more = ["carried"] * len(carried)
-    tag = hashlib.sha1(repr((window, blocks)).encode()).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast(blocks)
+    spark = docs.sparkSession
+    blocks = read_items(benchmark, window=window, block_words=block_words)
+    first, second = next(blocks, []), next(blocks, None)
+    columns = [F.col(key), F.col(text).alias("_t"), *([F.struct(*carry).alias("carried")] if carry else [])]
+    more = ["carried"] * bool(carry)
+    tag, sent, address = uuid.uuid4().hex, None, None
+    if second is None:
+        rows = docs.select(*columns)
+        sent = spark.sparkContext.broadcast(first)
+    else:
+        rows = with_blocks(docs, columns, row_id="_row").select(key, "_t", "_block", "_row", *more)
+        address, passes = shared_folder(spark, "hits"), []
+        while first:
+            passes.append(kept(_hits(rows, first, window), "pass"))
+            first, second = second, next(blocks, None)
+        found = passes[0]
+        for df in passes[1:]:
+            found = found.unionByName(df)
+        found.repartition("block").write.partitionBy("block").parquet(address)
     fields = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.string()), ("coverage", pa.float64()), ("dropped", pa.bool_()), ("clean_text", pa.string())]
     fields = fields if cleaned else fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(tag, sent.value, window)
+        automaton, held = None if sent is None else _automaton(tag, sent.value, window), (None, {})
         for batch in slim(batches):
             out = {name: [] for name, _ in fields}
-            for value in batch.column(1).cast(pa.binary()):
+            places = [c.to_pylist() for c in batch.columns[2:4]] if sent is None else None
+            for at, value in enumerate(batch.column(1).cast(pa.binary())):
                 value = value.as_py() or b""
                 sequence = words(value)
-                flags, found = None, set()
-                for automaton in automata:
-                    hit, names = automaton.hits(sequence)
-                    found |= names
-                    flags = hit if flags is None else flags if hit is None else flags | hit
+                if automaton is not None:
+                    flags, found = automaton.hits(sequence)
+                else:
+                    block, row = places[0][at], places[1][at]
+                    if block != held[0]:
+                        held = block, _kept_hits(address, block)
+                    flags, found = None, set()
+                    for spans, names in held[1].get(row, ()):
+                        flags = np.zeros(len(sequence), bool) if flags is None else flags
+                        for a, b in zip(spans[::2], spans[1::2], strict=True):
+                            flags[a:b] = True
+                        found.update(names)
                 n_hit = 0 if flags is None else int(flags.sum())
                 coverage = n_hit / len(sequence) if sequence else 0.0
-                row = (len(sequence), n_hit, len(found), ",".join(sorted(found)), n_hit > 0, "" if flags is None else " ".join(f"{a}-{b}" for a, b in _spans(flags)), coverage, coverage > max_coverage)
+                named = ",".join(sorted(x for x in found if x is not None))
+                result = (len(sequence), n_hit, len(found), named, n_hit > 0, "" if flags is None else " ".join(f"{a}-{b}" for a, b in _spans(flags)), coverage, coverage > max_coverage)
                 if cleaned:
-                    row += ((value if flags is None else cut(value, flags, min_span)).decode(),)
-                for (name, _), x in zip(fields, row, strict=True):
+                    result += ((value if flags is None else cut(value, flags, min_span)).decode(),)
+                for (name, _), x in zip(fields, result, strict=True):
                     out[name].append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], t) for n, t in fields), *batch.columns[2:]], names=[key, *out, *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], t) for n, t in fields), *batch.columns[2 if sent is not None else 4 :]], names=[key, *out, *more])
 
     kinds = {pa.int64(): "bigint", pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double"}
     kind = lambda c: f"`{c}` {rows.schema[c].dataType.simpleString()}"

@@ -109,8 +109,25 @@ def test_decontamination(spark, docs):
     assert found[1][0].n_words == 0 and found[1][0].clean_text == "" and not found[4][0].contaminated
     assert decontam.scan(docs[1], bench).count() == 0
     assert decontam.scan(docs[0], bench.where("false")).where("contaminated").count() == 0
-    blocks = decontam.read_items(bench, block_words=1)
-    assert [len(b) for b in blocks] == [1, 1, 1]
+    assert [len(b) for b in decontam.read_items(bench, block_words=1)] == [1, 1, 1]
+
+
+def test_a_benchmark_of_many_blocks_is_taken_block_by_block(spark, docs, monkeypatch):
+    """As one block gives, with items that are longer than a block, items without an id and items of one name in several blocks."""
+    words = [w for _, t in _plain(_rows()) for w in decontam.words(t.encode())]
+    texts = [b" ".join(words[a : a + n]).decode() for a, n in ((0, 70), (10, 12), (30, 3), (90, 25), (200, 10), (260, 45), (30, 3))]
+    bench = spark.createDataFrame([*zip([1, 2, None, 4, None, 2, 7], texts, strict=True), (8, None), (9, "?")], "item_id long, text string")
+    sizes = [[sum(len(w) for _, w in b) for b in decontam.read_items(bench, block_words=n)] for n in (25, 10**6)]
+    assert len(sizes[0]) > 5 and max(sizes[0]) <= 25 and len(sizes[1]) == 1
+    told = Counter(map(str, decontam.scan(docs[0], bench, carry=("n_words", "lang")).collect()))
+    passes, kept = [], decontam._hits
+    monkeypatch.setattr(decontam, "_hits", lambda rows, items, window: passes.append(sum(len(w) for _, w in items)) or kept(rows, items, window))
+    assert Counter(map(str, decontam.scan(docs[0], bench, carry=("n_words", "lang"), block_words=25).collect())) == told
+    assert passes == sizes[0]
+    few = spark.createDataFrame([(1, "only three words, and four")], "doc_id long, text string")
+    nameless = spark.createDataFrame([(None, "three words"), (None, "and four"), (5, "words and")], "item_id long, text string")
+    assert [(r.n_hit, r.n_items, r.items) for n in (1, 10**6) for r in decontam.scan(few, nameless, block_words=n).collect()] == [(4, 2, "5")] * 2
+    assert decontam.scan(docs[1], bench, block_words=25).count() == 0
 
 
 def test_lattice_against_the_library(spark, docs):
