@@ -288,8 +288,9 @@ def plan_bytes(df: DataFrame) -> int:
 MOST_BUCKETS = 100_000
 
 
-def bucket_count(df: DataFrame, per_bucket: int) -> int:
-    """Buckets for numbers that are dealt by value: enough that one holds at most about ``per_bucket`` bytes of the input, up to MOST_BUCKETS, and twice the shuffle partitions at least."""
+def bucket_count(df: DataFrame, per_bucket: int, stored: DataFrame | None = None) -> int:
+    """Of a frame whose size Spark doesn't know (no scan), that of what was ``stored`` of it counts. Buckets for numbers that are dealt by value: enough that one holds at most about ``per_bucket`` bytes of the input, up to MOST_BUCKETS, and twice the shuffle partitions at least."""
+    df = stored if stored is not None and plan_bytes(df) >= 1 << 60 else df
     return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-min(plan_bytes(df), 1 << 50) // per_bucket)))
 
 

@@ -214,7 +214,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     more = ["carried"] * len(carried)
     rows = with_blocks(docs, [F.col(key), *carried, F.col(text).alias("_t")])
     lengths, answers = levels(window, first), []
-    buckets = bucket_count(docs, BUCKET_BYTES)
+    buckets = bucket_count(docs, BUCKET_BYTES, rows)
     for _ in lengths:
         answers.append(_compare(rows.select("_t", "_block"), answers, lengths, window, buckets))
         if not _any(docs.sparkSession, answers[-1]):

@@ -6,8 +6,9 @@ one child's weight moves rows only into it or out of it. Growth adds a region of
 rows move into the new shard only (law ``key``: the key and the tree decide, nothing else).
 
 Defined results: a null key is hashed like a text of its own; repeated rows share their shard and get slots of
-their own; an empty table gives an empty table; columns other than the key and the text are not looked at. A null
-text has size 1 and crc32 0.
+their own; equal draws (ties) go to the first child; very long texts count whole, and one shard may get more bytes than
+another; an empty table gives an empty table; columns other than the key and the text are not looked at, whatever their
+names. A null text has size 1 and crc32 0.
 """
 
 from __future__ import annotations
@@ -35,6 +36,11 @@ def tree_of(n_shards: int, base: int = 16, racks: int = 2, shards: int = 2) -> T
     return tree + [[[1.0]] for _ in range(n_shards - first)]
 
 
+def grown(tree: Tree) -> Tree:
+    """The tree with one more shard, a region of its own, whatever the number of shards: ``grown_shard`` is the shard in this tree. From 16 shards on, and only there, it is also ``tree_of`` of one more."""
+    return [*tree, [[1.0]]]
+
+
 def _weight(node) -> float:
     return float(node) if not isinstance(node, list) else sum(map(_weight, node))
 
@@ -76,7 +82,7 @@ def descend(df: DataFrame, key: str, tree: Tree, names: tuple[str, str, str] = (
 
 
 def assign(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = 16, tree: Tree | None = None) -> DataFrame:
-    """One row per row: key, size, text_crc32, law, region, rack, shard, slot (gapless from 0 in each shard), and grown_shard, the shard under one more.
+    """One row per row: key, size, text_crc32, law, region, rack, shard, slot (gapless from 0 in each shard), and grown_shard, the shard in the ``grown`` tree.
 
     Slots are numbered in two steps, so that no task orders a whole shard: rows are dealt to buckets of a shard,
     numbered there, and moved up by the sizes of the shard's earlier buckets. Rows that are equal in all go to

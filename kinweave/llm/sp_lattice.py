@@ -50,6 +50,8 @@ BLOCK_ROWS, BUCKET_BYTES, DEALT = 8192, 1 << 20, 8192
 COHORT = 16
 #: Characters of texts whose units are looked up at once.
 CHUNK = 1 << 18
+#: Ids that are decoded at once.
+DECODED = 1 << 16
 #: Units of a block whose paths become ids at a time; a task remembers some eight times as many.
 UNITS = 1 << 15
 #: Groups that an aggregate over objects holds before it sorts them; a task has some tens of thousands.
@@ -182,13 +184,10 @@ class Vocabulary:
             at.append(back[at[-1]])
         return at[::-1]
 
-    def unlike(self, units: list[str], found: dict[str, bytes]) -> list[str]:
-        """The units whose ids (as bytes) don't decode to themselves, blanks written as blanks. A text of other units decodes to itself, as it is they in a row."""
-        parts = [b"".join(map(self.text.__getitem__, np.frombuffer(found[u], "<i4").tolist())) for u in units]
-        plain = "\n".join(units).replace(BLANK, " ").encode("utf-8", "surrogatepass")
-        if b"\n".join(parts) == plain and plain.count(b"\n") == max(0, len(units) - 1):  # no unit holds a line's end, so that all are equal one by one
-            return []
-        return [u for u, x in zip(units, parts, strict=True) if x != u.replace(BLANK, " ").encode("utf-8", "surrogatepass")]
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(what all ids decode to, one after the other; where each begins; its bytes)."""
+        sizes = np.array([len(x) for x in self.text], np.int32)
+        return np.frombuffer(b"".join(self.text), np.uint8), np.cumsum(sizes, dtype=np.int32) - sizes, sizes
 
     def decode(self, ids) -> str:
         data = b"".join([self.text[i] for i in ids])
@@ -342,7 +341,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     sent = spark.sparkContext.broadcast(vocabulary)
     cohorts = max(1, -(-rows.select("_block").distinct().count() // COHORT))  # a scan of no columns
     units = rows.select("_t", "_block").mapInArrow(tidy(lambda b: _send(b, sent.value.cut, irregular)), "block bigint, parts int, part int, units string")
-    units = units.select("block", F.xxhash64(F.pmod("block", F.lit(cohorts)), "parts", "part").alias("sub"), "units").repartition(bucket_count(docs, BUCKET_BYTES), "sub")
+    units = units.select("block", F.xxhash64(F.pmod("block", F.lit(cohorts)), "parts", "part").alias("sub"), "units").repartition(bucket_count(docs, BUCKET_BYTES, rows), "sub")
     units = units.select("block", "sub", F.explode(F.split("units", " ")).alias("unit"))
     address = shared_folder(spark, "answers")
     before = spark.conf.get(_GROUPS[0], None)
@@ -354,14 +353,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, v, current, known = Replies(address), sent.value, None, {}
-        cut, texts, unlike = v.cut, v.text, set()
+        cut, (flat, places, sizes) = v.cut, v.flat()
 
         class Found(dict):
             """Ids of the block's units as bytes; of those that the lattice didn't take, or without an edge, when they are met."""
 
             def __missing__(self, unit: str) -> bytes:
                 self[unit] = x = np.array(v.ids_of(unit, fold), "<i4").tobytes()
-                unlike.update(v.unlike([unit], self))
                 return x
 
         def made(units: list[bytes], bare: list[bool]) -> tuple[np.ndarray, list[int]]:
@@ -387,6 +385,21 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             counts[full] = np.diff(sums[np.append(first, len(starts))])
             return words.ids[np.repeat(words.at[at] - sums[:-1], n) + np.arange(sums[-1])], counts
 
+        def decoded(found: np.ndarray) -> Iterator[np.ndarray]:
+            """The bytes of ids, some at a time."""
+            for at in range(0, len(found), DECODED):
+                some = found[at : at + DECODED]
+                n = sizes[some]
+                sums = np.cumsum(n, dtype=np.int32)
+                yield flat[np.repeat(places[some] - sums + n, n) + np.arange(sums[-1], dtype=np.int32)]
+
+        def alike(found: np.ndarray, counts: np.ndarray, held: list[str]) -> list[bool]:
+            """Whether the ids of each text decode to it."""
+            got = b"".join(x.tobytes() for x in decoded(found))
+            told = [(" " + t).replace(BLANK, " ").encode("utf-8", "surrogatepass") if t else b"" for t in held]
+            ends = np.concatenate(([0], np.cumsum(sizes[found], dtype=np.int64)))[np.cumsum(counts)].tolist()
+            return [got[a:b] == t for a, b, t in zip([0, *ends], ends, told, strict=False)]
+
         for batch in slim(batches):
             values, blocks, out, equal = [x or "" for x in batch.column(1).to_pylist()], batch.column(2).to_pylist(), [], []
             start = 0
@@ -396,20 +409,14 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                     current, known = block, Found()
                     table = reader(block, ["unit", "path"])
                     for part in table.to_batches(UNITS) if table is not None else ():
-                        answers = _answers(v, *part.columns)
-                        known.update(answers)
-                        unlike.update(v.unlike(list(answers), answers))
-                    table = answers = None
+                        known.update(_answers(v, *part.columns))
+                    table = None
                 end, size = start, 0
                 while end < len(values) and blocks[end] == block and (end == start or size + len(values[end]) <= CHUNK):
                     size += len(values[end])
                     end += 1
                 out.append(encoded(values[start:end]))
-                if unlike:  # some unit met so far, so that texts are decoded one by one
-                    parts = np.split(out[-1][0], np.cumsum(out[-1][1])[:-1])
-                    equal += [b"".join(map(texts.__getitem__, x.tolist()))[1:] == t.replace(BLANK, " ").encode("utf-8", "surrogatepass") for x, t in zip(parts, values[start:end], strict=True)]
-                else:
-                    equal += [True] * (end - start)
+                equal += alike(*out[-1], values[start:end])
                 start = end
             counts = np.concatenate([x[1] for x in out]) if out else np.empty(0, np.int64)
             every = np.concatenate([x[0] for x in out]) if out else np.empty(0, "<i4")

@@ -144,6 +144,21 @@ def test_lattice_against_the_library(spark, docs):
     assert sp_lattice.encode(docs[1], path).count() == 0
 
 
+def test_texts_put_together_wrongly_are_told(spark, monkeypatch):
+    """Each text's own ids are decoded: with ids of one unit for another, the texts that hold it aren't equal."""
+    table = spark.createDataFrame([(1, "two words"), (2, "two others"), (3, "none of them"), (4, "words" + sp_lattice.BLANK), (5, None), (6, "many words " * 30_000)], "doc_id long, text string")
+    path = tokenizer_file("piece_bpe_32k.model")
+    assert all(r.decoded_equal for r in sp_lattice.encode(table, path).collect())
+    made = sp_lattice.Vocabulary.__init__
+
+    def wrong(self, path):
+        made(self, path)
+        self.text[self.text.index(b" two")] = b" too"
+
+    monkeypatch.setattr(sp_lattice.Vocabulary, "__init__", wrong)
+    assert {r.doc_id: r.decoded_equal for r in sp_lattice.encode(table, path).collect()} == {1: False, 2: False, 3: True, 4: True, 5: True, 6: True}
+
+
 def test_lattice_query_returns_all_ids(spark):
     import sentencepiece
 
