@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.text import pair_line, record_text
+from kinweave.functions.text import pair_line, record_text, strip
 
 
 def reduce_source(source: DataFrame, pairs: DataFrame, source_id: str = "id", pair_id: str = "ltable_id") -> DataFrame:
@@ -58,6 +58,14 @@ def pair_text(enriched: DataFrame, columns: list[str], label: Column | None = No
     return enriched.withColumn("line", pair_line(record_text(names, "l_", style, clean), record_text(names, "r_", style, clean), lab))
 
 
+def text_from_labels(labels: DataFrame, a: DataFrame, b: DataFrame, left: str = "ltable_id", right: str = "rtable_id", label: str = "label", key: str = "id", missing: str = "error") -> DataFrame:
+    """(left, right, line) straight from a table of labels and the two record tables: ids are stripped, each side has all columns of its own table in their order, the key among them, values cleaned. The labels stay as they are; nulls are empty values, a null label makes no third field, repeated pairs repeated lines; a pair whose record is missing is an error or is dropped. Other columns of the labels aren't looked at."""
+    ids = labels.select(strip(F.col(left)).alias(left), strip(F.col(right)).alias(right), F.col(label).alias("_label"))
+    rows = enrich(ids, a, b, left, right, key, missing)
+    sides = [record_text(df.columns, prefix) for df, prefix in ((a, "l_"), (b, "r_"))]
+    return rows.select(left, right, pair_line(*sides, F.col("_label")).alias("line"))
+
+
 def attributes_equal(columns: list[str]) -> Column:
     """All shared attributes equal, nulls being equal."""
     out = F.lit(True)

@@ -71,6 +71,17 @@ def pair_text(spark, sf_dir):
     return pairs.pair_text(_enriched(spark, sf_dir), ATTRIBUTES).select("ltable_id", "rtable_id", "line")
 
 
+_with_id = lambda p: f"'COL id VAL ' || trim(regexp_replace({'ltable_id' if p == 'l_' else 'rtable_id'}, '\\s+', ' ', 'g')) || ' ' || {_training(p)}"
+
+
+@query("pair_text_from_labels", with_fixtures(f"SELECT ltable_id, rtable_id, {_with_id('l_')} || chr(9) || {_with_id('r_')} || chr(9) || CAST(label AS VARCHAR) AS line FROM e", _E))
+def pair_text_from_labels(spark, sf_dir):
+    records, labels = _fx(spark, sf_dir, "er_primary", "er_pairs")
+    records = records.select("id", *ATTRIBUTES)
+    padded = labels.withColumn("ltable_id", F.concat(F.lit(" "), "ltable_id", F.lit("\t")))
+    return pairs.text_from_labels(padded, records, records)
+
+
 def _inference(p: str, key: str) -> str:
     return " || ' , ' || ".join([f"'id : \"' || {key} || '\"'", *(f"'{c} : \"' || {p}{c} || '\"'" for c in ATTRIBUTES)])
 

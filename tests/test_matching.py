@@ -478,3 +478,14 @@ def test_k_match_counts_only_what_masks_leave_open(spark, monkeypatch):
     frames = spark.createDataFrame(pairs, "ltable_id string, rtable_id string"), spark.createDataFrame(records, "id string, attr string"), spark.createDataFrame(edges, "id string, edge string")
     met = {(x, y) for a, b in pairs for i, x in edges if i == a for j, y in edges if j == b}
     assert graph.hyperedge_k_match(*frames, 2).count() > 100 and asked[0] * 5 < len(met)
+
+def test_pair_text_straight_from_labels(spark):
+    a = spark.createDataFrame([("1", "x  y", None), ("2", None, "z")], "id string, title string, line string")
+    b = spark.createDataFrame([("7", "Wü\tt")], "id string, name string")
+    labels = spark.createDataFrame([(" 1\t", "7 ", 1, "k"), ("2", "7", None, "k"), ("2", "7", None, "k"), ("3", "7", 0, "k")], "ltable_id string, rtable_id string, label int, l_id string")
+    rows = [(r.ltable_id, r.rtable_id, r.line) for r in pairs.text_from_labels(labels, a, b, missing="drop").collect()]
+    right, second = "COL id VAL 7 COL name VAL Wü t", "COL id VAL 2 COL title VAL  COL line VAL z"
+    assert sorted(rows) == [("1", "7", f"COL id VAL 1 COL title VAL x y COL line VAL \t{right}\t1"), *[("2", "7", f"{second}\t{right}")] * 2]
+    with pytest.raises(Exception, match="a pair names a record that is missing"):
+        pairs.text_from_labels(labels, a, b).collect()
+    assert pairs.text_from_labels(labels.limit(0), a, b).count() == 0
