@@ -204,6 +204,13 @@ def test_viterbi_against_plain_search(spark):
         assert "".join({i: p for p, i in number.items()}.get(i, chr(max(0, i - 10))) for i in found[u]) == u
 
 
+def test_growth_is_a_region_of_its_own_for_any_number_of_shards(spark, docs):
+    tree = shard_tree.tree_of(5)
+    before = {r.doc_id: (r.shard, r.grown_shard) for r in shard_tree.assign(docs[0], n_shards=5).collect()}
+    after = {r.doc_id: r.shard for r in shard_tree.assign(docs[0], tree=shard_tree.grown(tree)).collect()}
+    assert {k: x for k, (_, x) in before.items()} == after and all(x in (s, 5) for s, x in before.values())
+
+
 def test_sharding(spark, docs):
     rows = shard_tree.assign(docs[0]).collect()
     assert len(rows) == len(_rows()) and {r.law for r in rows} == {"key"}
