@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -246,6 +247,15 @@ def test_license_scan_against_a_plain_one(spark):
     assert spans == {(3, 10, "gpl"): 1, (6, 12, "gpl-3.0"): 1}
 
 
+def test_a_text_of_very_many_claims_takes_no_square_of_them(spark):
+    df = spark.createDataFrame([(1, "the mit license " * 60_000)], "doc_id long, text string")
+    license_rules.scan(df.where("false")).count()  # the session is up before the clock starts
+    begun = time.monotonic()
+    (r,) = license_rules.scan(df).collect()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.n_stay) == (180_000, 60_000, 0, 179_997, "mit", 60_000)
+    assert time.monotonic() - begun < 30
+
+
 def test_priority_and_held_intervals(spark):
     table = [("long", 2, "a b c d"), ("high", 3, "b c"), ("low", 1, "b"), ("tie", 2, "a b c d"), ("over", 2, "d e"), ("held", 2, "a b")]
     rules = [Rule(i, ("a",), label, p, 0.1 * (i + 1), f" (?:{x})(?= )") for i, (label, p, x) in enumerate(table)]
