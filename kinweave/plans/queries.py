@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import scores, text
 from kinweave.functions.names import name_features
 from kinweave.operators import bootstrap, collective, context, forest, graph, metrics, pairs, scorers
-from kinweave.operators.components import GrowingComponents, checkpoint_root
+from kinweave.operators.components import GrowingComponents, checkpoint_root, stored
 from kinweave.plans.fixtures import fixture, with_fixtures
 from kinweave.plans.registry import query
 from kinweave.sources import files, positions
@@ -218,7 +218,7 @@ _LINKED = "SELECT 'member' AS kind, id AS a, class_id AS b, CAST(1 AS BIGINT) AS
 @query("neighbor_classes", with_fixtures(_LINKED, _CLASSES.format("er_orders_parts")))
 def neighbor_classes(spark, sf_dir):
     edges = fixture(spark, sf_dir, "er_orders_parts")
-    classes = graph.context_classes(edges)
+    classes = stored(graph.context_classes(edges), "context-classes")
     member = classes.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("class_id").alias("b"), F.lit(1).cast("long").alias("n"))
     return member.unionByName(graph.neighbor_classes(edges, classes).select(F.lit("link").alias("kind"), "a", "b", "n"))
 

@@ -298,6 +298,58 @@ def test_numbers_by_ranges(spark):
     assert numbering.numbered(df.where("false"), ["r"]).collect() == []
 
 
+def _exchanges(df):
+    return [line.strip() for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_neighbours_move_no_pairs_but_those_of_wide_ids(spark, monkeypatch, seed):
+    monkeypatch.setattr(graph, "WIDE", 3)
+    rng = random.Random(seed)
+    rows = [(f"i{rng.randrange(25)}", f"c{rng.randrange(12)}") for _ in range(60)] + [(f"h{k}", f"c{c}") for k in range(2) for c in range(12)] + [("i1", None), (None, "c1"), ("i1", "c1"), ("i1", "c1")]
+    edges = spark.createDataFrame(rows, "id string, ctx string")
+    by = {}
+    for i, c in rows:
+        if i is not None and c is not None:
+            by.setdefault(i, set()).add(c)
+    told = sorted((a, b) for a in by for b in by if a < b and by[a] & by[b])
+    assert sorted(map(tuple, graph.neighbor_edges(edges).collect())) == told
+    classes = graph.context_classes(edges)
+    at = {r.id: r.class_id for r in classes.collect()}
+    for cell in (2, 2_000):
+        found = sorted(map(tuple, graph.neighbor_classes(edges, classes, cell=cell).collect()))
+        reps = sorted(set(at.values()))
+        assert found == sorted((a, b, len(by[a] & by[b])) for a in reps for b in reps if by[a] & by[b] and (a < b or a == b and sum(c == a for c in at.values()) > 1))
+
+
+def test_pairs_of_neighbours_are_not_shuffled(spark):
+    rows = [(f"i{k}", c) for k in range(60) for c in ("c1", "c2", f"d{k % 4}")]
+    pairs, _ = graph._met(*(graph._carried(spark.createDataFrame(rows, "id string, c string").distinct()).select(F.col("id").alias(i), "c", F.col("before").alias(x)) for i, x in ("ax", "by")), ["c"])
+    assert pairs.count() == 60 * 59 // 2 and not any("(a" in x for x in _exchanges(pairs.select("a", "b")))
+
+
+def test_ids_of_a_context_meet_in_parts(spark):
+    rows = [(f"{i}", c) for i in range(300) for c in ("hub", f"c{i % 7}")] + [("1", "hub"), (None, "hub"), (None, "none"), ("2", None)]
+    found = context.context_to_primary(spark.createDataFrame(rows, "id string, ctx string"))
+    told = {}
+    for i, c in rows:
+        told.setdefault(c, set()).update([] if i is None else [i])
+    assert {r.ctx: (r.n_ids, r.ids) for r in found.collect()} == {c: (len(s), sorted(s)) for c, s in told.items()}
+    assert any("ctx" in x and "_part" in x for x in _exchanges(found))
+
+
+def test_resolved_names_are_worked_out_once_each(spark):
+    names = ["A. Lovelace", "a lovelace", "B Lovelace", "X", None, "", "Ada, Lovelace"]
+    rows = [(f"r{k}", k % 3 + 1, names[k % len(names)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id string, pos int, name string").repartition(5)
+    found = context.resolved(df)
+    plain = context.entities(context.mentions(df)).select(found.columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and "hashpartitioning(name" not in plan  # no mention is taken apart, none moves
+    assert context.resolved(df.where("false")).count() == 0
+
+
 def test_typed_hyperedges_keep_null_relations_and_deal_one_relation_to_ranges(spark):
     rows = [("s1", "wrote", "p1"), ("s1", "wrote", "p1"), ("s1", None, "p2"), (None, "wrote", "p3"), ("s1", "wrote", "p2"), (None, None, None)]
     found = sorted(map(tuple, context.typed_hyperedges(spark.createDataFrame(rows, "source string, relation string, target string")).collect()), key=repr)
