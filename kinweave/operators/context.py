@@ -11,17 +11,25 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.names import name_features
 from kinweave.functions.text import list_items
+from kinweave.operators.components import stored
 from kinweave.operators.numbering import numbered
 
+#: Parts in which the ids of one context are gathered and sorted before they meet in its row.
+ID_PARTS = 32
+
 
 def explode_context(df: DataFrame, field: str, separator: str = ",", key: str = "id") -> DataFrame:
     """(key, pos, name): a row for each item of a list field, positions from 1."""
     return df.select(key, F.posexplode(list_items(F.col(field), separator)).alias("pos", "name")).select(key, (F.col("pos") + 1).alias("pos"), "name")
 
 
+def _mention_ids(exploded: DataFrame, key: str) -> DataFrame:
+    return exploded.select(F.concat_ws("#", key, F.lpad(F.col("pos").cast("string"), 6, "0")).alias("mention_id"), key, "pos", "name")
+
+
 def mentions(exploded: DataFrame, key: str = "id", exact: bool = False) -> DataFrame:
     """(mention_id, key, pos, name, features). Ids follow from key and position."""
-    return exploded.select(F.concat_ws("#", key, F.lpad(F.col("pos").cast("string"), 6, "0")).alias("mention_id"), key, "pos", "name", name_features(F.col("name"), exact).alias("f"))
+    return _mention_ids(exploded, key).select("mention_id", key, "pos", "name", name_features(F.col("name"), exact).alias("f"))
 
 
 def blocks(found: DataFrame) -> DataFrame:
@@ -38,6 +46,17 @@ def entities(found: DataFrame) -> DataFrame:
     return joined.withColumn("ctx", F.coalesce("_least", "mention_id")).drop("_least", "canon")
 
 
+def resolved(exploded: DataFrame, key: str = "id", exact: bool = False) -> DataFrame:
+    """(mention_id, key, pos, name, ctx): the entities of ``mentions`` without its features, which are worked out once for each name. Where names are few, no mention moves."""
+    found = _mention_ids(exploded, key)
+    names = found.where("name IS NOT NULL").groupBy("name").agg(F.min("mention_id").alias("_first"))
+    names = stored(names, "names").select("name", "_first", name_features(F.col("name"), exact).alias("f")).select("name", "_first", "f.last_name", "f.canon_full")
+    names = stored(names.where(F.length("last_name") >= 2).select("name", "_first", F.col("canon_full").alias("canon")), "canonical")
+    least = names.groupBy("canon").agg(F.min("_first").alias("_least"))
+    placed = stored(names.join(least, "canon").select("name", "_least"), "entities")
+    return found.join(placed, "name", "left").select("mention_id", key, "pos", "name", F.coalesce("_least", "mention_id").alias("ctx"))
+
+
 def match_pairs(names: DataFrame, column: str = "canon_full") -> DataFrame:
     """(left_name, right_name) of distinct names that lie in one block and match: raw names of equal canonical form, the lesser first."""
     n = names.select("raw", F.col(column).alias("c"), "last_name").where(F.length("last_name") >= 2).distinct()

@@ -157,11 +157,11 @@ def context_blocks(spark, sf_dir):
 
 @query("context_entities", with_fixtures("SELECT mention_id, id, pos, ctx FROM c", _M, _C))
 def context_entities(spark, sf_dir):
-    return context.entities(_mentions(spark, sf_dir)).select("mention_id", "id", "pos", "ctx")
+    return context.resolved(fixture(spark, sf_dir, "er_mentions")).select("mention_id", "id", "pos", "ctx")
 
 
 def _edges(spark, sf_dir) -> DataFrame:
-    return context.hyperedges(context.entities(_mentions(spark, sf_dir)))
+    return context.hyperedges(context.resolved(fixture(spark, sf_dir, "er_mentions")))
 
 
 @query("hyperedges", with_fixtures("SELECT id, ctx FROM h", _M, _C, _H))
