@@ -70,8 +70,11 @@ def hyperedges(placed: DataFrame, key: str = "id") -> DataFrame:
 
 
 def context_to_primary(edges: DataFrame, key: str = "id") -> DataFrame:
-    """(ctx, n_ids, ids): the inverse map."""
-    return edges.groupBy("ctx").agg(F.count_distinct(key).alias("n_ids"), F.sort_array(F.collect_set(key)).alias("ids"))
+    """(ctx, n_ids, ids): the inverse map. The ids of a context are made distinct and sorted in ID_PARTS parts; the context's own row puts sorted parts together."""
+    rows = edges.select("ctx", F.col(key).alias("_id"), F.pmod(F.xxhash64(key), F.lit(ID_PARTS)).alias("_part")).repartition("ctx", "_part")
+    parts = rows.groupBy("ctx", "_part").agg(F.sort_array(F.collect_set("_id")).alias("_ids"))
+    found = parts.groupBy("ctx").agg(F.sort_array(F.flatten(F.collect_list("_ids"))).alias("ids"))
+    return found.select("ctx", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
 def merged_sides(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
