@@ -89,7 +89,8 @@ def triples(df: DataFrame, field: str, separator: str = ",", relation: str = "is
 
 def typed_hyperedges(relations: DataFrame) -> DataFrame:
     """(edge_id, relation, source, ref): a row for each target of an edge; triples with one source and relation (null being a value) are an edge. Edges are numbered e0, e1, ... in the order of relation and source, nulls first, by ranges of both."""
-    rows = relations.select("source", "relation", F.col("target").alias("ref")).distinct()
-    edges = numbered(rows.select("relation", "source").distinct(), ["relation", "source"]).withColumnsRenamed({"relation": "_r", "source": "_s"})
+    rows = stored(relations.select("source", "relation", F.col("target").alias("ref")).distinct(), "triples")
+    # Stored: where edges are few, their numbers go to the triples and no hub's triples meet in a task.
+    edges = stored(numbered(rows.select("relation", "source").distinct(), ["relation", "source"]).withColumnsRenamed({"relation": "_r", "source": "_s"}), "edges")
     met = rows.join(edges, F.col("relation").eqNullSafe(F.col("_r")) & F.col("source").eqNullSafe(F.col("_s")))
     return met.select(F.concat(F.lit("e"), F.col("number")).alias("edge_id"), "relation", "source", "ref")
