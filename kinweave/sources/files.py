@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.functions.text import strip
-from kinweave.operators.context import context_to_primary, entities, explode_context, hyperedges, mentions
+from kinweave.operators.components import stored
+from kinweave.operators.context import context_to_primary, explode_context, hyperedges, resolved
 
 _CSV = {"header": "true", "escape": '"', "multiLine": "true"}
 
@@ -56,7 +57,7 @@ def read_pair_text(spark: SparkSession, path: str) -> DataFrame:
 
 def normalised(table: DataFrame, field: str = "authors", separator: str = ",", key: str = "id", exact: bool = False) -> dict[str, DataFrame]:
     """The four tables of a record table with a list field: records without it, context entities with a name, records' entities, entities' records."""
-    found = entities(mentions(explode_context(table, field, separator, key), key, exact))
+    found = resolved(stored(explode_context(table, field, separator, key), "exploded"), key, exact)
     edges = hyperedges(found, key)
     return {
         "records": table.drop(field),
