@@ -22,8 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a piece.
-PIECE = 64 << 20
+#: Bytes of a piece. A task holds several times that: the bytes, the places of quotes and line ends, the record ends.
+PIECE = 8 << 20
 #: Bytes read at a time beyond a piece's end.
 BEYOND = 1 << 20
 #: Rows of a batch.

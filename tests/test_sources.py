@@ -7,6 +7,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.sources import positions
 
@@ -89,3 +90,21 @@ def test_a_scorer_named_on_the_command_line(spark, tmp_path, monkeypatch, strate
     (tmp_path / "c.json").write_text(json.dumps(given))
     found = main(["--config", str(tmp_path / "c.json"), "--scorer", "my_bags:make"])
     assert (found["accuracy"], found["f1"]) == (1.0, 1.0)
+
+
+def test_a_file_of_some_megabytes_is_read_by_several_tasks(spark, tmp_path):
+    n = 500_000
+    (tmp_path / "a.csv").write_text("id,note\n" + "".join(f'{i},"N\n""O,{i % 97}"\n' for i in range(n)))
+    found = positions.read_positioned(spark, str(tmp_path / "a.csv"))
+    at = found.select("_row", "id").agg({"_row": "sum", "id": "count"}).first()
+    size = (tmp_path / "a.csv").stat().st_size
+    assert (at["sum(_row)"], at["count(id)"]) == (n * (n + 1) // 2, n) and size > 8 << 20
+    assert found.select(F.spark_partition_id()).distinct().count() == -(-size // (8 << 20)) > 1
+
+
+def test_rows_of_the_trained_scorer_are_made_once(spark):
+    from kinweave.plans import registry
+
+    found = registry.queries()["trained_scorer"](spark, "/root/testdata/sf0.01")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.pred for r in found.collect()} <= {0, 1}
