@@ -378,9 +378,10 @@ def collective_metrics(spark, sf_dir):
 
 @query("trained_scorer")
 def trained_scorer(spark, sf_dir):
-    rows = _queue(spark, sf_dir).join(fixture(spark, sf_dir, "er_pairs").select("ltable_id", "rtable_id", F.col("label").alias("y"), F.col("split").alias("part")), ["ltable_id", "rtable_id"])
-    model = scorers.trained(rows.where("part = 'train'").select("sim_a", "sim_r", F.col("y").alias("label")), ["sim_a", "sim_r"])
-    return model.transform(rows.where("part = 'test'").select("ltable_id", "rtable_id", "sim_a", "sim_r", F.col("y").alias("label"))).select("ltable_id", "rtable_id", "label", F.col("prediction").cast("int").alias("pred"))
+    # Stored: learning goes over the rows again and again, and the queue is made by joins.
+    rows = stored(_queue(spark, sf_dir).select("ltable_id", "rtable_id", "sim_a", "sim_r", "label", "split"), "scored")
+    model = scorers.trained(rows.where("split = 'train'").select("sim_a", "sim_r", "label"), ["sim_a", "sim_r"])
+    return model.transform(rows.where("split = 'test'").drop("split")).select("ltable_id", "rtable_id", "label", F.col("prediction").cast("int").alias("pred"))
 
 
 # --- what the merge starts from, and what it leaves -----------------------------------------------------------
