@@ -479,6 +479,20 @@ def test_k_match_counts_only_what_masks_leave_open(spark, monkeypatch):
     met = {(x, y) for a, b in pairs for i, x in edges if i == a for j, y in edges if j == b}
     assert graph.hyperedge_k_match(*frames, 2).count() > 100 and asked[0] * 5 < len(met)
 
+
+def test_k_match_is_proved_by_members_of_one_parity(spark, monkeypatch):
+    asked = []
+    count = graph._k_common
+    monkeypatch.setattr(graph, "_k_common", lambda a, *rest: asked.append(a.count()) or count(a, *rest))
+    hashed = [(r.id, r.h % 4) for r in spark.range(60).selectExpr("CAST(id AS STRING) AS id", "xxhash64(CAST(id AS STRING)) AS h").collect()]
+    left, right = ([i for i, h in hashed if h == x][:4] for x in (0, 2))
+    records = [(i, f"a{k}") for side in (left, right) for k, i in enumerate(side)]
+    edges = [(i, "e") for i in left] + [(i, "f") for i in right]
+    frames = spark.createDataFrame([(left[0], right[0])], "ltable_id string, rtable_id string"), spark.createDataFrame(records, "id string, attr string"), spark.createDataFrame(edges, "id string, edge string")
+    assert graph.hyperedge_k_match(*frames, 4).count() == 1 and asked == [0]
+    assert graph.hyperedge_k_match(*frames, 5).count() == 0 and asked == [0, 1]
+
+
 def test_pair_text_straight_from_labels(spark):
     a = spark.createDataFrame([("1", "x  y", None), ("2", None, "z")], "id string, title string, line string")
     b = spark.createDataFrame([("7", "Wü\tt")], "id string, name string")
