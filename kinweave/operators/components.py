@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 PART_EDGES = 1_000_000
 
 
-def _state(edges: DataFrame):
-    """Number of the edges, and a sum over them that doesn't depend on their order."""
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """Number of the edges (u > v, distinct), and whether they are stars around least nodes, which no round changes: each upper end has one edge and is no lower end."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+    by = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
+    n, wrong = by.agg(F.coalesce(F.sum("up"), F.lit(0)), F.coalesce(F.max((F.col("up") + F.col("low") > 1) & (F.col("up") > 0)), F.lit(False))).first()
+    return n, not wrong
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -60,13 +63,15 @@ def _held(df: DataFrame, folder: str | None, round_: str, edges: int | None = No
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", folder: str | None = None, max_rounds: int | None = None) -> DataFrame:
-    """(node, component) of every node of an edge but nulls; the component is its least node. Loops and repeated edges do no harm. Rounds go on until nothing changes; where ``max_rounds`` is given and isn't enough, it raises."""
+    """(node, component) of every node of an edge but nulls; the component is its least node. Loops and repeated edges do no harm. Rounds go on until all are stars; where ``max_rounds`` is given and isn't enough, it raises."""
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     loops = pairs.where("u = v").select("u", "v")
     now = _held(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), folder, "edges")
     alone = loops.select(F.col("u").alias("node")).distinct()
-    before = _state(now)
+    n, settled = _state(now)
     for round_ in itertools.count():
+        if settled:
+            break
         if round_ == max_rounds:
             raise RuntimeError(f"components have not settled in {max_rounds} rounds")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -75,11 +80,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", folder: str | None
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         following = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        now = _held(following, folder, f"round{round_}", before[0])
-        state = _state(now)
-        if state == before:
-            break
-        before = state
+        now = _held(following, folder, f"round{round_}", n)
+        n, settled = _state(now)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     found = stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
     return found.unionByName(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))

@@ -174,6 +174,16 @@ def test_rounds_of_components_write_no_more_files_than_edges_need(spark, tmp_pat
     assert rounds and all(len(list(r.glob("part-*"))) <= spark.sparkContext.defaultParallelism for r in rounds)
 
 
+def test_components_of_stars_take_no_round(spark, tmp_path):
+    rounds = lambda name: sorted(p.name.split("-")[0] for p in (tmp_path / name).iterdir())
+    star = spark.createDataFrame([("b", "a"), ("a", "c"), ("a", "d"), ("e", "f")], "a string, b string")
+    assert sorted(map(tuple, components(star, folder=str(tmp_path / "star")).collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "e")]
+    assert rounds("star") == ["edges"]
+    clique = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c")], "a string, b string")
+    assert sorted(map(tuple, components(clique, folder=str(tmp_path / "clique")).collect())) == [("a", "a"), ("b", "a"), ("c", "a")]
+    assert rounds("clique") == ["edges", "round0"]
+
+
 def test_components_that_have_not_settled_are_not_told(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError, match="settled"):
