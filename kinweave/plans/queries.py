@@ -342,7 +342,7 @@ def top_pairs(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir, name: str) -> DataFrame:
-    records, found, edges = _fx(spark, sf_dir, "er_primary", "er_pairs", "er_orders_parts")
+    records, found, edges = _fx(spark, sf_dir, "er_primary", "er_pairs", "er_order_lines")  # the merge takes sets of contexts
     records = records.withColumn("text", text.record_text(["id", *ATTRIBUTES], style="inference", clean=False))
     return collective.clusters(found.where("split = 'test'"), records, edges, scorers.TokenJaccard(ATTRIBUTES), ALPHA, THRESHOLD, name)
 
@@ -404,12 +404,14 @@ _BOOT = """a AS (SELECT h.ctx AS edge, h.id AS member, p.title || '|' || p.venue
     k AS (SELECT id, min(o) AS cluster_id FROM g GROUP BY id)""".replace("{k}", "4")
 
 
-def _bootstrapped(spark, sf_dir) -> DataFrame:
-    records, found, lines = _fx(spark, sf_dir, "er_primary", "er_pairs", "er_order_lines")
+def _bootstrapped(spark, sf_dir, found: DataFrame | None = None) -> DataFrame:
+    records, lines = _fx(spark, sf_dir, "er_primary", "er_order_lines")
+    if found is None:
+        found = stored(fixture(spark, sf_dir, "er_pairs").select("ltable_id", "rtable_id"), "pairs")
     attr = F.concat(*[x for c in ATTRIBUTES for x in (F.lit("|"), F.col(c))][1:])
-    near = graph.hyperedge_k_match(found, records.select("id", attr.alias("attr")), lines.select("id", F.col("ctx").alias("edge")), 4)
+    matches = graph.hyperedge_k_match(found, records.select("id", attr.alias("attr"), *ATTRIBUTES), lines.select("id", F.col("ctx").alias("edge")), 4, same=ATTRIBUTES)
     ids = found.select(F.col("ltable_id").alias("id")).unionByName(found.select(F.col("rtable_id").alias("id")))
-    return bootstrap.bootstrap(ids, graph.exact_match(_enriched(spark, sf_dir), ATTRIBUTES), near)
+    return bootstrap.bootstrap(ids, matches)
 
 
 @query("bootstrap_clusters", with_fixtures("SELECT id, cluster_id FROM k", _E, _BOOT))
@@ -433,8 +435,9 @@ def quotient_graph(spark, sf_dir):
 @query("bootstrapped_merge")
 def bootstrapped_merge(spark, sf_dir):
     """Clusters of the test split, whose merge starts from the quotient's members."""
-    records, found, edges = _fx(spark, sf_dir, "er_primary", "er_pairs", "er_orders_parts")
-    start = bootstrap.members_of(bootstrap.quotient(_bootstrapped(spark, sf_dir), found, edges))
+    records, found, edges = _fx(spark, sf_dir, "er_primary", "er_pairs", "er_order_lines")
+    found = stored(found.select("ltable_id", "rtable_id", "split"), "pairs")  # several plans go over them
+    start = bootstrap.members_of(bootstrap.quotient(_bootstrapped(spark, sf_dir, found), found, edges))
     return collective.clusters(found.where("split = 'test'"), records, edges, scorers.TokenJaccard(ATTRIBUTES), ALPHA, THRESHOLD, start=start)
 
 
@@ -443,7 +446,7 @@ SWEEP = [0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9]
 
 
 def _forest(spark, sf_dir) -> DataFrame:
-    records, found, edges = _fx(spark, sf_dir, "er_primary", "er_pairs", "er_orders_parts")
+    records, found, edges = _fx(spark, sf_dir, "er_primary", "er_pairs", "er_order_lines")
     return forest.merge_forest(found.where("split = 'test'"), records, edges, scorers.TokenJaccard(ATTRIBUTES), ALPHA, SWEEP[0])
 
 

@@ -503,6 +503,24 @@ def test_k_match_is_proved_by_members_of_one_parity(spark, monkeypatch):
     assert graph.hyperedge_k_match(*frames, 5).count() == 0 and asked == [0, 1]
 
 
+def test_k_match_reads_edges_once_and_tells_equal_pairs(spark):
+    records, edges, asked = _k_match_rows(random.Random(4), ["x", "y", "z", None])
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    asked, edges = spark.createDataFrame(asked, "ltable_id string, rtable_id string"), spark.createDataFrame(edges, "id string, edge string")
+    known = spark.createDataFrame(records, "id string, attr string").withColumn("t", F.col("attr"))
+    members = known.select("id", "t")
+    equal = graph.exact_match(pairs.enrich(asked, members, members, missing="drop"), ["t"])
+    told = {tuple(r) for r in graph.hyperedge_k_match(asked, known, edges, 4).unionByName(equal).collect()}
+    found = graph.hyperedge_k_match(asked, known, edges.mapInArrow(count, edges.schema), 4, same=["t"]).collect()
+    assert sorted(map(tuple, found)) == sorted(told) and seen.value == edges.count()
+
+
 def test_pair_text_straight_from_labels(spark):
     a = spark.createDataFrame([("1", "x  y", None), ("2", None, "z")], "id string, title string, line string")
     b = spark.createDataFrame([("7", "Wü\tt")], "id string, name string")
