@@ -7,11 +7,14 @@ and with it. The merges of a threshold are those whose level reaches it, whateve
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.collective import MAX_COMPONENT, _solve, token_match
-from kinweave.operators.components import components
+from kinweave.operators.components import _held
 from kinweave.operators.metrics import measures
 
 
@@ -20,21 +23,72 @@ def merge_forest(pairs: DataFrame, records: DataFrame, edges: DataFrame, probabi
     return _solve(pairs, records, edges, probability, alpha, threshold, strategy, text, match, folder, max_component, similarity, field, start, True)
 
 
+def _roots(thresholds: list[float]) -> Callable:
+    """Goes along the merges of components that stand one after the other, each in the order of its steps, and tells (id, clusters) of their ids: the cluster at each threshold."""
+    falling = sorted({float(t) for t in thresholds}, reverse=True)
+    at = [falling.index(float(t)) for t in thresholds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, merges = None, []
+
+        def over() -> None:
+            members, done = {x: [x] for a, b, _ in merges for x in (a, b)}, 0
+            root = {x: x for x in members}
+            told = {x: [] for x in members}
+            for t in falling:
+                while done < len(merges) and merges[done][2] >= t:
+                    a, b, _ = merges[done]
+                    gone = members.pop(b)
+                    members[a] += gone
+                    root.update(dict.fromkeys(gone, a))
+                    done += 1
+                for x, r in root.items():
+                    told[x].append(r)
+            ids.extend(told)
+            clusters.extend([[x[i] for i in at] for x in told.values()])
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(clusters, pa.list_(pa.string()))], names=["id", "clusters"])
+
+        ids, clusters = [], []
+        for batch in batches:
+            for component, a, b, level in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if component != current:
+                    if merges:
+                        over()
+                    current, merges = component, []
+                merges.append((a, b, level))
+            if ids:
+                yield made()
+                ids, clusters = [], []
+        if merges:
+            over()
+            yield made()
+
+    return run
+
+
+def _placed(forest: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(id, clusters) of ids with a merge: the cluster at each threshold. A task holds the merges of a component, as the run did that made them; no components are sought."""
+    rows = forest.select("component", "step", "a", "b", "level").repartition(F.xxhash64("component")).sortWithinPartitions("component", "step")
+    return rows.select("component", "a", "b", "level").mapInArrow(_roots(thresholds), "id string, clusters array<string>")
+
+
 def clusters_at(ids: DataFrame, forest: DataFrame, thresholds: list[float], folder: str | None = None) -> DataFrame:
-    """(threshold, id, cluster_id) of each id at each threshold (none lower than the run's). One run of components serves all thresholds."""
-    asked = F.array(*[F.lit(float(t)) for t in thresholds])
-    node = lambda c: F.concat_ws("|", F.col("threshold").cast("string"), c)
-    kept = forest.select("a", "b", F.explode(F.filter(asked, lambda t: t <= F.col("level"))).alias("threshold"))
-    found = components(kept.select(node("a").alias("a"), node("b").alias("b")), "a", "b", folder)
-    every = ids.select("id", F.explode(asked).alias("threshold")).withColumn("node", node("id"))
-    root = F.expr("substr(component, instr(component, '|') + 1)")
-    return every.join(found, "node", "left").select("threshold", "id", F.coalesce(root, "id").alias("cluster_id"))
+    """(threshold, id, cluster_id) of each id at each threshold (none lower than the run's). One walk along the merges serves all thresholds."""
+    rows = ids.select("id").join(_placed(forest, thresholds), "id", "left")
+    own = lambda i: F.coalesce(F.col("clusters")[i], F.col("id"))
+    every = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), own(i).alias("cluster_id")) for i, t in enumerate(thresholds)])
+    return rows.select("id", F.explode(every).alias("x")).select("x.threshold", "id", "x.cluster_id")
 
 
 def threshold_sweep(pairs: DataFrame, forest: DataFrame, thresholds: list[float], folder: str | None = None) -> DataFrame:
-    """(threshold, n, accuracy, precision, recall, f1) of labelled pairs at each threshold."""
-    ids = pairs.select(F.col("ltable_id").alias("id")).unionByName(pairs.select(F.col("rtable_id").alias("id"))).distinct()
-    placed = clusters_at(ids, forest, thresholds, folder)
-    side = lambda c, n: placed.select("threshold", F.col("id").alias(c), F.col("cluster_id").alias(n))
-    rows = pairs.join(side("ltable_id", "_l"), "ltable_id").join(side("rtable_id", "_r"), ["threshold", "rtable_id"])
-    return measures(rows.select("threshold", "label", (F.col("_l") == F.col("_r")).cast("int").alias("pred")), by=["threshold"])
+    """(threshold, n, accuracy, precision, recall, f1) of labelled pairs at each threshold. A pair moves once with its ids' clusters, not once for each threshold."""
+    placed = _held(_placed(forest, thresholds), folder, "placed")
+    rows = pairs.select("ltable_id", "rtable_id", "label").where("ltable_id IS NOT NULL AND rtable_id IS NOT NULL")
+    for c, n in (("ltable_id", "_l"), ("rtable_id", "_r")):
+        rows = rows.join(placed.select(F.col("id").alias(c), F.col("clusters").alias(n)), c, "left")
+    same = lambda i: (F.coalesce(F.col("_l")[i], F.col("ltable_id")) == F.coalesce(F.col("_r")[i], F.col("rtable_id"))).cast("int")
+    every = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), same(i).alias("pred")) for i, t in enumerate(thresholds)])
+    told = rows.select("label", F.explode(every).alias("x")).select("x.threshold", "label", "x.pred")
+    return measures(told, by=["threshold"])
