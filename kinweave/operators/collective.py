@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.scores import RELATIONAL_SETS, fused, level_of, relational
 from kinweave.operators.components import _held, components
-from kinweave.operators.graph import candidate_edges, contexts_of
+from kinweave.operators.graph import candidate_edges, stored_contexts
 from kinweave.operators.near import cells, classed, least_probability, near_pairs
 from kinweave.operators.queue import AddressableQueue
 from kinweave.operators.scorers import TextPairs
@@ -295,19 +295,28 @@ def _merge_runs(score_of: Callable[[dict], Callable], threshold: float, log: boo
         current, names = None, {}  # each id is held once
         contexts, texts, links, scored, start = {}, {}, [], [], {}
 
-        def over() -> pa.RecordBatch:
+        def over() -> None:
+            """What the component gives goes to the columns of ``found``."""
             place, merges = merged(sorted(contexts), contexts, links, scored, threshold, score_of(texts), texts if classes else None, start)
-            if log:
-                columns = [[current] * len(merges), list(range(1, len(merges) + 1)), *zip(*merges, strict=True), list(accumulate((s for _, _, s in merges), min))] if merges else [[]] * 6
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=["component", "step", "a", "b", "sim", "level"])
-            return pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()), pa.array(list(place.values()), pa.string())], names=["id", "cluster_id"])
-
+            if not log:
+                some = place, place.values()
+            elif merges:
+                some = [current] * len(merges), range(1, len(merges) + 1), *zip(*merges, strict=True), accumulate((s for _, _, s in merges), min)
+            else:
+                return
+            for column, values in zip(found, some, strict=True):
+                column.extend(values)
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds, strict=True)], names=names_)
+
+        names_, kinds = (["component", "step", "a", "b", "sim", "level"], [pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64()]) if log else (["id", "cluster_id"], [pa.string()] * 2)
+        found = [[] for _ in kinds]
         for batch in batches:
-            found = []
             for component, kind, a, b, p, ctxs, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if component != current:
                     if current is not None:
-                        found.append(over())
+                        over()
                     current, names = component, {}
                     contexts, texts, links, scored, start = {}, {}, [], [], {}
                 a, b = names.setdefault(a, a), names.setdefault(b, b)
@@ -319,10 +328,12 @@ def _merge_runs(score_of: Callable[[dict], Callable], threshold: float, log: boo
                     links.append((a, b))
                 else:
                     scored.append((a, b, p))
-            if found:
-                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+            if found[0]:
+                yield told()  # a batch for many components
+                found = [[] for _ in kinds]
         if current is not None:
-            yield over()
+            over()
+            yield told()
 
     return run
 
@@ -348,12 +359,13 @@ def _solve(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability,
     relational(similarity)  # an unknown one is told at once
     if strategy not in ("LATE_FUSION", "INLINE_ENCODE"):
         raise ValueError(f"unknown strategy: {strategy}")
-    candidates = candidate_edges(pairs)
+    candidates = _held(candidate_edges(pairs), folder, "candidates")  # used by several plans, each of which would make the pairs again
     tied = candidates if start is None else candidates.unionByName(start.select(F.col("id").alias("a"), F.col("cluster_id").alias("b")).where("a <> b"))
     parts = components(tied, "a", "b", folder).withColumnRenamed("node", "id")
     of = lambda df, some, how: df if some is None else df.join(some, "component", how)
-    sizes = parts.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > max_component).select("component")
-    large = None if sizes.isEmpty() else sizes
+    sizes = parts.groupBy("component").agg(F.count("*").alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    large = sizes.where(F.col("_n") > max_component).select("component") if largest > max_component else None
     fusion = late_fusion(alpha, similarity)
     if strategy == "LATE_FUSION":
         least = least_probability(alpha, threshold)
@@ -362,7 +374,7 @@ def _solve(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability,
         if scorer and hasattr(probability, "least_jaccard"):
             likeness = 1.0 if least > 1 else probability.least_jaccard(least)
         if likeness is not None:
-            return _by_classes(parts, candidates, records, edges, probability, column, least, likeness, fusion, alpha, threshold, folder, large, start, log)
+            return _by_classes(parts, candidates, records, edges, probability, column, least, likeness, fusion, alpha, threshold, folder, large, start, log, largest)
         score_of = lambda _: fusion
     else:
         score_of = lambda texts: inline_encode(texts, match, field=field)
@@ -370,7 +382,7 @@ def _solve(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability,
             large = parts.select("component").distinct()
     linked = candidates.join(parts.select(F.col("id").alias("a"), "component"), "a").select("component", "a", "b")
     known = records.select("id", F.col(text).alias("text")) if strategy == "INLINE_ENCODE" else records.select("id", F.lit("").alias("text"))
-    nodes = _members(parts, edges, start).join(known, "id", "left")
+    nodes = _members(parts, edges, start, folder).join(known, "id", "left")
     small = lambda df: of(df, large, "left_anti")
     rows = _row(small(nodes), "member", a=F.col("id"), b=F.col("first"), ctxs=F.col("ctxs"), text=F.coalesce("text", F.lit(""))).unionByName(_row(small(linked), "link", a=F.col("a"), b=F.col("b")))
     if strategy == "LATE_FUSION":
@@ -392,22 +404,24 @@ def _solve(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability,
     return rounds if hasattr(match, "of_texts") else found.unionByName(rounds)
 
 
-def _members(parts: DataFrame, edges: DataFrame, start: DataFrame | None) -> DataFrame:
+def _members(parts: DataFrame, edges: DataFrame, start: DataFrame | None, folder: str | None) -> DataFrame:
     """component, id, ctxs and first (the cluster a member starts in, or null) of all members."""
     none = F.lit(None).cast("string")
-    rows = parts.join(contexts_of(edges), "id", "left").withColumn("ctxs", F.coalesce("ctxs", F.array().cast("array<string>")))
+    # Edges of members only, before contexts are gathered; a member is one row, so that its side is the one to hold.
+    own = stored_contexts(edges.join(parts.select("id").hint("shuffle_hash"), "id", "left_semi"), folder)
+    rows = parts.hint("shuffle_hash").join(own, "id", "left").withColumn("ctxs", F.coalesce("ctxs", F.array().cast("array<string>")))
     return rows.withColumn("first", none) if start is None else rows.join(start.select("id", F.col("cluster_id").alias("first")), "id", "left")
 
 
-def _by_classes(parts: DataFrame, candidates: DataFrame, records: DataFrame, edges: DataFrame, scorer, column: Column, least: float, likeness: float, score: Callable, alpha: float, threshold: float, folder: str | None, large: DataFrame | None, start: DataFrame | None, log: bool) -> DataFrame:
+def _by_classes(parts: DataFrame, candidates: DataFrame, records: DataFrame, edges: DataFrame, scorer, column: Column, least: float, likeness: float, score: Callable, alpha: float, threshold: float, folder: str | None, large: DataFrame | None, start: DataFrame | None, log: bool, largest: int) -> DataFrame:
     """LATE_FUSION over near pairs of classes only. Large components are split first."""
     members = classed(parts, records.select("id", *scorer.columns), scorer.identity())
     if large is not None:
         members = _held(members, folder, "classes")
-    near = near_pairs(members, scorer.columns, scorer.token_set(), column, least, likeness, large is not None)
+    near = near_pairs(members, scorer.columns, scorer.token_set(), column, least, likeness, large is not None, largest)
     kinds = members.select("component", "id", "cls")
     link = lambda parts: candidates.join(parts.select(F.col("id").alias("a"), "component"), "a").select("component", "a", "b")
-    linked = link(kinds)
+    linked = link(parts)
     if large is not None and start is None and alpha < min(threshold, 1.0):  # else contexts alone can bring a merge
         near = _held(near, folder, "near")
         some = lambda df: df.join(large, "component", "left_semi")
@@ -417,7 +431,7 @@ def _by_classes(parts: DataFrame, candidates: DataFrame, records: DataFrame, edg
         a, b = at.withColumnRenamed("cls", "a"), at.withColumnRenamed("cls", "b")
         near = near.withColumnRenamed("component", "whole").join(a, ["whole", "a"]).join(b, ["whole", "component", "b"]).select("component", "a", "b", "p")
         linked = link(kinds).join(kinds.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").where("component = other")
-    nodes = _members(kinds, edges, start)
+    nodes = _members(kinds, edges, start, folder)
     rows = _row(nodes, "member", a=F.col("id"), b=F.col("first"), ctxs=F.col("ctxs"), text=F.col("cls")).unionByName(_row(linked, "link", a=F.col("a"), b=F.col("b")))
     rows = rows.unionByName(_row(near, "near", a=F.col("a"), b=F.col("b"), p=F.col("p")))
     return _grouped(rows, lambda _: score, threshold, log, classes=True)
@@ -433,6 +447,7 @@ def clusters(pairs: DataFrame, records: DataFrame, edges: DataFrame, probability
     INLINE_ENCODE: ``match`` is a function of two texts, or a model that takes batches (``of_texts``, as ``scorers.External``).
     The function runs as clusters are compared; models, and the function in larger components, answer in rounds."""
     relational(similarity)  # an unknown one is told at once
+    pairs = _held(pairs.select("ltable_id", "rtable_id"), folder, "pairs")
     ids = pairs.select(F.col("ltable_id").alias("id")).unionByName(pairs.select(F.col("rtable_id").alias("id"))).distinct()
     if start is not None:
         start = _held(start.where("cluster_id IS NOT NULL").join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "cluster_id"), "cluster_id", "left_semi"), folder, "start")

@@ -21,6 +21,8 @@ from kinweave.operators.components import _held, components
 
 #: Most frequent tokens, which come last in the order. It bounds what is sent along; any order gives the same pairs.
 FREQUENT = 256
+#: Members of a component up to which all its classes are compared, without tokens: fewer rows than classes by their tokens.
+FEW = 16
 #: What rounding may take from a probability.
 SLACK = 1e-9
 
@@ -32,7 +34,7 @@ def least_probability(alpha: float, threshold: float) -> float:
 
 def classed(parts: DataFrame, records: DataFrame, identity: Column) -> DataFrame:
     """Members of components (component, id) with their class and record; equal ``identity`` is one class, a hash of 128 bits. A member without a record is a class by itself, which is near to nobody (``known`` is null)."""
-    rows = parts.join(records.withColumn("known", F.lit(True)), "id", "left")
+    rows = parts.hint("shuffle_hash").join(records.withColumn("known", F.lit(True)), "id", "left")  # a member is one row, records may be many more
     return rows.withColumn("cls", F.when(F.col("known"), F.md5(F.coalesce(identity, F.lit("")))).otherwise(F.concat(F.lit("-"), "id")))
 
 
@@ -42,9 +44,17 @@ def _ranks(rows: DataFrame) -> Column:
     return F.from_json(F.lit(json.dumps({r.t: r.n for r in often})), "map<string,bigint>")
 
 
-def near_pairs(members: DataFrame, columns: list[str], tokens: Column, probability: Column, least: float, jaccard: float, ranked: bool = True) -> DataFrame:
-    """(component, a, b, p): classes of a component, a < b, and those of several members with themselves, whose probability is ``least`` or more and token Jaccard ``jaccard`` or more (any that isn't 0, where that is 0). ``members``: as of ``classed``. ``ranked``: frequent tokens come last; without, the order is the tokens' own, which does where components are small."""
-    rows = members.where("known").groupBy("component", "cls").agg(F.min(F.struct(*columns)).alias("_r"), F.count("*").alias("_m")).select("component", "cls", "_m", *[F.col(f"_r.{c}").alias(c) for c in columns])
+def near_pairs(members: DataFrame, columns: list[str], tokens: Column, probability: Column, least: float, jaccard: float, ranked: bool = True, largest: int | None = None) -> DataFrame:
+    """(component, a, b, p): classes of a component, a < b, and those of several members with themselves, whose probability is ``least`` or more and token Jaccard ``jaccard`` or more (any that isn't 0, where that is 0). ``members``: as of ``classed``. ``ranked``: frequent tokens come last; without, the order is the tokens' own, which does where components are small. ``largest``: members of the largest component, where known; where it is FEW at most, all classes of a component are compared."""
+    few = largest is not None and largest <= FEW
+    known = members.where("known")
+    if few:
+        known = known.select("component", "cls", *columns).repartition("component")  # classes are made and meet where they are
+    rows = known.groupBy("component", "cls").agg(F.min(F.struct(*columns)).alias("_r"), F.count("*").alias("_m")).select("component", "cls", "_m", *[F.col(f"_r.{c}").alias(c) for c in columns])
+    if few:
+        one, two = (rows.select("component", F.col("cls").alias(c), F.col("_m").alias(f"{p}m"), *[F.col(x).alias(f"{p}{x}") for x in columns]) for p, c in (("l_", "a"), ("r_", "b")))
+        met = one.hint("merge").join(two, "component").where("a < b OR a = b AND l_m > 1").select("component", "a", "b", probability.cast("double").alias("p"))
+        return met.where((F.col("p") >= least) & (F.col("p") != 0))  # 0 is what pairs that aren't told count as
     rows = rows.withColumn("_tokens", tokens).withColumn("_n", F.size("_tokens"))
     ordered = F.sort_array("_tokens")
     if ranked:

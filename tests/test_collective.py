@@ -258,6 +258,48 @@ def test_a_forest_cut_anywhere_is_a_run_at_that_threshold(spark):
     assert swept[0.2] == tuple(metrics.measures(metrics.predictions(pairs, collective.clusters(*frames, scorer, 0.3, 0.2))).first())
 
 
+def _counted(spark, frame):
+    """(the frame, a counter of its rows each time they are made)."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return frame.mapInArrow(count, frame.schema), seen
+
+
+@pytest.mark.parametrize("of", ["clusters", "forest"])
+def test_candidates_are_made_once(spark, of):
+    _, texts, contexts, links = _graph(5, 30)
+    pairs, *rest = _frames(spark, texts, contexts, links)
+    told = pairs.count()
+    pairs, seen = _counted(spark, pairs)
+    (collective.clusters if of == "clusters" else forest.merge_forest)(pairs, *rest, scorers.TokenJaccard(["text"]), 0.3, 0.5).collect()
+    assert seen.value == told
+
+
+def test_a_sweep_seeks_no_components(spark, monkeypatch):
+    from kinweave.operators import components
+
+    merges = spark.createDataFrame([("a", 1, "a", "b", 0.9, 0.9), ("a", 2, "c", "d", 0.5, 0.5), ("a", 3, "a", "c", 0.7, 0.5)], "component string, step long, a string, b string, sim double, level double")
+    pairs = spark.createDataFrame([("a", "b", 1), ("b", "d", 1), ("d", "z", 0), (None, "a", 1)], "ltable_id string, rtable_id string, label int")
+    monkeypatch.setattr(components, "_state", lambda *_: pytest.fail("components are sought"))
+    assert sorted((r.threshold, r.n, r.recall) for r in forest.threshold_sweep(pairs, merges, [0.5, 0.95, 0.6]).collect()) == [(0.5, 3, 1.0), (0.6, 3, 0.5), (0.95, 3, 0.0)]
+
+
+def test_classes_of_few_members_are_compared_without_tokens(spark):
+    rng = random.Random(8)
+    rows = [(f"c{i // 5}", f"i{i}", " ".join(rng.choices("abcde", k=rng.randrange(4)))) for i in range(60)]
+    records = spark.createDataFrame([r[1:] for r in rows], "id string, text string")
+    scorer = scorers.TokenJaccard(["text"])
+    members = near.classed(spark.createDataFrame([r[:2] for r in rows], "component string, id string"), records, scorer.identity())
+    for least in (0.0, 0.3):
+        told = [sorted(map(tuple, near.near_pairs(members, ["text"], scorer.token_set(), scorer.probability(), least, least, False, n).collect())) for n in (None, 5)]
+        assert told[0] == told[1] and len(told[0]) > 10
+
+
 def test_components_that_grow(spark):
     rng = random.Random(6)
     grown, edges = GrowingComponents(spark), []
