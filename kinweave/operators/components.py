@@ -3,8 +3,8 @@
 Each round turns the graph into flatter stars around smaller nodes: the large star links every larger neighbour of a
 node to the least node in reach, the small star every smaller one. It takes a number of rounds that grows with the
 logarithm of the longest path; edges never exceed their first number. Each round ends in the shared folder
-(``checkpoint``), which cuts lineage and survives lost executors. A node with very many neighbours is one key of a
-join, which adaptive execution splits.
+(``checkpoint``), which cuts lineage and survives lost executors. Neighbours of a node are sorted together, each edge
+moving once; where a node has more than HUB, they are joined to their least one, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -12,20 +12,32 @@ from __future__ import annotations
 import itertools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 #: Edges that a task of a round writes, at most, where there are more than the cluster's cores share.
 PART_EDGES = 1_000_000
+#: Neighbours of a node that one task sorts, at most.
+HUB = 1_000_000
 
 
-def _state(edges: DataFrame) -> tuple[int, bool]:
-    """Number of the edges (u > v, distinct), and whether they are stars around least nodes, which no round changes: each upper end has one edge and is no lower end."""
+def _state(edges: DataFrame) -> tuple[int, bool, int]:
+    """Number of the edges (u > v, distinct), whether they are stars around least nodes, which no round changes (each upper end has one edge and is no lower end), and the most edges of a node."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")))
-    by = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
-    n, wrong = by.agg(F.coalesce(F.sum("up"), F.lit(0)), F.coalesce(F.max((F.col("up") + F.col("low") > 1) & (F.col("up") > 0)), F.lit(False))).first()
-    return n, not wrong
+    by = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("low").alias("low"))
+    wrong = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("low") > 0))
+    n, wrong, most = by.agg(F.coalesce(F.sum("up"), F.lit(0)), F.coalesce(F.max(wrong), F.lit(False)), F.coalesce(F.max(F.col("up") + F.col("low")), F.lit(0))).first()
+    return n, not wrong, most
+
+
+def _round(now: DataFrame, hub: bool) -> DataFrame:
+    """The edges (u > v) after a large and a small star, distinct. ``hub``: a node has very many neighbours."""
+    both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = lambda df: df.join(df.groupBy("u").agg(F.min("v").alias("m")), "u") if hub else df.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    large = least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    small = least(large.distinct() if hub else large)
+    return small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -68,20 +80,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", folder: str | None
     loops = pairs.where("u = v").select("u", "v")
     now = _held(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), folder, "edges")
     alone = loops.select(F.col("u").alias("node")).distinct()
-    n, settled = _state(now)
+    n, settled, most = _state(now)
     for round_ in itertools.count():
         if settled:
             break
         if round_ == max_rounds:
             raise RuntimeError(f"components have not settled in {max_rounds} rounds")
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        following = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        now = _held(following, folder, f"round{round_}", n)
-        n, settled = _state(now)
+        now = _held(_round(now, most > HUB), folder, f"round{round_}", n)
+        n, settled, most = _state(now)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     found = stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
     return found.unionByName(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))

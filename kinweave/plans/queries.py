@@ -409,7 +409,7 @@ def _bootstrapped(spark, sf_dir, found: DataFrame | None = None) -> DataFrame:
     if found is None:
         found = stored(fixture(spark, sf_dir, "er_pairs").select("ltable_id", "rtable_id"), "pairs")
     attr = F.concat(*[x for c in ATTRIBUTES for x in (F.lit("|"), F.col(c))][1:])
-    matches = graph.hyperedge_k_match(found, records.select("id", attr.alias("attr"), *ATTRIBUTES), lines.select("id", F.col("ctx").alias("edge")), 4, same=ATTRIBUTES)
+    matches = graph.hyperedge_k_match(found, records.select("id", attr.alias("attr"), *ATTRIBUTES), lines.select("id", F.col("ctx").alias("edge")), 4, same=ATTRIBUTES, repeats=True)
     ids = found.select(F.col("ltable_id").alias("id")).unionByName(found.select(F.col("rtable_id").alias("id")))
     return bootstrap.bootstrap(ids, matches)
 

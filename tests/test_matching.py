@@ -521,6 +521,32 @@ def test_k_match_reads_edges_once_and_tells_equal_pairs(spark):
     assert sorted(map(tuple, found)) == sorted(told) and seen.value == edges.count()
 
 
+@pytest.mark.parametrize("hub", [1, 1_000_000])
+def test_a_round_of_components_joins_only_where_a_node_is_a_hub(spark, monkeypatch, hub):
+    from kinweave.operators import components as module
+
+    monkeypatch.setattr(module, "HUB", hub)
+    rng = random.Random(hub)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 120)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in components(frame).collect()} == _plain_components(edges)
+    plan = module._round(frame.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u > v"), hub == 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join" in plan) == (hub == 1)
+
+
+def test_k_match_proves_by_more_attributes_than_a_word_holds(spark, monkeypatch):
+    asked = []
+    count = graph._k_common
+    monkeypatch.setattr(graph, "_k_common", lambda a, *rest: asked.append(a.count()) or count(a, *rest))
+    hashed = [(r.id, r.h) for r in spark.range(60).selectExpr("CAST(id AS STRING) AS id", "pmod(xxhash64(CAST(id AS STRING)), 4) AS h").collect()]
+    left, right = ([i for i, h in hashed if h == x][:4] for x in (0, 2))
+    records = [(i, f"z{k}") for side in (left, right) for k, i in enumerate(side)] + [(f"o{k}", f"a{k % 96}") for k in range(288)]
+    edges = [(i, "e") for i in left] + [(i, "f") for i in right]
+    frames = spark.createDataFrame([(left[0], right[0])], "ltable_id string, rtable_id string"), spark.createDataFrame(records, "id string, attr string"), spark.createDataFrame(edges, "id string, edge string")
+    assert graph.hyperedge_k_match(*frames, 4).count() == 1 and asked == [0]
+    assert graph.hyperedge_k_match(*frames, 5).count() == 0
+
+
 def test_pair_text_straight_from_labels(spark):
     a = spark.createDataFrame([("1", "x  y", None), ("2", None, "z")], "id string, title string, line string")
     b = spark.createDataFrame([("7", "Wü\tt")], "id string, name string")
