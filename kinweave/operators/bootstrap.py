@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.components import components
-from kinweave.operators.graph import candidate_edges, neighbor_edges
+from kinweave.operators.graph import neighbor_edges
 
 
 def bootstrap(ids: DataFrame, *matches: DataFrame, folder: str | None = None) -> DataFrame:
@@ -29,8 +29,10 @@ def quotient(clusters: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFra
     """(kind, cluster_id, other), one row for each fact: ``member`` (an id), ``context`` (a context of a member) and ``similar`` (a cluster with a member in one candidate pair with a member of this one; both directions)."""
     of = lambda c, n: clusters.select(F.col("id").alias(c), F.col("cluster_id").alias(n))
     row = lambda df, kind, other: df.select(F.lit(kind).alias("kind"), "cluster_id", F.col(other).alias("other"))
-    contexts = edges.join(clusters, "id").select("cluster_id", "ctx").distinct()
-    linked = candidate_edges(pairs).join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
+    contexts = edges.join(clusters.hint("shuffle_hash"), "id").select("cluster_id", "ctx").distinct()
+    # Made distinct once pairs inside a cluster are gone. An id is one row of the clusters, which are the side to hold.
+    p = pairs.select(F.col("ltable_id").alias("a"), F.col("rtable_id").alias("b")).where("a <> b")
+    linked = p.join(of("a", "x").hint("shuffle_hash"), "a").join(of("b", "y").hint("shuffle_hash"), "b").where("x <> y")
     both = linked.select(F.col("x").alias("cluster_id"), "y").unionByName(linked.select(F.col("y").alias("cluster_id"), F.col("x").alias("y"))).distinct()
     return row(clusters, "member", "id").unionByName(row(contexts, "context", "ctx")).unionByName(row(both, "similar", "y"))
 

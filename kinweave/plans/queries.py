@@ -429,7 +429,10 @@ def bootstrap_clusters(spark, sf_dir):
     ),
 )
 def quotient_graph(spark, sf_dir):
-    return bootstrap.quotient(_bootstrapped(spark, sf_dir), *_fx(spark, sf_dir, "er_pairs", "er_orders_parts"))
+    found, lines = _fx(spark, sf_dir, "er_pairs", "er_order_lines")  # the quotient makes contexts distinct
+    found = stored(found.select("ltable_id", "rtable_id"), "pairs")
+    clusters = stored(_bootstrapped(spark, sf_dir, found), "clusters")  # read for each kind of fact
+    return bootstrap.quotient(clusters, found, lines)
 
 
 @query("bootstrapped_merge")

@@ -418,6 +418,23 @@ def test_bootstrap_and_quotient(spark):
     assert [tuple(r) for r in bootstrap.neighbor_clusters(table).collect()] == [("a", "d")]
 
 
+def test_the_quotient_query_makes_clusters_once(spark, monkeypatch):
+    from kinweave.plans import queries
+
+    seen, sf = spark.sparkContext.accumulator(0), "/root/testdata/sf0.001"
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = queries.fixture(spark, sf, "er_pairs")
+    alone = found.selectExpr("ltable_id AS id").union(found.selectExpr("rtable_id")).distinct().selectExpr("id", "id AS cluster_id")
+    monkeypatch.setattr(queries, "_bootstrapped", lambda *_: alone.mapInArrow(count, alone.schema))
+    kinds = {r.kind: r["count"] for r in queries.quotient_graph(spark, sf).groupBy("kind").count().collect()}
+    assert set(kinds) == {"member", "context", "similar"} and seen.value == kinds["member"]
+
+
 def test_neighbour_classes_say_what_pairs_of_ids_do(spark):
     rng = random.Random(3)
     rows = [(f"r{i:02}", rng.choice("uvwxyz")) for i in range(40) for _ in range(rng.randint(0, 2))]
