@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -435,6 +436,19 @@ def test_the_quotient_query_makes_clusters_once(spark, monkeypatch):
     assert set(kinds) == {"member", "context", "similar"} and seen.value == kinds["member"]
 
 
+def test_links_of_classes_are_told_by_blocks_of_pairs(monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS", 3)
+    rng = random.Random(5)
+    sets = {f"i{k:02}": sorted(rng.sample([f"c{x}" for x in range(9)], rng.randint(1, 4))) for k in range(20)}
+    sets["wide"] = [f"c{x}" for x in range(9)]
+    rows = sorted((c, 0, 0, i, 0, *((None, None) if i == "wide" else (s[:k], s[k + 1 :]))) for i, s in sets.items() for k, c in enumerate(s))
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("c", "i", "j", "class_id", "at", "before", "after"), r, strict=True)) for r in rows[k : k + 7]], pa.schema([("c", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("class_id", pa.string()), ("at", pa.int32()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])) for k in range(0, len(rows), 7)]
+    told = {wide: [tuple(r.values()) for b in graph._links(wide)(iter(batches)) for r in b.to_pylist()] for wide in (False, True)}
+    common = {(a, b): len(set(sets[a]) & set(sets[b])) for a, b in itertools.combinations(sorted(sets), 2) if set(sets[a]) & set(sets[b])}
+    assert sorted(told[False]) == sorted((a, b, n) for (a, b), n in common.items() if b != "wide")
+    assert sorted(told[True]) == sorted((a, b, 1) for (a, b), n in common.items() if b == "wide" for _ in range(n))
+
+
 def test_neighbour_classes_say_what_pairs_of_ids_do(spark):
     rng = random.Random(3)
     rows = [(f"r{i:02}", rng.choice("uvwxyz")) for i in range(40) for _ in range(rng.randint(0, 2))]
