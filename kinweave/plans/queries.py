@@ -217,7 +217,7 @@ _LINKED = "SELECT 'member' AS kind, id AS a, class_id AS b, CAST(1 AS BIGINT) AS
 
 @query("neighbor_classes", with_fixtures(_LINKED, _CLASSES.format("er_orders_parts")))
 def neighbor_classes(spark, sf_dir):
-    edges = fixture(spark, sf_dir, "er_orders_parts")
+    edges = fixture(spark, sf_dir, "er_order_lines")  # lines as they stand: both steps make them distinct where they are
     classes = stored(graph.context_classes(edges), "context-classes")
     member = classes.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("class_id").alias("b"), F.lit(1).cast("long").alias("n"))
     return member.unionByName(graph.neighbor_classes(edges, classes).select(F.lit("link").alias("kind"), "a", "b", "n"))
